@@ -5,8 +5,9 @@ what is above is shared again by weight. A document's expected copies are its so
 over its size, times the document's propensity if one is given. The whole part is certain; the
 fraction p is the inclusion probability of one more copy. Documents of a source are ranked by
 (u / (1 - u)) / (p / (1 - p)), u a hash of the id that is uniform in (0, 1), and taken from the
-smallest on while they fit into what the source still needs. What is left then goes to the one
-untaken document whose size comes closest to it, if that brings the source nearer to its target.
+smallest on while they fit into what the source still needs. What is left then goes to the
+untaken document whose size comes closest to it, if that brings the source nearer to its target,
+and what is left after it to another in the same way, ``ROUNDS`` times.
 
 The cut is found without gathering a source: ranks fall into ``BINS`` bins per source, sizes are
 summed by bin, a running sum over the bins finds the bin of the cut, and only that bin's rows
@@ -27,6 +28,7 @@ from .common import checkpointed, unused
 
 WEIGHTS, MOST_COPIES, SEED = (1, 2, 3), 3, "mix-1"
 BINS = 4096
+ROUNDS = 3
 #: Hex digits of the hash that make u.
 DIGITS = 12
 
@@ -124,11 +126,16 @@ def mix(
         )
     )
     gaps = drawn.groupBy("source").agg((F.first("need") - F.sum(F.col("size") * F.col("extra"))).alias("gap"))
-    left_over = _by_source(drawn.filter("extra = 0 and size > 0"), gaps).filter("size < 2 * gap")
-    closest = left_over.groupBy("source").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "doc_id", "row")).alias("best")
-    )
-    last = closest.select(F.col("best.row").alias("row"), F.lit(1).alias("last"))
+    free, last = drawn.filter("extra = 0 and size > 0"), None
+    for _ in range(ROUNDS):
+        left = free if last is None else free.join(last, "row", "left_anti")
+        closest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "doc_id", "row", "size"))
+        best = checkpointed(_by_source(left, gaps).filter("size < 2 * gap").groupBy("source").agg(closest.alias("best")))
+        rows = best.select(F.col("best.row").alias("row"))
+        last = rows if last is None else last.unionByName(rows)
+        filled = _by_source(gaps, best)
+        gaps = filled.select("source", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"))
+    last = last.withColumn("last", F.lit(1))
     copies = (F.col("certain") + F.col("extra") + F.coalesce("last", F.lit(0))).cast("int")
     return drawn.join(last, "row", "left").select(
         "doc_id", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

@@ -31,15 +31,18 @@ ranked AS (
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed
   FROM odds),
 drawn AS (SELECT *, CASE WHEN source_size > 0 AND passed + size <= need THEN 1 ELSE 0 END AS extra FROM ranked),
-gaps AS (SELECT *, need - sum(size * extra) OVER (PARTITION BY source) AS gap FROM drawn),
-ended AS (
-  SELECT *, row_number() OVER (PARTITION BY source, extra = 0 AND size > 0 AND size < 2 * gap
-                               ORDER BY abs(size - gap), q, doc_id NULLS FIRST) AS k
-  FROM gaps),
-taken AS (
-  SELECT *, CAST(certain AS INTEGER) + extra + CASE WHEN k = 1 AND extra = 0 AND size > 0 AND size < 2 * gap THEN 1 ELSE 0 END AS copies
-  FROM ended)
-SELECT doc_id, size, source_size, target, copies, CAST(copies * size AS BIGINT) AS taken FROM taken
+r0 AS (SELECT *, need - sum(size * extra) OVER (PARTITION BY source) AS gap FROM drawn),
+{rounds}
+SELECT doc_id, size, source_size, target, CAST(certain AS INTEGER) + extra AS copies,
+       CAST((CAST(certain AS INTEGER) + extra) * size AS BIGINT) AS taken
+FROM r3
 """
+#: In each round the untaken document of a source whose size is closest to the gap is taken.
+ROUND = """
+k{n} AS (SELECT *, CASE WHEN extra = 0 AND size > 0 AND size < 2 * gap AND 1 = row_number() OVER (
+           PARTITION BY source, extra = 0 AND size > 0 AND size < 2 * gap ORDER BY abs(size - gap), q, doc_id NULLS FIRST)
+         THEN 1 ELSE 0 END AS pick FROM r{m}),
+r{n} AS (SELECT * EXCLUDE (extra, gap, pick), extra + pick AS extra, gap - sum(size * pick) OVER (PARTITION BY source) AS gap FROM k{n})"""
+OP8 = OP8.replace("{rounds}", ",".join(ROUND.replace("{n}", str(n)).replace("{m}", str(n - 1)) for n in (1, 2, 3)))
 
 ORACLE = {"op8_mixing": OP8}
