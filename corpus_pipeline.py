@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import langid, simhash
+from siftwork.llm import decontam, langid, mixing, pii, simhash
 from siftwork.llm.common import held_out, shared_dir, unused
 
 #: A document goes if its text has no letter, or its language is less likely than this.
@@ -28,7 +28,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each(docs)
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts; ``n_chars`` follows where the table has it."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target asks for, numbered by ``copy``."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("personal_data", personal_data),
+    ("mixed", mixed),
+]
 #: Language models, fingerprints and a sampling plan aren't expressed in SQL.
 ORACLE_SQL = None
 
