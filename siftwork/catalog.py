@@ -1,20 +1,810 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with DuckDB SQL for the same result.
+
+Keys start with the id of the operator. The tables hold orders, parts, events and documents, so
+they stand in for images and labels: an order is a record, its lines are its annotations, line
+numbers are classes, documents are pictures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import keys, labels
+from .operators import checks, classify, dedup, detections, match, report, select
+from .operators.ordering import placed
+from .plans import builds
+from .sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+SEED = 26
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# --- stand-ins -----------------------------------------------------------------------------
+
+CLASS_ROWS = [(c, c - 1, "target") for c in (1, 2, 3, 4)] + [(5, None, "negative"), (6, None, "unsupported"), (7, None, "unsupported")]
+LINES_SQL = """
+lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS x, l_tax AS y, l_quantity / 100 AS w,
+                 (l_extendedprice / 50000.0) AS h FROM lineitem)"""
+ROLES_SQL = """
+roles AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                 CASE WHEN l_linenumber <= 4 THEN 'target' WHEN l_linenumber = 5 THEN 'negative' ELSE 'unsupported' END AS role,
+                 CASE WHEN l_linenumber <= 4 THEN l_linenumber - 1 END AS target_class FROM lineitem)"""
+
+
+def class_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CLASS_ROWS, "l_linenumber int, target_class int, role string")
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey", "l_suppkey")
+    return classify.remap(lines, class_map(spark), ["l_linenumber"])
+
+
+def numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines as text from numeric columns; every seventh line number has a sixth token."""
+    li = table(spark, sf_dir, "lineitem")
+    five = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string"),
+                       (F.col("l_quantity") / 100).cast("string"), F.lit("0.5"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).otherwise(five).alias("line"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: content hash, and a coarser key for perceptual equality."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("id"), "source", F.col("doc_id").cast("string").alias("image_path"),
+        keys.sha256(F.col("text")).alias("sha256"), F.lower(F.substring("text", 1, 40)).alias("dhash"),
+        F.col("n_chars").alias("width"), F.lit(1).alias("height"),
+    )
+
+
+PICTURES_SQL = """
+pictures AS (SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS image_path, sha256(text) AS sha256,
+                    lower(substr(text, 1, 40)) AS dhash, n_chars AS width, 1 AS height FROM documents)"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents; low quality stands for negatives."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(l, "doc_id").select("doc_id", "source", (F.col("quality") == 0).alias("is_negative"))
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.col("o_orderpriority").alias("source"))
+
+
+# --- parsing -------------------------------------------------------------------------------
+
+
+@query("p1_class_id", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber < 5 THEN CAST(l_linenumber AS INT) END AS class_id, CASE WHEN l_discount = floor(l_discount) AND l_discount BETWEEN 0 AND 4 THEN CAST(l_discount AS INT) END AS of_discount FROM lineitem")
+def p1(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        labels.class_id(F.col("l_linenumber").cast("string"), 5).alias("class_id"), labels.class_id(F.col("l_discount").cast("string"), 5).alias("of_discount"),
+    )
+
+
+@query("p2_unit_coordinate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount * 12 BETWEEN 0 AND 1 AS inside, l_quantity / 40 > 0 AND l_quantity / 40 <= 1 AS sized FROM lineitem")
+def p2(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        labels.in_unit(F.col("l_discount") * 12).alias("inside"), labels.share(F.col("l_quantity") / 40).alias("sized"),
+    )
+
+
+@query("p3_validate_lines", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'tokens' WHEN l_linenumber >= 6 THEN 'class' END AS error FROM lineitem")
+def p3(spark, sf_dir):
+    lines = numeric_lines(spark, sf_dir)
+    parsed = labels.parse_line(F.col("line"), 6, polygons=False)
+    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", parsed["error"].alias("error"))
+
+
+POLYGON_SQL = """
+WITH p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount AS x1, l_tax AS y1, l_quantity / 100 AS x2, l_tax AS y2, l_quantity / 100 AS x3, 0.9::DOUBLE AS y3 FROM lineitem),
+b AS (SELECT *, least(x1, x2) AS ax, greatest(x1, x2) AS bx, least(y1, y3) AS ay, greatest(y1, y3) AS by_ FROM p)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN bx > ax AND by_ > ay THEN 'polygon' END AS kind,
+       CASE WHEN bx > ax AND by_ > ay THEN (ax + bx) / 2 END AS x, CASE WHEN bx > ax AND by_ > ay THEN (ay + by_) / 2 END AS y,
+       CASE WHEN bx > ax AND by_ > ay THEN bx - ax END AS w, CASE WHEN bx > ax AND by_ > ay THEN by_ - ay END AS h,
+       CASE WHEN NOT (bx > ax AND by_ > ay) THEN 'extent' END AS error FROM b"""
+
+
+@query("p4_parse_polygons", POLYGON_SQL)
+def p4(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    x2 = (F.col("l_quantity") / 100).cast("string")
+    line = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string"), x2, F.col("l_tax").cast("string"), x2, F.lit("0.9"))
+    parsed = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", labels.parse_line(line, 8).alias("p"))
+    return parsed.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.kind", "p.x", "p.y", "p.w", "p.h", "p.error")
+
+
+@query("p5_parse_truncating", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(trunc(l_quantity / 10) AS INT) AS class_id FROM lineitem")
+def p5(spark, sf_dir):
+    token = (F.col("l_quantity") / 10).cast("string")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", labels.class_id(token, mode="truncate").alias("class_id"))
+
+
+@query("p6_remap", f"WITH {ROLES_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(target_class AS INT) AS target_class, role FROM roles")
+def p6(spark, sf_dir):
+    return mapped(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "target_class", "role")
+
+
+@query("p7_drop_reasons", f"""WITH {ROLES_SQL} SELECT l_orderkey, CASE WHEN bool_or(l_linenumber = 3 AND l_suppkey % 5 = 0) THEN 'non_detection_label' WHEN bool_or(role = 'unsupported') THEN 'unsupported_class' WHEN bool_or(target_class IS NULL AND role <> 'negative') THEN 'unknown_class' END AS drop_reason
+FROM roles GROUP BY l_orderkey""")
+def p7(spark, sf_dir):
+    lines = mapped(spark, sf_dir).withColumn("n_tokens", F.when((F.col("l_linenumber") == 3) & (F.col("l_suppkey") % 5 == 0), 7).otherwise(5))
+    return classify.drop_reasons(lines, ["l_orderkey"], "l_linenumber", "n_tokens")
+
+
+@query("p8_polygon_box", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (least(l_discount, l_tax) + greatest(l_discount, l_tax)) / 2 AS x, (least(l_tax, l_quantity / 100) + greatest(l_tax, l_quantity / 100)) / 2 AS y,
+greatest(l_discount, l_tax) - least(l_discount, l_tax) AS w, greatest(l_tax, l_quantity / 100) - least(l_tax, l_quantity / 100) AS h FROM lineitem""")
+def p8(spark, sf_dir):
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    d, t, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100
+    box = labels.polygon_box(F.array(point(d, t), point(t, q), point(d, q)))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "b.*")
+
+
+@query("p9_pixel_box", """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity + l_discount * 100 / 2 AS cx, l_quantity + l_tax * 100 / 2 AS cy, l_discount * 100 AS bw, l_tax * 100 AS bh FROM lineitem),
+c AS (SELECT *, greatest(0, least(1, cx / 50)) AS x, greatest(0, least(1, cy / 40)) AS y, greatest(0, least(1, bw / 50)) AS w, greatest(0, least(1, bh / 40)) AS h FROM b)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN x END AS x, CASE WHEN w > 0 AND h > 0 THEN y END AS y, CASE WHEN w > 0 AND h > 0 THEN w END AS w, CASE WHEN w > 0 AND h > 0 THEN h END AS h FROM c""")
+def p9(spark, sf_dir):
+    q = F.col("l_quantity")
+    box = labels.pixel_box(q, q, F.col("l_discount") * 100, F.col("l_tax") * 100, F.lit(50), F.lit(40))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "b.*")
+
+
+@query("p10_convert", f"WITH {ROLES_SQL}, {LINES_SQL} SELECT r.l_orderkey, r.l_partkey, r.l_suppkey, r.l_linenumber, CAST(r.target_class AS INT) AS target_class, l.x, l.y, l.w FROM roles r JOIN lines l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) WHERE r.target_class IS NOT NULL")
+def p10(spark, sf_dir):
+    parsed = numeric_lines(spark, sf_dir).withColumn("p", labels.parse_line(F.col("line"), 7)).filter("p.error is null")
+    cut = parsed.select("l_orderkey", "l_partkey", "l_suppkey", F.col("p.class_id").alias("l_linenumber"), "p.x", "p.y", "p.w")
+    done = classify.remap(cut, class_map(spark), ["l_linenumber"]).filter("target_class is not null")
+    return done.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "target_class", "x", "y", "w")
+
+
+@query("p11_convert_distinct", f"WITH {ROLES_SQL} SELECT l_orderkey, target_class, min(l_partkey) AS l_partkey, count(*) - 1 AS repeats FROM (SELECT l_orderkey, CAST(target_class AS INT) AS target_class, l_partkey FROM roles WHERE target_class IS NOT NULL) GROUP BY ALL_KEYS".replace("GROUP BY ALL_KEYS", "GROUP BY l_orderkey, target_class"))
+def p11(spark, sf_dir):
+    lines = mapped(spark, sf_dir).filter("target_class is not null").select("l_orderkey", "target_class", "l_partkey", "l_suppkey")
+    first = dedup.distinct_annotations(lines.select("l_orderkey", "target_class", "l_partkey"), ["l_orderkey"], "target_class", "l_partkey")
+    n = lines.groupBy("l_orderkey", "target_class").agg((F.count(F.lit(1)) - 1).alias("repeats"))
+    return first.join(n, ["l_orderkey", "target_class"]).select("l_orderkey", "target_class", "l_partkey", "repeats")
+
+
+@query("p12_map_first_token", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN CAST(l_linenumber - 1 AS VARCHAR) || ' a b' END AS line FROM lineitem")
+def p12(spark, sf_dir):
+    table_ = F.create_map(*[F.lit(x) for c, t, r in CLASS_ROWS if t is not None for x in (c, t)])
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(" a b"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", labels.remap_first(line, table_).alias("line"))
+
+
+@query("p13_distinct_lines", """WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, line, min(i) AS i FROM w GROUP BY doc_id, line) SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS digest, count(*) AS n_lines FROM f GROUP BY doc_id""")
+def p13(spark, sf_dir):
+    lines = labels.distinct_lines(F.split("text", "\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.sha256(F.array_join(lines, "\n")).alias("digest"), F.size(lines).cast("long").alias("n_lines"))
+
+
+@query("p14_denied_names", "SELECT p_partkey, contains(lower(p_name), 'green') OR contains(lower(p_name), 'red') AS denied FROM part")
+def p14(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", labels.denied(F.col("p_name"), ["Green", "red"]).alias("denied"))
+
+
+@query("p15_numbers", "SELECT event_id, CASE WHEN regexp_matches(CAST(user_id AS VARCHAR) || CASE WHEN event_id % 3 = 0 THEN 'd' ELSE '' END, '^[+-]?[0-9]+$') THEN CAST(user_id AS DOUBLE) END AS v FROM events")
+def p15(spark, sf_dir):
+    token = F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "d").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", labels.number(token).alias("v"))
+
+
+@query("p16_pixel_corners", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(trunc((l_discount - l_quantity / 100 / 2) * 640) AS INT) AS left_, CAST(trunc((l_tax - 0.25::DOUBLE / 2) * 480) AS INT) AS top_,
+CAST(trunc((l_discount + l_quantity / 100 / 2) * 640) AS INT) AS right_, CAST(trunc((l_tax + 0.25::DOUBLE / 2) * 480) AS INT) AS bottom_ FROM lineitem""")
+def p16(spark, sf_dir):
+    c = labels.pixel_corners(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100, F.lit(0.25), F.lit(640), F.lit(480))
+    out = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", c.alias("c"))
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[F.col(f"c.{k}").alias(f"{k}_") for k in ("left", "top", "right", "bottom")])
+
+
+# --- records -------------------------------------------------------------------------------
+
+
+@query("c1_classify", f"""WITH {ROLES_SQL}, f AS (SELECT l_orderkey, bool_or(role = 'target') t, bool_or(role = 'negative') n, bool_or(role = 'unsupported') o FROM roles GROUP BY 1)
+SELECT l_orderkey, CASE WHEN t AND NOT n AND NOT o THEN 'target' WHEN n AND NOT t AND NOT o THEN 'negative_candidate' ELSE 'ambiguous' END AS decision FROM f""")
+def c1(spark, sf_dir):
+    return classify.classify(mapped(spark, sf_dir), ["l_orderkey"])
+
+
+@query("c2_target_annotations", f"""WITH {ROLES_SQL}, ok AS (SELECT l_orderkey FROM roles GROUP BY 1 HAVING bool_and(role = 'target'))
+SELECT l_orderkey, string_agg(CAST(target_class AS VARCHAR), ',' ORDER BY l_partkey, l_suppkey, target_class) AS classes FROM roles JOIN ok USING (l_orderkey) GROUP BY 1""")
+def c2(spark, sf_dir):
+    done = classify.target_annotations(mapped(spark, sf_dir), ["l_orderkey"], ["l_partkey", "l_suppkey", "target_class"])
+    return done.select("l_orderkey", F.array_join(F.transform("annotations", lambda a: a["target_class"].cast("string")), ",").alias("classes"))
+
+
+@query("c3_drop_taxonomy", f"""WITH {ROLES_SQL}, f AS (SELECT l_orderkey, bool_or(role = 'target') t, bool_or(role = 'negative') n, bool_or(role = 'unsupported') o FROM roles GROUP BY 1)
+SELECT CASE WHEN t AND NOT n AND NOT o THEN 'kept' WHEN n AND NOT t AND NOT o THEN 'negative' ELSE 'ambiguous_mixed' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
+def c3(spark, sf_dir):
+    names = F.when(F.col("decision") == "target", "kept").when(F.col("decision") == "negative_candidate", "negative").otherwise("ambiguous_mixed")
+    return c1(spark, sf_dir).groupBy(names.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c4_core_reject", f"""WITH {ROLES_SQL}, f AS (SELECT l_orderkey, string_agg(DISTINCT CAST(target_class AS VARCHAR), ',' ORDER BY CAST(target_class AS VARCHAR)) AS classes, bool_or(target_class IS NULL) AS unknown FROM roles GROUP BY 1)
+SELECT l_orderkey, coalesce(classes, '') AS classes, CASE WHEN classes IS NULL THEN 'reject' WHEN unknown THEN 'mixed' ELSE 'core' END AS part FROM f""")
+def c4(spark, sf_dir):
+    done = classify.core_and_reject(mapped(spark, sf_dir), ["l_orderkey"])
+    return done.withColumn("classes", F.array_join(F.transform("classes", lambda c: c.cast("string")), ","))
+
+
+# --- keys ----------------------------------------------------------------------------------
+
+
+@query("f1_sha256", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def f1(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", keys.sha256(F.col("text")).alias("sha256"))
+
+
+@query("f2_sha1_prefix", "SELECT doc_id, substr(sha1(text), 1, 10) AS short, substr(sha1(source || '/' || CAST(doc_id AS VARCHAR)), 1, 12) AS path_key FROM documents")
+def f2(spark, sf_dir):
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.sha1_prefix(F.col("text"), 10).alias("short"), keys.sha1_prefix(path, 12).alias("path_key"))
+
+
+DHASH_SQL = """WITH g AS (SELECT vec_id, embedding AS e, unnest(range(56)) AS i FROM embeddings),
+b AS (SELECT vec_id, string_agg(CASE WHEN e[(i // 7) * 8 + i % 7 + 1] {op} e[(i // 7) * 8 + i % 7 + 2] THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM g GROUP BY vec_id)
+SELECT vec_id, bits FROM b"""
+
+
+@query("f3_dhash", DHASH_SQL.replace("{op}", ">"))
+def f3(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", keys.grid_bits(F.col("embedding"), 8, 8).alias("bits"))
+
+
+@query("f4_dhash_rising", DHASH_SQL.replace("{op}", "<"))
+def f4(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", keys.grid_bits(F.col("embedding"), 8, 8, rising=True).alias("bits"))
+
+
+@query("f5_fingerprint", f"WITH {PICTURES_SQL} SELECT id, sha256, dhash, width, height FROM pictures")
+def f5(spark, sf_dir):
+    return pictures(spark, sf_dir).select("id", "sha256", "dhash", "width", "height")
+
+
+NAMES_SQL = "SELECT p_partkey, 'src' || CAST(p_partkey % 3 AS VARCHAR) AS source, {key} AS family FROM (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_aug_' || CAST(p_partkey AS VARCHAR) ELSE '' END AS s, '.rf.' || CAST(p_partkey AS VARCHAR) AS m FROM part)"
+
+
+def names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    aug = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_aug_"), F.col("p_partkey").cast("string"))).otherwise("")
+    path = F.concat(F.lit("images/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), aug, F.lit(".rf."), F.col("p_partkey").cast("string"), F.lit(".jpg"))
+    return p.select("p_partkey", F.concat(F.lit("src"), (F.col("p_partkey") % 3).cast("string")).alias("source"), path.alias("path"))
+
+
+def _family(mode, separator=":"):
+    return lambda spark, sf_dir: names(spark, sf_dir).select("p_partkey", "source", keys.family(F.col("path"), F.col("source"), mode, separator).alias("family"))
+
+
+_CUT = "regexp_replace(s, '(?i)[_-]aug(?:mented)?[_-]?[0-9]+$', '')"
+_SRC = "'src' || CAST(p_partkey % 3 AS VARCHAR) || "
+query("f6_family", NAMES_SQL.replace("{key}", _SRC + "':' || " + _CUT))(_family("marker_and_augment"))
+query("f7_family_lower", NAMES_SQL.replace("{key}", _SRC + "'::' || lower(" + _CUT + ")"))(_family("marker_and_augment_lower", "::"))
+query("f8_family_last_marker", NAMES_SQL.replace("{key}", _SRC + "':' || s"))(_family("last_marker"))
+
+
+@query("f9_source_key", NAMES_SQL.replace("{key}", "lower(s)"))
+def f9(spark, sf_dir):
+    return names(spark, sf_dir).select("p_partkey", "source", keys.family(F.col("path"), mode="name_lower").alias("family"))
+
+
+@query("f10_output_name", "SELECT p_partkey, 'src' || CAST(p_partkey % 3 AS VARCHAR) || '__' || substr(sha256(p_name), 1, 12) || '.jpg' AS output_name FROM part")
+def f10(spark, sf_dir):
+    n = names(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return n.select("p_partkey", keys.output_name(F.col("source"), keys.sha256(F.col("p_name")), F.col("path"), 12).alias("output_name"))
+
+
+# --- joins ---------------------------------------------------------------------------------
+
+
+@query("j1_pairing", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'image_only' WHEN d.doc_id IS NULL THEN 'label_only' ELSE 'paired' END AS pairing
+FROM (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def j1(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 3").select("doc_id")
+    return match.pair(d, table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+
+
+PROTECT_SQL = f"""WITH {PICTURES_SQL}, held AS (SELECT * FROM pictures WHERE source IN ('src0', 'src1')), free AS (SELECT * FROM pictures WHERE source NOT IN ('src0', 'src1')),
+m AS (SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.sha256 = f.sha256) THEN 'exact'
+  WHEN EXISTS (SELECT 1 FROM held h WHERE h.dhash = f.dhash AND h.width = f.width AND h.height = f.height) THEN 'perceptual' END AS match FROM free f)"""
+
+
+def _sides(spark, sf_dir):
+    p = pictures(spark, sf_dir)
+    held = F.col("source").isin("src0", "src1")
+    return p.filter(~held), p.filter(held)
+
+
+@query("j2_match_kind", PROTECT_SQL + " SELECT id, match FROM m")
+def j2(spark, sf_dir):
+    return match.match_kind(*_sides(spark, sf_dir)).select("id", "match")
+
+
+@query("j3_protect", PROTECT_SQL + " SELECT id, source FROM m WHERE match IS NULL")
+def j3(spark, sf_dir):
+    return match.protect(*_sides(spark, sf_dir)).select("id", "source")
+
+
+@query("j4_protected_keys", f"WITH {PICTURES_SQL} SELECT DISTINCT dhash, width, height FROM pictures WHERE source IN ('src0', 'src1')")
+def j4(spark, sf_dir):
+    return match.fingerprints(_sides(spark, sf_dir)[1])[1]
+
+
+def _dated(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    early = F.col("l_shipdate") < F.lit("2001-02-24").cast("timestamp")
+    return li.filter(early), li.filter(~early)
+
+
+@query("j5_leakage_exclusion", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem l WHERE l_shipdate < TIMESTAMP '2001-02-24' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_shipdate >= TIMESTAMP '2001-02-24' AND r.l_partkey = l.l_partkey)")
+def j5(spark, sf_dir):
+    train, valid = _dated(spark, sf_dir)
+    return match.exclude_keys(train, valid, "l_partkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query("j6_overlap", """SELECT l_partkey, a AS left_rows, b AS right_rows FROM (SELECT l_partkey, count(*) a FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-02-24' GROUP BY 1)
+JOIN (SELECT l_partkey, count(*) b FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-24' GROUP BY 1) USING (l_partkey)""")
+def j6(spark, sf_dir):
+    return match.overlap(*_dated(spark, sf_dir), "l_partkey")
+
+
+@query("j8_three_relations", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON p_partkey = l_partkey""")
+def j8(spark, sf_dir):
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_name"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    categories = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"), "l_suppkey", "l_linenumber")
+    done = match.coco_labels(images, notes, categories)
+    return done.select(F.col("image_id").alias("l_orderkey"), "l_linenumber", F.col("category_id").alias("l_partkey"), "l_suppkey", F.col("file_name").alias("o_orderpriority"), F.col("category").alias("p_name"))
+
+
+@query("j9_compare", """WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 0 AND user_id % 7 <> 0 GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 1 AND user_id % 5 <> 0 GROUP BY 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS before, b.v AS after, b.v - a.v AS change FROM a FULL JOIN b ON a.user_id = b.user_id""")
+def j9(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    best = lambda df: df.groupBy("user_id").agg(F.max("value").alias("v"))
+    return match.compare(best(e.filter("event_id % 2 = 0 and user_id % 7 <> 0")), best(e.filter("event_id % 2 = 1 and user_id % 5 <> 0")), "user_id", "v")
+
+
+# --- duplicates ----------------------------------------------------------------------------
+
+ORDER = ["source", "id"]
+
+
+@query("d1_dedup", f"WITH {PICTURES_SQL} SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY dhash, width, height ORDER BY source, id) AS k FROM pictures) WHERE k = 1")
+def d1(spark, sf_dir):
+    return dedup.deduplicate(pictures(spark, sf_dir), ORDER).select("id", "source")
+
+
+@query("d1_counts", f"WITH {PICTURES_SQL} SELECT count(*) - count(DISTINCT sha256) AS exact, count(DISTINCT sha256) - count(DISTINCT (dhash, width, height)) AS perceptual, count(DISTINCT (dhash, width, height)) AS kept FROM pictures")
+def d1_counts(spark, sf_dir):
+    return dedup.two_passes(pictures(spark, sf_dir), "sha256", match.PERCEPTUAL)
+
+
+@query("d2_counts", f"""WITH {PICTURES_SQL}, k AS (SELECT *, first_value(sha256) OVER w AS held, row_number() OVER w AS r FROM pictures WINDOW w AS (PARTITION BY dhash, width, height ORDER BY source, id))
+SELECT CAST(sum(CASE WHEN r > 1 AND sha256 = held THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN r > 1 AND sha256 <> held THEN 1 ELSE 0 END) AS BIGINT) AS perceptual, CAST(sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM k""")
+def d2_counts(spark, sf_dir):
+    return dedup.one_pass(pictures(spark, sf_dir), "sha256", match.PERCEPTUAL, ORDER)
+
+
+@query("d2_exclude_and_dedup", PROTECT_SQL + """, k AS (SELECT *, first_value(sha256) OVER w AS held, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY dhash, width, height, match IS NULL ORDER BY source, id))
+SELECT id, CASE WHEN match = 'exact' THEN 'benchmark_exact' WHEN match = 'perceptual' THEN 'benchmark_perceptual' WHEN r = 1 THEN NULL WHEN sha256 = held THEN 'duplicate_exact' ELSE 'duplicate_perceptual' END AS drop_reason FROM k""")
+def d2(spark, sf_dir):
+    return dedup.exclude_and_deduplicate(*_sides(spark, sf_dir), ORDER).select("id", "drop_reason")
+
+
+@query("d3_dedup_candidates", PROTECT_SQL + """ SELECT min(id) AS id, dhash FROM free WHERE dhash NOT IN (SELECT dhash FROM held) GROUP BY dhash""")
+def d3(spark, sf_dir):
+    free, held = _sides(spark, sf_dir)
+    return dedup.first_of_each(match.exclude_keys(free, held, "dhash"), ["dhash"], ["id"]).select("id", "dhash")
+
+
+@query("d4_first_per_key", "SELECT source, min(doc_id) AS doc_id, count(*) - 1 AS others FROM documents GROUP BY source")
+def d4(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    first = dedup.first_of_each(d, ["source"], ["doc_id"])
+    return first.join(d.groupBy("source").agg((F.count(F.lit(1)) - 1).alias("others")), "source")
+
+
+@query("d5_distinct_annotations", "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
+def d5(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return dedup.distinct_annotations(lines, ["l_orderkey"], "l_linenumber", "l_partkey")
+
+
+# --- aggregates ----------------------------------------------------------------------------
+
+
+def _parsed(spark, sf_dir):
+    return numeric_lines(spark, sf_dir).withColumn("p", labels.parse_line(F.col("line"), 6))
+
+
+@query("a1_line_counts", "SELECT count(*) FILTER (l_linenumber < 6) AS valid_lines, count(*) FILTER (l_linenumber < 6) AS box_lines, count(*) FILTER (false) AS polygon_lines, count(*) FILTER (l_linenumber >= 6) AS invalid_lines FROM lineitem")
+def a1(spark, sf_dir):
+    return report.line_counts(_parsed(spark, sf_dir), "p")
+
+
+@query("a1_class_counts", "SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS lines FROM lineitem WHERE l_linenumber < 6 GROUP BY 1")
+def a1_classes(spark, sf_dir):
+    return report.class_counts(_parsed(spark, sf_dir), "p")
+
+
+@query("a2_audit_by_split", "SELECT l_returnflag AS split, count(DISTINCT l_orderkey) AS records, count(*) AS lines, count(*) FILTER (l_linenumber >= 6) AS invalid_lines FROM lineitem GROUP BY 1")
+def a2(spark, sf_dir):
+    flags = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return flags.groupBy(F.col("l_returnflag").alias("split")).agg(
+        F.count_distinct("l_orderkey").alias("records"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_linenumber") >= 6).alias("invalid_lines")
+    )
+
+
+@query("a3_coco_audit", "SELECT (SELECT count(*) FROM documents) AS declared_images, (SELECT count(*) FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS found_images, (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS missing_images")
+def a3(spark, sf_dir):
+    name = F.concat(F.lit("pic"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    wanted = table(spark, sf_dir, "documents").select("doc_id", name.alias("file_name"))
+    found = table(spark, sf_dir, "labels").select(F.concat(F.lit("/data/images/"), name).alias("path"))
+    return files.located(wanted, found).agg(
+        F.count(F.lit(1)).alias("declared_images"), F.count("path").alias("found_images"), F.count_if(F.col("path").isNull()).alias("missing_images")
+    )
+
+
+@query("a4_audit_union", "SELECT 'lines' AS source, count(*) AS rows_ FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'events', count(*) FROM events")
+def a4(spark, sf_dir):
+    n = lambda source, name: table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("rows_")).select(F.lit(source).alias("source"), "rows_")
+    return n("lines", "lineitem").unionByName(n("documents", "documents")).unionByName(n("events", "events"))
+
+
+@query("a5_zero_filled", "SELECT c.class_id, coalesce(n, 0) AS lines FROM (SELECT unnest(range(0, 10))::INT AS class_id) c LEFT JOIN (SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS n FROM lineitem WHERE l_linenumber < 6 GROUP BY 1) USING (class_id)")
+def a5(spark, sf_dir):
+    return report.zero_filled(report.class_counts(_parsed(spark, sf_dir), "p"), "class_id", list(range(10)), "lines")
+
+
+@query("a5_by_split", "SELECT l_linestatus AS source, count(*) FILTER (l_returnflag = 'A') AS \"A\", count(*) FILTER (l_returnflag = 'N') AS \"N\", count(*) FILTER (l_returnflag = 'R') AS \"R\", count(*) FILTER (l_returnflag IN ('A', 'N', 'R')) AS total FROM lineitem GROUP BY 1")
+def a5_split(spark, sf_dir):
+    return report.by_split(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R"]).withColumnRenamed("l_linestatus", "source")
+
+
+@query("a5_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def a5_rollup(spark, sf_dir):
+    return report.rolled_up(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]).withColumn("level", F.col("level").cast("long"))
+
+
+REPEATS_SQL = "WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) - 1 AS again FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query("a6_duplicate_lines", REPEATS_SQL + " SELECT count(*) FILTER (again > 0) AS records, CAST(coalesce(sum(again), 0) AS BIGINT) AS lines FROM (SELECT l_orderkey, sum(again) AS again FROM a GROUP BY 1)")
+def a6(spark, sf_dir):
+    return report.duplicate_lines(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag")[0]
+
+
+@query("a6_duplicates_by_class", REPEATS_SQL + " SELECT l_returnflag, CAST(sum(again) AS BIGINT) AS lines FROM a GROUP BY 1 HAVING sum(again) > 0")
+def a6_classes(spark, sf_dir):
+    return report.duplicate_lines(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_returnflag")[1]
+
+
+@query("a7_leakage", """WITH b AS (SELECT l_partkey, count(*) FILTER (l_shipdate < TIMESTAMP '2001-02-24') AS a, count(*) FILTER (l_shipdate >= TIMESTAMP '2001-02-24') AS b FROM lineitem GROUP BY 1)
+SELECT count(*) FILTER (a > 0) AS left_keys, count(*) FILTER (b > 0) AS right_keys, count(*) FILTER (a > 1) AS left_groups, count(*) FILTER (b > 1) AS right_groups,
+CAST(sum(greatest(a - 1, 0)) AS BIGINT) AS left_extra, CAST(sum(greatest(b - 1, 0)) AS BIGINT) AS right_extra, count(*) FILTER (a > 0 AND b > 0) AS shared_keys FROM b""")
+def a7(spark, sf_dir):
+    return report.leakage(*_dated(spark, sf_dir), "l_partkey")
+
+
+@query("a8_argmax", """SELECT user_id, count(*) AS rows_, arg_max(event_id, (value, -epoch_us(ts), -event_id)) AS best_event, max(value) AS best_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1""")
+def a8(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    done = report.best_and_last(e, ["user_id"], "value", ["at", "event_id"])
+    return done.select("user_id", F.col("rows").alias("rows_"), F.col("best.event_id").alias("best_event"), F.col("best.value").alias("best_value"), "last_value")
+
+
+@query("a9_preflight", "WITH r AS (SELECT l_returnflag, l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber >= 6) AS bad FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*) AS records, count(*) FILTER (n = 0) AS empty_records, CAST(sum(n) AS BIGINT) AS annotations, CAST(sum(bad) AS BIGINT) AS invalid_lines FROM r GROUP BY 1")
+def a9(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    line = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.lit("0.5 0.5 0.5 0.5"))
+    return report.preflight(li.withColumn("p", labels.parse_line(line, 6)), ["l_returnflag"], "l_orderkey", "p")
+
+
+@query("a10_class_frequency", "SELECT l_linenumber AS class_id, count(DISTINCT l_orderkey) AS records, count(*) AS annotations FROM lineitem GROUP BY 1")
+def a10(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("classes"))
+    return report.records_with_class(r, "l_orderkey", "classes")
+
+
+@query("a11_families", "SELECT conv_id, count(*) AS members, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1")
+def a11(spark, sf_dir):
+    g = report.grouped(table(spark, sf_dir, "conversations"), "conv_id", ["turn"])
+    return g.select("conv_id", F.size("members").cast("long").alias("members"), F.array_join(F.transform("members", lambda m: m["turn"].cast("string")), ",").alias("turns"))
+
+
+@query("a12_distinct_contents", "SELECT count(DISTINCT sha256(text)) AS contents FROM documents")
+def a12(spark, sf_dir):
+    return detections.distinct_contents(table(spark, sf_dir, "documents"), "text")
+
+
+@query("a13_result_record", "SELECT user_id, avg(value) AS mean_value, max(value) AS best_value, count(*) AS n FROM events GROUP BY 1")
+def a13(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean_value"), F.max("value").alias("best_value"), F.count(F.lit(1)).alias("n"))
+
+
+# --- caps, splits, selections --------------------------------------------------------------
+
+HASH = "sha256('26:' || CAST({} AS VARCHAR))"
+
+
+@query("x1_cap_negatives", f"""WITH r AS (SELECT d.doc_id, d.source, quality = 0 AS is_negative FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+n AS (SELECT CAST(floor(0.05::DOUBLE * count(*) / (1 - 0.05::DOUBLE)) AS BIGINT) AS most FROM r WHERE NOT is_negative)
+SELECT doc_id, source, is_negative FROM (SELECT *, row_number() OVER (PARTITION BY is_negative ORDER BY {HASH.format('doc_id')}, doc_id) AS k FROM r), n WHERE NOT is_negative OR k <= most""")
+def x1(spark, sf_dir):
+    return select.cap_negatives(labelled(spark, sf_dir), "is_negative", "doc_id", 0.05, SEED)
+
+
+@query("x2_cap_after_dedup", f"""WITH {PICTURES_SQL}, u AS (SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY dhash, width, height ORDER BY source, id) AS k FROM pictures) WHERE k = 1),
+r AS (SELECT id, u.source, quality = 0 AS is_negative FROM u JOIN labels ON doc_id = id), n AS (SELECT CAST(floor(0.05::DOUBLE * count(*) / (1 - 0.05::DOUBLE)) AS BIGINT) AS most FROM r WHERE NOT is_negative)
+SELECT id, source, is_negative FROM (SELECT *, row_number() OVER (PARTITION BY is_negative ORDER BY {HASH.format('id')}, id) AS k FROM r), n WHERE NOT is_negative OR k <= most""")
+def x2(spark, sf_dir):
+    unique = dedup.deduplicate(pictures(spark, sf_dir), ORDER).select("id", "source")
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("is_negative"))
+    return select.cap_negatives(unique.join(l, "id").select("id", "source", "is_negative"), "is_negative", "id", 0.05, SEED)
+
+
+FAMILIES_SQL = f"""WITH f AS (SELECT l_orderkey AS family, min(o_orderpriority) AS source, count(*) AS size, {HASH.format('l_orderkey')} AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+"""
+
+
+@query("x3_split_by_records", FAMILIES_SQL + """p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, family) = 1 AS first_ FROM f),
+c AS (SELECT count(*) AS nf, count(DISTINCT source) AS ns, greatest(1, round_even(sum(size) * 0.12::DOUBLE, 0)) AS target FROM f),
+q AS (SELECT p.*, nf, target, first_ AND target >= ns AND nf > ns AS pre FROM p, c),
+b AS (SELECT coalesce(sum(size) FILTER (pre), 0) AS base, count(*) FILTER (pre) AS np FROM q),
+w AS (SELECT q.*, base, np, coalesce(sum(size) OVER (PARTITION BY pre ORDER BY o, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY pre ORDER BY o, family) AS rk FROM q, b)
+SELECT family, source, size, CASE WHEN pre OR (base + before < target AND rk <= nf - 1 - np) THEN 'valid' ELSE 'train' END AS split FROM w""")
+def x3(spark, sf_dir):
+    return select.split_by_records(families(spark, sf_dir), "l_orderkey", "source", 0.12, SEED)
+
+
+@query("x4_split_by_families", FAMILIES_SQL + """c AS (SELECT count(*) AS nf, least(greatest(1, round_even(count(*) * 0.12::DOUBLE, 0)), count(*) - 1) AS target FROM f),
+s AS (SELECT source, count(*) AS n FROM f GROUP BY 1), e AS (SELECT count(*) FILTER (n >= 2) AS el FROM s),
+p AS (SELECT f.*, s.n, c.target, e.el, target >= el AS room, row_number() OVER (PARTITION BY f.source ORDER BY o, family) = 1 AND n >= 2 AND target >= el AS pre FROM f JOIN s USING (source), c, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, pre ORDER BY o, family) AS rk FROM p),
+k AS (SELECT *, CASE WHEN pre THEN 0 ELSE row_number() OVER (PARTITION BY pre ORDER BY rk > n - 1 - CASE WHEN room AND n >= 2 THEN 1 ELSE 0 END, o, family) END AS pos FROM r)
+SELECT family, source, size, CASE WHEN pre OR pos <= target - CASE WHEN room THEN el ELSE 0 END THEN 'valid' ELSE 'train' END AS split FROM k""")
+def x4(spark, sf_dir):
+    return select.split_by_families(families(spark, sf_dir), "l_orderkey", "source", 0.12, SEED)
+
+
+@query("x5_validation_plan", """SELECT 'train' AS side, l_orderkey FROM lineitem l WHERE l_shipdate < TIMESTAMP '2001-02-24' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_shipdate >= TIMESTAMP '2001-02-24' AND r.l_partkey = l.l_partkey)
+UNION ALL SELECT 'valid', min(l_orderkey) FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-24' GROUP BY l_partkey""")
+def x5(spark, sf_dir):
+    train, valid = (d.select("l_partkey", "l_orderkey") for d in _dated(spark, sf_dir))
+    rest, owned = select.validation_plan(train, valid, "l_partkey", "l_orderkey")
+    return rest.select(F.lit("train").alias("side"), "l_orderkey").unionByName(owned.select(F.lit("valid").alias("side"), "l_orderkey"))
+
+
+RECORDS_SQL = """r AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_linenumber AS INT)))) AS classes, l_orderkey % 3 = 0 AS a FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1),
+u AS (SELECT l_orderkey, unnest(classes) AS c FROM r), fq AS (SELECT c, count(*) AS n FROM u GROUP BY 1),
+pr AS (SELECT l_orderkey, arg_min(c, (n, c)) AS prim FROM u JOIN fq USING (c) GROUP BY 1)"""
+
+
+def _classed(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("int"))).alias("classes"))
+
+
+@query("x6_balanced", f"""WITH {RECORDS_SQL}, m AS (SELECT r.l_orderkey, r.a, prim, {HASH.format('r.l_orderkey')} AS o, CASE WHEN prim <= 402 % 4 THEN 101 ELSE 100 END AS q FROM r JOIN pr USING (l_orderkey)),
+w AS (SELECT *, CAST(round_even(q * 0.7::DOUBLE, 0) AS INT) AS wish, count(*) FILTER (a) OVER (PARTITION BY prim) AS na, count(*) FILTER (NOT a) OVER (PARTITION BY prim) AS nb, row_number() OVER (PARTITION BY prim, a ORDER BY o, l_orderkey) AS rk FROM m),
+l AS (SELECT *, least(na, wish) AS ta, least(nb, q - least(na, wish)) AS tb FROM w),
+k AS (SELECT *, CASE WHEN a THEN rk <= ta + least(na - ta, q - ta - tb) ELSE rk <= tb END AS picked FROM l)
+SELECT l_orderkey, prim AS "primary", picked FROM (SELECT *, row_number() OVER (ORDER BY NOT picked, o, l_orderkey) AS pos FROM k) WHERE pos <= 402""")
+def x6(spark, sf_dir):
+    done = select.balanced(_classed(spark, sf_dir), "l_orderkey", "classes", F.col("l_orderkey") % 3 == 0, 402, SEED, 0.7, [1, 2, 3, 4])
+    return done.select("l_orderkey", "primary", "picked")
+
+
+@query("x7_primary_class", f"WITH {RECORDS_SQL} SELECT l_orderkey, prim AS primary_class FROM pr")
+def x7(spark, sf_dir):
+    r = _classed(spark, sf_dir)
+    counts = {x["class"]: x["records"] for x in select.class_frequency(r, "classes").collect()}
+    freq = F.create_map(*[F.lit(v) for c, n in sorted(counts.items()) for v in (c, n)])
+    return r.select("l_orderkey", select.primary_class(F.col("classes"), freq).alias("primary_class"))
+
+
+@query("x8_reject_sample", "SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber > 5) ORDER BY sha256('1026:' || CAST(l_orderkey AS VARCHAR)), l_orderkey LIMIT 50")
+def x8(spark, sf_dir):
+    return select.seeded_sample(table(spark, sf_dir, "lineitem").filter("l_linenumber > 5").select("l_orderkey").distinct(), "l_orderkey", 50, 1026)
+
+
+@query("x9_inspection_sample", f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {HASH.format('doc_id')}, doc_id) AS k FROM documents) WHERE k <= 8")
+def x9(spark, sf_dir):
+    return select.seeded_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", 8, SEED, ["source"])
+
+
+@query("w1_running_position", f"""SELECT l_orderkey, position, before FROM (SELECT l_orderkey, row_number() OVER w AS position, CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+FROM (SELECT l_orderkey, count(*) AS size, {HASH.format('l_orderkey')} AS o FROM lineitem GROUP BY 1) WINDOW w AS (ORDER BY o, l_orderkey))""")
+def w1(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size")).withColumn("o", keys.seeded_order(SEED, F.col("l_orderkey")))
+    return placed(f, "o", size="size", tie=["l_orderkey"]).select("l_orderkey", "position", "before")
+
+
+# --- rankings and sets ---------------------------------------------------------------------
+
+
+@query("t1_ranked_detections", "SELECT event_id, value FROM events WHERE value >= 0.25 ORDER BY value DESC, event_id LIMIT 100")
+def t1(spark, sf_dir):
+    return report.ranked_detections(table(spark, sf_dir, "events"), "value", "event_id").select("event_id", "value").limit(100)
+
+
+@query("t2_best_detection", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS value FROM events GROUP BY 1")
+def t2(spark, sf_dir):
+    return report.best_detection(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", ["event_id", "value"])
+
+
+@query("t3_newest_first", "SELECT user_id, max(ts) AS modified FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def t3(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("modified"))
+    return runs.orderBy(F.desc("modified"), "user_id").limit(25)
+
+
+@query("t4_first_overlaps", "SELECT l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-02-24' INTERSECT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-24') ORDER BY 1 LIMIT 20")
+def t4(spark, sf_dir):
+    return match.overlap(*_dated(spark, sf_dir), "l_partkey").select("l_partkey").orderBy("l_partkey").limit(20)
+
+
+@query("t5_confident", "SELECT event_id FROM events WHERE value >= 0.5")
+def t5(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter(F.col("value") >= 0.5).select("event_id")
+
+
+@query("t6_first_matching", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*e') ORDER BY p_name, p_partkey LIMIT 1")
+def t6(spark, sf_dir):
+    return report.first_matching(table(spark, sf_dir, "part"), "p_name", "^[a-m].*e", [F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "p_name")
+
+
+@query("u1_union", "SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def u1(spark, sf_dir):
+    n = lambda name, c: table(spark, sf_dir, name).select(F.col(c).alias("nationkey"))
+    return n("customer", "c_nationkey").unionByName(n("supplier", "s_nationkey"))
+
+
+@query("u2_intersection", "SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-02-24' INTERSECT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-24'")
+def u2(spark, sf_dir):
+    a, b = _dated(spark, sf_dir)
+    return a.select("l_partkey").intersect(b.select("l_partkey"))
+
+
+@query("u3_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def u3(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("u4_disjoint", "SELECT NOT EXISTS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1) AS halves, NOT EXISTS (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) AS labelled")
+def u4(spark, sf_dir):
+    o, d = table(spark, sf_dir, "orders"), table(spark, sf_dir, "documents")
+    halves = match.disjoint(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "o_orderkey")
+    return spark.createDataFrame([(halves, match.disjoint(d, table(spark, sf_dir, "labels"), "doc_id"))], "halves boolean, labelled boolean")
+
+
+@query("u5_concatenation", FAMILIES_SQL.rstrip(", \n") + " SELECT count(*) AS families, CAST(sum(size) AS BIGINT) AS records FROM f")
+def u5(spark, sf_dir):
+    s = x3(spark, sf_dir)
+    both = s.filter("split = 'train'").union(s.filter("split = 'valid'"))
+    return both.agg(F.count(F.lit(1)).alias("families"), F.sum("size").alias("records"))
+
+
+# --- invariants, detections, builds --------------------------------------------------------
+
+
+@query("i1_label_violations", """WITH v AS (SELECT l_linenumber, l_discount * 12 AS x, l_tax AS y, l_quantity / 40 AS w, l_tax * 20 AS h FROM lineitem)
+SELECT code, count(*) AS n FROM (SELECT unnest([CASE WHEN l_linenumber = 7 THEN 'non_five_token_label' END, CASE WHEN l_linenumber BETWEEN 5 AND 6 THEN 'invalid_class_id' END,
+CASE WHEN l_linenumber <> 7 AND NOT (x BETWEEN 0 AND 1) THEN 'invalid_x_center' END, CASE WHEN l_linenumber <> 7 AND NOT (y BETWEEN 0 AND 1) THEN 'invalid_y_center' END,
+CASE WHEN l_linenumber <> 7 AND NOT (w > 0 AND w <= 1) THEN 'invalid_width' END, CASE WHEN l_linenumber <> 7 AND NOT (h > 0 AND h <= 1) THEN 'invalid_height' END]) AS code FROM v) WHERE code IS NOT NULL GROUP BY 1""")
+def i1(spark, sf_dir):
+    five = F.concat_ws(" ", F.col("l_linenumber").cast("string"), (F.col("l_discount") * 12).cast("string"), F.col("l_tax").cast("string"), (F.col("l_quantity") / 40).cast("string"), (F.col("l_tax") * 20).cast("string"))
+    line = F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).otherwise(five)
+    return checks.label_violations(table(spark, sf_dir, "lineitem").select(line.alias("line")), "line", [1, 2, 3, 4])
+
+
+@query("i1_split_violations", """SELECT * FROM (SELECT 'family_overlap' AS code, count(*) AS n FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)
+UNION ALL SELECT 'exact_overlap', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1)) WHERE n > 0""")
+def i1_split(spark, sf_dir):
+    return checks.split_violations(table(spark, sf_dir, "lineitem"), "l_returnflag", {"family_overlap": ["l_partkey"], "exact_overlap": ["l_orderkey", "l_linenumber"]})
+
+
+@query("i2_counts_check", "SELECT l_returnflag AS split, count(DISTINCT l_orderkey) AS images, count(DISTINCT CASE WHEN l_linenumber < 6 THEN l_orderkey END) AS label_files FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) <> count(DISTINCT CASE WHEN l_linenumber < 6 THEN l_orderkey END)")
+def i2(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("split")).agg(
+        F.count_distinct("l_orderkey").alias("images"), F.count_distinct(F.when(F.col("l_linenumber") < 6, F.col("l_orderkey"))).alias("label_files")
+    )
+    return g.filter("images <> label_files")
+
+
+@query("i3_absent_classes", "SELECT CAST(c AS INT) AS class_id FROM (SELECT unnest(range(0, 10)) AS c) WHERE c NOT IN (SELECT l_linenumber FROM lineitem WHERE l_linenumber < 6)")
+def i3(spark, sf_dir):
+    return checks.absent_classes(a5(spark, sf_dir), "class_id", "lines")
+
+
+@query("i4_class_list", "SELECT count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation")
+def i4(spark, sf_dir):
+    n = checks.require_rows(table(spark, sf_dir, "nation"), 25)
+    listed = n.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    return listed.select("n", F.array_join(F.transform("l", lambda x: x["n_name"]), ",").alias("names"))
+
+
+@query("e1_extract_detections", "SELECT event_id, 'c' || CAST(user_id % 3 AS VARCHAR) AS class, value AS confidence, round_even(value * 16, 0) / 16 AS left_ FROM events WHERE user_id % 3 < 3")
+def e1(spark, sf_dir):
+    # sixteenths are exact in binary and have at most four decimals, so all engines agree
+    edge = F.bround(F.col("value") * 16) / 16
+    box = F.struct((F.col("user_id") % 3).cast("int").alias("cls"), F.col("value").alias("conf"), F.array(F.floor(edge).cast("double")).alias("xyxy"))
+    found = detections.extracted(table(spark, sf_dir, "events").select("event_id", F.array(box).alias("b"), edge.alias("left_")), ["event_id", "left_"], "b", {0: "c0", 1: "c1", 2: "c2"})
+    return found.select("event_id", "class", "confidence", "left_")
+
+
+@query("e2_detection_rows", "SELECT user_id, count(*) AS n, max(k) AS last_number FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY 1")
+def e2(spark, sf_dir):
+    item = F.struct(F.col("event_id"), F.lit("c").alias("class"), F.col("value").alias("confidence"))
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return detections.numbered(per, ["user_id"], "items").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("number").cast("long").alias("last_number"))
+
+
+BUILD_HEAD = f"""WITH {PICTURES_SQL}, held AS (SELECT DISTINCT sha256 FROM pictures WHERE source = 'src0'), heldp AS (SELECT DISTINCT dhash, width, height FROM pictures WHERE source = 'src0'),
+rec AS (SELECT p.*, quality = 0 AS neg FROM pictures p JOIN labels ON doc_id = id WHERE source <> 'src0'),
+n AS (SELECT CAST(floor(0.05::DOUBLE * count(*) / (1 - 0.05::DOUBLE)) AS BIGINT) AS most FROM rec WHERE NOT neg),
+cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY neg ORDER BY {HASH.format('id')}, id) AS k FROM rec), n WHERE NOT neg OR k <= most),
+uni AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dhash, width, height ORDER BY source, image_path) AS r FROM cap WHERE sha256 NOT IN (SELECT sha256 FROM held) AND (dhash, width, height) NOT IN (SELECT (dhash, width, height) FROM heldp)) WHERE r = 1)"""
+
+
+@query("b1_build_counts", BUILD_HEAD + " SELECT (SELECT count(*) FROM rec) - (SELECT count(*) FROM uni) AS dropped, (SELECT count(*) FROM uni) AS kept, (SELECT count(*) FROM uni WHERE neg) AS negatives")
+def b1(spark, sf_dir):
+    done = curated(spark, sf_dir)
+    kept = done.kept.agg(F.count(F.lit(1)).alias("kept"), F.count_if("is_negative").alias("negatives"))
+    return done.dropped.agg(F.count(F.lit(1)).alias("dropped")).join(kept, F.lit(True)).select("dropped", "kept", "negatives")
+
+
+def curated(spark: SparkSession, sf_dir: str, mode: str = "cap_first") -> builds.Build:
+    """Labelled documents as records, those of the first source as the protected benchmark."""
+    p = pictures(spark, sf_dir)
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("is_negative"))
+    records = p.filter("source <> 'src0'").join(l, "id").withColumn("family_id", F.col("dhash"))
+    priority = [f"src{i}" for i in sorted(range(1, 20), key=str)]
+    return builds.build(records, p.filter("source = 'src0'"), priority, 0.05, 0.12, SEED, mode)
+
+
+@query("b2_build_last_mode")
+def b2(spark, sf_dir):
+    return builds.summary(curated(spark, sf_dir, "cap_last"))
 
 
 def curate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by source of labelled documents (a stand-in until the builds are in)."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """The flagship: a whole build, as counts by source and outcome."""
+    return builds.summary(curated(spark, sf_dir))
+
+
+query("b3_build_summary")(curate_documents)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -33,8 +33,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit(labelled, ~held_out())
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     return docs.select("doc_id", held_out().alias("held_out"), toxicity.toxicity(docs, model).alias("r")).select(
         "doc_id", "held_out", "r.score", (F.col("r.score") >= 0.5).cast("int").alias("predicted"),
         "r.n_windows", "r.n_toxic",

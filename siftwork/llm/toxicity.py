@@ -120,24 +120,27 @@ def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, int, float]:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     train: Column,
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
     docs_per_class: int = DOCS_PER_CLASS,
 ) -> ToxicityModel | None:
-    """Learn from rows of ``labelled`` where ``train`` holds; None if no row is toxic there.
+    """Learn from documents whose label (0 or 1) is in ``labels``, where ``train`` holds there.
 
-    At most about ``docs_per_class`` rows of each label are used, drawn by a hash of the id. Two
-    thirds train the dictionaries and one third calibrates gain and rate.
+    About ``docs_per_class`` labels of each class are drawn by a hash of the id, which bounds
+    what is broadcast to find their documents. Two thirds train the dictionaries and one third
+    calibrates gain and rate. None if no label is 1.
     """
-    rows = labelled.filter(train & F.col(label).isin(0, 1)).select(
-        F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")
+    rows = labels.filter(train & F.col(label).isin(0, 1)).select(
+        F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")
     )
-    sample, sizes = sample_by_class(rows, "id", "y", docs_per_class, 2, "toxicity")
+    drawn, sizes = sample_by_class(rows, "id", "y", docs_per_class, 2, "toxicity")
     if not sizes.get("1"):
         return None
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3))).persist()
     try:
         learn = sample.filter("part > 0")
