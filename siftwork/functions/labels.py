@@ -8,6 +8,7 @@ such as ``1d``, is no number. All checks are two-sided, so a NaN passes none.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,4 +155,7 @@ def fixed8(value: Column) -> Column:
     The JVM formats the shortest decimal text instead and may differ in the last digit, so this
     is a vectorised Python function; use it in sinks only.
     """
-    return F.pandas_udf(lambda s: s.map(lambda v: f"{v:.8f}", na_action="ignore"), "string")(value)
+    def written(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.8f}" for v in values], dtype=object)
+
+    return F.pandas_udf(written, "string")(value)
