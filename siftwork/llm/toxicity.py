@@ -1,22 +1,22 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-``fit`` trains two content dictionaries. The ordinary one holds words that are frequent in
-ordinary documents. The toxic one holds the same words and before them the passages of toxic
-documents made of character 6-grams that are over-represented there (a log odds z of document
-frequencies). Of a few sizes of the ordinary one calibration keeps the best. A window is one word with a space before and after, repeated ``REPEATS`` times:
-alone it would be too short for zstandard to compress. Its gain is the compressed length with
-the ordinary dictionary less the one with the toxic dictionary, so it is positive where only
-the toxic dictionary knows the passage. The rate of windows in a text that gain at least a
-calibrated number of bytes, against a calibrated rate, gives the score.
+``fit`` trains two content dictionaries on distinct labelled texts. The ordinary one holds words
+that are frequent in ordinary texts. The toxic one holds the same words and before them the words
+whose share of toxic texts is at least ``LEAST_LIFT`` times their share of ordinary ones. A
+window is one word with a space before and after, repeated ``REPEATS`` times: alone it would be
+too short for zstandard to compress. It is toxic if the toxic dictionary compresses it to at most
+a calibrated length, and shorter than the ordinary one does by at least a calibrated gain: then
+the whole word is one match in the toxic dictionary and is unknown to the ordinary one. Of a few
+sizes of the ordinary dictionary calibration keeps the best. The rate of toxic windows in a text
+against a calibrated rate gives the score.
 
 Cases: a null or empty text and one without words have rate 0 and score ``0.0``. If the labelled
 rows hold no toxic one, every score is 0. Repeated rows each get their result; whole texts of
-any length are used; ties in calibration go to the smaller gain and the larger rate.
+any length are used; ties in calibration go to the smaller length and gain and the larger rate.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import per_row, sample_by_class
 
-#: Bounds of the fit: labelled documents per class, grams and passages kept for the toxic
-#: dictionary, and the sizes of the ordinary one of which calibration picks one.
-DOCS_PER_CLASS, MAX_GRAMS, MAX_PASSAGES, ORDINARY_BYTES = 3000, 2000, 300, (64, 256, 2048)
-GRAM, LEAST_Z, LEAST_DOCS = 6, 4.0, 4
-REPEATS, LEVEL = 4, 3
-GAINS = (2, 3, 4, 5, 6)
-#: The rate is of windows with a gain, over all windows plus this number.
+#: Bounds of the fit: labelled documents per class, words kept for the toxic dictionary, and the
+#: sizes of the ordinary one of which calibration picks one.
+DOCS_PER_CLASS, MAX_WORDS, ORDINARY_BYTES = 6000, 400, (64, 256, 1024)
+#: A word of the toxic dictionary is in so many texts, and in such a share of the toxic ones.
+LEAST_LIFT, LEAST_DOCS, LEAST_SHARE = 30.0, 4, 0.012
+REPEATS = 4
+#: Longest compressed windows and least gains that calibration tries, in bytes.
+LIMITS = tuple((length, gain) for length in range(15, 22) for gain in (2, 3, 4))
+#: The rate is of toxic windows, over all windows plus this number.
 SMOOTH = 3
 CACHED_WORDS = 400_000
 TOKEN = re.compile(r"\w+")
@@ -44,78 +46,62 @@ SCHEMA = "score double, n_windows long, n_toxic long"
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
+    length: int
     gain: int
     rate: float
 
 
-def padded(text: str | None) -> str:
-    """Lower-case words of ``text`` with one space around each."""
-    words = TOKEN.findall(text.lower()) if text else []
-    return f" {' '.join(words)} " if words else ""
-
-
 class Compressors:
-    """The gain of words by a model's two dictionaries; keeps those met, up to a bound."""
+    """Compressed lengths of words by a model's two dictionaries; keeps those met, up to a bound."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
+        # an exhaustive search with lazy matching finds a whole word's match wherever it stands
+        self.settings = zstandard.ZstdCompressionParameters(
+            window_log=15, chain_log=14, hash_log=14, search_log=8, min_match=4, target_length=64,
+            strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False,
+        )
         self.by = [self._compressor(d) for d in (ordinary, toxic)]
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, tuple[int, int]] = {}
 
-    @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(
-            level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False
-        )
+        d.precompute_compress(compression_params=self.settings)
+        return zstandard.ZstdCompressor(dict_data=d, compression_params=self.settings)
 
-    def gain(self, word: str) -> int:
+    def lengths(self, word: str) -> tuple[int, int]:
+        """Lengths of the word's window by the ordinary and by the toxic dictionary."""
         got = self.seen.get(word)
         if got is None:
             if len(self.seen) >= CACHED_WORDS:
                 self.seen.clear()
             window = f" {word} ".encode("utf-8", "replace") * REPEATS
-            a, b = (len(c.compress(window)) for c in self.by)
-            got = self.seen[word] = a - b
+            ordinary, toxic = (len(c.compress(window)) for c in self.by)
+            got = self.seen[word] = (ordinary, toxic)
         return got
 
-    def gains(self, text: str | None) -> list[int]:
-        return [self.gain(w) for w in TOKEN.findall(text.lower())] if text else []
-
-
-def rate_of(gains: list[int], gain: int) -> float:
-    return sum(g >= gain for g in gains) / (len(gains) + SMOOTH)
+    def windows(self, text: str | None) -> list[tuple[int, int]]:
+        return [self.lengths(w) for w in TOKEN.findall(text.lower())] if text else []
 
 
-def distinct_grams(text: str | None) -> list[str]:
-    t = padded(text)
-    return list({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)})
+def toxic_windows(windows: list[tuple[int, int]], length: int, gain: int) -> int:
+    return sum(toxic <= length and ordinary - toxic >= gain for ordinary, toxic in windows)
 
 
-def passages(text: str | None, grams: frozenset[str]) -> list[str]:
-    """The longest runs of ``padded(text)`` in which every 6-gram is one of ``grams``."""
-    t, out, start = padded(text), set(), -1
-    for i in range(len(t) - GRAM + 2):
-        inside = i <= len(t) - GRAM and t[i : i + GRAM] in grams
-        if inside and start < 0:
-            start = i
-        elif not inside and start >= 0:
-            out.add(t[start : i + GRAM - 1])
-            start = -1
-    return sorted(out)
+def rate_of(windows: list[tuple[int, int]], length: int, gain: int) -> float:
+    return toxic_windows(windows, length, gain) / (len(windows) + SMOOTH)
 
 
-def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, int, float]:
-    """The best F1 over ``rows`` of (rate for each of GAINS, label), and its gain and rate."""
-    positives, best = sum(y for _, y in rows), (-1.0, GAINS[0], 1.0)
-    for k, gain in enumerate(GAINS):
+def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, tuple[int, int], float]:
+    """The best F1 over ``rows`` of (rate for each of LIMITS, label), and its limits and rate."""
+    positives, best = sum(y for _, y in rows), (-1.0, LIMITS[0], 1.0)
+    for k, limits in enumerate(LIMITS):
         ranked = sorted(((r[k], y) for r, y in rows), reverse=True)
         hit = 0
         for i, (x, y) in enumerate(ranked):
             hit += y
             after = ranked[i + 1][0] if i + 1 < len(ranked) else 0.0
             if x > 0 and after < x and (f1 := 2 * hit / (i + 1 + positives)) > best[0]:
-                best = (f1, gain, (x + after) / 2)
+                best = (f1, limits, (x + after) / 2)
     return best
 
 
@@ -143,60 +129,41 @@ def fit(
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3))).persist()
     try:
-        learn = sample.filter("part > 0")
-        words = F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0)")
-        distinct = F.pandas_udf(lambda s: s.map(distinct_grams), "array<string>")
+        learn = sample.filter("part > 0").dropDuplicates(["text"])
+        words = F.expr("array_distinct(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0))")
         n = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        z = _log_odds_z(n.get(1, 0), n.get(0, 0))
-        grams = (
-            learn.select("y", F.explode(distinct("text")).alias("g"))
-            .groupBy("g")
+        texts = (
+            learn.select("y", F.explode(words).alias("w"))
+            .groupBy("w")
             .agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
-            .filter(f"a >= {LEAST_DOCS}")
-            .withColumn("z", z)
-            .filter(f"z > {LEAST_Z}")
-            .orderBy(F.desc("z"), "g")
-            .limit(MAX_GRAMS)
-            .collect()
-        )
-        found = frozenset(r["g"] for r in grams)
-        spans = F.pandas_udf(lambda s: s.map(lambda t: passages(t, found)), "array<string>")
-        held = (
-            learn.filter("y = 1")
-            .select(F.explode(spans("text")).alias("p"))
-            .groupBy("p").count().filter(f"count >= {LEAST_DOCS}")
-            .orderBy(F.desc("count"), "p").limit(MAX_PASSAGES).collect()
-        )
-        usual = (
-            learn.filter("y = 0")
-            .select(F.explode(F.array_distinct(words)).alias("w"))
-            .groupBy("w").count().orderBy(F.desc("count"), "w").limit(max(ORDINARY_BYTES) // 2).collect()
+            .persist()
+        )
+        lift = (F.col("a") + 0.5) / (n.get(1, 0) + 1) / ((F.col("b") + 0.5) / (n.get(0, 0) + 1))
+        telling = (
+            texts.filter((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * n.get(1, 0))) & (lift >= LEAST_LIFT))
+            .orderBy(F.desc("a"), "w").limit(MAX_WORDS).collect()
         )
+        usual = texts.filter("b > 0").orderBy(F.desc("b"), "w").limit(max(ORDINARY_BYTES) // 2).collect()
+        texts.unpersist()
         pairs = []
         for size in ORDINARY_BYTES:
             base = b" "
             for r in usual:
                 if len(base) < size:
                     base = b" " + r["w"].encode() + base
-            pairs.append((base, "".join(r["p"] for r in reversed(held)).encode() + base))
+            pairs.append((base, "".join(f" {r['w']} " for r in reversed(telling)).encode() + base))
 
         def rates(texts: pd.Series) -> pd.Series:
             by = [Compressors(*pair) for pair in pairs]
-            return texts.map(lambda t: [rate_of(gains, g) for c in by for gains in [c.gains(t)] for g in GAINS])
+            return texts.map(lambda t: [rate_of(seen, *x) for c in by for seen in [c.windows(t)] for x in LIMITS], na_action=None)
 
         check = sample.filter("part = 0").select(F.pandas_udf(rates, "array<double>")("text").alias("r"), "y")
-        rows, k = [(list(r["r"]), r["y"]) for r in check.collect()], len(GAINS)
+        rows, k = [(list(r["r"]), r["y"]) for r in check.collect()], len(LIMITS)
         tried = [(*calibrate([(r[i * k : i * k + k], y) for r, y in rows]), pair) for i, pair in enumerate(pairs)]
-        _, gain, rate, (base, toxic) = max(tried, key=lambda x: x[0])
+        _, (length, gain), rate, (base, toxic) = max(tried, key=lambda x: x[0])
     finally:
         sample.unpersist()
-    return ToxicityModel(base, toxic, gain, rate)
-
-
-def _log_odds_z(toxic: int, ordinary: int) -> Column:
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic + 1.0 - F.col("a"))) - F.log(b / (ordinary + 1.0 - F.col("b")))
-    return odds / F.sqrt(1 / a + 1 / b)
+    return ToxicityModel(base, toxic, length, gain, rate)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> Column:
@@ -209,9 +176,10 @@ def toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -
         if m is None:
             return 0.0, len(TOKEN.findall(t)) if t else 0, 0
         c = state.get("c") or state.setdefault("c", Compressors(m.ordinary, m.toxic))
-        gains = c.gains(t)
-        rate = rate_of(gains, m.gain)
-        return rate / (rate + m.rate) if rate else 0.0, len(gains), sum(g >= m.gain for g in gains)
+        seen = c.windows(t)
+        n = toxic_windows(seen, m.length, m.gain)
+        rate = n / (len(seen) + SMOOTH)
+        return rate / (rate + m.rate) if rate else 0.0, len(seen), n
 
     def kernel(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in texts], columns=["score", "n_windows", "n_toxic"])
