@@ -157,7 +157,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             stars.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that both sides of the join are shuffled for it and a hub's rows can be split
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pulled = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
