@@ -2,7 +2,7 @@
 
 A text becomes a sequence of canonical tokens: words in lower case, ``<num>`` for numbers and
 number words, ``<unit>`` for a unit of measure after a number, ``<name>`` for a run of
-capitalised words that doesn't open a sentence. Windows of ``window`` canonical tokens are
+capitalised words, of two at least where it opens a sentence. Windows of ``window`` canonical tokens are
 hashed, and windows of documents are joined with windows of benchmark items by their hash. The
 windows that agree on one alignment of a document with an item are then checked for consistent
 slots: each number, unit or name of the item must stand for one value in the document and no two
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_weight, checkpointed
+from .common import by_weight, checkpointed, unused
 
 WINDOW, COVERAGE, LEAST_TOKENS = 8, 0.5, 4
 BITMAP_BITS, BUCKET = 1 << 25, 1 << 15
@@ -101,7 +101,9 @@ class Canonical:
         opens = np.ones(n, bool)
         opens[1:] = owner[1:] != owner[:-1]
         before[opens] = STOP
-        name = (kind == CAPITAL) & (before != STOP)
+        after = np.full(n, STOP, np.int8)
+        after[:-1] = np.where(opens[1:], STOP, kind[1:])
+        name = (kind == CAPITAL) & ((before != STOP) | (after == CAPITAL))
         unit = (kind == UNIT) & (before == NUMBER)
         kind = np.where(name, NAME, np.where(unit, UNIT, np.where(kind == NUMBER, NUMBER, np.where(kind == STOP, STOP, PLAIN))))
         code[name], code[unit] = np.uint64(_hash("<name>")), np.uint64(_hash("<unit>"))
@@ -238,5 +240,6 @@ def without_benchmark(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item. Rows with a null id share one verdict."""
-    held = contaminated(docs, items, doc_id, text, coverage=coverage).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(held, F.col(doc_id).cast("long").eqNullSafe(F.col("held_id")), "left_anti")
+    (name,) = unused(docs, "held_id")
+    held = contaminated(docs, items, doc_id, text, coverage=coverage).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(held, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
