@@ -8,6 +8,8 @@ such as ``1d``, is no number. All checks are two-sided, so a NaN passes none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,36 +64,49 @@ def parse_line(
 
     ``error`` is one of tokens, class, coordinate, size, extent. A polygon's box is its bounds.
     """
-    words = tokens(line)
-    n = F.size(words)
-    cls = class_id(F.get(words, 0), nc, mode)
-    values = F.transform(F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda t: number(t))
-    box = n == 5
-    many = (n >= 1 + 2 * least_points) & (n % 2 == 1)
-    xs = F.filter(values, lambda v, i: i % 2 == 0)
-    ys = F.filter(values, lambda v, i: i % 2 == 1)
-    low_x, high_x, low_y, high_y = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    v = [F.get(values, k) for k in range(4)]
-    inside = F.forall(values, in_unit)
-    error = (
-        F.when(~(box | (many & polygons)), "tokens")
-        .when(cls.isNull(), "class")
-        .when(box & ~(in_unit(v[0]) & in_unit(v[1])), "coordinate")
-        .when(box & ~(share(v[2]) & share(v[3])), "size")
-        .when(~box & ~inside, "coordinate")
-        .when(~box & ~((high_x > low_x) & (high_y > low_y)), "extent")
-    )
-    pick = lambda of_box, of_polygon: F.when(error.isNull(), F.when(box, of_box).otherwise(of_polygon))
-    return F.struct(
-        pick(F.lit("bbox"), F.lit("polygon")).alias("kind"),
-        F.when(error.isNull(), cls).alias("class_id"),
-        pick(v[0], (low_x + high_x) / 2).alias("x"),
-        pick(v[1], (low_y + high_y) / 2).alias("y"),
-        pick(v[2], high_x - low_x).alias("w"),
-        pick(v[3], high_y - low_y).alias("h"),
-        pick(F.lit(0), ((n - 1) / 2).cast("int")).alias("n_points"),
-        error.alias("error"),
-    )
+    def read(words: Column) -> Column:
+        numbers = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda t: number(t))
+        return F.struct(F.size(words).alias("n"), class_id(F.get(words, 0), nc, mode).alias("cls"), numbers.alias("values"))
+
+    def bounded(r: Column) -> Column:
+        xs, ys = F.filter(r["values"], lambda v, i: i % 2 == 0), F.filter(r["values"], lambda v, i: i % 2 == 1)
+        sides = [f(v).alias(k) for k, f, v in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))]
+        return F.struct(r["n"].alias("n"), r["cls"].alias("cls"), r["values"].alias("values"), *sides)
+
+    def checked(r: Column) -> Column:
+        box, v = r["n"] == 5, [F.get(r["values"], k) for k in range(4)]
+        many = (r["n"] >= 1 + 2 * least_points) & (r["n"] % 2 == 1)
+        error = (
+            F.when(~(box | (many & polygons)), "tokens")
+            .when(r["cls"].isNull(), "class")
+            .when(box & ~(in_unit(v[0]) & in_unit(v[1])), "coordinate")
+            .when(box & ~(share(v[2]) & share(v[3])), "size")
+            .when(~box & ~F.forall(r["values"], in_unit), "coordinate")
+            .when(~box & ~((r["x1"] > r["x0"]) & (r["y1"] > r["y0"])), "extent")
+        )
+        return F.struct(r.alias("r"), error.alias("error"))
+
+    def said(c: Column) -> Column:
+        r, sound = c["r"], c["error"].isNull()
+        box, v = r["n"] == 5, [F.get(r["values"], k) for k in range(4)]
+        pick = lambda of_box, of_polygon: F.when(sound, F.when(box, of_box).otherwise(of_polygon))
+        return F.struct(
+            pick(F.lit("bbox"), F.lit("polygon")).alias("kind"),
+            F.when(sound, r["cls"]).alias("class_id"),
+            pick(v[0], (r["x0"] + r["x1"]) / 2).alias("x"),
+            pick(v[1], (r["y0"] + r["y1"]) / 2).alias("y"),
+            pick(v[2], r["x1"] - r["x0"]).alias("w"),
+            pick(v[3], r["y1"] - r["y0"]).alias("h"),
+            pick(F.lit(0), ((r["n"] - 1) / 2).cast("int")).alias("n_points"),
+            c["error"].alias("error"),
+        )
+
+    return _once(_once(_once(_once(tokens(line), read), bounded), checked), said)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once a row, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def polygon_box(points: Column) -> Column:
