@@ -30,21 +30,20 @@ def tokens(line: Column) -> Column:
 def number(token: Column) -> Column:
     """A finite double, else null."""
     value = F.when(token.rlike(DECIMAL), token.try_cast("double"))
-    return F.when((value > float("-inf")) & (value < float("inf")), value)
+    return _once(value, lambda v: F.when((v > float("-inf")) & (v < float("inf")), v))
 
 
 def class_id(token: Column, nc: int | None = None, mode: str = "integral") -> Column:
     """A class id, or null where the token isn't one (by ``mode``) or lies outside ``0..nc-1``."""
     if mode not in CLASS_MODES:
         raise ValueError(f"mode must be one of {CLASS_MODES}")
-    value = number(token)
     if mode == "digits":
         found = F.when(token.rlike(WHOLE), token.try_cast("int"))
     elif mode == "truncate":
-        found = F.when(F.abs(value) < 2**31, value.cast("int"))
+        found = _once(number(token), lambda v: F.when(F.abs(v) < 2**31, v.cast("int")))
     else:
-        found = F.when((value == F.floor(value)) & (F.abs(value) < 2**31), value.cast("int"))
-    return found if nc is None else F.when(found.between(0, nc - 1), found)
+        found = _once(number(token), lambda v: F.when((v == F.floor(v)) & (F.abs(v) < 2**31), v.cast("int")))
+    return found if nc is None else _once(found, lambda v: F.when(v.between(0, nc - 1), v))
 
 
 def in_unit(value: Column) -> Column:
