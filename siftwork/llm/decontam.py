@@ -5,9 +5,10 @@ number words, ``<unit>`` for a unit of measure after a number, ``<name>`` for a
 capitalised words, of two at least where it opens a sentence. Windows of ``window`` canonical tokens are
 hashed, and windows of documents are joined with windows of benchmark items by their hash. The
 windows that agree on one alignment of a document with an item are then checked for consistent
-slots: each number, unit or name of the item must stand for one value in the document and no two
-for the same, so an item with other parameters is caught and a text that only shares its frame
-with mixed-up values isn't. A document holds an item if consistent alignments cover at least
+slots: each number, unit or name of the item must stand for one value in the document. Where it
+stands for several, its own value is taken if that is among them; windows with any other are
+dropped and the rest stay. So an item with other parameters is caught, and windows with mixed-up
+values count for nothing. A document holds an item if consistent windows cover at least
 ``coverage`` of the item's tokens.
 
 A bitmap of fixed size, a Bloom filter with one hash, goes out to the tasks so that windows that
@@ -218,13 +219,20 @@ def contaminated(
     found = candidates(docs, windows, doc_id, text).drop("n_tokens").withColumnRenamed("id", "doc_id")
     hits = found.join(windows, ["hash", "width"]).filter("kinds = item_kinds")
     # a window's slots are few, an alignment's windows no more than its item has
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs")
     aligned = hits.groupBy("doc_id", "item_id", "n_tokens", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct("item_at", "width")).alias("spots"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"),
+        F.collect_set(F.struct("item_at", "width", pairs)).alias("found")
+    )
+    every = F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"])))
+    clash = lambda p: (p["i"] != p["d"]) & F.exists("every", lambda q: (q["i"] == p["i"]) & (q["d"] != p["d"]))
+    sound = (
+        aligned.withColumn("every", every)
+        .withColumn("clashing", F.filter("every", clash))
+        .withColumn("kept", F.filter("found", lambda w: ~F.arrays_overlap(w["pairs"], F.col("clashing"))))
+        .filter(F.size("kept") > 0)
+        .withColumn("spots", F.transform("kept", lambda w: F.struct(w["item_at"].alias("item_at"), w["width"].alias("width"))))
+        .withColumn("same", F.forall("every", lambda p: p["i"] == p["d"]))
     )
-    size = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
-    one_to_one = (size(lambda p: p["i"]) == F.size("pairs")) & (size(lambda p: p["d"]) == F.size("pairs"))
-    sound = aligned.filter(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["item_at"], s["item_at"] + s["width"] - 1)))))
     # equal spots of several alignments of one document with one item are one
     return (

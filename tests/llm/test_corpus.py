@@ -92,6 +92,39 @@ def test_decontamination(spark, docs, none):
     assert decontam.contaminated(none, items).isEmpty()
 
 
+def plain_coverage(pairs, n):
+    """Coverage by windows of 8 tokens; ``pairs`` are item and document values by token number."""
+    values = {}
+    for i, d in pairs.values():
+        values.setdefault(i, set()).add(d)
+    bad = {at for at, (i, d) in pairs.items() if i != d and len(values[i]) > 1}
+    spots = {k + j for k in range(n - 7) if not bad & set(range(k, k + 8)) for j in range(8)}
+    return len(spots) / n
+
+
+def test_a_clash_of_slots_drops_only_its_windows(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+
+    def text(values):
+        return " ".join(values.get(k, w) for k, w in enumerate(words))
+
+    cases = [
+        ({5: "2", 30: "2"}, {5: "2", 30: "3"}),
+        ({5: "2", 30: "2"}, {5: "two", 30: "2"}),
+        ({5: "2", 30: "2"}, {5: "4", 30: "3"}),
+        ({5: "Ben", 30: "Ben"}, {5: "Ben", 30: "Tom"}),
+        ({5: "12", 7: "7"}, {5: "8", 7: "8"}),
+        ({5: "2", 12: "2", 19: "2", 26: "2", 33: "2"}, {5: "3", 12: "4", 19: "5", 26: "6", 33: "7"}),
+    ]
+    for item, doc in cases:
+        items = spark.createDataFrame([(1, text(item))], "item_id long, text string")
+        docs = spark.createDataFrame([(1, text(doc))], "doc_id long, text string")
+        want = plain_coverage({k: (item[k].lower(), doc[k].lower()) for k in item}, len(words))
+        got = decontam.contaminated(docs, items).collect()
+        assert [r["coverage"] for r in got] == ([want] if want >= decontam.COVERAGE else []), (item, doc)
+        assert not any(r["exact"] for r in got)
+
+
 def water_level(sizes, weights, most=3):
     """Targets by resharing what is above a source's limit until none is."""
     total, target, stopped = sum(sizes), [0.0] * len(sizes), set()
