@@ -17,7 +17,9 @@ and Spark picks the side to send by size.
 
 Cases: null and empty texts have no window. An item of fewer tokens than ``window`` is one window
 of its own length, down to ``LEAST_TOKENS``; shorter items identify nothing and match nothing.
-Repeated items each match; repeated rows of one id count once. Null ids are kept as one id.
+Repeated items each match. A text is known by its id and its hash, so windows of different texts
+under one id, or without one, never add up; equal rows count once. An id is out if one of its
+texts holds an item; rows without an id are judged by their own text.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ NUMBERS = frozenset(
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\n]")
 PLAIN, CAPITAL, NUMBER, UNIT, STOP, NAME = range(6)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-WINDOWS = "id long, n_tokens int, at int, width int, hash long, slots array<string>, kinds string"
+WINDOWS = "id string, text_hash long, n_tokens int, at int, width int, hash long, slots array<string>, kinds string"
 
 
 def _hash(token: str) -> int:
@@ -140,8 +142,9 @@ class Canonical:
         return values, "".join("w?nu?N"[k] for k in kinds)
 
 
-def _rows(ids: list, texts: pd.Series, width_of, forms: Forms, bitmap: np.ndarray | None) -> Iterator[pd.DataFrame]:
+def _rows(pdf: pd.DataFrame, width_of, forms: Forms, bitmap: np.ndarray | None) -> Iterator[pd.DataFrame]:
     """Window rows of the texts; with a bitmap only those whose bit is set."""
+    ids, text_hashes, texts = list(pdf["id"]), list(pdf["text_hash"]), pdf["text"]
     for a, b in by_weight(texts, CHUNK_CHARS):
         c = Canonical(list(texts.iloc[a:b]), forms)
         starts_of = np.searchsorted(c.owner, np.arange(b - a))
@@ -157,10 +160,13 @@ def _rows(ids: list, texts: pd.Series, width_of, forms: Forms, bitmap: np.ndarra
             for i, x in zip(at[mine].tolist(), h[mine].view(np.int64).tolist()):
                 row = int(c.owner[i])
                 values, kinds = c.slots(i, width)
-                out.append((ids[a + row], int(lengths[row]), i - int(starts_of[row]), width, x, values, kinds))
-        frame = pd.DataFrame(out, columns=["id", "n_tokens", "at", "width", "hash", "slots", "kinds"])
-        frame["id"] = frame["id"].astype("Int64")
-        yield frame
+                out.append((ids[a + row], text_hashes[a + row], int(lengths[row]), i - int(starts_of[row]), width, x, values, kinds))
+        yield pd.DataFrame(out, columns=["id", "text_hash", "n_tokens", "at", "width", "hash", "slots", "kinds"])
+
+
+def _read(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, text_hash, text``; the id as a string, which is exact for every type of key."""
+    return rows.select(F.col(key).cast("string").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -170,11 +176,13 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
         forms = Forms()
         for pdf in batches:
             widths = lambda lengths: sorted({int(x) for x in np.minimum(WINDOW, lengths) if x >= LEAST_TOKENS})
-            yield from _rows(list(pdf["id"]), pdf["text"], widths, forms, None)
+            yield from _rows(pdf, widths, forms, None)
 
-    rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(windows, WINDOWS)
-    named = rows.withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots", "kinds": "item_kinds"})
-    return named.dropDuplicates(["item_id", "item_at", "width", "hash"])
+    rows = _read(items, item_id, text).mapInPandas(windows, WINDOWS)
+    named = rows.withColumnsRenamed(
+        {"id": "item_id", "text_hash": "item_hash", "at": "item_at", "slots": "item_slots", "kinds": "item_kinds"}
+    )
+    return named.dropDuplicates(["item_id", "item_hash", "item_at", "width"])
 
 
 def _bitmap(spark: SparkSession, windows: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -202,25 +210,26 @@ def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = Forms()
         for pdf in batches:
-            yield from _rows(list(pdf["id"]), pdf["text"], lambda _: widths, forms, sent.value)
+            yield from _rows(pdf, lambda _: widths, forms, sent.value)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(find, WINDOWS)
+    return _read(docs, doc_id, text).mapInPandas(find, WINDOWS)
 
 
-def contaminated(
+def held(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE,
 ) -> DataFrame:
-    """``doc_id, item_id, coverage, n_windows, exact`` for each document that holds an item.
+    """``doc_id, text_hash, item_id, coverage, n_windows, exact`` for each text that holds an item.
 
-    ``exact`` is true where all slots have the item's own values.
+    ``exact`` is true where all slots have the item's own values. Ids keep their types.
     """
     windows = checkpointed(benchmark_windows(items, item_id, item_text))
     found = candidates(docs, windows, doc_id, text).drop("n_tokens").withColumnRenamed("id", "doc_id")
     hits = found.join(windows, ["hash", "width"]).filter("kinds = item_kinds")
     # a window's slots are few, an alignment's windows no more than its item has
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs")
-    aligned = hits.groupBy("doc_id", "item_id", "n_tokens", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_tokens"]
+    aligned = hits.groupBy(*key, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.struct("item_at", "width", pairs)).alias("found")
     )
     every = F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"])))
@@ -236,18 +245,36 @@ def contaminated(
     covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["item_at"], s["item_at"] + s["width"] - 1)))))
     # equal spots of several alignments of one document with one item are one
     return (
-        sound.groupBy("doc_id", "item_id", "n_tokens")
+        sound.groupBy(*key)
         .agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"), F.bool_and("same").alias("exact"))
         .withColumn("coverage", covered / F.col("n_tokens"))
         .filter(F.col("coverage") >= coverage)
-        .select("doc_id", "item_id", "coverage", F.size("spots").cast("long").alias("n_windows"), "exact")
-    )
+        .select(
+            F.col("doc_id").cast(docs.schema[doc_id].dataType), "text_hash", F.col("item_id").cast(items.schema[item_id].dataType),
+            "coverage", F.size("spots").cast("long").alias("n_windows"), "exact",
+        )
+    )
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE,
+) -> DataFrame:
+    """``held`` with one row for each id and item: that of the text with the best coverage."""
+    best = F.struct("coverage", "exact", "n_windows", "text_hash")
+    rows = held(docs, items, doc_id, text, item_id, item_text, coverage).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
+    return rows.select("doc_id", "item_id", "best.coverage", "best.n_windows", "best.exact")
 
 
 def without_benchmark(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows with a null id share one verdict."""
-    (name,) = unused(docs, "held_id")
-    held = contaminated(docs, items, doc_id, text, coverage=coverage).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(held, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` whose id holds no item; a row without an id goes by its own text."""
+    i, h = unused(docs, "held_id", "held_hash")
+    found = (
+        held(docs, items, doc_id, text, coverage=coverage)
+        .select(F.col("doc_id").alias(i), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias(h))
+        .distinct()
+    )
+    own = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(i)) & own.eqNullSafe(F.col(h)), "left_anti")

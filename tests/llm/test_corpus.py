@@ -125,6 +125,25 @@ def test_a_clash_of_slots_drops_only_its_windows(spark):
         assert not any(r["exact"] for r in got)
 
 
+def test_texts_of_one_id_or_none_are_not_mixed(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    changed = ITEM.replace("Anna Smith", "Bob Stone").replace("12", "40")
+    half = len(ITEM) // 2
+    clean = "A quiet morning came over the hills and nobody carried anything home."
+    rows = [(None, ITEM), (None, changed), (None, clean), ("x", ITEM), ("x", clean), ("y", ITEM[:half]), ("y", ITEM[half:]), ("z", clean)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    alone = [decontam.contaminated(spark.createDataFrame([r], docs.schema), items).count() > 0 for r in rows]
+    assert alone[:5] == [True, True, False, True, False]
+    got = sorted(map(tuple, decontam.without_benchmark(docs, items).collect()), key=str)
+    out = {r[0] for r, leaks in zip(rows, alone) if leaks} - {None}
+    assert got == sorted((r for r, leaks in zip(rows, alone) if r[0] not in out and not leaks), key=str)
+    assert (None, clean) in got and (None, ITEM) not in got
+    ids = {r["doc_id"]: r["exact"] for r in decontam.contaminated(docs, items).collect()}
+    assert {None: True, "x": True}.items() <= ids.items() and "z" not in ids
+    large = spark.createDataFrame([(2**60 + 1, ITEM), (None, clean)], "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in decontam.contaminated(large, items).collect()] == [2**60 + 1]
+
+
 def water_level(sizes, weights, most=3):
     """Targets by resharing what is above a source's limit until none is."""
     total, target, stopped = sum(sizes), [0.0] * len(sizes), set()
