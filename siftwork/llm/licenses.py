@@ -1,8 +1,12 @@
 """Licence phrases and licence templates in document texts, with DataFrame functions only.
 
 Base: the places where a phrase's words stand consecutively. Method: an exact set-similarity
-join of text blocks with licence templates. A block is a line of a text, as the set of its
-words; it matches a template if it contains at least ``threshold`` of the template's words.
+join of text blocks with licence templates. A block is the set of the words of a paragraph, which
+ends at a blank line, or of a window of a text's words across all line breaks. Windows for a
+template of ``n`` words start at every ``n / 2`` words and are that much longer than it, so each run
+of ``n`` words is in one; they are compared with templates of that length only. A block matches a
+template if it contains at least ``threshold`` of the template's words. A text whose words as a whole
+are too few for every template has no block that matches, and is left out.
 Words are ordered by their frequency over all blocks, rarest first. A block and a template that
 need ``o`` words in common must share one within their first ``size - o + 1`` words (prefix
 filter), blocks with fewer than ``o`` template words can't match (length filter), and a shared
@@ -83,18 +87,43 @@ def _phrase_at(words: Column, i: Column) -> Column:
     return found
 
 
-def blocks(docs: DataFrame, doc_id: str, text: str, vocabulary: list[str], least: int) -> DataFrame:
-    """The blocks that have at least ``least`` of ``vocabulary``, each set of words once a document.
+def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """``doc_id, text_hash, width, words`` of the blocks that may match, each once a document.
 
+    ``width`` is the number of words of the templates that a window is for, 0 for a paragraph.
     A document is known by its id and the hash of its text.
     """
-    line = F.explode(F.split(F.col(text), "\n")).alias("line")
-    own = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, vocabulary)))
-    return (
+    vocabulary = F.array(*map(F.lit, sorted({w for _, t in templates for w in t.split()})))
+    sets = [(len(t.split()), sorted(set(t.split()))) for _, t in templates]
+    needs = [_needed(len(ws), threshold) for _, ws in sets]
+    # lengths of the templates that the whole text has words enough for; its words are computed once, as an argument
+    fits = lambda own: F.array(*[
+        F.when(F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))) >= need, F.lit(n)) for (n, ws), need in zip(sets, needs)
+    ])
+    none = F.array().cast("array<int>")
+    widths = F.transform(
+        F.array(F.array_intersect(_words(F.col(text)), vocabulary)),
+        lambda own: F.when(F.size(own) >= min(needs), F.array_distinct(F.array_compact(fits(own)))).otherwise(none),
+    )[0]
+    read = (
         docs.filter(F.col(text).isNotNull())
-        .select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), line)
-        .select("doc_id", "text_hash", own.alias("words"))
-        .filter(F.size("words") >= least)
+        .select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), widths.alias("widths"))
+        .filter(F.size("widths") > 0)
+        .withColumn("text_hash", F.xxhash64("text"))
+    )
+    paragraphs = read.select(
+        "doc_id", "text_hash", F.lit(0).alias("width"), F.explode(F.split("text", r"\n[ \t\r]*\n")).alias("part")
+    ).select("doc_id", "text_hash", "width", _words(F.col("part")).alias("run"))
+    step = F.ceil(F.col("width") / 2).cast("int")
+    windows = (
+        read.select("doc_id", "text_hash", _words(F.col("text")).alias("all"), F.explode("widths").alias("width"))
+        .select("doc_id", "text_hash", "width", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1, step)).alias("at"))
+        .select("doc_id", "text_hash", "width", F.slice("all", F.col("at") + 1, F.col("width") + step).alias("run"))
+    )
+    return (
+        paragraphs.unionAll(windows)
+        .select("doc_id", "text_hash", "width", F.array_intersect("run", vocabulary).alias("words"))
+        .filter(F.size("words") >= min(needs))
         .distinct()
     )
 
@@ -111,20 +140,21 @@ def similarity_join(
     for k, (label, words) in enumerate(templates):
         ordered = sorted(set(words.split()), key=lambda w: (frequency.get(w, 0), w))
         need = _needed(len(ordered), threshold)
-        rows += [(k, label, ordered, need, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+        rows += [(k, label, len(words.split()), ordered, need, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(
-        rows, "template int, label string, template_words array<string>, need int, w string, template_at int"
+        rows, "template int, label string, template_width int, template_words array<string>, need int, w string, template_at int"
     )
-    least = min(r[3] for r in rows)
+    least = min(r[4] for r in rows)
     order = F.create_map(*[F.lit(x) for w in sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w)) for x in (w, frequency.get(w, 0))])
     ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.try_element_at(order, w).alias("n"), w.alias("w"))))
     prefixed = found.withColumn("words", F.transform(ranked, lambda x: x["w"])).select(
-        "doc_id", "text_hash", "words",
+        "doc_id", "text_hash", "width", "words",
         F.posexplode(F.slice("words", 1, F.size("words") - least + 1)).alias("block_at", "w"),
     )
     # the index has one row for each prefix word of the fixed templates
     candidates = (
         prefixed.join(F.broadcast(index), "w")
+        .filter((F.col("width") == 0) | (F.col("width") == F.col("template_width")))
         .filter(F.size("words") >= F.col("need"))
         .filter(1 + F.least(F.size("words") - 1 - F.col("block_at"), F.size("template_words") - 1 - F.col("template_at")) >= F.col("need"))
     )
@@ -151,10 +181,8 @@ def scan(
 
     ``score`` is the best containment of a template, at least 0.9 where a phrase stands, else 0.
     """
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    least = min(_needed(len(set(t.split())), threshold) for _, t in templates)
     matched = (
-        similarity_join(checkpointed(blocks(docs, doc_id, text, vocabulary, least)), templates, threshold)
+        similarity_join(checkpointed(blocks(docs, doc_id, text, templates, threshold)), templates, threshold)
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
         .withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})

@@ -46,6 +46,22 @@ def test_licence_similarity_join_equals_all_pairs(spark):
         assert got[i] == held
 
 
+def test_wrapped_licences_have_their_labels(spark):
+    """Every notice alone, hard-wrapped, in comments, across blank lines and amid other words; parts far apart aren't one."""
+    rows, want = [], []
+    for label, words in licenses.TEMPLATES:
+        ws = words.split()
+        for width in (3, 5, 9, 99):
+            lines = [" ".join(ws[k : k + width]) for k in range(0, len(ws), width)]
+            for text in ("\n".join(lines), "\r\n".join(f" * {x}" for x in lines), "\n\n".join(lines), "other words\n" * 333 + "\n".join(lines) + "\nmore words" * 33):
+                rows.append(text)
+                want.append(label)
+    apart = ("\n" + "filler\n" * 200 + "\n").join(licenses.TEMPLATES[9][1].split())
+    docs = spark.createDataFrame([*enumerate(rows), (len(rows), apart)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs).collect()}
+    assert all(label in got[i] for i, label in enumerate(want)) and got[len(rows)] == [""]
+
+
 def test_licences_of_no_rows(none):
     assert licenses.scan(none).collect() == []
 
