@@ -1,8 +1,7 @@
 """Licence phrases and licence templates in document texts, with DataFrame functions only.
 
 Base: the places where a phrase's words stand consecutively. Method: an exact set-similarity
-join of text blocks with licence templates. A block is the set of the words of a paragraph, which
-ends at a blank line, or of a window of a text's words across all line breaks. Windows for a
+join of text blocks with licence templates. A block is the set of the words of a line, or of a window of a text's words across all line breaks. Windows for a
 template of ``n`` words start at every ``n / 2`` words and are that much longer than it, so each run
 of ``n`` words is in one; they are compared with templates of that length only. A block matches a
 template if it contains at least ``threshold`` of the template's words. A text whose words as a whole
@@ -90,7 +89,7 @@ def _phrase_at(words: Column, i: Column) -> Column:
 def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
     """``doc_id, text_hash, width, words`` of the blocks that may match, each once a document.
 
-    ``width`` is the number of words of the templates that a window is for, 0 for a paragraph.
+    ``width`` is the number of words of the templates that a window is for, 0 for a line.
     A document is known by its id and the hash of its text.
     """
     vocabulary = F.array(*map(F.lit, sorted({w for _, t in templates for w in t.split()})))
@@ -111,8 +110,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str,
         .filter(F.size("widths") > 0)
         .withColumn("text_hash", F.xxhash64("text"))
     )
-    paragraphs = read.select(
-        "doc_id", "text_hash", F.lit(0).alias("width"), F.explode(F.split("text", r"\n[ \t\r]*\n")).alias("part")
+    lines = read.select(
+        "doc_id", "text_hash", F.lit(0).alias("width"), F.explode(F.split("text", "\n")).alias("part")
     ).select("doc_id", "text_hash", "width", _words(F.col("part")).alias("run"))
     step = F.ceil(F.col("width") / 2).cast("int")
     windows = (
@@ -121,7 +120,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str,
         .select("doc_id", "text_hash", "width", F.slice("all", F.col("at") + 1, F.col("width") + step).alias("run"))
     )
     return (
-        paragraphs.unionAll(windows)
+        lines.unionAll(windows)
         .select("doc_id", "text_hash", "width", F.array_intersect("run", vocabulary).alias("words"))
         .filter(F.size("words") >= min(needs))
         .distinct()

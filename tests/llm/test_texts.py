@@ -60,6 +60,9 @@ def test_wrapped_licences_have_their_labels(spark):
     docs = spark.createDataFrame([*enumerate(rows), (len(rows), apart)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs).collect()}
     assert all(label in got[i] for i, label in enumerate(want)) and got[len(rows)] == [""]
+    beside = "der den mit.\nEiner im dem. Und das ist alles hier.\nLicensed under the Apache License, Version 2.0."
+    only = licenses.scan(spark.createDataFrame([(1, beside)], "doc_id long, text string")).collect()
+    assert [r["labels"] for r in only] == ["apache"]
 
 
 def test_licences_of_no_rows(none):
