@@ -55,31 +55,21 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def sample_by_class(
-    df: DataFrame, key: str, cls: str, bound: int, max_classes: int, salt: str
-) -> tuple[DataFrame, dict[str, int]]:
-    """About ``bound`` rows of each of the ``max_classes`` most frequent values of ``cls``.
+def sample_by_class(df: DataFrame, key: str, cls: str, bound: int, salt: str) -> tuple[DataFrame, dict[str, int]]:
+    """About ``bound`` rows of each value of ``cls``; every value with a row is kept.
 
     A row is taken if a hash of its key falls below bound / count of its class, so the sample
     is the same in every run and its expected size is bounded whatever the size of ``df``.
-    Also returns the counts by class.
+    Also returns the counts by class: one row a class comes to the driver.
     """
-    counts = (
-        df.filter(F.col(cls).isNotNull())
-        .groupBy(F.col(cls).cast("string").alias("c"))
-        .count()
-        .orderBy(F.desc("count"), "c")
-        .limit(max_classes)
-        .collect()
-    )
-    sizes = {r["c"]: r["count"] for r in counts}
-    if not sizes:
-        return df.filter(F.lit(False)), {}
+    named = df.filter(F.col(cls).isNotNull()).withColumn(cls, F.col(cls).cast("string"))
+    counts = named.groupBy(cls).count()
+    sizes = {r[cls]: r["count"] for r in counts.collect()}
     scale = 1 << 30
-    limits = F.create_map(
-        *[F.lit(x) for c, n in sizes.items() for x in (c, min(scale, bound * scale // n))]
-    )
     draw = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(scale))
+    if not sizes:
+        return df.filter(F.lit(False)), {}
+    limits = F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, min(scale, bound * scale // n))])
     return df.filter(draw < F.try_element_at(limits, F.col(cls).cast("string"))), sizes
 
 

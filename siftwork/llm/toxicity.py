@@ -1,23 +1,27 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-``fit`` trains two content dictionaries on distinct labelled texts. The ordinary one holds words
-that are frequent in ordinary texts. The toxic one holds the same words and before them the words
-whose share of toxic texts is at least ``LEAST_LIFT`` times their share of ordinary ones. A
-window is one word with a space before and after, repeated ``REPEATS`` times: alone it would be
-too short for zstandard to compress. It is toxic if the toxic dictionary compresses it to at most
-a calibrated length, and shorter than the ordinary one does by at least a calibrated gain: then
-the whole word is one match in the toxic dictionary and is unknown to the ordinary one. Of a few
-sizes of the ordinary dictionary calibration keeps the best. The rate of toxic windows in a text
-against a calibrated rate gives the score.
+A text becomes its lower-case words with single spaces, cut at spaces into windows of at least
+``WINDOW`` bytes. ``fit`` trains two dictionaries with zstandard's trainer. The ordinary one is
+trained on windows of ordinary texts. The toxic one is trained on the stretches of toxic texts
+that ordinary ones hardly have: runs of ``GRAM`` characters whose smoothed share of toxic texts is
+at least a contrast times their share of ordinary texts. Stretches may be parts of words, so forms
+that were never seen compress too. Stretches that the trainer leaves out are put behind its own.
+
+The toxic compressor has both dictionaries, the ordinary one has the ordinary dictionary and a
+filler of the other's length, so lengths differ by what the toxic dictionary saves alone. A
+window's gain is that difference. A text's rate is the sum of its gains above a floor over its
+windows; a rate against a calibrated one gives the score. Contrast, floor and rate are those with
+the best F1 on labelled rows that trained neither dictionary.
 
 Cases: a null or empty text and one without words have rate 0 and score ``0.0``. If the labelled
-rows hold no toxic one, every score is 0. Repeated rows each get their result; whole texts of
-any length are used; ties in calibration go to the smaller length and gain and the larger rate.
+rows hold no toxic text, every score is 0. Repeated rows each get their result; whole texts of
+any length are used; ties in calibration go to the first contrast and floor and the larger rate.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,18 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import per_row, sample_by_class
 
-#: Bounds of the fit: labelled documents per class, words kept for the toxic dictionary, and the
-#: sizes of the ordinary one of which calibration picks one.
-DOCS_PER_CLASS, MAX_WORDS, ORDINARY_BYTES = 6000, 400, (64, 256, 1024)
-#: A word of the toxic dictionary is in so many texts, and in such a share of the toxic ones.
-LEAST_LIFT, LEAST_DOCS, LEAST_SHARE = 30.0, 4, 0.012
-REPEATS = 4
-#: Longest compressed windows and least gains that calibration tries, in bytes.
-LIMITS = tuple((length, gain) for length in range(15, 22) for gain in (2, 3, 4))
-#: The rate is of toxic windows, over all windows plus this number.
-SMOOTH = 3
-CACHED_WORDS = 400_000
-TOKEN = re.compile(r"\w+")
+#: Bounds of the fit: labelled documents per class, windows that train the ordinary dictionary,
+#: and that dictionary's bytes.
+DOCS_PER_CLASS, ORDINARY_WINDOWS, ORDINARY_BYTES = 6000, 60_000, 16_384
+WINDOW, GRAM = 64, 6
+#: A stretch is in so many toxic texts; counts of ordinary texts are raised by so much; contrasts tried.
+LEAST_DOCS, SMOOTH, CONTRASTS = 3, 2.0, (10.0, 20.0, 40.0, 80.0)
+FLOORS = tuple(range(9))
+#: The rate is over all windows plus this number.
+SPARE_WINDOWS = 2
+#: Every window ends with these bytes, which both dictionaries have, so that a frame never falls back to plain bytes.
+END, FILL = bytes(range(1, 9)) + bytes(range(14, 30)), b"\x0b"
+WORD = re.compile(r"\w+")
 SCHEMA = "score double, n_windows long, n_toxic long"
 
 
@@ -46,65 +50,96 @@ SCHEMA = "score double, n_windows long, n_toxic long"
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    length: int
-    gain: int
+    floor: int
     rate: float
 
 
+def windows(text: str | None) -> list[bytes]:
+    """A text's words in windows of at least WINDOW bytes, the space between two in both."""
+    words = WORD.findall(text.lower()) if text else []
+    if not words:
+        return []
+    spaced, out, at = f" {' '.join(words)} ".encode("utf-8", "replace"), [], 0
+    last = len(spaced) - 1
+    while at < last:
+        end = spaced.find(b" ", min(at + WINDOW, last))
+        out.append(spaced[at : end + 1])
+        at = end
+    return out
+
+
 class Compressors:
-    """Compressed lengths of words by a model's two dictionaries; keeps those met, up to a bound."""
+    """The two compressors of a model."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        # an exhaustive search with lazy matching finds a whole word's match wherever it stands
+        # matches of GRAM bytes at least: shorter ones are in any text
         self.settings = zstandard.ZstdCompressionParameters(
-            window_log=15, chain_log=14, hash_log=14, search_log=8, min_match=4, target_length=64,
+            window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=GRAM, target_length=32,
             strategy=zstandard.STRATEGY_LAZY2, write_checksum=False, write_content_size=False, write_dict_id=False,
         )
-        self.by = [self._compressor(d) for d in (ordinary, toxic)]
-        self.seen: dict[str, tuple[int, int]] = {}
+        self.ordinary = self._compressor(ordinary + FILL * len(toxic) + END)
+        self.toxic = self._compressor(ordinary + toxic + END)
 
     def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=self.settings)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=self.settings)
 
-    def lengths(self, word: str) -> tuple[int, int]:
-        """Lengths of the word's window by the ordinary and by the toxic dictionary."""
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) >= CACHED_WORDS:
-                self.seen.clear()
-            window = f" {word} ".encode("utf-8", "replace") * REPEATS
-            ordinary, toxic = (len(c.compress(window)) for c in self.by)
-            got = self.seen[word] = (ordinary, toxic)
-        return got
-
-    def windows(self, text: str | None) -> list[tuple[int, int]]:
-        return [self.lengths(w) for w in TOKEN.findall(text.lower())] if text else []
-
+    def gains(self, text: str | None) -> list[int]:
+        """For each window the bytes that the toxic dictionary saves."""
+        return [len(self.ordinary.compress(w + END)) - len(self.toxic.compress(w + END)) for w in windows(text)]
 
-def toxic_windows(windows: list[tuple[int, int]], length: int, gain: int) -> int:
-    return sum(toxic <= length and ordinary - toxic >= gain for ordinary, toxic in windows)
 
+def rate_of(gains: list[int], floor: int) -> float:
+    return sum(g - floor for g in gains if g > floor) / (len(gains) + SPARE_WINDOWS)
 
-def rate_of(windows: list[tuple[int, int]], length: int, gain: int) -> float:
-    return toxic_windows(windows, length, gain) / (len(windows) + SMOOTH)
 
-
-def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, tuple[int, int], float]:
-    """The best F1 over ``rows`` of (rate for each of LIMITS, label), and its limits and rate."""
-    positives, best = sum(y for _, y in rows), (-1.0, LIMITS[0], 1.0)
-    for k, limits in enumerate(LIMITS):
+def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, int, float]:
+    """The best F1 over ``rows`` of (rate for each of FLOORS, label), with its floor and rate."""
+    positives, best = sum(y for _, y in rows), (-1.0, FLOORS[0], 1.0)
+    for k, floor in enumerate(FLOORS):
         ranked = sorted(((r[k], y) for r, y in rows), reverse=True)
         hit = 0
         for i, (x, y) in enumerate(ranked):
             hit += y
             after = ranked[i + 1][0] if i + 1 < len(ranked) else 0.0
             if x > 0 and after < x and (f1 := 2 * hit / (i + 1 + positives)) > best[0]:
-                best = (f1, limits, (x + after) / 2)
+                best = (f1, floor, (x + after) / 2)
     return best
 
 
+def stretches(word: str, telling: set[str]) -> list[str]:
+    """The parts of a word, with a space at either end, that telling runs of characters cover."""
+    spaced, out, start, end = f" {word} ", [], None, 0
+    for i in range(max(1, len(spaced) - GRAM + 1)):
+        if spaced[i : i + GRAM] in telling:
+            start, end = (i if start is None else start), i + GRAM
+        elif start is not None and i >= end:
+            out.append(spaced[start:end])
+            start = None
+    return out if start is None else [*out, spaced[start:end]]
+
+
+def trained(size: int, samples: list[bytes], segment: int = 0) -> bytes:
+    """A dictionary of zstandard's trainer, or the samples themselves where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=GRAM if segment else 0).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def toxic_dictionary(words: list[tuple[str, int]], telling: set[str]) -> bytes:
+    """Trained on the telling stretches of ``words`` (with their numbers of toxic texts)."""
+    counts: Counter[bytes] = Counter()
+    for word, n in words:
+        for s in stretches(word, telling):
+            counts[s.encode("utf-8", "replace")] += n
+    often = sorted((n, s) for s, n in counts.items() if n >= LEAST_DOCS)
+    size = max(256, 2 * sum(len(s) for _, s in often))
+    own = trained(size, [s for n, s in often for _ in range(n)], 2 * GRAM + 4) if often else b""
+    return own + b"".join(s for _, s in often if s not in own)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -117,69 +152,75 @@ def fit(
     """Learn from documents whose label (0 or 1) is in ``labels``, where ``train`` holds there.
 
     About ``docs_per_class`` labels of each class are drawn by a hash of the id, which bounds
-    what is broadcast to find their documents. Two thirds train the dictionaries and one third
-    calibrates gain and rate. None if no label is 1.
+    what is gathered of them. Two thirds train the dictionaries and one third calibrates. None if
+    no label is 1.
     """
     rows = labels.filter(train & F.col(label).isin(0, 1)).select(
         F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")
     )
-    drawn, sizes = sample_by_class(rows, "id", "y", docs_per_class, 2, "toxicity")
+    drawn, sizes = sample_by_class(rows, "id", "y", docs_per_class, "toxicity")
     if not sizes.get("1"):
         return None
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3))).persist()
     try:
-        learn = sample.filter("part > 0").dropDuplicates(["text"])
-        words = F.expr("array_distinct(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0))")
+        learn = sample.filter("part > 0 and text is not null").dropDuplicates(["text"]).persist()
         n = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        texts = (
-            learn.select("y", F.explode(words).alias("w"))
-            .groupBy("w")
-            .agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
-            .persist()
-        )
-        lift = (F.col("a") + 0.5) / (n.get(1, 0) + 1) / ((F.col("b") + 0.5) / (n.get(0, 0) + 1))
+        seen = F.expr("array_distinct(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0))")
+        words = (
+            learn.select("y", F.explode(seen).alias("w")).groupBy("w")
+            .agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b")).persist()
+        )
+        spaced = words.select("w", "a", "b", F.concat(F.lit(" "), "w", F.lit(" ")).alias("s"))
+        runs = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(s) - {GRAM} + 1)), i -> substring(s, i, {GRAM})))")
+        each = spaced.select("w", "a", "b", F.explode(runs).alias("g"))
+        contrast = F.col("a") / n.get(1, 1) / ((F.col("b") + SMOOTH) / max(1, n.get(0, 0)))
         telling = (
-            texts.filter((F.col("a") >= max(LEAST_DOCS, LEAST_SHARE * n.get(1, 0))) & (lift >= LEAST_LIFT))
-            .orderBy(F.desc("a"), "w").limit(MAX_WORDS).collect()
+            each.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            .filter(F.col("a") >= LEAST_DOCS).select("g", contrast.alias("c")).filter(F.col("c") >= min(CONTRASTS)).persist()
         )
-        usual = texts.filter("b > 0").orderBy(F.desc("b"), "w").limit(max(ORDINARY_BYTES) // 2).collect()
-        texts.unpersist()
-        pairs = []
-        for size in ORDINARY_BYTES:
-            base = b" "
-            for r in usual:
-                if len(base) < size:
-                    base = b" " + r["w"].encode() + base
-            pairs.append((base, "".join(f" {r['w']} " for r in reversed(telling)).encode() + base))
+        # bounded by the sample: runs of characters in several toxic texts, and the words with any
+        runs_of = {r["g"]: r["c"] for r in telling.collect()}
+        held = [(r["w"], r["a"]) for r in each.filter("a > 0").join(telling.select("g"), "g", "left_semi").select("w", "a").distinct().collect()]
+        cut = F.pandas_udf(lambda texts: texts.map(windows), "array<binary>")
+        pieces = learn.filter("y = 0").select("id", F.explode(cut("text")).alias("w"))
+        whole = pieces.count()
+        share = F.pmod(F.xxhash64(F.lit("window"), "id", "w"), F.lit(1 << 30)) < (1 << 30) * min(1.0, ORDINARY_WINDOWS / max(1, whole))
+        usual = [bytes(r["w"]) for r in pieces.filter(share).orderBy(F.xxhash64("w"), "w").select("w").collect()]
+        ordinary = trained(ORDINARY_BYTES, usual)
+        made = [toxic_dictionary(sorted(held), {g for g, c in runs_of.items() if c >= least}) for least in CONTRASTS]
 
         def rates(texts: pd.Series) -> pd.Series:
-            by = [Compressors(*pair) for pair in pairs]
-            return texts.map(lambda t: [rate_of(seen, *x) for c in by for seen in [c.windows(t)] for x in LIMITS], na_action=None)
+            by = [Compressors(ordinary, toxic) for toxic in made]
+            return texts.map(lambda t: [rate_of(seen, f) for c in by for seen in [c.gains(t)] for f in FLOORS], na_action=None)
 
         check = sample.filter("part = 0").select(F.pandas_udf(rates, "array<double>")("text").alias("r"), "y")
-        rows, k = [(list(r["r"]), r["y"]) for r in check.collect()], len(LIMITS)
-        tried = [(*calibrate([(r[i * k : i * k + k], y) for r, y in rows]), pair) for i, pair in enumerate(pairs)]
-        _, (length, gain), rate, (base, toxic) = max(tried, key=lambda x: x[0])
+        rows, k = [(list(r["r"]), r["y"]) for r in check.collect()], len(FLOORS)
+        tried = [(*calibrate([(r[i * k : i * k + k], y) for r, y in rows]), toxic) for i, toxic in enumerate(made)]
+        _, floor, rate, toxic = max(tried, key=lambda x: x[0])
+        for df in (telling, words, learn):
+            df.unpersist()
     finally:
         sample.unpersist()
-    return ToxicityModel(base, toxic, length, gain, rate)
+    return ToxicityModel(ordinary, toxic, floor, rate)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> Column:
-    """A struct column ``score, n_windows, n_toxic``; a score of 0.5 is the calibrated rate."""
+    """A struct column ``score, n_windows, n_toxic``; a score of 0.5 is the calibrated rate.
+
+    ``n_toxic`` counts the windows whose gain is above the floor.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     state: dict[str, Compressors] = {}
 
     def one(t: str | None) -> tuple[float, int, int]:
         m = sent.value
         if m is None:
-            return 0.0, len(TOKEN.findall(t)) if t else 0, 0
+            return 0.0, len(windows(t)), 0
         c = state.get("c") or state.setdefault("c", Compressors(m.ordinary, m.toxic))
-        seen = c.windows(t)
-        n = toxic_windows(seen, m.length, m.gain)
-        rate = n / (len(seen) + SMOOTH)
-        return rate / (rate + m.rate) if rate else 0.0, len(seen), n
+        gains = c.gains(t)
+        rate = rate_of(gains, m.floor)
+        return rate / (rate + m.rate) if rate else 0.0, len(gains), sum(g > m.floor for g in gains)
 
     def kernel(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in texts], columns=["score", "n_windows", "n_toxic"])

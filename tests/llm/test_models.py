@@ -1,4 +1,8 @@
-"""Language and toxicity models: held-out accuracy, odd texts and empty tables."""
+"""Language and toxicity models: held-out accuracy, plain Python versions, odd texts and empty tables."""
+
+import math
+import re
+from collections import Counter
 
 from pathlib import Path
 
@@ -34,10 +38,43 @@ def test_language_of_odd_texts(spark, docs, none):
 
 
 def test_unknown_words_back_off_to_character_ngrams():
-    model = langid.LanguageModel(["de", "en"], [-0.7, -0.7], {"haus": (-1.0, -9.0)}, {"aus$": (-1.0, -5.0), "a": (-3.0, -3.0)})
+    words, grams = {"haus": ((0, 8.0),)}, {"aus$": ((0, 4.0),), "a": ((0, 2.0), (1, 2.0))}
+    model = langid.LanguageModel(["de", "en"], [-0.7, -0.7], {n: [-9.0 + n] * 2 for n in range(6)}, words, grams)
     scorer = langid.Scorer(model)
     assert scorer.word("haus") == (-1.0, -9.0)
-    assert scorer.word("maus") == (-1.0, -5.0) and scorer.word("ab") == (-3.0, -3.0) and scorer.word("zz") == (0.0, 0.0)
+    assert scorer.word("maus") == (-1.0, -5.0) and scorer.word("ab") == (-6.0, -6.0) and scorer.word("zz") == (0.0, 0.0)
+
+
+def test_language_scores_equal_plain_counts(spark):
+    """Words and n-grams counted and scored anew, for three languages of which one is rare."""
+    train = {"aa": ["lama dala lama kala", "lama lama dala kala kala dala"] * 3, "bb": ["dorn korn lama", "korn korn dorn dorn"] * 4, "cc": ["misi misi misi tisi"]}
+    rows = [(f"{c}{i}", t, c) for c, ts in train.items() for i, t in enumerate(ts)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"), F.lit(True))
+    words = {c: Counter(w for t in ts for w in t.split()) for c, ts in train.items()}
+    grams = {n: {c: Counter() for c in train} for n in langid.ORDERS}
+    for c, ws in words.items():
+        for w, k in ws.items():
+            for n in langid.ORDERS:
+                for i in range(len(w) + 3 - n):
+                    grams[n][c][f"^{w}$"[i : i + n]] += k
+    often = lambda table: {c: {t: k for t, k in ts.items() if k >= langid.LEAST_COUNT} for c, ts in table.items()}
+
+    def log_share(table, term):
+        size = len({t for ts in table.values() for t in ts})
+        return [math.log((table[c].get(term, 0) + 0.5) / (sum(table[c].values()) + 0.5 * (size + 1))) for c in sorted(table)]
+
+    def score(word):
+        if any(word in ts for ts in often(words).values()):
+            return log_share(often(words), word)
+        for n in langid.ORDERS:
+            table, own = often(grams[n]), [f"^{word}$"[i : i + n] for i in range(len(word) + 3 - n)]
+            if hit := [g for g in own if any(g in ts for ts in table.values())]:
+                return [sum(x) / len(hit) for x in zip(*(log_share(table, g) for g in hit))]
+        return [0.0] * 3
+
+    assert model.languages == ["aa", "bb", "cc"]
+    for word in ("lama", "korn", "misi", "tisi", "lamadorn", "xx", "malam"):
+        assert langid.Scorer(model).word(word) == pytest.approx(score(word)), word
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +100,38 @@ def test_toxicity_finds_held_out_insults(spark, insults, docs, none):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_gains_equal_two_plain_compressions():
+    """Windows cut and compressed anew; text without a stretch of the toxic dictionary gains little."""
+    ordinary, toxic = b" the old house near the river bank was seen today ", b" blithering  nincompoop "
+    text = "The old house near the river; BLITHERING fool! " * 3 + "nincompoop"
+    spaced, cut = " " + " ".join(re.findall(r"\w+", text.lower())) + " ", []
+    while len(spaced) > 1:
+        k = spaced.find(" ", toxicity.WINDOW)
+        k = len(spaced) - 1 if k < 0 else k
+        cut.append(spaced[: k + 1])
+        spaced = spaced[k:]
+    assert toxicity.windows(text) == [w.encode() for w in cut] and all(len(w) > toxicity.WINDOW for w in cut[:-1])
+    c = toxicity.Compressors(ordinary, toxic)
+    want = [len(c.ordinary.compress(w.encode() + toxicity.END)) - len(c.toxic.compress(w.encode() + toxicity.END)) for w in cut]
+    assert c.gains(text) == want and max(want) >= 5
+    assert max(c.gains("The old house near the river bank. " * 20)) <= 1
+    assert toxicity.rate_of([5, 0, 2, -1], 1) == 5 / (4 + toxicity.SPARE_WINDOWS)
+
+
+def test_stretches_are_what_telling_runs_cover():
+    assert toxicity.stretches("pathetic", {" pathe", "thetic", "hetic "}) == [" pathetic "]
+    assert toxicity.stretches("scum", {" scum "}) == [" scum "] and toxicity.stretches("scum", set()) == []
+    assert toxicity.stretches("abcdefghijklmnop", {" abcde", "klmnop"}) == [" abcde", "klmnop"]
+
+
+def test_both_dictionaries_come_from_the_trainer(spark, insults):
+    model = toxicity.fit(insults.select("doc_id", "text"), insults.select("doc_id", "toxic"), F.lit(True))
+    assert b"blithering" in model.toxic and b"nincompoop" in model.toxic and b"blithering" not in model.ordinary
+    unseen = spark.createDataFrame([(1, "the old house and a blitheringly dull river near the bank"), (2, "the old house and a river near the bank")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_toxic"] for r in toxicity.score(unseen, model).collect()}
+    assert got[1] > got[2] == 0
+
+
 def test_calibration_takes_the_rate_between_the_classes():
-    rows = [([0.2] * len(toxicity.LIMITS), 1)] * 3 + [([0.1] * len(toxicity.LIMITS), 0)] * 5
-    assert toxicity.calibrate(rows) == (1.0, toxicity.LIMITS[0], pytest.approx(0.15))
+    rows = [([0.2] * len(toxicity.FLOORS), 1)] * 3 + [([0.1] * len(toxicity.FLOORS), 0)] * 5
+    assert toxicity.calibrate(rows) == (1.0, toxicity.FLOORS[0], pytest.approx(0.15))
