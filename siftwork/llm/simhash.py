@@ -13,7 +13,9 @@ only if some word differs from each in at most r, so every such member is keyed
 its ball of radius ``distance / 2`` and linked to the smallest member under each. That gives the
 same components and grows in proportion to the members.
 
-Components come from alternating large-star and small-star rounds over the links.
+Components come from alternating large-star and small-star rounds over the links. What is linked
+are keys, not fingerprints: a fingerprint's key is that of its first document, so the smallest key
+of a component already names it, and no step gathers a component.
 
 Cases: null, empty and wordless texts have fingerprint zero and are linked like any other. Rows
 with a null id belong to their component but name it only if no row of it has an id (the
@@ -100,8 +102,7 @@ def blocks_for(prints: int, distance: int = DISTANCE) -> int:
 
 
 def forest(words: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Links (smaller, larger) of a spanning forest of ``words`` within ``distance`` bits."""
-    words = np.unique(words)
+    """Links, as places in ``words``, of a spanning forest of them within ``distance`` bits."""
     plain, left, out = words.view(np.uint64), np.ones(len(words), bool), []
     for root in range(len(words)):
         if not left[root]:
@@ -112,36 +113,40 @@ def forest(words: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]
             at = frontier.pop()
             near = np.flatnonzero(left & (np.bitwise_count(plain ^ plain[at]) <= distance))
             left[near] = False
-            out += [(int(words[root]), int(words[k])) for k in near]
+            out += [(at, int(k)) for k in near]
             frontier += near.tolist()
     return out
 
 
 def links(prints: DataFrame, count: int, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """``src < dst`` such that the components of these links are those of all pairs within
-    ``distance`` bits. ``prints`` has one bigint column ``fp`` without repeats, ``count`` rows.
+    ``distance`` bits. ``prints`` has a bigint column ``fp`` without repeats, a column ``key``
+    of distinct comparable values that stand for them (without it they do), and ``count`` rows.
     """
+    prints = prints if "key" in prints.columns else prints.withColumn("key", F.col("fp"))
     masks = [_signed(m) for m in block_masks(blocks_for(count, distance), distance)]
     choices = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(choices).alias("b")).select("b.k", "b.v", "fp")
+    keyed = prints.select("fp", "key", F.explode(choices).alias("b")).select("b.k", "b.v", "fp", "key")
     met = checkpointed(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
-    @F.pandas_udf("array<struct<src:long,dst:long>>")
+    @F.pandas_udf("array<struct<i:int,j:int>>")
     def joined(groups: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in groups:
-            yield batch.map(lambda g: [{"src": a, "dst": b} for a, b in forest(np.asarray(g, np.int64), distance)])
+            yield batch.map(lambda g: [{"i": i, "j": j} for i, j in forest(np.asarray(g, np.int64), distance)])
 
     few = keyed.join(met.filter(F.col("n") <= crowd).select("k", "v"), ["k", "v"])
-    groups = few.groupBy("k", "v").agg(F.collect_list("fp").alias("g"))
-    found = groups.select(F.explode(joined("g")).alias("e")).select("e.src", "e.dst")
+    groups = few.groupBy("k", "v").agg(F.collect_list(F.struct("fp", "key")).alias("g"))
+    pairs = groups.select("g", F.explode(joined(F.transform("g", lambda x: x["fp"]))).alias("e"))
+    ends = [F.get("g", F.col(f"e.{side}"))["key"] for side in "ij"]
+    found = pairs.select(F.least(*ends).alias("src"), F.greatest(*ends).alias("dst"))
     many = met.filter(F.col("n") > crowd)
     if not many.isEmpty():
-        crowded = keyed.join(many.select("k", "v"), ["k", "v"], "left_semi").select("fp").distinct()
+        crowded = keyed.join(many.select("k", "v"), ["k", "v"], "left_semi").select("fp", "key").distinct()
         ball = F.array(*[F.lit(_signed(m)) for m in ball_masks(distance // 2)])
-        points = crowded.select("fp", F.explode(ball).alias("m")).select(F.expr("fp ^ m").alias("p"), "fp")
-        least = points.groupBy("p").agg(F.min("fp").alias("src"), F.max("fp").alias("far")).filter("src < far")
-        met_there = points.join(least.select("p", "src"), "p").filter("src < fp")
-        found = found.unionByName(met_there.select("src", F.col("fp").alias("dst")))
+        points = crowded.select("fp", "key", F.explode(ball).alias("m")).select(F.expr("fp ^ m").alias("p"), "key")
+        least = points.groupBy("p").agg(F.min("key").alias("src"), F.max("key").alias("far")).filter("src < far")
+        met_there = points.join(least.select("p", "src"), "p").filter("src < key")
+        found = found.unionByName(met_there.select("src", F.col("key").alias("dst")))
     return found.distinct()
 
 
@@ -180,10 +185,10 @@ def _digest(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def _labelled(prints: DataFrame, distance: int, crowd: int) -> DataFrame:
-    """``prints`` (one row for each fingerprint) with its component's smallest fingerprint."""
+    """``prints`` (columns fp and key, one row for each fingerprint) with its component's smallest key."""
     prints = checkpointed(prints)
-    roots = components(links(prints.select("fp"), prints.count(), distance, crowd))
-    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links(prints, prints.count(), distance, crowd)).withColumnRenamed("node", "key")
+    return prints.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def near_duplicates(
@@ -192,9 +197,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row."""
     rows = _digest(docs, doc_id, text, width)
-    known = _labelled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), distance, crowd)
-    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.select("fp", "root").join(names, "root").select("fp", "component_id")
+    key = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "fp")
+    known = _labelled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", key.alias("key")), distance, crowd)
+    named = known.select("fp", F.col("root.id").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -208,8 +213,7 @@ def one_of_each(
     """
     rows = _digest(docs, doc_id, text, width)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    known = _labelled(rows.groupBy("fp").agg(F.min(key).alias("first")), distance, crowd)
-    firsts = known.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = _labelled(rows.groupBy("fp").agg(F.min(key).alias("key")), distance, crowd).filter("key = root").select(F.col("key").alias("first"))
     repeats = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash", F.lit(True).alias("repeated"))
     i, h, r = unused(docs, "keep_id", "keep_hash", "keep_repeated")
     stay = checkpointed(
