@@ -11,7 +11,8 @@ and what is left after it to another in the same way, ``ROUNDS`` times.
 
 The cut is found without gathering a source: ranks fall into ``BINS`` bins per source, sizes are
 summed by bin, a running sum over the bins finds the bin of the cut, and only that bin's rows
-are ranked one by one.
+are ranked one by one. Bins go by the rank over the odds of the source's own p, that is by u where
+no propensity is given, so they fill evenly whatever p is, 0 included.
 
 Cases: null texts have size 0 and are never taken but where their rank comes before the cut,
 which adds nothing. The null source is one source, last. Ties in rank go by id, nulls first,
@@ -104,7 +105,9 @@ def mix(
     # open at both ends, so that odds exist
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p") * F.coalesce(F.try_divide("a", "usual"), F.lit(1.0))))
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    ranked = _by_source(sized, plan).withColumn("q", odds).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS))
+    typical = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
+    even = F.col("q") * (typical / (1 - typical))
+    ranked = _by_source(sized, plan).withColumn("q", odds).withColumn("bin", F.floor(even / (1 + even) * BINS))
     along = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
         ranked.groupBy("source", "bin", "need").agg(F.sum("size").alias("n"))
@@ -146,7 +149,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The mix itself: the rows of ``docs``, each as often as it has copies, with ``copy`` from 1.
 
     Rows meet their copies by id and text hash; repeated rows of equal id and text are dealt
-    the copies of all of them evenly, the first ones one more.
+    the copies of all of them evenly, one more to the first by their other columns as JSON.
     """
     i, h, n, c, k = unused(docs, "mix_id", "mix_hash", "mix_rows", "mix_copies", "mix_first")
     plan = mix(docs, doc_id, text, source, **options)
@@ -157,7 +160,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     met = docs.join(taken, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)))
     single = met.filter(F.col(n) == 1).withColumn(k, F.col(c))
     if not taken.filter(F.col(n) > 1).isEmpty():
-        order = Window.partitionBy(i, h).orderBy(F.lit(0))
+        order = Window.partitionBy(i, h).orderBy(F.to_json(F.struct(*[docs[x] for x in docs.columns])))
         share = F.floor(F.col(c) / F.col(n)) + (F.row_number().over(order) <= F.col(c) % F.col(n)).cast("int")
         single = single.unionByName(met.filter(F.col(n) > 1).withColumn(k, share).filter(F.col(k) > 0))
     (copy,) = unused(docs, "copy")
