@@ -8,7 +8,9 @@ dropped and not tried again. Kinds of the base are kept whatever their score; th
 
 The expressions are written with possessive quantifiers and look-behinds that change no match
 but keep matching linear in long runs. Positions are code points, ends exclusive: a text is
-split at the matches, and the lengths of pieces and matches give their places.
+split at the matches, and running sums of the lengths of pieces and matches give their places.
+The sums go in two steps, over chunks and within them, since an array can't grow in place. Context
+is read for confirmed proposals only.
 
 Cases: a null text is empty and has no span. Repeated rows each get their result. Whole texts
 are scanned at any length. Spans of different kinds may overlap; ``redact`` masks their union
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import unused
 
 CONTEXT, LEAST_SCORE = 40, 0.6
+#: Values that a running sum takes at a time, and masks that are cut from one part of a text.
+CHUNK = 256
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string,score:double>>"
 
 
@@ -82,8 +86,9 @@ KINDS = (
     ),
     Kind(
         "card",
-        r"[0-9](?:[\x20-]?[0-9])++",
-        lambda t: t.rlike(r"[0-9]"), lambda v: _between(F.length(_digits(v)), 12, 19) & luhn(_digits(v)), "card|visa|master|amex|credit|debit|pay", 0.7,
+        # shorter runs never pass, and none of their ends would
+        r"[0-9](?:[\x20-]?[0-9]){11,}+",
+        lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), lambda v: _between(F.length(_digits(v)), 12, 19) & luhn(_digits(v)), "card|visa|master|amex|credit|debit|pay", 0.7,
     ),
     Kind(
         "phone",
@@ -103,40 +108,51 @@ KINDS = (
 )
 
 
+def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each of an array of bigints what ``step`` makes of all before it, from ``start`` on.
+
+    ``step`` is associative. Each chunk of CHUNK values is folded, then the chunks' results, so
+    work grows with the values as long as these are fewer than CHUNK squared, and little faster beyond.
+    """
+
+    def before(array: Column, first: Column) -> Column:
+        """Grows by one value at a time, so for short arrays only; the last value is the result of all."""
+        return F.aggregate(array, F.array(first), lambda a, v: F.concat(a, F.array(step(F.element_at(a, -1), v))))
+
+    def of(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))
+        bases = F.transform(F.array(chunks), lambda cs: before(F.transform(cs, lambda c: F.aggregate(c, start, step)), start))[0]
+        within = F.zip_with(chunks, bases, lambda c, b: F.when(c.isNotNull(), F.slice(before(c, b), 1, F.size(c))))
+        return F.flatten(F.filter(within, lambda w: w.isNotNull()))
+
+    none = F.array().cast("array<bigint>")
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, of(v)).otherwise(none))[0]
+
+
 def _of_kind(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of one kind."""
     empty = F.array().cast(SPANS)
 
     def places(hits: Column) -> Column:
-        pieces = F.split(text, kind.pattern, -1)
-
         def build(parts: Column) -> Column:
-            start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-
-            def step(a: Column, x: Column) -> Column:
-                begins = a["at"] + F.length(x["piece"])
-                return F.struct(
-                    (begins + F.length(x["hit"])).alias("at"), F.concat(a["out"], F.array(begins)).alias("out")
-                )
-
-            zipped = F.zip_with(parts, hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-            starts = F.aggregate(F.filter(zipped, lambda x: x["hit"].isNotNull()), start, step, lambda a: a["out"])
+            lengths = F.transform(hits, lambda h, i: (F.length(F.get(parts, i)) + F.length(h)).cast("bigint"))
+            ends = running(lengths, lambda a, v: a + v, F.lit(0).cast("bigint"))
             near = lambda i: F.concat(
                 F.right(F.get(parts, i), F.lit(CONTEXT)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(CONTEXT))
             )
-            detail = F.transform(hits, lambda h, i: F.struct(h.alias("value"), near(i).alias("near")))
-            return F.zip_with(detail, starts, lambda d, s: F.struct(s.alias("s"), d.alias("d")))
-
-        located = F.transform(F.array(pieces), build)[0]
-        sound = F.filter(located, lambda x: kind.valid(x["d"]["value"]))
-        return F.transform(
-            sound,
-            lambda x: F.struct(
-                x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
-                (x["s"] + F.length(x["d"]["value"])).alias("end"), x["d"]["value"].alias("value"),
-                F.when(x["d"]["near"].rlike(rf"(?i)\b(?:{kind.words})"), min(1.0, kind.score + 0.2)).otherwise(kind.score).alias("score"),
-            ),
-        )
+            raised = lambda i: near(i).rlike(rf"(?i)\b(?:{kind.words})")
+            each = F.zip_with(hits, ends, lambda h, e: F.struct(h.alias("value"), e.alias("before")))
+            numbered = F.transform(each, lambda x, i: F.struct(x["value"].alias("value"), (x["before"] + F.length(F.get(parts, i))).alias("s"), i.alias("i")))
+            return F.transform(
+                F.filter(numbered, lambda x: kind.valid(x["value"])),
+                lambda x: F.struct(
+                    x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"),
+                    (x["s"] + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+                    F.when(raised(x["i"]), min(1.0, kind.score + 0.2)).otherwise(kind.score).alias("score"),
+                ),
+            )
+
+        return F.transform(F.array(F.split(text, kind.pattern, -1)), build)[0]
 
     hits = F.array(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)))
     found = F.transform(hits, lambda h: F.when(F.size(h) > 0, places(h)).otherwise(empty))[0]
@@ -171,35 +187,33 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """``text`` with the union of its spans masked as ``<KIND>``, the kind of the first span."""
-    merged = F.aggregate(
-        found,
-        F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["end"] > s["start"]),
-            F.concat(
-                F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                F.array(F.struct(
-                    F.element_at(a, -1)["start"].alias("start"),
-                    F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"),
-                    F.element_at(a, -1)["kind"].alias("kind"),
-                )),
-            ),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
-
-    def rebuilt(m: Column) -> Column:
-        parts = F.transform(
-            m,
-            lambda x, i: F.concat(
-                F.substr(text, F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"]).cast("int") + 1,
-                         (x["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"])).cast("int")),
-                F.lit("<"), F.upper(x["kind"]), F.lit(">"),
-            ),
-        )
-        return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(m, -1)["end"].cast("int") + 1))
-
-    return F.transform(F.array(merged), lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(text))[0]
+    """``text`` with the union of its spans masked as ``<KIND>``, the kind of the first span.
+
+    A span that starts at or behind the end of all before it opens a mask; the next one tells where it ends.
+    """
+    zero = F.lit(0).cast("bigint")
+    longest = lambda a, v: F.greatest(a, v)
+    ends = F.transform(found, lambda s: s["end"])
+
+    def opened(behind: Column) -> Column:
+        each = F.zip_with(found, behind, lambda s, b: F.struct(b.alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))
+        return F.filter(each, lambda x: x["start"] >= x["from"])
+
+    def chunk(cs: Column) -> Column:
+        base, last = cs[0]["from"], F.element_at(cs, -1)["start"]
+        part = F.array(F.substr(text, base.cast("int") + 1, (last - base).cast("int")))
+        pieces = lambda p: F.transform(
+            cs, lambda x: F.concat(F.substr(p, (x["from"] - base).cast("int") + 1, (x["start"] - x["from"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+        )
+        return F.transform(part, lambda p: F.array_join(pieces(p), ""))[0]
+
+    def rebuilt(heads: Column) -> Column:
+        count = F.floor((F.size(heads) - 1) / CHUNK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count), lambda c: chunk(F.slice(heads, c * CHUNK + 1, F.lit(CHUNK))))
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.array_max(ends).cast("int") + 1))
+
+    heads = F.transform(F.array(running(ends, longest, zero)), opened)
+    return F.transform(heads, lambda hs: F.when(F.size(hs) > 0, rebuilt(hs)).otherwise(text))[0]
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
