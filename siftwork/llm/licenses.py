@@ -1,11 +1,13 @@
 """Licence phrases and licence templates in document texts, with DataFrame functions only.
 
 Base: the places where a phrase's words stand consecutively. Method: an exact set-similarity
-join of text blocks with licence templates. A block is the set of the words of a line, or of a window of a text's words across all line breaks. Windows for a
-template of ``n`` words start at every ``n / 2`` words and are that much longer than it, so each run
-of ``n`` words is in one; they are compared with templates of that length only. A block matches a
-template if it contains at least ``threshold`` of the template's words. A text whose words as a whole
-are too few for every template has no block that matches, and is left out.
+join of text blocks with licence templates, which are sentences of notices. Blocks are windows of
+a text's words across line breaks, of a size tied to the template: for a template of ``n`` words
+they start at every ``n / 2`` words and are that much longer than it, so each run of ``n`` words is
+in one, and no block is longer than half as much again. A block is compared with templates of its
+length only and matches if it contains at least ``threshold`` of the template's distinct words. A
+text whose words as a whole are too few for every template has no block that matches, and is left
+out.
 Words are ordered by their frequency over all blocks, rarest first. A block and a template that
 need ``o`` words in common must share one within their first ``size - o + 1`` words (prefix
 filter), blocks with fewer than ``o`` template words can't match (length filter), and a shared
@@ -38,7 +40,11 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.8
@@ -89,7 +95,7 @@ def _phrase_at(words: Column, i: Column) -> Column:
 def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
     """``doc_id, text_hash, width, words`` of the blocks that may match, each once a document.
 
-    ``width`` is the number of words of the templates that a window is for, 0 for a line.
+    ``width`` is the number of words of the templates that a window is for.
     A document is known by its id and the hash of its text.
     """
     vocabulary = F.array(*map(F.lit, sorted({w for _, t in templates for w in t.split()})))
@@ -110,9 +116,6 @@ def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str,
         .filter(F.size("widths") > 0)
         .withColumn("text_hash", F.xxhash64("text"))
     )
-    lines = read.select(
-        "doc_id", "text_hash", F.lit(0).alias("width"), F.explode(F.split("text", "\n")).alias("part")
-    ).select("doc_id", "text_hash", "width", _words(F.col("part")).alias("run"))
     step = F.ceil(F.col("width") / 2).cast("int")
     windows = (
         read.select("doc_id", "text_hash", _words(F.col("text")).alias("all"), F.explode("widths").alias("width"))
@@ -120,8 +123,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str,
         .select("doc_id", "text_hash", "width", F.slice("all", F.col("at") + 1, F.col("width") + step).alias("run"))
     )
     return (
-        lines.unionAll(windows)
-        .select("doc_id", "text_hash", "width", F.array_intersect("run", vocabulary).alias("words"))
+        windows.select("doc_id", "text_hash", "width", F.array_intersect("run", vocabulary).alias("words"))
         .filter(F.size("words") >= min(needs))
         .distinct()
     )
@@ -153,7 +155,7 @@ def similarity_join(
     # the index has one row for each prefix word of the fixed templates
     candidates = (
         prefixed.join(F.broadcast(index), "w")
-        .filter((F.col("width") == 0) | (F.col("width") == F.col("template_width")))
+        .filter(F.col("width") == F.col("template_width"))
         .filter(F.size("words") >= F.col("need"))
         .filter(1 + F.least(F.size("words") - 1 - F.col("block_at"), F.size("template_words") - 1 - F.col("template_at")) >= F.col("need"))
     )
