@@ -11,15 +11,21 @@ dropped and the rest stay. So an item with other parameters is caught, and windo
 values count for nothing. A document holds an item if consistent windows cover at least
 ``coverage`` of the item's tokens.
 
+Windows that many items have would join many documents with all of them. So an item's commonest
+windows are set aside, as far as they cover less than ``coverage`` of it: a document that holds
+the item has another window of it, too. Pairs of a document and an item are found by the others,
+and only then all windows of the pairs that were found are compared.
+
 A bitmap of fixed size, a Bloom filter with one hash, goes out to the tasks so that windows that
 no item can have don't leave them. Whatever passes it is joined exactly; the join is a plain one
 and Spark picks the side to send by size.
 
 Cases: null and empty texts have no window. An item of fewer tokens than ``window`` is one window
-of its own length, down to ``LEAST_TOKENS``; shorter items identify nothing and match nothing.
-Repeated items each match. A text is known by its id and its hash, so windows of different texts
-under one id, or without one, never add up; equal rows count once. An id is out if one of its
-texts holds an item; rows without an id are judged by their own text.
+of its own length. One of fewer than ``LEAST_TOKENS`` is no passage that a text could hold: it
+matches texts that have its tokens, with its own slots, and no others. Repeated items each match.
+A text is known by its id and its hash, so windows of different texts under one id, or without
+one, never add up; equal rows count once. An id is out if one of its texts holds an item; rows
+without an id are judged by their own text.
 """
 
 from __future__ import annotations
@@ -157,6 +163,8 @@ def _rows(pdf: pd.DataFrame, width_of, forms: Forms, bitmap: np.ndarray | None)
             else:
                 bit = (h % np.uint64(BITMAP_BITS)).astype(np.int64)
                 mine = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if width < LEAST_TOKENS:
+                    mine &= lengths[c.owner[at]] == width
             for i, x in zip(at[mine].tolist(), h[mine].view(np.int64).tolist()):
                 row = int(c.owner[i])
                 values, kinds = c.slots(i, width)
@@ -175,7 +183,7 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms = Forms()
         for pdf in batches:
-            widths = lambda lengths: sorted({int(x) for x in np.minimum(WINDOW, lengths) if x >= LEAST_TOKENS})
+            widths = lambda lengths: sorted({int(x) for x in np.minimum(WINDOW, lengths) if x})
             yield from _rows(pdf, widths, forms, None)
 
     rows = _read(items, item_id, text).mapInPandas(windows, WINDOWS)
@@ -201,6 +209,35 @@ def _bitmap(spark: SparkSession, windows: DataFrame) -> tuple[np.ndarray, list[i
     return out, sorted(widths)
 
 
+def telling(spots: list[tuple[int, int, int]], n_tokens: int, coverage: float) -> list[int]:
+    """The starts of an item's windows that find it: all but the commonest ones, as far as those
+    cover less than ``coverage`` of it. ``spots`` are (items with the window, start, width)."""
+    held, out = bytearray(n_tokens), []
+    for _, at, width in sorted(spots, reverse=True):
+        if not out:
+            more = held[:]
+            more[at : at + width] = b"\1" * width
+            if sum(more) < coverage * n_tokens:
+                held = more
+                continue
+        out.append(at)
+    return out
+
+
+def finders(windows: DataFrame, coverage: float) -> DataFrame:
+    """``item_hash, item_at`` of the windows by which pairs are found."""
+    shared = windows.groupBy("hash", "width").agg(F.count_distinct("item_hash").alias("shared"))
+    spots = F.collect_list(F.struct("shared", "item_at", "width"))
+    each = windows.join(shared, ["hash", "width"]).groupBy("item_hash", "n_tokens").agg(spots.alias("spots"))
+
+    @F.pandas_udf("array<int>")
+    def chosen(spots: pd.Series, n_tokens: pd.Series) -> pd.Series:
+        rows = zip(spots, n_tokens)
+        return pd.Series([telling([(x["shared"], x["item_at"], x["width"]) for x in ss], int(n), coverage) for ss, n in rows], dtype=object)
+
+    return each.select("item_hash", F.explode(chosen("spots", "n_tokens")).alias("item_at"))
+
+
 def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of the documents whose bit is set, with slots."""
     spark = docs.sparkSession
@@ -223,12 +260,23 @@ def held(
 
     ``exact`` is true where all slots have the item's own values. Ids keep their types.
     """
-    windows = checkpointed(benchmark_windows(items, item_id, item_text))
+    every_window = checkpointed(benchmark_windows(items, item_id, item_text))
+    windows = checkpointed(every_window.drop("item_id").dropDuplicates(["item_hash", "item_at", "width"]))
     found = candidates(docs, windows, doc_id, text).drop("n_tokens").withColumnRenamed("id", "doc_id")
-    hits = found.join(windows, ["hash", "width"]).filter("kinds = item_kinds")
+    found = checkpointed(found.dropDuplicates(["doc_id", "text_hash", "at", "width"]))
+    finding = windows.join(finders(windows, coverage), ["item_hash", "item_at"])
+    pairs = (
+        found.join(finding, ["hash", "width"]).filter("kinds = item_kinds")
+        .select(F.col("doc_id").alias("pair_id"), F.col("text_hash").alias("pair_hash"), "item_hash").distinct()
+    )
+    wanted = pairs.join(windows.withColumnsRenamed({"hash": "item_window", "width": "item_width"}), "item_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("pair_id")) & (F.col("text_hash") == F.col("pair_hash"))
+    same &= (F.col("hash") == F.col("item_window")) & (F.col("width") == F.col("item_width"))
+    whole = (F.col("width") >= LEAST_TOKENS) | (F.col("slots") == F.col("item_slots"))
+    hits = found.join(wanted, same).filter((F.col("kinds") == F.col("item_kinds")) & whole)
     # a window's slots are few, an alignment's windows no more than its item has
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs")
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_tokens"]
+    key = ["doc_id", "text_hash", "item_hash", "n_tokens"]
     aligned = hits.groupBy(*key, (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.struct("item_at", "width", pairs)).alias("found")
     )
@@ -244,15 +292,16 @@ def held(
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["item_at"], s["item_at"] + s["width"] - 1)))))
     # equal spots of several alignments of one document with one item are one
-    return (
+    held_texts = (
         sound.groupBy(*key)
         .agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"), F.bool_and("same").alias("exact"))
         .withColumn("coverage", covered / F.col("n_tokens"))
         .filter(F.col("coverage") >= coverage)
-        .select(
-            F.col("doc_id").cast(docs.schema[doc_id].dataType), "text_hash", F.col("item_id").cast(items.schema[item_id].dataType),
-            "coverage", F.size("spots").cast("long").alias("n_windows"), "exact",
-        )
+    )
+    named = held_texts.join(every_window.select("item_hash", "item_id").distinct(), "item_hash")
+    return named.select(
+        F.col("doc_id").cast(docs.schema[doc_id].dataType), "text_hash", F.col("item_id").cast(items.schema[item_id].dataType),
+        "coverage", F.size("spots").cast("long").alias("n_windows"), "exact",
     )
 
 
