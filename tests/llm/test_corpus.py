@@ -125,6 +125,37 @@ def test_a_clash_of_slots_drops_only_its_windows(spark):
         assert not any(r["exact"] for r in got)
 
 
+def test_items_that_share_passages_equal_all_pairs(spark):
+    """Items of shared and own passages, texts of runs of them: one window is in nearly every item."""
+    draw = random.Random(11)
+    passages = [[f"p{chr(97 + p)}{chr(97 + k)}" for k in range(draw.randint(9, 14))] for p in range(6)]
+    for k, p in enumerate(passages):
+        passages[k] = ["".join(c for c in w if c.isalpha()) for w in p]
+    items = [[w for p in [0, 0, *draw.sample(range(6), 2)][: draw.randint(2, 4)] for w in passages[p]] for _ in range(12)]
+    texts = []
+    for _ in range(30):
+        own = [w for p in draw.choices(range(6), k=draw.randint(1, 4)) for w in passages[p][draw.randint(0, 3) :] + ["gap"]]
+        texts.append(own)
+    texts += items[:2] + [["gap"] * 20]
+
+    def coverage(text, item):
+        grams = {tuple(text[k : k + 8]) for k in range(len(text) - 7)}
+        return len({k + j for k in range(len(item) - 7) if tuple(item[k : k + 8]) in grams for j in range(8)}) / len(item)
+
+    want = {(d, i): c for d, t in enumerate(texts) for i, x in enumerate(items) if (c := coverage(t, x)) >= decontam.COVERAGE}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(docs, table).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_short_items_match_whole_texts_only(spark):
+    items = spark.createDataFrame([(1, "forty two"), (2, "Blue 7"), (3, "the red fox")], "item_id long, text string")
+    texts = ["Forty two!", "forty two apples", "blue 7", "blue 8", "The red fox.", "see the red fox", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()} == {(0, 1), (2, 2), (4, 3)}
+
+
 def test_texts_of_one_id_or_none_are_not_mixed(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     changed = ITEM.replace("Anna Smith", "Bob Stone").replace("12", "40")
@@ -181,6 +212,24 @@ def test_mixing_targets_and_copies(spark, docs, none):
     assert mixing.mix(none).isEmpty() and mixing.mixed(none).isEmpty()
 
 
+def test_a_stopped_source_spreads_over_all_bins(spark):
+    rows = [(i, "w w w", "a" if i < 9000 else "b") for i in range(9200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in mixing.mix(docs).join(docs, "doc_id").collect():
+        got.setdefault(r["source"], []).append(r["copies"])
+    assert set(got["b"]) == {3}
+    u = docs.select("source", F.floor(mixing._uniform(F.col("doc_id"), mixing.SEED) * mixing.BINS).alias("bin"))
+    assert u.filter("source = 'b'").distinct().count() > 150
+
+
+def test_repeated_rows_are_dealt_alike_in_every_run(spark):
+    rows = [(1, "one two three", "a", k % 5) for k in range(10)] + [(k, "w w w w w w", "b", k) for k in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    runs = [sorted(tuple(r) for r in mixing.mixed(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
 def test_mixing_equals_its_sql(spark):
     c = duckdb.connect()
@@ -213,14 +262,71 @@ def test_page_text(spark):
     assert html.extract(pages.limit(0)).isEmpty()
 
 
-def test_wrapper_has_optional_and_repeated_parts():
-    block = lambda path, text: {"path": path, "text": text, "chars": 9, "links": 0, "region": 0, "out": False, "n": 1}
-    one = [block("/h1", 1), block("/p", 2), block("/p", 3), block("/foot", 9)]
-    two = [block("/h1", 4), block("/ad", 5), block("/p", 6), block("/foot", 9)]
-    three = [block("/h1", 7), block("/p", 8), block("/foot", 9)]
-    wrapper, inside, outside = html.infer([one, two, three])
-    assert wrapper == "<h1>#TEXT (<ad>=TEXT)? (<p>#TEXT)+ <foot>=TEXT"
-    assert "/foot" in outside and {"/h1", "/p"} <= set(inside)
+def host_pages(n, menu="Home Shop Help", foot="All rights kept by the house", copies=1):
+    """Pages of one host without a telling tag, class or link, and their main texts."""
+    rows, texts = [], []
+    for i in range(n):
+        paragraphs = [f"story {i} part {k} has words of its own" for k in range(1 + i % 3)]
+        extra = f"<div><p>See story {i + 1}</p></div>" if i % 4 == 0 else ""
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html_ = f"<body><div>{''.join(f'<p>{m}</p>' for m in menu.split())}</div><div><h2>Story {i}</h2>{body}</div>{extra}<div><p>{foot}</p></div></body>"
+        rows += [html_] * copies
+        texts += ["\n".join([f"Story {i}", *paragraphs] + ([f"See story {i + 1}"] if extra else []))] * copies
+    return rows, texts
+
+
+def extracted(spark, hosts):
+    rows = [(f"http://{h}.example/{k}", t) for h, pages in hosts.items() for k, t in enumerate(pages)]
+    df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract(df).orderBy("page_id").collect()], df
+
+
+def test_the_wrapper_decides_where_pages_tell_nothing(spark):
+    one, want_one = host_pages(9)
+    two, want_two = host_pages(5, menu="Start Ende", foot="Impressum des Hauses", copies=3)
+    got, df = extracted(spark, {"a": one, "b": two, "c": one[:1]})
+    assert got[: len(one) + len(two)] == want_one + want_two
+    # nothing to compare the only page of a host with
+    assert got[-1].startswith("Home\nShop\nHelp\nStory 0")
+    spread = html.extract(df.repartition(7)).orderBy("page_id").collect()
+    assert [r["text"] for r in spread] == got
+    made = {r["host"]: r for r in html.wrappers(df).collect()}
+    assert html.expression(made["b.example"].asDict(recursive=True)) == "(<p>=TEXT)+ <h2>#TEXT (<p>#TEXT)+ (<p>#TEXT)? <p>=TEXT"
+    large, html.BROADCAST_CHARS = html.BROADCAST_CHARS, 0
+    try:
+        assert [r["text"] for r in html.extract(df).orderBy("page_id").collect()] == got
+    finally:
+        html.BROADCAST_CHARS = large
+
+
+def nodes(*paths_and_texts):
+    return [
+        {"path": p, "repeats": False, "pages": 1, "marks": 0, "low": t, "high": t, "chars": 9, "links": 0} for p, t in paths_and_texts
+    ]
+
+
+def test_wrapper_has_optional_and_template_parts(monkeypatch):
+    pages = [
+        nodes(("/menu", 9), ("/h1", 1), ("/p", 2), ("/foot", 9)),
+        nodes(("/menu", 9), ("/h1", 4), ("/ad", 5), ("/p", 6), ("/foot", 9)),
+        nodes(("/menu", 9), ("/h1", 7), ("/p", 8), ("/foot", 9)),
+    ]
+    one = html.merged([{"total": 1, "nodes": p} for p in pages])
+    assert html.expression(one) == "<menu>=TEXT <h1>#TEXT (<ad>=TEXT)? <p>#TEXT <foot>=TEXT"
+    assert html.inside(one) == [False, True, True, True, False]
+    monkeypatch.setattr(html, "walk", lambda a, b: [*((k, None) for k in range(len(a.paths))), *((None, k) for k in range(len(b.paths)))])
+    apart = html.merged([{"total": 1, "nodes": p} for p in pages])
+    assert all(html.inside(apart))
+
+
+def test_alignment_keeps_order_and_loses_nothing():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 9))] for _ in range(2))
+        texts = [[draw.choice([None, 1, 2, 3]) for _ in side] for side in (a, b)]
+        pairs = list(html.walk(html.Sequence(a, texts[0]), html.Sequence(b, texts[1])))
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in pairs if i is not None and j is not None)
 
 
 def test_stages_take_odd_tables(spark, docs, none, tmp_path):
