@@ -7,16 +7,20 @@ numbers are classes, documents are pictures.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, labels
-from .operators import checks, classify, dedup, detections, match, report, select
+from .operators import checks, classify, dedup, detections, match, records, report, select
 from .operators.ordering import placed
 from .plans import builds
-from .sources import files
+from .sinks import outputs
+from .sources import coco, config, files, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,26 +64,88 @@ def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label lines as text from numeric columns; every seventh line number has a sixth token."""
+    """Label lines as text from numeric columns; line number 7 has a sixth token, 6 is a polygon."""
     li = table(spark, sf_dir, "lineitem")
-    five = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string"),
-                       (F.col("l_quantity") / 100).cast("string"), F.lit("0.5"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).otherwise(five).alias("line"))
+    text = lambda c: c.cast("string")
+    cls, x, y, w = (text(F.col("l_linenumber")), text(F.col("l_discount")), text(F.col("l_tax")), text(F.col("l_quantity") / 100))
+    five = F.concat_ws(" ", cls, x, y, w, F.lit("0.5"))
+    line = F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).when(F.col("l_linenumber") == 6, F.concat_ws(" ", cls, x, y, w, y, w, F.lit("0.9")))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", line.otherwise(five).alias("line"))
+
+
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines whose numbers leave their ranges in part; line number 7 has a sixth token."""
+    text = lambda c: c.cast("string")
+    five = F.concat_ws(" ", text(F.col("l_linenumber")), text(F.col("l_discount") * 12), text(F.col("l_tax")), text(F.col("l_quantity") / 40), text(F.col("l_tax") * 20))
+    line = F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).otherwise(five)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", line.alias("line"))
+
+
+#: The lines of ``numeric_lines`` that are valid with seven classes.
+VALID_SQL = "(l_linenumber < 6 OR (l_linenumber = 6 AND l_discount <> l_quantity / 100))"
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: content hash, and a coarser key for perceptual equality."""
+    """Documents as records: content hash, and the whole text without case and punctuation as perceptual key."""
     d = table(spark, sf_dir, "documents")
+    folded = F.regexp_replace(F.lower("text"), r"[ \t\r\n.,;:!?]+", " ")
     return d.select(
         F.col("doc_id").alias("id"), "source", F.col("doc_id").cast("string").alias("image_path"),
-        keys.sha256(F.col("text")).alias("sha256"), F.lower(F.substring("text", 1, 40)).alias("dhash"),
-        F.col("n_chars").alias("width"), F.lit(1).alias("height"),
+        keys.sha256(F.col("text")).alias("sha256"), keys.sha256(folded).alias("dhash"),
+        F.length(folded).cast("long").alias("width"), F.lit(1).alias("height"),
     )
 
 
-PICTURES_SQL = """
-pictures AS (SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS image_path, sha256(text) AS sha256,
-                    lower(substr(text, 1, 40)) AS dhash, n_chars AS width, 1 AS height FROM documents)"""
+PICTURES_SQL = r"""
+pictures AS (SELECT doc_id AS id, source, CAST(doc_id AS VARCHAR) AS image_path, sha256(text) AS sha256, sha256(folded) AS dhash, CAST(length(folded) AS BIGINT) AS width, 1 AS height
+             FROM (SELECT *, regexp_replace(lower(text), '[ \t\r\n.,;:!?]+', ' ', 'g') AS folded FROM documents))"""
+
+
+#: Customers as images: id, split, and for each of up to three lines its number, class and position.
+IMAGES_SQL = """
+cust AS (SELECT c_custkey AS id, CASE c_nationkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, c_custkey % 4 AS n FROM customer),
+ln AS (SELECT id, split, k, (id // 4 + k) % 8 AS cls, k / 8::DOUBLE AS y, id % 11 = 0 AND k = 1 AS odd FROM (SELECT id, split, unnest(range(1, n + 1)) AS k FROM cust))"""
+
+
+def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, split, line_no, line`` of the customers; those without a line have one row with nulls."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 3).alias("s"))
+    split = F.when(F.col("s") == 0, "train").when(F.col("s") == 1, "valid").otherwise("test")
+    numbers = F.transform(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda k: k <= F.col("id") % 4), lambda k: k)
+    each = c.select("id", split.alias("split"), F.explode_outer(numbers).alias("line_no"))
+    cls = ((F.floor(F.col("id") / 4) + F.col("line_no")) % 8).cast("string")
+    five = F.concat_ws(" ", cls, F.lit("0.5"), (F.col("line_no") / 8).cast("string"), F.lit("0.25 0.125"))
+    line = F.when((F.col("id") % 11 == 0) & (F.col("line_no") == 1), F.concat(five, F.lit(" 9"))).when(F.col("line_no").isNotNull(), five)
+    return each.select("id", "split", "line_no", line.alias("line"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="siftwork-tree-")
+
+
+def tree(spark: SparkSession, sf_dir: str, missing: int | None = None) -> str:
+    """Writes the customers as images and label files below a new folder; ids that ``missing`` divides get no label file."""
+    root, lines = scratch(spark), image_lines(spark, sf_dir)
+    base = F.concat(F.lit("c"), F.col("id").cast("string"))
+    texts = lines.groupBy("id", "split").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\r\n").alias("content"))
+    kept = texts if missing is None else texts.filter(F.col("id") % missing != 0)
+    images = texts.select(F.concat("split", F.lit("/images/"), base, F.when(F.col("id") % 2 == 0, ".PNG").otherwise(".jpg")).alias("name"), base.alias("content"))
+    labels_ = kept.select(F.concat("split", F.lit("/labels/"), base, F.lit(".txt")).alias("name"), "content")
+    outputs.write_files(images.unionByName(labels_), root, "name", "content")
+    return root
+
+
+POLICY = {c: 3 - c for c in range(4)}
+
+
+def policy(root: str, **options) -> config.SourcePolicy:
+    return config.SourcePolicy("customers", root, POLICY, **options)
+
+
+def stem_of(path: str):
+    return keys.stem(F.col(path)).alias("stem")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +179,11 @@ def p2(spark, sf_dir):
     )
 
 
-@query("p3_validate_lines", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'tokens' WHEN l_linenumber >= 6 THEN 'class' END AS error FROM lineitem")
+@query("p3_validate_lines", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'tokens' WHEN l_linenumber >= 6 THEN 'class'
+WHEN NOT (l_discount * 12 BETWEEN 0 AND 1 AND l_tax BETWEEN 0 AND 1) THEN 'coordinate' WHEN NOT (l_quantity / 40 > 0 AND l_quantity / 40 <= 1 AND l_tax * 20 > 0 AND l_tax * 20 <= 1) THEN 'size' END AS error FROM lineitem""")
 def p3(spark, sf_dir):
-    lines = numeric_lines(spark, sf_dir)
-    parsed = labels.parse_line(F.col("line"), 6, polygons=False)
-    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", parsed["error"].alias("error"))
+    lines = labels.parsed(boundary_lines(spark, sf_dir), "line", "p", 6, polygons=False)
+    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.error")
 
 
 POLYGON_SQL = """
@@ -134,14 +200,18 @@ def p4(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     x2 = (F.col("l_quantity") / 100).cast("string")
     line = F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.col("l_discount").cast("string"), F.col("l_tax").cast("string"), x2, F.col("l_tax").cast("string"), x2, F.lit("0.9"))
-    parsed = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", labels.parse_line(line, 8).alias("p"))
+    parsed = labels.parsed(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", line.alias("line")), "line", "p", 8)
     return parsed.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.kind", "p.x", "p.y", "p.w", "p.h", "p.error")
 
 
-@query("p5_parse_truncating", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(trunc(l_quantity / 10) AS INT) AS class_id FROM lineitem")
+@query("p5_parse_truncating", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN 'bbox' WHEN l_discount <> l_quantity / 100 THEN 'polygon' END AS kind,
+CASE WHEN l_linenumber < 7 OR l_discount <> l_quantity / 100 THEN CAST(trunc(l_quantity / 10) AS INT) END AS class_id, CASE WHEN l_linenumber = 7 AND l_discount = l_quantity / 100 THEN 'extent' END AS error FROM lineitem""")
 def p5(spark, sf_dir):
-    token = (F.col("l_quantity") / 10).cast("string")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", labels.class_id(token, mode="truncate").alias("class_id"))
+    text = lambda c: c.cast("string")
+    cls, x, y, w = (text(F.col("l_quantity") / 10), text(F.col("l_discount")), text(F.col("l_tax")), text(F.col("l_quantity") / 100))
+    line = F.when(F.col("l_linenumber") == 7, F.concat_ws(" ", cls, x, y, w, y, w, F.lit("0.9"))).otherwise(F.concat_ws(" ", cls, x, y, w, F.lit("0.5")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", line.alias("line"))
+    return labels.parsed(lines, "line", "p", mode="truncate").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.kind", "p.class_id", "p.error")
 
 
 @query("p6_remap", f"WITH {ROLES_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(target_class AS INT) AS target_class, role FROM roles")
@@ -156,6 +226,15 @@ def p7(spark, sf_dir):
     return classify.drop_reasons(lines, ["l_orderkey"], "l_linenumber", "n_tokens")
 
 
+@query("p7_remapped_lines", f"""WITH {IMAGES_SQL}, r AS (SELECT cust.id, n, bool_or(odd) AS odd, max(cls) AS top, string_agg(printf('%d 0.50000000 %.8f 0.25000000 0.12500000', 3 - cls, y), '|' ORDER BY k) AS labels FROM cust LEFT JOIN ln USING (id) GROUP BY 1, 2),
+d AS (SELECT *, CASE WHEN n = 0 THEN 'empty_label' WHEN odd THEN 'non_detection_label' WHEN top >= 4 THEN 'unsupported_class' END AS drop_reason FROM r)
+SELECT id, CASE WHEN drop_reason IS NULL THEN labels ELSE '' END AS labels, false AS is_negative, drop_reason FROM d""")
+def p7_lines(spark, sf_dir):
+    classes = spark.createDataFrame([(c, POLICY.get(c), "target" if c < 4 else "unsupported") for c in range(8)], "source_class int, target_class int, role string")
+    done = records.remapped(image_lines(spark, sf_dir), ["id"], classes)
+    return done.select("id", F.array_join("labels", "|").alias("labels"), "is_negative", "drop_reason")
+
+
 @query("p8_polygon_box", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (least(l_discount, l_tax) + greatest(l_discount, l_tax)) / 2 AS x, (least(l_tax, l_quantity / 100) + greatest(l_tax, l_quantity / 100)) / 2 AS y,
 greatest(l_discount, l_tax) - least(l_discount, l_tax) AS w, greatest(l_tax, l_quantity / 100) - least(l_tax, l_quantity / 100) AS h FROM lineitem""")
 def p8(spark, sf_dir):
@@ -176,18 +255,20 @@ def p9(spark, sf_dir):
 
 @query("p10_convert", f"WITH {LINES_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_linenumber - 1 AS INT) AS target_class, x, y, w FROM lines WHERE l_linenumber <= 4")
 def p10(spark, sf_dir):
-    parsed = numeric_lines(spark, sf_dir).withColumn("p", labels.parse_line(F.col("line"), 7)).filter("p.error is null")
+    parsed = labels.parsed(numeric_lines(spark, sf_dir), "line", "p", 7).filter("p.error is null")
     cut = parsed.select("l_orderkey", "l_partkey", "l_suppkey", F.col("p.class_id").alias("l_linenumber"), "p.x", "p.y", "p.w")
     done = classify.remap(cut, class_map(spark), ["l_linenumber"]).filter("target_class is not null")
     return done.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "target_class", "x", "y", "w")
 
 
-@query("p11_convert_distinct", f"WITH {ROLES_SQL} SELECT l_orderkey, target_class, min(l_partkey) AS l_partkey, count(*) - 1 AS repeats FROM (SELECT l_orderkey, CAST(target_class AS INT) AS target_class, l_partkey FROM roles WHERE target_class IS NOT NULL) GROUP BY ALL_KEYS".replace("GROUP BY ALL_KEYS", "GROUP BY l_orderkey, target_class"))
+@query("p11_convert_distinct", """SELECT l_orderkey, CAST(l_linenumber % 4 AS INT) AS target_class, l_linenumber % 4 || ' ' || l_returnflag || ' b c d' AS text, count(*) - 1 AS repeats FROM lineitem
+GROUP BY l_orderkey, l_linenumber % 4, l_returnflag""")
 def p11(spark, sf_dir):
-    lines = mapped(spark, sf_dir).filter("target_class is not null").select("l_orderkey", "target_class", "l_partkey", "l_suppkey")
-    first = dedup.distinct_annotations(lines.select("l_orderkey", "target_class", "l_partkey"), ["l_orderkey"], "target_class", "l_partkey")
-    n = lines.groupBy("l_orderkey", "target_class").agg((F.count(F.lit(1)) - 1).alias("repeats"))
-    return first.join(n, ["l_orderkey", "target_class"]).select("l_orderkey", "target_class", "l_partkey", "repeats")
+    li = table(spark, sf_dir, "lineitem")
+    line = F.concat_ws(" ", F.col("l_linenumber").cast("string"), "l_returnflag", F.lit("b c d"))
+    classes = spark.createDataFrame([(c, c % 4, "target") for c in range(1, 8)], "source_class int, target_class int, role string")
+    lines = li.select("l_orderkey", (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("line_no"), line.alias("line"))
+    return records.converted(lines, ["l_orderkey"], classes).select("l_orderkey", "target_class", "text", "repeats")
 
 
 @query("p12_map_first_token", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_linenumber <= 4 THEN CAST(l_linenumber - 1 AS VARCHAR) || ' a b' END AS line FROM lineitem")
@@ -239,11 +320,16 @@ def c2(spark, sf_dir):
     return done.select("l_orderkey", F.array_join(F.transform("annotations", lambda a: a["target_class"].cast("string")), ",").alias("classes"))
 
 
-@query("c3_drop_taxonomy", f"""WITH {ROLES_SQL}, f AS (SELECT l_orderkey, bool_or(role = 'target') t, bool_or(role = 'negative') n, bool_or(role = 'unsupported') o FROM roles GROUP BY 1)
-SELECT CASE WHEN t AND NOT n AND NOT o THEN 'kept' WHEN n AND NOT t AND NOT o THEN 'negative' ELSE 'ambiguous_mixed' END AS outcome, count(*) AS n FROM f GROUP BY 1""")
+OUTCOME_SQL = f"""WITH {IMAGES_SQL}, r AS (SELECT cust.id, split, n, bool_or(odd) AS odd, max(cls) AS top, min(cls) AS low, string_agg(printf('%d 0.50000000 %.8f 0.25000000 0.12500000', 3 - cls, y), '|' ORDER BY k) AS labels FROM cust LEFT JOIN ln USING (id, split) GROUP BY 1, 2, 3),
+d AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'missing_label' WHEN n = 0 THEN 'empty_label_skipped' WHEN odd OR top >= 6 THEN 'invalid_or_unknown' WHEN top >= 4 AND low < 4 THEN 'ambiguous_mixed' WHEN low >= 4 THEN 'negative' ELSE 'kept' END AS outcome FROM r)"""
+LENIENT_ROWS = [(c, POLICY.get(c), "target" if c < 4 else "negative") for c in range(6)]
+
+
+@query("c3_drop_taxonomy", OUTCOME_SQL + " SELECT outcome, count(*) AS n FROM d GROUP BY 1")
 def c3(spark, sf_dir):
-    names = F.when(F.col("decision") == "target", "kept").when(F.col("decision") == "negative_candidate", "negative").otherwise("ambiguous_mixed")
-    return c1(spark, sf_dir).groupBy(names.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    lines = image_lines(spark, sf_dir).withColumn("found", F.col("id") % 13 != 0)
+    classes = spark.createDataFrame(LENIENT_ROWS, "source_class int, target_class int, role string")
+    return records.lenient(lines, ["id"], classes, "found").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c4_core_reject", f"""WITH {ROLES_SQL}, f AS (SELECT l_orderkey, string_agg(DISTINCT CAST(target_class AS VARCHAR), ',' ORDER BY CAST(target_class AS VARCHAR)) AS classes, bool_or(target_class IS NULL) AS unknown FROM roles GROUP BY 1)
@@ -282,9 +368,11 @@ def f4(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", keys.grid_bits(F.col("embedding"), 8, 8, rising=True).alias("bits"))
 
 
-@query("f5_fingerprint", f"WITH {PICTURES_SQL} SELECT id, sha256, dhash, width, height FROM pictures")
+@query("f5_fingerprint", DHASH_SQL.replace("{op}", ">").replace("SELECT vec_id, bits FROM b", "") + """, h AS (SELECT vec_id, string_agg(format('{:x}', CAST(('0b' || substr(bits, CAST(k * 4 + 1 AS INT), 4)) AS INT)), '' ORDER BY k) AS dhash FROM b, range(14) AS r(k) GROUP BY vec_id)
+SELECT vec_id, sha256(CAST(vec_id AS VARCHAR)) AS sha256, dhash, 8 AS width, 8 AS height FROM h""")
 def f5(spark, sf_dir):
-    return pictures(spark, sf_dir).select("id", "sha256", "dhash", "width", "height")
+    made = keys.fingerprint(F.col("vec_id").cast("string"), F.col("embedding"), F.lit(8), F.lit(8), 8, 8)
+    return table(spark, sf_dir, "embeddings").select("vec_id", made.alias("f")).select("vec_id", "f.*")
 
 
 NAMES_SQL = "SELECT p_partkey, 'src' || CAST(p_partkey % 3 AS VARCHAR) AS source, {key} AS family FROM (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_aug_' || CAST(p_partkey AS VARCHAR) ELSE '' END AS s, '.rf.' || CAST(p_partkey AS VARCHAR) AS m FROM part)"
@@ -319,13 +407,19 @@ def f10(spark, sf_dir):
     return n.select("p_partkey", keys.output_name(F.col("source"), keys.sha256(F.col("p_name")), F.col("path"), 12).alias("output_name"))
 
 
+@query("f10_numbered_name", "SELECT p_partkey, 'src_' || CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 4, '0') ELSE CAST(p_partkey AS VARCHAR) END || '_' || substr(sha1(p_name), 1, 10) || '.jpg' AS output_name FROM part")
+def f10_numbered(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", keys.numbered_name(F.lit("src"), F.col("p_partkey"), F.col("p_name"), F.lit("d/a.JPG")).alias("output_name"))
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 
 @query("j1_pairing", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'image_only' WHEN d.doc_id IS NULL THEN 'label_only' ELSE 'paired' END AS pairing
-FROM (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
 def j1(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 3").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     return match.pair(d, table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
 
 
@@ -373,21 +467,21 @@ def j6(spark, sf_dir):
     return match.overlap(*_dated(spark, sf_dir), "l_partkey")
 
 
-@query("j8_three_relations", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON p_partkey = l_partkey""")
+@query("j8_three_relations", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey""")
 def j8(spark, sf_dir):
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("file_name"), F.lit(1).alias("width"), F.lit(1).alias("height"))
-    categories = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    categories = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"), "l_suppkey", "l_linenumber")
     done = match.coco_labels(images, notes, categories)
     return done.select(F.col("image_id").alias("l_orderkey"), "l_linenumber", F.col("category_id").alias("l_partkey"), "l_suppkey", F.col("file_name").alias("o_orderpriority"), F.col("category").alias("p_name"))
 
 
-@query("j9_compare", """WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 0 AND user_id % 7 <> 0 GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 1 AND user_id % 5 <> 0 GROUP BY 1)
+@query("j9_compare", """WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, a.v AS before, b.v AS after, b.v - a.v AS change FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def j9(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     best = lambda df: df.groupBy("user_id").agg(F.max("value").alias("v"))
-    return match.compare(best(e.filter("event_id % 2 = 0 and user_id % 7 <> 0")), best(e.filter("event_id % 2 = 1 and user_id % 5 <> 0")), "user_id", "v")
+    return match.compare(best(e.filter("event_type = 'click'")), best(e.filter("event_type = 'purchase'")), "user_id", "v")
 
 
 # --- duplicates ----------------------------------------------------------------------------
@@ -440,44 +534,65 @@ def d5(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return numeric_lines(spark, sf_dir).withColumn("p", labels.parse_line(F.col("line"), 6))
+    return labels.parsed(numeric_lines(spark, sf_dir), "line", "p", 7)
 
 
-@query("a1_line_counts", "SELECT count(*) FILTER (l_linenumber < 6) AS valid_lines, count(*) FILTER (l_linenumber < 6) AS box_lines, count(*) FILTER (false) AS polygon_lines, count(*) FILTER (l_linenumber >= 6) AS invalid_lines FROM lineitem")
+@query("a1_line_counts", f"SELECT count(*) FILTER ({VALID_SQL}) AS valid_lines, count(*) FILTER (l_linenumber < 6) AS box_lines, count(*) FILTER (l_linenumber = 6 AND {VALID_SQL}) AS polygon_lines, count(*) FILTER (NOT {VALID_SQL}) AS invalid_lines FROM lineitem")
 def a1(spark, sf_dir):
     return report.line_counts(_parsed(spark, sf_dir), "p")
 
 
-@query("a1_class_counts", "SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS lines FROM lineitem WHERE l_linenumber < 6 GROUP BY 1")
+@query("a1_class_counts", f"SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS lines FROM lineitem WHERE {VALID_SQL} GROUP BY 1")
 def a1_classes(spark, sf_dir):
     return report.class_counts(_parsed(spark, sf_dir), "p")
 
 
-@query("a2_audit_by_split", "SELECT l_returnflag AS split, count(DISTINCT l_orderkey) AS records, count(*) AS lines, count(*) FILTER (l_linenumber >= 6) AS invalid_lines FROM lineitem GROUP BY 1")
+@query("a2_audit_by_split", f"SELECT l_returnflag AS split, count(DISTINCT l_orderkey) AS records, count(*) AS lines, count(*) FILTER (NOT {VALID_SQL}) AS invalid_lines FROM lineitem GROUP BY 1")
 def a2(spark, sf_dir):
-    flags = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
-    return flags.groupBy(F.col("l_returnflag").alias("split")).agg(
-        F.count_distinct("l_orderkey").alias("records"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_linenumber") >= 6).alias("invalid_lines")
-    )
+    return report.audited(_parsed(spark, sf_dir), "l_returnflag", "l_orderkey", "p")
+
+
+COCO_SQL = """
+im AS (SELECT c_custkey AS id, c_mktsegment <> 'MACHINERY' AS found, c_custkey % 17 > 0 AS sized FROM customer),
+an AS (SELECT o_orderkey AS id, o_custkey AS image_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS cat, o_orderkey % 50 > 0 AS wide, substr(o_orderpriority, 3) AS name FROM orders)"""
+
+
+def coco_file(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Writes customers as images and orders as annotations into one COCO file; also the images' paths.
 
+    Images of some customers have no width, and those of one segment no file.
+    """
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("batch/c"), F.col("c_custkey").cast("string"), F.lit(".jpg"))
+    images = c.select(F.struct(F.col("c_custkey").alias("id"), name.alias("file_name"), F.when(F.col("c_custkey") % 17 > 0, 100).otherwise(0).alias("width"), F.lit(100).alias("height")).alias("x"))
+    box = F.array(F.lit(10.0), F.lit(20.0), (F.col("o_orderkey") % 50).cast("double"), F.lit(20.0))
+    cat = F.substring("o_orderpriority", 1, 1).cast("bigint")
+    notes = o.select(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), cat.alias("category_id"), box.alias("bbox")).alias("x"))
+    cats = o.select(F.struct(cat.alias("id"), F.substring("o_orderpriority", 3, 20).alias("name")).alias("x")).distinct()
+    data = {k: [r["x"].asDict() for r in df.collect()] for k, df in (("images", images), ("annotations", notes), ("categories", cats))}
+    root = scratch(spark)
+    one = spark.createDataFrame([("notes.json", json.dumps(data))], "name string, content string")
+    outputs.write_files(one, root, "name", "content")
+    found = c.filter("c_mktsegment <> 'MACHINERY'").select(F.concat(F.lit("/data/"), name).alias("path"))
+    return f"{root}/notes.json", found
 
-@query("a3_coco_audit", "SELECT (SELECT count(*) FROM documents) AS declared_images, (SELECT count(*) FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS found_images, (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS missing_images")
+
+@query("a3_coco_audit", f"WITH {COCO_SQL} SELECT (SELECT count(*) FROM im) AS declared_images, (SELECT count(*) FROM im WHERE found) AS found_images, (SELECT count(*) FROM im WHERE NOT found) AS missing_images, (SELECT count(*) FROM an) AS annotations, (SELECT count(DISTINCT cat) FROM an) AS categories")
 def a3(spark, sf_dir):
-    name = F.concat(F.lit("pic"), F.col("doc_id").cast("string"), F.lit(".jpg"))
-    wanted = table(spark, sf_dir, "documents").select("doc_id", name.alias("file_name"))
-    found = table(spark, sf_dir, "labels").select(F.concat(F.lit("/data/images/"), name).alias("path"))
-    return files.located(wanted, found).agg(
-        F.count(F.lit(1)).alias("declared_images"), F.count("path").alias("found_images"), F.count_if(F.col("path").isNull()).alias("missing_images")
-    )
+    path, found = coco_file(spark, sf_dir)
+    return coco.audit(coco.read(spark, path), found)
 
 
-@query("a4_audit_union", "SELECT 'lines' AS source, count(*) AS rows_ FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'events', count(*) FROM events")
+@query("a4_audit_union", f"""WITH {IMAGES_SQL}, {COCO_SQL}, t AS (SELECT (SELECT count(*) FROM cust) AS images, (SELECT count(*) FROM cust) AS label_files, (SELECT count(*) FROM ln) AS lines, (SELECT count(*) FROM ln WHERE odd OR cls >= 6) AS invalid_lines)
+SELECT 'lines' AS source, unnest(['images', 'label_files', 'lines', 'invalid_lines']) AS measure, unnest([images, label_files, lines, invalid_lines]) AS n FROM t
+UNION ALL SELECT 'coco', unnest(['declared_images', 'found_images', 'missing_images', 'annotations', 'categories']), unnest([(SELECT count(*) FROM im), 0, (SELECT count(*) FROM im), (SELECT count(*) FROM an), (SELECT count(DISTINCT cat) FROM an)])""")
 def a4(spark, sf_dir):
-    n = lambda source, name: table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("rows_")).select(F.lit(source).alias("source"), "rows_")
-    return n("lines", "lineitem").unionByName(n("documents", "documents")).unionByName(n("events", "events"))
+    path, _ = coco_file(spark, sf_dir)
+    specs = [{"name": "lines", "format": "lines", "root": tree(spark, sf_dir), "classes": 6}, {"name": "coco", "format": "coco", "root": f"{path}-none", "annotations": path}]
+    return scan.audits(spark, specs)
 
 
-@query("a5_zero_filled", "SELECT c.class_id, coalesce(n, 0) AS lines FROM (SELECT unnest(range(0, 10))::INT AS class_id) c LEFT JOIN (SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS n FROM lineitem WHERE l_linenumber < 6 GROUP BY 1) USING (class_id)")
+@query("a5_zero_filled", "SELECT c.class_id, coalesce(n, 0) AS lines FROM (SELECT unnest(range(0, 10))::INT AS class_id) c LEFT JOIN (SELECT CAST(l_linenumber AS INT) AS class_id, count(*) AS n FROM lineitem WHERE " + VALID_SQL + " GROUP BY 1) USING (class_id)")
 def a5(spark, sf_dir):
     return report.zero_filled(report.class_counts(_parsed(spark, sf_dir), "p"), "class_id", list(range(10)), "lines")
 
@@ -543,9 +658,9 @@ def a12(spark, sf_dir):
     return detections.distinct_contents(table(spark, sf_dir, "documents"), "text")
 
 
-@query("a13_result_record", "SELECT user_id, avg(value) AS mean_value, max(value) AS best_value, count(*) AS n FROM events GROUP BY 1")
+@query("a13_result_record", "SELECT user_id, avg(value) AS mean_value, max(value) AS best_value, count(*) AS n, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'error') AS error FROM events GROUP BY 1")
 def a13(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean_value"), F.max("value").alias("best_value"), F.count(F.lit(1)).alias("n"))
+    return report.result_record(table(spark, sf_dir, "events"), "user_id", "event_type", "value", ["click", "error"])
 
 
 # --- caps, splits, selections --------------------------------------------------------------
@@ -573,22 +688,26 @@ FAMILIES_SQL = f"""WITH f AS (SELECT l_orderkey AS family, min(o_orderpriority)
 """
 
 
-@query("x3_split_by_records", FAMILIES_SQL + """p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, family) = 1 AS first_ FROM f),
+X3_SQL = """p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, family) = 1 AS first_ FROM f),
 c AS (SELECT count(*) AS nf, count(DISTINCT source) AS ns, greatest(1, round_even(sum(size) * 0.12::DOUBLE, 0)) AS target FROM f),
 q AS (SELECT p.*, nf, target, first_ AND target >= ns AND nf > ns AS pre FROM p, c),
 b AS (SELECT coalesce(sum(size) FILTER (pre), 0) AS base, count(*) FILTER (pre) AS np FROM q),
-w AS (SELECT q.*, base, np, coalesce(sum(size) OVER (PARTITION BY pre ORDER BY o, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY pre ORDER BY o, family) AS rk FROM q, b)
-SELECT family, source, size, CASE WHEN pre OR (base + before < target AND rk <= nf - 1 - np) THEN 'valid' ELSE 'train' END AS split FROM w""")
+w AS (SELECT q.*, base, np, coalesce(sum(size) OVER (PARTITION BY pre ORDER BY o, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY pre ORDER BY o, family) AS rk FROM q, b)"""
+X3_SELECT = "SELECT family, source, size, CASE WHEN pre OR (base + before < target AND rk <= nf - 1 - np) THEN 'valid' ELSE 'train' END AS split FROM w"
+X4_SQL = """c AS (SELECT count(*) AS nf, least(greatest(1, round_even(count(*) * 0.12::DOUBLE, 0)), count(*) - 1) AS target FROM f),
+s AS (SELECT source, count(*) AS n FROM f GROUP BY 1), e AS (SELECT count(*) FILTER (n >= 2) AS el FROM s),
+p AS (SELECT f.*, s.n, c.target, e.el, target >= el AS room, row_number() OVER (PARTITION BY f.source ORDER BY o, family) = 1 AND n >= 2 AND target >= el AS pre FROM f JOIN s USING (source), c, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, pre ORDER BY o, family) AS rk FROM p),
+k AS (SELECT *, CASE WHEN pre THEN 0 ELSE row_number() OVER (PARTITION BY pre ORDER BY rk > n - 1 - CASE WHEN room AND n >= 2 THEN 1 ELSE 0 END, o, family) END AS pos FROM r)"""
+X4_SELECT = "SELECT family, source, size, CASE WHEN pre OR pos <= target - CASE WHEN room THEN el ELSE 0 END THEN 'valid' ELSE 'train' END AS split FROM k"
+
+
+@query("x3_split_by_records", FAMILIES_SQL + X3_SQL + " " + X3_SELECT)
 def x3(spark, sf_dir):
     return select.split_by_records(families(spark, sf_dir), "l_orderkey", "source", 0.12, SEED)
 
 
-@query("x4_split_by_families", FAMILIES_SQL + """c AS (SELECT count(*) AS nf, least(greatest(1, round_even(count(*) * 0.12::DOUBLE, 0)), count(*) - 1) AS target FROM f),
-s AS (SELECT source, count(*) AS n FROM f GROUP BY 1), e AS (SELECT count(*) FILTER (n >= 2) AS el FROM s),
-p AS (SELECT f.*, s.n, c.target, e.el, target >= el AS room, row_number() OVER (PARTITION BY f.source ORDER BY o, family) = 1 AND n >= 2 AND target >= el AS pre FROM f JOIN s USING (source), c, e),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, pre ORDER BY o, family) AS rk FROM p),
-k AS (SELECT *, CASE WHEN pre THEN 0 ELSE row_number() OVER (PARTITION BY pre ORDER BY rk > n - 1 - CASE WHEN room AND n >= 2 THEN 1 ELSE 0 END, o, family) END AS pos FROM r)
-SELECT family, source, size, CASE WHEN pre OR pos <= target - CASE WHEN room THEN el ELSE 0 END THEN 'valid' ELSE 'train' END AS split FROM k""")
+@query("x4_split_by_families", FAMILIES_SQL + X4_SQL + " " + X4_SELECT)
 def x4(spark, sf_dir):
     return select.split_by_families(families(spark, sf_dir), "l_orderkey", "source", 0.12, SEED)
 
@@ -672,7 +791,7 @@ def t4(spark, sf_dir):
 
 @query("t5_confident", "SELECT event_id FROM events WHERE value >= 0.5")
 def t5(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter(F.col("value") >= 0.5).select("event_id")
+    return report.confident(table(spark, sf_dir, "events"), "value", 0.5).select("event_id")
 
 
 @query("t6_first_matching", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*e') ORDER BY p_name, p_partkey LIMIT 1")
@@ -697,10 +816,10 @@ def u3(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("u4_disjoint", "SELECT NOT EXISTS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1) AS halves, NOT EXISTS (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) AS labelled")
+@query("u4_disjoint", "SELECT NOT EXISTS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AS halves, NOT EXISTS (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) AS labelled")
 def u4(spark, sf_dir):
     o, d = table(spark, sf_dir, "orders"), table(spark, sf_dir, "documents")
-    halves = match.disjoint(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "o_orderkey")
+    halves = match.disjoint(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), "o_orderkey")
     return spark.createDataFrame([(halves, match.disjoint(d, table(spark, sf_dir, "labels"), "doc_id"))], "halves boolean, labelled boolean")
 
 
@@ -719,9 +838,19 @@ SELECT code, count(*) AS n FROM (SELECT unnest([CASE WHEN l_linenumber = 7 THEN
 CASE WHEN l_linenumber <> 7 AND NOT (x BETWEEN 0 AND 1) THEN 'invalid_x_center' END, CASE WHEN l_linenumber <> 7 AND NOT (y BETWEEN 0 AND 1) THEN 'invalid_y_center' END,
 CASE WHEN l_linenumber <> 7 AND NOT (w > 0 AND w <= 1) THEN 'invalid_width' END, CASE WHEN l_linenumber <> 7 AND NOT (h > 0 AND h <= 1) THEN 'invalid_height' END]) AS code FROM v) WHERE code IS NOT NULL GROUP BY 1""")
 def i1(spark, sf_dir):
-    five = F.concat_ws(" ", F.col("l_linenumber").cast("string"), (F.col("l_discount") * 12).cast("string"), F.col("l_tax").cast("string"), (F.col("l_quantity") / 40).cast("string"), (F.col("l_tax") * 20).cast("string"))
-    line = F.when(F.col("l_linenumber") == 7, F.concat(five, F.lit(" 9"))).otherwise(five)
-    return checks.label_violations(table(spark, sf_dir, "lineitem").select(line.alias("line")), "line", [1, 2, 3, 4])
+    return checks.label_violations(boundary_lines(spark, sf_dir), "line", [1, 2, 3, 4])
+
+
+@query("i1_dataset_violations", PROTECT_SQL + """, dk AS (SELECT doc_id, source FROM documents)
+SELECT * FROM (SELECT 'benchmark_exact_overlap' AS code, count(*) AS n FROM m WHERE match = 'exact' UNION ALL SELECT 'benchmark_perceptual_overlap', count(*) FROM m WHERE match = 'perceptual'
+UNION ALL SELECT 'missing_label_file', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'missing_image_file', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'exact_overlap', count(*) FROM (SELECT sha256 FROM free GROUP BY 1 HAVING count(DISTINCT source) > 1)
+UNION ALL SELECT 'non_five_token_label', count(*) FROM ln WHERE odd UNION ALL SELECT 'invalid_class_id', count(*) FROM ln WHERE NOT odd AND cls > 3) WHERE n > 0""".replace(", dk AS (SELECT doc_id, source FROM documents)", f", {IMAGES_SQL}"))
+def i1_dataset(spark, sf_dir):
+    free, held = _sides(spark, sf_dir)
+    docs, marks = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    lines = image_lines(spark, sf_dir).filter("line is not null")
+    return checks.dataset_violations(free, "source", {"exact_overlap": ["sha256"]}, held, lines, "line", [0, 1, 2, 3], docs, marks, ["doc_id"])
 
 
 @query("i1_split_violations", """SELECT * FROM (SELECT 'family_overlap' AS code, count(*) AS n FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)
@@ -730,50 +859,110 @@ def i1_split(spark, sf_dir):
     return checks.split_violations(table(spark, sf_dir, "lineitem"), "l_returnflag", {"family_overlap": ["l_partkey"], "exact_overlap": ["l_orderkey", "l_linenumber"]})
 
 
-@query("i2_counts_check", "SELECT l_returnflag AS split, count(DISTINCT l_orderkey) AS images, count(DISTINCT CASE WHEN l_linenumber < 6 THEN l_orderkey END) AS label_files FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) <> count(DISTINCT CASE WHEN l_linenumber < 6 THEN l_orderkey END)")
+@query("i2_counts_check", """SELECT * FROM (SELECT 'unequal_counts' AS code, count(*) AS n FROM (SELECT l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) <> count(DISTINCT CASE WHEN l_linenumber < 6 THEN l_orderkey END))
+UNION ALL SELECT 'class_out_of_range', count(*) FROM lineitem WHERE l_linenumber > 5 UNION ALL SELECT 'family_leakage', count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)) WHERE n > 0""")
 def i2(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("split")).agg(
-        F.count_distinct("l_orderkey").alias("images"), F.count_distinct(F.when(F.col("l_linenumber") < 6, F.col("l_orderkey"))).alias("label_files")
-    )
-    return g.filter("images <> label_files")
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    return checks.built_violations(li, li.filter("l_linenumber < 6"), li, li, "l_returnflag", "l_orderkey", "l_orderkey", "l_linenumber", 6, "l_partkey")
 
 
-@query("i3_absent_classes", "SELECT CAST(c AS INT) AS class_id FROM (SELECT unnest(range(0, 10)) AS c) WHERE c NOT IN (SELECT l_linenumber FROM lineitem WHERE l_linenumber < 6)")
+@query("i3_absent_classes", "SELECT CAST(c AS INT) AS class_id FROM (SELECT unnest(range(0, 10)) AS c) WHERE c NOT IN (SELECT l_linenumber FROM lineitem WHERE " + VALID_SQL + ")")
 def i3(spark, sf_dir):
     return checks.absent_classes(a5(spark, sf_dir), "class_id", "lines")
 
 
 @query("i4_class_list", "SELECT count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation")
 def i4(spark, sf_dir):
-    n = checks.require_rows(table(spark, sf_dir, "nation"), 25)
+    n = checks.require_classes(checks.require_rows(table(spark, sf_dir, "nation"), 25), "n_nationkey", "n_name", [f"NATION_{i}" for i in range(25)])
     listed = n.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
     return listed.select("n", F.array_join(F.transform("l", lambda x: x["n_name"]), ",").alias("names"))
 
 
-@query("e1_extract_detections", "SELECT event_id, 'c' || CAST(user_id % 3 AS VARCHAR) AS class, value AS confidence, round_even(value * 16, 0) / 16 AS left_ FROM events WHERE user_id % 3 < 3")
+@query("e1_extract_detections", "SELECT event_id, 'c' || CAST(user_id % 3 AS VARCHAR) AS class, value AS confidence, CAST(printf('%.1f', value) AS DOUBLE) AS left_, CAST(printf('%.1f', value / 3) AS DOUBLE) AS top_ FROM events")
 def e1(spark, sf_dir):
-    # sixteenths are exact in binary and have at most four decimals, so all engines agree
-    edge = F.bround(F.col("value") * 16) / 16
-    box = F.struct((F.col("user_id") % 3).cast("int").alias("cls"), F.col("value").alias("conf"), F.array(F.floor(edge).cast("double")).alias("xyxy"))
-    found = detections.extracted(table(spark, sf_dir, "events").select("event_id", F.array(box).alias("b"), edge.alias("left_")), ["event_id", "left_"], "b", {0: "c0", 1: "c1", 2: "c2"})
-    return found.select("event_id", "class", "confidence", "left_")
+    box = F.struct((F.col("user_id") % 3).cast("int").alias("cls"), F.col("value").alias("conf"), F.array(F.col("value"), F.col("value") / 3).alias("xyxy"))
+    found = detections.extracted(table(spark, sf_dir, "events").select("event_id", F.array(box).alias("b")), ["event_id"], "b", {0: "c0", 1: "c1", 2: "c2"})
+    return found.select("event_id", "class", "confidence", F.get("box", 0).alias("left_"), F.get("box", 1).alias("top_"))
 
 
-@query("e2_detection_rows", "SELECT user_id, count(*) AS n, max(k) AS last_number FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY 1")
+@query("e2_detection_rows", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_type AS class, round_even(value / 7, 3) AS confidence FROM events")
 def e2(spark, sf_dir):
-    item = F.struct(F.col("event_id"), F.lit("c").alias("class"), F.col("value").alias("confidence"))
+    item = F.struct(F.col("event_id"), F.col("event_type").alias("class"), (F.col("value") / 7).alias("confidence"))
     per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return detections.numbered(per, ["user_id"], "items").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("number").cast("long").alias("last_number"))
+    return detections.numbered(per, ["user_id"], "items").withColumn("number", F.col("number").cast("long"))
+
+
+# --- whole scans and files -----------------------------------------------------------------
 
 
-BUILD_HEAD = f"""WITH {PICTURES_SQL}, held AS (SELECT DISTINCT sha256 FROM pictures WHERE source = 'src0'), heldp AS (SELECT DISTINCT dhash, width, height FROM pictures WHERE source = 'src0'),
-rec AS (SELECT p.*, quality = 0 AS neg FROM pictures p JOIN labels ON doc_id = id WHERE source <> 'src0'),
-n AS (SELECT CAST(floor(0.05::DOUBLE * count(*) / (1 - 0.05::DOUBLE)) AS BIGINT) AS most FROM rec WHERE NOT neg),
-cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY neg ORDER BY {HASH.format('id')}, id) AS k FROM rec), n WHERE NOT neg OR k <= most),
-uni AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dhash, width, height ORDER BY source, image_path) AS r FROM cap WHERE sha256 NOT IN (SELECT sha256 FROM held) AND (dhash, width, height) NOT IN (SELECT (dhash, width, height) FROM heldp)) WHERE r = 1)"""
+@query("s1_paired_records", OUTCOME_SQL + """, e AS (SELECT *, CASE WHEN n = 0 THEN 'empty_label' WHEN odd THEN 'non_detection_label' WHEN top >= 4 THEN 'unsupported_class' END AS drop_reason FROM r)
+SELECT 'customers' AS source, split AS source_split, 'c' || id AS stem, CASE WHEN drop_reason IS NULL THEN labels ELSE '' END AS labels, false AS is_negative, drop_reason FROM e""")
+def s1(spark, sf_dir):
+    done = scan.paired_records(spark, policy(tree(spark, sf_dir), unsupported=frozenset(range(4, 8))))
+    return done.select("source", "source_split", stem_of("image_path"), F.array_join("labels", "|").alias("labels"), "is_negative", "drop_reason")
+
+
+@query("s2_nested_records", OUTCOME_SQL + " SELECT 'customers' AS source, split AS source_split, 'c' || id AS stem, CASE WHEN outcome = 'kept' THEN labels ELSE '' END AS labels, outcome FROM d")
+def s2(spark, sf_dir):
+    done = scan.nested_records(spark, policy(tree(spark, sf_dir, missing=13), negative=frozenset((4, 5))))
+    return done.select("source", "source_split", stem_of("image_path"), F.array_join("labels", "|").alias("labels"), "outcome")
+
+
+@query("s4_label_lines", f"WITH {IMAGES_SQL} SELECT 'c' || cust.id AS stem, CAST(k - 1 AS INT) AS line_no, cls || ' 0.5 ' || y || ' 0.25 0.125' || CASE WHEN odd THEN ' 9' ELSE '' END AS line FROM cust LEFT JOIN ln USING (id)")
+def s4(spark, sf_dir):
+    return files.label_lines(spark, tree(spark, sf_dir)).select(stem_of("path"), "line_no", "line")
+
+
+@query("s9_labelled_candidates", f"""WITH {IMAGES_SQL}, g AS (SELECT id, split, string_agg(cls - 1 || ' 0.5 ' || y || ' 0.25 0.125', '|' ORDER BY k) FILTER (cls BETWEEN 1 AND 4) AS labels, string_agg(CASE WHEN cls = 0 THEN 'BIODEGRADABLE' ELSE 'class_' || cls END, '|' ORDER BY k) FILTER (cls = 0 OR cls > 4) AS other FROM ln GROUP BY 1, 2)
+SELECT 'c' || id AS stem, split AS source_split, CASE WHEN other IS NULL THEN labels ELSE '' END AS labels, coalesce(other, '') AS unknown_labels, CASE WHEN labels IS NULL THEN 'reject' WHEN other IS NULL THEN 'core' ELSE 'mixed' END AS part FROM g""")
+def s9(spark, sf_dir):
+    classes = spark.createDataFrame([(c, c - 1, "target") for c in range(1, 5)], "source_class int, target_class int, role string")
+    done = scan.labelled_candidates(spark, tree(spark, sf_dir), classes)
+    return done.select(stem_of("image_path"), "source_split", F.array_join("labels", "|").alias("labels"), F.array_join("unknown_labels", "|").alias("unknown_labels"), "part")
+
+
+@query("s10_coco_candidates", f"""WITH {COCO_SQL}, g AS (SELECT im.id, count(*) FILTER (cat <= 4 AND sized AND wide) AS n_boxes, coalesce(string_agg(DISTINCT CAST(cat - 1 AS VARCHAR), ',' ORDER BY CAST(cat - 1 AS VARCHAR)) FILTER (cat <= 4 AND sized AND wide), '') AS classes,
+coalesce(string_agg(name, ',' ORDER BY name) FILTER (cat = 5), '') AS unknown_labels FROM im JOIN an ON im.id = image_id WHERE found GROUP BY 1)
+SELECT id, n_boxes, classes, unknown_labels, CASE WHEN classes <> '' AND unknown_labels <> '' THEN 'mixed' WHEN classes <> '' THEN 'core' WHEN unknown_labels <> '' THEN 'reject' ELSE 'empty' END AS part FROM g""")
+def s10(spark, sf_dir):
+    path, found = coco_file(spark, sf_dir)
+    classes = spark.createDataFrame([(c, c - 1, "target") for c in range(1, 5)], "source_class int, target_class int, role string")
+    done = coco.candidates(coco.read(spark, path), found, classes)
+    joined = F.array_join(F.transform("classes", lambda c: c.cast("string")), ",")
+    return done.select("id", F.size("boxes").cast("long").alias("n_boxes"), joined.alias("classes"), F.array_join("unknown_labels", ",").alias("unknown_labels"), "part")
+
+
+@query("k1_written_dataset", OUTCOME_SQL + """ SELECT split, 'c' || id AS stem, true AS image, labels AS label FROM r WHERE n > 0 AND NOT odd AND top < 4""")
+def k1(spark, sf_dir):
+    done = scan.paired_records(spark, policy(tree(spark, sf_dir), unsupported=frozenset(range(4, 8)))).filter("drop_reason is null")
+    named = done.withColumn("output_name", keys.base_name(F.col("image_path"))).withColumnRenamed("source_split", "final_split")
+    root = scratch(spark) + "/out"
+    outputs.write_dataset(named, root)
+    images = files.images(spark, root).select(files.split_of(F.col("path")).alias("split"), stem_of("path"), (F.col("length") > 0).alias("image"))
+    lines = files.label_lines(spark, root).groupBy(files.split_of(F.col("path")).alias("split"), stem_of("path")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return images.join(lines, ["split", "stem"], "full_outer").select("split", "stem", "image", F.array_join(F.transform("l", lambda x: x["line"]), "|").alias("label"))
+
+
+# --- builds ---------------------------------------------------------------------------------
+
+RECORDS_HEAD = f"""WITH {PICTURES_SQL}, held AS (SELECT DISTINCT sha256 FROM pictures WHERE source = 'src0'), heldp AS (SELECT DISTINCT dhash, width, height FROM pictures WHERE source = 'src0'),
+rec AS (SELECT p.*, quality = 0 AS neg, p.source || ':' || coalesce(lang, 'none') AS family_id FROM pictures p JOIN labels l ON l.doc_id = id JOIN documents d ON d.doc_id = id WHERE p.source <> 'src0'),
+"""
+CAP_SQL = f"""n AS (SELECT CAST(floor(0.05::DOUBLE * count(*) / (1 - 0.05::DOUBLE)) AS BIGINT) AS most FROM {{rel}} WHERE NOT neg),
+{{out}} AS (SELECT * EXCLUDE (k, most) FROM (SELECT *, row_number() OVER (PARTITION BY neg ORDER BY {HASH.format('id')}, id) AS k FROM {{rel}}), n WHERE NOT neg OR k <= most)"""
+TAG_SQL = """mt AS (SELECT c.*, CASE WHEN sha256 IN (SELECT sha256 FROM held) THEN 'benchmark_exact' WHEN (dhash, width, height) IN (SELECT (dhash, width, height) FROM heldp) THEN 'benchmark_perceptual' END AS hit FROM {rel} c),
+tagged AS (SELECT *, CASE WHEN hit IS NOT NULL THEN hit WHEN row_number() OVER q = 1 THEN NULL WHEN sha256 = first_value(sha256) OVER q THEN 'duplicate_exact' ELSE 'duplicate_perceptual' END AS drop_reason
+  FROM mt WINDOW q AS (PARTITION BY dhash, width, height, hit IS NULL ORDER BY source, image_path)),
+uni AS (SELECT * EXCLUDE (hit, drop_reason) FROM tagged WHERE drop_reason IS NULL)"""
+SPLIT_SQL = f""", f AS (SELECT family_id AS family, min(source) AS source, count(*) AS size, {HASH.format('family_id')} AS o FROM {{rel}} GROUP BY 1),
+"""
+SUMMARY_SQL = """ SELECT r.source, split AS outcome, count(*) AS n FROM {rel} r JOIN sp ON family = family_id GROUP BY 1, 2
+UNION ALL SELECT source, 'dropped:' || drop_reason, count(*) FROM tagged WHERE drop_reason IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT source, 'dropped:negative_cap', count(*) FROM {over} WHERE id NOT IN (SELECT id FROM {capped}) GROUP BY 1, 2"""
+FIRST_SQL = RECORDS_HEAD + CAP_SQL.format(rel="rec", out="cap") + ", " + TAG_SQL.format(rel="cap")
+LAST_SQL = RECORDS_HEAD + TAG_SQL.format(rel="rec") + ", " + CAP_SQL.format(rel="uni", out="cap")
 
 
-@query("b1_build_counts", BUILD_HEAD + " SELECT (SELECT count(*) FROM rec) - (SELECT count(*) FROM uni) AS dropped, (SELECT count(*) FROM uni) AS kept, (SELECT count(*) FROM uni WHERE neg) AS negatives")
+@query("b1_build_counts", FIRST_SQL + " SELECT (SELECT count(*) FROM rec) - (SELECT count(*) FROM uni) AS dropped, (SELECT count(*) FROM uni) AS kept, (SELECT count(*) FROM uni WHERE neg) AS negatives")
 def b1(spark, sf_dir):
     done = curated(spark, sf_dir)
     kept = done.kept.agg(F.count(F.lit(1)).alias("kept"), F.count_if("is_negative").alias("negatives"))
@@ -784,12 +973,14 @@ def curated(spark: SparkSession, sf_dir: str, mode: str = "cap_first") -> builds
     """Labelled documents as records, those of the first source as the protected benchmark."""
     p = pictures(spark, sf_dir)
     l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("is_negative"))
-    records = p.filter("source <> 'src0'").join(l, "id").withColumn("family_id", F.col("dhash"))
+    language = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    labelled_ = p.filter("source <> 'src0'").join(l, "id").join(language, "id")
+    records = labelled_.withColumn("family_id", F.concat_ws(":", "source", "lang")).drop("lang")
     priority = [f"src{i}" for i in sorted(range(1, 20), key=str)]
     return builds.build(records, p.filter("source = 'src0'"), priority, 0.05, 0.12, SEED, mode)
 
 
-@query("b2_build_last_mode")
+@query("b2_build_last_mode", LAST_SQL + SPLIT_SQL.format(rel="cap") + X4_SQL + ", sp AS (" + X4_SELECT + ")" + SUMMARY_SQL.format(rel="cap", over="uni", capped="cap"))
 def b2(spark, sf_dir):
     return builds.summary(curated(spark, sf_dir, "cap_last"))
 
@@ -799,7 +990,7 @@ def curate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builds.summary(curated(spark, sf_dir))
 
 
-query("b3_build_summary")(curate_documents)
+query("b3_build_summary", FIRST_SQL + SPLIT_SQL.format(rel="uni") + X3_SQL + ", sp AS (" + X3_SELECT + ")" + SUMMARY_SQL.format(rel="uni", over="rec", capped="cap"))(curate_documents)
 
 
 def queries() -> dict[str, Query]:

@@ -70,6 +70,17 @@ def output_name(source: Column, key: Column, path: Column, digits: int = 64) ->
     return F.concat(source, F.lit("__"), F.substring(key, 1, digits), extension(path))
 
 
+def numbered_name(source: Column, number: Column, content: Column, path: Column) -> Column:
+    """``source_0001_key.ext`` with a running number of four digits at least and ten digits of the SHA-1."""
+    digits = F.when(F.length(number.cast("string")) < 4, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
+    return F.concat(source, F.lit("_"), digits, F.lit("_"), sha1_prefix(content, 10), extension(path))
+
+
+def fingerprint(content: Column, grid: Column, width: Column, height: Column, columns: int = 9, rows: int = 8) -> Column:
+    """What tells pictures apart: content hash, difference hash of a grid of pixels, and size."""
+    return F.struct(sha256(content).alias("sha256"), dhash(grid, columns, rows).alias("dhash"), width.alias("width"), height.alias("height"))
+
+
 def seeded_order(seed: int | str, key: Column) -> Column:
     """The text that orders rows at random but alike in every run and engine."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256)

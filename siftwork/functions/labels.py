@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -46,6 +46,61 @@ def class_id(token: Column, nc: int | None = None, mode: str = "integral") -> Co
     return found if nc is None else _once(found, lambda v: F.when(v.between(0, nc - 1), v))
 
 
+def read_line(df: DataFrame, line: str, mode: str = "integral") -> DataFrame:
+    """``df`` with what a line of five tokens says: ``_n`` tokens, ``_class``, ``_v1`` to ``_v4``.
+
+    Each step is a column of its own, so that a token is cut and read once a row, in generated
+    code; the numbers are null where there are not five tokens.
+    """
+    clean = df.withColumn("_clean", F.regexp_replace(line, r"^\s+|\s+$", ""))
+    split = clean.withColumn("_w", F.split("_clean", r"\s+"))
+    n = F.when(F.col("_clean").isNull() | (F.col("_clean") == ""), 0).otherwise(F.size("_w"))
+    token = lambda k: F.when(F.col("_n") == 5, F.get("_w", k))
+    cut = split.withColumn("_n", n).withColumns({f"_t{k}": token(k) for k in range(1, 5)} | {"_t0": F.get("_w", 0)})
+    read = lambda k: F.when(F.col(f"_t{k}").rlike(DECIMAL), F.col(f"_t{k}").try_cast("double"))
+    raw = cut.withColumns({f"_r{k}": read(k) for k in range(5)})
+    finite = lambda k: F.when(F.abs(f"_r{k}") < float("inf"), F.col(f"_r{k}"))
+    first = F.col("_r0")
+    if mode == "digits":
+        cls = F.when(F.col("_t0").rlike(WHOLE), F.col("_t0").try_cast("int"))
+    elif mode == "truncate":
+        cls = F.when(F.abs(first) < 2**31, first.cast("int"))
+    else:
+        cls = F.when((first == F.floor(first)) & (F.abs(first) < 2**31), first.cast("int"))
+    said = raw.withColumns({f"_v{k}": finite(k) for k in range(1, 5)} | {"_class": cls})
+    return said.select(*df.columns, "_n", "_class", *[f"_v{k}" for k in range(1, 5)])
+
+
+def parsed(
+    df: DataFrame, line: str, name: str, nc: int | None = None, mode: str = "integral", polygons: bool = True, least_points: int = 3
+) -> DataFrame:
+    """``df`` with the struct of ``parse_line`` as the column ``name``; arrays are built for polygons only."""
+    if mode not in CLASS_MODES:
+        raise ValueError(f"mode must be one of {CLASS_MODES}")
+    v = [F.col(f"_v{k}") for k in range(1, 5)]
+    cls = F.col("_class") if nc is None else F.when(F.col("_class").between(0, nc - 1), F.col("_class"))
+    error = (
+        F.when(F.col("_id").isNull(), "class")
+        .when(~(in_unit(v[0]) & in_unit(v[1])), "coordinate")
+        .when(~(share(v[2]) & share(v[3])), "size")
+    )
+    judged = read_line(df, line, mode).withColumn("_id", cls).withColumn("_error", error)
+    sound = F.col("_error").isNull()
+    box = F.struct(
+        F.when(sound, "bbox").alias("kind"), F.when(sound, F.col("_id")).alias("class_id"),
+        *[F.when(sound, c).alias(k) for c, k in zip(v, "xywh")], F.when(sound, 0).alias("n_points"), F.col("_error").alias("error"),
+    )
+    none = F.lit(None)
+    odd = F.struct(
+        none.cast("string").alias("kind"), none.cast("int").alias("class_id"), *[none.cast("double").alias(k) for k in "xywh"],
+        none.cast("int").alias("n_points"), F.lit("tokens").alias("error"),
+    )
+    n, many = F.col("_n"), parse_line(F.col(line), nc, mode, polygons, least_points).cast(PARSED)
+    could = (n >= 1 + 2 * least_points) & (n % 2 == 1)
+    whole = F.when(n == 5, box.cast(PARSED)).when(could & F.lit(polygons), many).otherwise(odd.cast(PARSED))
+    return judged.select(*df.columns, whole.alias(name))
+
+
 def in_unit(value: Column) -> Column:
     """True for numbers of the closed unit interval, false for all else, nulls included."""
     return F.coalesce((value >= 0) & (value <= 1), F.lit(False))

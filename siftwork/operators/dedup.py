@@ -7,7 +7,7 @@ Only counts differ between the two ways to count (``two_passes`` and ``one_pass`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .match import PERCEPTUAL, match_kind
@@ -65,18 +65,22 @@ def one_pass(records: DataFrame, content: str, key: list[str], order: list[Colum
 def exclude_and_deduplicate(records: DataFrame, protected: DataFrame, order: list[Column | str]) -> DataFrame:
     """``records`` with ``drop_reason``: benchmark_exact, benchmark_perceptual, duplicate_exact,
     duplicate_perceptual or null for the rows that stay, in that order of checks."""
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    matched = match_kind(records, protected)
-    free = Window.partitionBy(*PERCEPTUAL, F.col("match").isNull()).orderBy(*order)
-    held = F.first("sha256").over(free)
+    order = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
+    matched = match_kind(records, protected).withColumn("_order", order)
+    # a mergeable minimum for each key, so that a key that many rows share needn't be sorted
+    held = matched.filter("match is null").groupBy(*PERCEPTUAL).agg(F.min(F.struct(F.col("_order").alias("o"), F.col("sha256").alias("sha"))).alias("_held"))
+    keys = held.withColumnsRenamed({c: f"_{c}" for c in PERCEPTUAL})
+    same = F.col("match").isNull()
+    for c in PERCEPTUAL:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     reason = (
         F.when(F.col("match") == "exact", "benchmark_exact")
         .when(F.col("match") == "perceptual", "benchmark_perceptual")
-        .when(F.row_number().over(free) == 1, F.lit(None).cast("string"))
-        .when(F.col("sha256") == held, "duplicate_exact")
+        .when(F.col("_order").eqNullSafe(F.col("_held")["o"]), F.lit(None).cast("string"))
+        .when(F.col("sha256").eqNullSafe(F.col("_held")["sha"]), "duplicate_exact")
         .otherwise("duplicate_perceptual")
     )
-    return matched.withColumn("drop_reason", reason).drop("match")
+    return matched.join(keys, same, "left").withColumn("drop_reason", reason).select(*records.columns, "drop_reason")
 
 
 def distinct_annotations(lines: DataFrame, record: list[str], line: str, order: str) -> DataFrame:

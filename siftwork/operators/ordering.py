@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 DIGITS = 3
 
 
-def placed(df: DataFrame, digest: str, by: list[str] = (), size: str | None = None, tie: list[str] = ()) -> DataFrame:
+def placed(df: DataFrame, digest: str, by: list[str] = (), size: str | None = None, tie: list[str] = (), digits: int = DIGITS) -> DataFrame:
     """``df`` with ``position`` (from 1) and ``before``, the sum of ``size`` over the rows ahead,
     in the order of the hex column ``digest``, then ``tie``, within each group of ``by``."""
     by = list(by)
-    sized = df.withColumn("_b", F.substring(digest, 1, DIGITS)).withColumn("_s", F.col(size) if size else F.lit(0))
+    sized = df.withColumn("_b", F.substring(digest, 1, digits)).withColumn("_s", F.col(size) if size else F.lit(0))
     along = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
     offsets = (

@@ -80,6 +80,24 @@ def preflight(lines: DataFrame, by: list[str], record: str, parsed: str) -> Data
     )
 
 
+def audited(lines: DataFrame, split: str, record: str, parsed: str) -> DataFrame:
+    """``split, records, lines, invalid_lines`` of a parsed-line column."""
+    return lines.groupBy(F.col(split).alias("split")).agg(
+        F.count_distinct(record).alias("records"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col(parsed)["error"].isNotNull()).alias("invalid_lines")
+    )
+
+
+def result_record(rows: DataFrame, run: str, cls: str, value: str, classes: list[str]) -> DataFrame:
+    """One row a run: mean, best and number of its values, and the best of each class, null where it has none."""
+    own = [F.max(F.when(F.col(cls) == c, F.col(value))).alias(c) for c in classes]
+    return rows.groupBy(run).agg(F.avg(value).alias("mean_value"), F.max(value).alias("best_value"), F.count(F.lit(1)).alias("n"), *own)
+
+
+def confident(detections: DataFrame, confidence: str, least: float) -> DataFrame:
+    """Detections of at least ``least`` confidence."""
+    return detections.filter(F.col(confidence) >= least)
+
+
 def records_with_class(records: DataFrame, key: str, classes: str) -> DataFrame:
     """For each class the records that have it and the annotations of it; ``key`` is unique."""
     each = records.select(F.col(key).alias("r"), F.explode(classes).alias("class_id"))

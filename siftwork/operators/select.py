@@ -1,7 +1,8 @@
 """Caps, splits and balanced selections, in a seeded order that any engine can repeat.
 
 The order is by ``sha256(seed:id)``. Running positions over all rows or families come from
-``ordering.placed``, so no task has to see them all. Only single numbers come to the driver.
+``ordering.placed``, so no task has to see them all. Only single numbers come to the driver. The
+splits read their families, one row each, several times and keep them (``persist``).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_order
-from .ordering import placed
+from .ordering import DIGITS, placed
 
 
 def _fraction(fraction: float) -> float:
@@ -46,7 +47,7 @@ def split_by_records(records: DataFrame, family: str, source: str, fraction: flo
     outnumber them; then families in seeded order while the target isn't met, and at least one
     family stays in train. A single family is train.
     """
-    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family")))
+    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family"))).persist()
     n = fams.agg(F.count(F.lit(1)).alias("f"), F.count_distinct("source").alias("s"), F.sum("size").alias("r")).first()
     target = max(1, round((n["r"] or 0) * _fraction(fraction)))
     if n["f"] <= 1:
@@ -68,7 +69,7 @@ def split_by_families(records: DataFrame, family: str, source: str, fraction: fl
     First one family of each source that has two or more, if there is room for all of these;
     then families in seeded order, those that leave their source a train family before others.
     """
-    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family")))
+    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family"))).persist()
     per = fams.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "family")).alias("m"))
     n = per.agg(F.sum("n").alias("f"), F.sum((F.col("n") >= 2).cast("int")).alias("eligible")).first()
     count = n["f"] or 0
@@ -83,7 +84,8 @@ def split_by_families(records: DataFrame, family: str, source: str, fraction: fl
     room = F.col("n") - 1 - (F.lit(pre) & (F.col("n") >= 2)).cast("int")
     # the families that can go without emptying their source come first
     ranked = own.withColumn("o2", F.concat(F.when(F.col("position") <= room, "0").otherwise("f"), "o")).drop("position")
-    chosen = placed(ranked, "o2", tie=["family"]).withColumn("valid", F.col("position") <= target - taken)
+    # one digit more, as the first one only tells the two parts apart
+    chosen = placed(ranked, "o2", tie=["family"], digits=DIGITS + 1).withColumn("valid", F.col("position") <= target - taken)
     every = chosen.select("family", "source", "size", "valid").unionByName(
         marked.filter("pre").select("family", "source", "size", F.lit(True).alias("valid"))
     )
@@ -136,7 +138,7 @@ def balanced(
     ranked = placed(marked, "o", by=["primary", "is_first"], tie=[key]).drop("before")
     picked = ranked.join(limits, F.col("primary").eqNullSafe(F.col("p"))).withColumn("picked", F.col("position") <= most.cast("long"))
     order = picked.withColumn("o2", F.concat(F.when(F.col("picked"), "0").otherwise("f"), "o")).drop("position")
-    chosen = placed(order, "o2", tie=[key]).filter(F.col("position") <= target)
+    chosen = placed(order, "o2", tie=[key], digits=DIGITS + 1).filter(F.col("position") <= target)
     return chosen.select(*records.columns, "primary", "picked")
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import fixed8
 
+#: The columns of a manifest, in order.
 MANIFEST = ["source", "source_split", "family_id", "is_negative", "source_image", "output_name", "final_split", "sha256", "dhash", "width", "height"]
 POLICIES = {"replace": "overwrite", "refuse": "errorifexists"}
 
@@ -18,6 +21,54 @@ def write_split(records: DataFrame, path: str, split: str = "final_split", polic
     records.write.mode(POLICIES[policy]).partitionBy(split).parquet(path)
 
 
+def _clear(spark: SparkSession, root: str, policy: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path):
+        if policy != "replace":
+            raise ValueError(f"{root} exists")
+        system.delete(path, True)
+
+
+def write_files(rows: DataFrame, root: str, name: str, content: str) -> None:
+    """One file below ``root`` for each row, in a folder that all executors share. Tasks that run
+    again write the same bytes to the same names."""
+
+    def write(part: Iterator[Row]) -> None:
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        made = set()
+        for r in part:
+            path = f"{base}/{r[name]}"
+            folder = path.rpartition("/")[0]
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            data = r[content] or b""
+            with system.open_output_stream(path) as f:
+                f.write(data.encode("utf-8") if isinstance(data, str) else bytes(data))
+
+    rows.select(name, content).foreachPartition(write)
+
+
+def write_dataset(records: DataFrame, root: str, split: str = "final_split", policy: str = "replace") -> None:
+    """Images and label files of ``records`` by split, images copied from ``image_path``.
+
+    ``labels`` are the lines of a record's label file and ``output_name`` is its image's name.
+    """
+    spark = records.sparkSession
+    _clear(spark, root, policy)
+    base = F.regexp_replace("output_name", r"\.[^./]*$", "")
+    text = F.when(F.size("labels") > 0, F.concat(F.array_join("labels", "\n"), F.lit("\n"))).otherwise("")
+    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.alias("content"))
+    write_files(named, root, "name", "content")
+    wanted = records.select(F.concat_ws("/", split, F.lit("images"), "output_name").alias("name"), "image_path")
+    folder = F.regexp_replace("image_path", r"/[^/]*$", "")
+    folders = [r[0] for r in wanted.select(folder).distinct().collect()]  # the folders of the sources
+    if folders:
+        content = spark.read.format("binaryFile").load(folders).select(F.col("path").alias("image_path"), "content")
+        write_files(wanted.join(content, "image_path"), root, "name", "content")
+
+
 def manifest(records: DataFrame, base_names: bool = True, booleans: tuple[str, str] = ("true", "false")) -> DataFrame:
     """The manifest's columns, in order, as text where formats differ."""
     image = F.element_at(F.split("source_image", "/"), -1) if base_names else F.col("source_image")
@@ -45,12 +96,24 @@ def report(**parts: DataFrame) -> dict:
 def write_json(data: dict, path: str) -> str:
     """Keys sorted, no time and no absolute path, so equal data give equal bytes."""
     text = json.dumps(data, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(text)
+    where = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    system, name = fs.FileSystem.from_uri(where)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(name) as f:
+        f.write(text.encode("utf-8"))
     return text
 
 
+def with_root(description: str, root: str) -> str:
+    """A dataset description whose ``path:`` line names ``root``; it gets one if it has none."""
+    kept = [line for line in description.splitlines() if not line.startswith("path:")]
+    return "\n".join([f"path: {root}", *kept]) + "\n"
+
+
+def comparison_csv(rows: DataFrame, key: str, path: str) -> None:
+    rows.orderBy(key).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def dataset_description(root: str, classes: list[str]) -> str:
     lines = [f"path: {root}", "train: images/train", "val: images/valid", "names:"]
     return "\n".join([*lines, *[f"  {i}: {c}" for i, c in enumerate(classes)]]) + "\n"

@@ -53,6 +53,28 @@ def audit(coco: Coco, found: DataFrame) -> DataFrame:
     return images.join(a, F.lit(True)).join(c, F.lit(True))
 
 
+def candidates(coco: Coco, found: DataFrame, class_map: DataFrame) -> DataFrame:
+    """``id, path, classes, boxes, unknown_labels, part`` of the images that have annotations and a file.
+
+    Boxes are clipped to the image and those without extent left out; ``part`` is core (all
+    classes mapped), reject (none) or mixed. An image's annotations are few.
+    """
+    from .files import located
+
+    rows = boxes(coco, class_map)
+    mapped, whole = F.col("target_class").isNotNull(), F.col("box").isNotNull()
+    box = F.when(mapped & whole, F.struct(F.col("id").alias("n"), F.col("target_class").alias("class_id"), "box.x", "box.y", "box.w", "box.h"))
+    name = F.coalesce("category", F.concat(F.lit("class_"), F.col("category_id").cast("string")))
+    per = rows.groupBy(F.col("image_id").alias("id")).agg(
+        F.array_sort(F.collect_set(F.when(whole, F.col("target_class")))).alias("classes"), F.array_sort(F.collect_list(box)).alias("boxes"),
+        F.array_sort(F.collect_list(F.when(~mapped, name))).alias("unknown_labels"),
+    )
+    images = located(coco.images.select("id", "file_name"), found).filter("path is not null")
+    known, other = F.size("classes") > 0, F.size("unknown_labels") > 0
+    part = F.when(known & other, "mixed").when(known, "core").when(other, "reject").otherwise("empty")
+    return images.join(per, "id").select("id", "path", "classes", "boxes", "unknown_labels", part.alias("part"))
+
+
 def category_counts(coco: Coco) -> DataFrame:
     return coco.annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("annotations")).join(
         coco.categories.select(F.col("id").alias("category_id"), "name"), "category_id", "left"

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import base_name, extension, stem
 
+#: Extensions of images in order of preference, and split names by the folder names that stand for them.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
-#: Split names by the folder names that stand for them.
 SPLIT_ALIASES = {"train": "train", "valid": "valid", "val": "valid", "validation": "valid", "test": "test"}
 
 
@@ -43,13 +43,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 def label_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``path, line_no, line`` of the ``.txt`` files in a ``labels`` folder; an empty file has one
     row with a null line."""
-    texts = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=recursive)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-        .filter(has_folder(F.col("path"), "labels") & F.lower("path").endswith(".txt"))
-    )
-    lines = F.filter(F.transform(F.split("value", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return texts.select("path", F.posexplode_outer(lines).alias("line_no", "line"))
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]")
+    found = reader.option("recursiveFileLookup", str(recursive).lower()).load(root)
+    # readers have no row for an empty file, which says that an image has no object
+    every = _paths(found).filter(has_folder(F.col("path"), "labels"))
+    texts = every.join(found.select("path", F.col("content").cast("string").alias("value")), "path", "left")
+    return texts.select("path", F.posexplode_outer(lines_of(F.col("value"))).alias("line_no", "line"))
+
+
+def _paths(files: DataFrame) -> DataFrame:
+    """The paths that a reader of files has listed, those of empty files too. The reader's own list
+    is on the driver as well, so this is bounded by what that bears."""
+    named = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "value string")
+    plain = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
+    return named.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text without space around them, less the blank ones."""
+    return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_folder(path: Column, folder: str) -> Column:

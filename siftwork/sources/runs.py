@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import first_present, number
+from .files import exists
 
 MARKS = ("results.csv", "weights/best.pt", "weights/last.pt")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with all columns as text, names and values trimmed, a byte order mark dropped."""
+    """A CSV table with all columns as text, names and values trimmed, a byte order mark dropped.
+
+    A file that isn't there, or is empty, is an empty table and a warning.
+    """
+    if not exists(spark, path):
+        warnings.warn(f"cannot read {path}", stacklevel=2)
+        return spark.createDataFrame([], "none string").drop("none")
     df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
     return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
 

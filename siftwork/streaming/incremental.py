@@ -14,9 +14,7 @@ from ..operators.match import PERCEPTUAL
 
 def protected_stream(records: DataFrame, protected: DataFrame) -> DataFrame:
     """Records whose content isn't protected: a stream joined with a static table."""
-    keys = protected.select(F.col("sha256").alias("held")).distinct().withColumn("hit", F.lit(True))
-    joined = records.join(keys, records["sha256"] == keys["held"], "left")
-    return joined.filter("hit is null").drop("held", "hit")
+    return records.join(protected.select("sha256").distinct(), "sha256", "left_anti").select(*records.columns)
 
 
 def first_seen(records: DataFrame, event_time: str, bound: str, key: list[str] = PERCEPTUAL) -> DataFrame:

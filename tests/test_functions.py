@@ -12,18 +12,21 @@ def parse(spark, line, nc=None, **options):
 
 
 def test_box_line(spark):
-    p = parse(spark, "2 0.5 0.4 0.2 0.3", 4)
-    assert (p["class_id"], p["x"], p["y"], p["w"], p["h"], p["error"]) == (2, 0.5, 0.4, 0.2, 0.3, None)
+    p = parse(spark, "3 0.625 0.375 1 0.125", 4)
+    assert (p["class_id"], p["x"], p["y"], p["w"], p["h"], p["error"]) == (3, 0.625, 0.375, 1.0, 0.125, None)
 
 
 @pytest.mark.parametrize(
     ("line", "error"),
     [
-        ("4 0.5 0.5 0.2 0.2", "class"),
-        ("1 0.5 0.5 0 0.2", "size"),
-        ("1 1.1 0.5 0.2 0.2", "coordinate"),
-        ("1 0.5 0.5", "tokens"),
-        ("1.5 0.5 0.5 0.2 0.2", "class"),
+        ("7 0.25 0.75 0.125 0.5", "class"),
+        ("-1 0.25 0.75 0.125 0.5", "class"),
+        ("3 0.25 0.75 0.125 -0.0", "size"),
+        ("3 0.25 0.75 1.0001 0.5", "size"),
+        ("3 0.25 -0.001 0.125 0.5", "coordinate"),
+        ("3 0.25 0.75", "tokens"),
+        ("3 0.25 0.75 0.125 0.5 0.5", "tokens"),
+        ("2.25 0.25 0.75 0.125 0.5", "class"),
         ("1 nan 0.5 0.2 0.2", "coordinate"),
         ("1 1d 0.5 0.2 0.2", "coordinate"),
         ("", "tokens"),
@@ -35,11 +38,28 @@ def test_bad_lines(spark, line, error):
 
 
 def test_polygon(spark):
-    p = parse(spark, "4 0.10 0.20 0.30 0.20 0.30 0.40 0.10 0.40", 5)
-    assert (p["kind"], p["class_id"], p["n_points"]) == ("polygon", 4, 4)
-    assert [round(p[k], 9) for k in "xywh"] == [0.2, 0.3, 0.2, 0.2]
-    assert parse(spark, "4 0.1 0.2 0.3 0.2 0.3 0.4 0.1", 5)["error"] == "tokens"
-    assert parse(spark, "4 0.1 0.2 0.1 0.3 0.1 0.4", 5)["error"] == "extent"
+    p = parse(spark, "2 0.5 0 1 0.25 0.75 0.75 0.25 0.5", 3)
+    assert (p["kind"], p["class_id"], p["n_points"]) == ("polygon", 2, 4)
+    assert [p[k] for k in "xywh"] == [0.625, 0.375, 0.75, 0.75]
+    assert parse(spark, "2 0.5 0 1 0.25 0.75 0.75 0.25", 3)["error"] == "tokens"
+    assert parse(spark, "2 0.5 0 0.5 0.25 0.5 0.75", 3)["error"] == "extent"
+
+
+LINES = [
+    None, "", "  \t ", "1", "1 0.5 0.5 0.5 0.5", "  1\t0.5  0.5 0.5 0.5 ", "1 0 1 1 1", "1 0.5 0.5 0.5 0", "1 1.5 0.5 0.5 0.5", "x 0.5 0.5 0.5 0.5",
+    "1 1d 0.5 0.5 0.5", "1 nan 0.5 0.5 0.5", "1 1e999 0.5 0.5 0.5", "1.0 .5 5e-1 +0.5 0.5", "1.9 0.5 0.5 0.5 0.5", "99999999999 0.5 0.5 0.5 0.5",
+    "5 0.5 0.5 0.5 0.5", "1 0.1 0.2 0.3 0.2 0.3 0.4", "1 0.1 0.2 0.3 0.2 0.3 0.4 0.1", "1 0.1 0.2 0.3 0.2 0.3 1.4", "1 0.1 0.2 0.1 0.3 0.1 0.4", "1 0.1 0.2 0.3 0.4 0.5 0.6 0.7 0.8",
+]
+
+
+@pytest.mark.parametrize("mode", labels.CLASS_MODES)
+@pytest.mark.parametrize("polygons", [True, False])
+def test_lines_read_as_columns_or_at_once_are_the_same(spark, mode, polygons):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "i int, line string")
+    both = labels.parsed(df, "line", "a", 4, mode, polygons).withColumn("b", labels.parse_line(F.col("line"), 4, mode, polygons))
+    assert both.columns == ["i", "line", "a", "b"]
+    for r in both.collect():
+        assert r["a"] == r["b"], r["line"]
 
 
 def test_class_modes(spark):
@@ -49,9 +69,9 @@ def test_class_modes(spark):
 
 
 def test_pixel_box(spark):
-    args = [F.lit(float(v)) for v in (10, 20, 40, 20)]
-    ok = spark.range(1).select(labels.pixel_box(*args, F.lit(100), F.lit(100)).alias("b"), labels.pixel_box(*args, F.lit(0), F.lit(100)).alias("n")).first()
-    assert [round(v, 9) for v in ok["b"]] == [0.3, 0.3, 0.4, 0.2]
+    args = [F.lit(float(v)) for v in (8, 6, 32, 12)]
+    ok = spark.range(1).select(labels.pixel_box(*args, F.lit(64), F.lit(48)).alias("b"), labels.pixel_box(*args, F.lit(0), F.lit(48)).alias("n")).first()
+    assert list(ok["b"]) == [0.375, 0.25, 0.5, 0.25]
     assert ok["n"] is None
 
 
@@ -63,9 +83,10 @@ def test_fixed8_rounds_the_exact_value(spark):
 @pytest.mark.parametrize(
     ("path", "mode", "family"),
     [
-        ("a/plastic_bottle.rf.abc123.jpg", "marker_and_augment", "s:plastic_bottle"),
-        ("metal_can_aug_12.jpg", "marker_and_augment", "s:metal_can"),
-        ("glass_jar_augmented-7.png", "marker_and_augment", "s:glass_jar"),
+        ("in/Oak leaf.rf.77.x.jpg", "marker_and_augment", "s:Oak leaf"),
+        ("oak-AUG3.webp", "marker_and_augment", "s:oak"),
+        ("oak_augmented_3_aug4.bmp", "marker_and_augment", "s:oak_augmented_3"),
+        ("oak_august.bmp", "marker_and_augment", "s:oak_august"),
         ("A.rf.b.rf.c.jpg", "marker_and_augment", "s:A"),
         ("A.rf.b.rf.c.jpg", "marker_and_augment_lower", "s:a"),
         ("A.rf.b.rf.c.jpg", "last_marker", "s:A.rf.b"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions.keys import seeded_order
-from siftwork.operators import checks, classify, dedup, match, report, select
+from siftwork.operators import checks, classify, dedup, match, records, report, select
 from siftwork.operators.ordering import placed
 from siftwork.plans import builds
 
@@ -188,16 +188,39 @@ def test_balanced_quotas(spark):
 
 
 def test_violations(spark):
-    lines = ["0 0.5 0.5 0.2 0.2", "0 0.5 0.5 0.2", "9 0.5 0.5 0.2 0.2", "0 1.5 0.5 0.2 0.2", "0 0.5 -1 0.2 0.2", "0 0.5 0.5 0 0.2", "0 0.5 0.5 0.2 2", "x 0.5 0.5 0.2 0.2"]
+    lines = ["1 0.25 0.75 1 0.5", "1 0.25 0.75 1", "9 0.25 0.75 1 0.5", "1 1.25 0.75 1 0.5", "1 0.25 -0.75 1 0.5", "1 0.25 0.75 0 0.5", "1 0.25 0.75 1 1.5", "one 0.25 0.75 1 0.5"]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = {r["code"]: r["n"] for r in checks.label_violations(df, "line", [0, 1, 2, 3]).collect()}
     codes = ["non_five_token_label", "invalid_class_id", "invalid_x_center", "invalid_y_center", "invalid_width", "invalid_height", "invalid_label_value"]
     assert got == dict.fromkeys(codes, 1)
-    assert checks.failure_codes(checks.label_violations(df, "line", [0])) == sorted(codes)
+    assert checks.failure_codes(checks.label_violations(df, "line", [1])) == sorted(codes)
     with pytest.raises(ValueError):
         checks.require_rows(df, 3)
 
 
+def test_class_lists_must_be_equal_in_order(spark):
+    df = spark.createDataFrame([(0, "a"), (1, "b")], "i int, name string")
+    assert checks.require_classes(df, "i", "name", ["a", "b"]) is df
+    for other in (["b", "a"], ["a"], ["a", "b", "c"]):
+        with pytest.raises(ValueError):
+            checks.require_classes(df, "i", "name", other)
+
+
+def test_conversion_raises_or_counts(spark):
+    classes = spark.createDataFrame([(1, 0, "target"), (2, 0, "target")], "source_class int, target_class int, role string")
+    rows = [("a", 0, "1 .5 .5 .5 .5"), ("a", 1, "2 .5 .5 .5 .5"), ("a", 2, "2 .5 .5 .5 .50"), ("b", None, None)]
+    df = spark.createDataFrame(rows, "image string, line_no int, line string")
+    got = {(r["image"], r["line_no"]): (r["text"], r["repeats"]) for r in records.converted(df, ["image"], classes).collect()}
+    assert got == {("a", 0): ("0 .5 .5 .5 .5", 1), ("a", 2): ("0 .5 .5 .5 .50", 0)}
+    for bad in ("3 .5 .5 .5 .5", "1 .5 .5"):
+        with pytest.raises(Exception, match="invalid label line"):
+            records.converted(spark.createDataFrame([("a", 0, bad)], df.schema), ["image"], classes).collect()
+    unknown = spark.createDataFrame([("a", 0, "7 .5 .5 .5 .5")], df.schema)
+    assert records.remapped(unknown, ["image"], classes).first()["drop_reason"] == "unknown_class"
+    with pytest.raises(Exception, match="unknown_class"):
+        records.remapped(unknown, ["image"], classes, on_unknown="error").collect()
+
+
 def test_best_and_last(spark):
     rows = [("r", 1, 0.5), ("r", 2, 0.9), ("r", 3, 0.9), ("r", 4, float("nan")), ("q", 1, None)]
     df = spark.createDataFrame(rows, "run string, epoch int, m double")

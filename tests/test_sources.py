@@ -1,11 +1,12 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwork.operators import detections
 from siftwork.sinks import outputs
-from siftwork.sources import coco, config, files, runs
+from siftwork.sources import coco, config, files, runs, scan
 
 
 def test_files(spark, tmp_path):
@@ -24,6 +25,57 @@ def test_files(spark, tmp_path):
     assert spark.range(1).select(files.label_path(F.lit("/d/train/images/a.b.jpg"))).first()[0] == "/d/train/labels/a.b.txt"
 
 
+def tree(root, files):
+    for name, content in files.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(content)
+    return str(root)
+
+
+def test_paired_scan_and_its_errors(spark, tmp_path):
+    box = "0 0.5 0.5 0.25 0.25"
+    whole = tree(tmp_path / "a", {"train/images/x y.jpg": "i", "train/images/x y.png": "i", "train/labels/x y.txt": box, "test/images/z+1.jpg": "i", "test/labels/z+1.txt": ""})
+    source = config.SourcePolicy("s", whole, {0: 2})
+    got = {(r["source_split"], files_name(r["image_path"])): (r["labels"], r["is_negative"], r["drop_reason"]) for r in scan.paired_records(spark, source).collect()}
+    assert got == {("train", "x y.png"): (["2 0.50000000 0.50000000 0.25000000 0.25000000"], False, None), ("test", "z+1.jpg"): ([], False, "empty_label")}
+    keep = scan.paired_records(spark, config.SourcePolicy("s", whole, {0: 2}, preserve_empty=True)).filter("is_negative").collect()
+    assert [files_name(r["image_path"]) for r in keep] == ["z+1.jpg"]
+    lone = tree(tmp_path / "b", {"train/images/x.jpg": "i", "train/labels/y.txt": box})
+    with pytest.raises(ValueError, match="don't pair.*'y'"):
+        scan.paired_records(spark, config.SourcePolicy("s", lone, {0: 2}))
+    with pytest.raises(ValueError, match="missing folder"):
+        scan.paired_records(spark, config.SourcePolicy("s", tree(tmp_path / "c", {"valid/images/x.jpg": "i"}), {0: 2}))
+    with pytest.raises(ValueError, match="no split"):
+        scan.paired_records(spark, config.SourcePolicy("s", tree(tmp_path / "d", {"other/x.jpg": "i"}), {0: 2}))
+    with pytest.raises(ValueError, match="unknown format"):
+        scan.audits(spark, [{"name": "s", "format": "voc", "root": whole}])
+
+
+def files_name(path):
+    return path.rpartition("/")[2]
+
+
+def test_written_dataset_is_read_back(spark, tmp_path):
+    root = tree(tmp_path / "in", {"p/a.jpg": "picture a", "q/b.jpg": "picture b"})
+    rows = [("train", f"file:{root}/p/a.jpg", "s__1.jpg", ["0 1 1 1 1", "1 1 1 1 1"]), ("valid", f"file:{root}/q/b.jpg", "s__2.jpg", [])]
+    df = spark.createDataFrame(rows, "final_split string, image_path string, output_name string, labels array<string>")
+    out = tmp_path / "out"
+    outputs.write_dataset(df, str(out))
+    assert (out / "train/labels/s__1.txt").read_bytes() == b"0 1 1 1 1\n1 1 1 1 1\n" and (out / "valid/labels/s__2.txt").read_bytes() == b""
+    assert (out / "train/images/s__1.jpg").read_text() == "picture a" and (out / "valid/images/s__2.jpg").read_text() == "picture b"
+    with pytest.raises(ValueError, match="exists"):
+        outputs.write_dataset(df, str(out), policy="refuse")
+    outputs.write_dataset(df.limit(1), str(out))
+    assert sorted(p.name for p in out.rglob("*.txt")) == ["s__1.txt"]
+    assert outputs.with_root("path: /old\nnames: x", "/new") == "path: /new\nnames: x\n" and outputs.with_root("names: x", "/n").startswith("path: /n\n")
+
+
+def test_unreadable_run_table_is_empty(spark, tmp_path):
+    with pytest.warns(UserWarning, match="cannot read"):
+        assert runs.results(spark, str(tmp_path / "none.csv")).count() == 0
+
+
 def test_best_of_stem_and_first_by_name(spark):
     df = spark.createDataFrame([("d", "d/a.png"), ("d", "d/a.jpg"), ("d", "d/b.BMP")], "folder string, path string")
     assert {r["stem"]: r["path"] for r in files.best_of_stem(df).collect()} == {"a": "d/a.jpg", "b": "d/b.BMP"}
@@ -92,4 +144,4 @@ def test_outputs(spark, tmp_path):
 def test_detections(spark):
     df = spark.createDataFrame([("i", [(0, 0.3, [0.25, 1.26]), (1, 0.9, [1.0, 2.0])])], "id string, b array<struct<cls:int,conf:double,xyxy:array<double>>>")
     got = detections.extracted(df, ["id"], "b", {0: "x", 1: "y"}).collect()
-    assert [(r["class"], r["box"]) for r in got] == [("y", [1.0, 2.0]), ("x", [0.2, 1.3])]
+    assert sorted((r["at"], r["class"], r["box"]) for r in got) == [(0, "x", [0.2, 1.3]), (1, "y", [1.0, 2.0])]
