@@ -84,20 +84,18 @@ def parsed(
         .when(~(in_unit(v[0]) & in_unit(v[1])), "coordinate")
         .when(~(share(v[2]) & share(v[3])), "size")
     )
-    judged = read_line(df, line, mode).withColumn("_id", cls).withColumn("_error", error)
-    sound = F.col("_error").isNull()
-    box = F.struct(
-        F.when(sound, "bbox").alias("kind"), F.when(sound, F.col("_id")).alias("class_id"),
-        *[F.when(sound, c).alias(k) for c, k in zip(v, "xywh")], F.when(sound, 0).alias("n_points"), F.col("_error").alias("error"),
+    n = F.col("_n")
+    could = (n != 5) & (n >= 1 + 2 * least_points) & (n % 2 == 1) & F.lit(polygons)
+    judged = read_line(df, line, mode).withColumn("_id", cls)
+    # the polygon is a column of its own, so that taking fields of the result doesn't parse it again
+    judged = judged.withColumn("_polygon", F.when(could, parse_line(F.col(line), nc, mode, polygons, least_points)))
+    judged = judged.withColumn("_error", F.when(n == 5, error).when(could, F.col("_polygon.error")).otherwise("tokens"))
+    sound, box = F.col("_error").isNull(), n == 5
+    field = lambda of_box, name: F.when(sound & box, of_box).when(sound, F.col(f"_polygon.{name}")).alias(name)
+    whole = F.struct(
+        field(F.lit("bbox"), "kind"), field(F.col("_id"), "class_id"), *[field(c, k) for c, k in zip(v, "xywh")],
+        field(F.lit(0), "n_points"), F.col("_error").alias("error"),
     )
-    none = F.lit(None)
-    odd = F.struct(
-        none.cast("string").alias("kind"), none.cast("int").alias("class_id"), *[none.cast("double").alias(k) for k in "xywh"],
-        none.cast("int").alias("n_points"), F.lit("tokens").alias("error"),
-    )
-    n, many = F.col("_n"), parse_line(F.col(line), nc, mode, polygons, least_points).cast(PARSED)
-    could = (n >= 1 + 2 * least_points) & (n % 2 == 1)
-    whole = F.when(n == 5, box.cast(PARSED)).when(could & F.lit(polygons), many).otherwise(odd.cast(PARSED))
     return judged.select(*df.columns, whole.alias(name))
 
 
