@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import pandas as pd
 import zstandard
@@ -186,8 +187,9 @@ def fit(
         pieces = learn.filter("y = 0").select("id", F.explode(cut("text")).alias("w"))
         whole = pieces.count()
         share = F.pmod(F.xxhash64(F.lit("window"), "id", "w"), F.lit(1 << 30)) < (1 << 30) * min(1.0, ORDINARY_WINDOWS / max(1, whole))
-        usual = [bytes(r["w"]) for r in pieces.filter(share).orderBy(F.xxhash64("w"), "w").select("w").collect()]
-        ordinary = trained(ORDINARY_BYTES, usual)
+        usual = [bytes(r["w"]) for r in pieces.filter(share).select("w").collect()]
+        # mixed, as the trainer takes a stretch of its samples at a time
+        ordinary = trained(ORDINARY_BYTES, sorted(usual, key=lambda w: (crc32(w), w)))
         made = [toxic_dictionary(sorted(held), {g for g, c in runs_of.items() if c >= least}) for least in CONTRASTS]
 
         def rates(texts: pd.Series) -> pd.Series:
