@@ -31,6 +31,7 @@ without an id are judged by their own text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import by_weight, checkpointed, unused
 
 WINDOW, COVERAGE, LEAST_TOKENS = 8, 0.5, 4
 BITMAP_BITS, BUCKET = 1 << 25, 1 << 15
-#: Characters taken at a time, and canonical forms of tokens that a task keeps.
+#: Characters taken at a time, and forms of tokens that a task keeps from one such part to the next.
 CHUNK_CHARS, CACHED_TOKENS = 1 << 21, 500_000
 #: Units of measure and number words.
 UNITS = frozenset(
@@ -67,23 +68,35 @@ def _hash(token: str) -> int:
 
 
 class Forms(dict):
-    """Token -> (hash of its canonical form, kind); forgets all beyond a bound."""
+    """Token -> its place in ``codes`` (hash of its canonical form) and ``kinds``."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self.codes, self.kinds = array("Q"), array("b")
+
+    def __missing__(self, token: str) -> int:
         low = token.lower()
         if token[0].isdigit() or low in NUMBERS:
-            form = (_hash("<num>"), NUMBER)
+            code, kind = _hash("<num>"), NUMBER
         elif not token[0].isalpha():
-            form = (0, STOP)
+            code, kind = 0, STOP
         elif low in UNITS:
-            form = (_hash(low), UNIT)
+            code, kind = _hash(low), UNIT
         else:
             title = token[0].isupper() and (len(token) == 1 or token[1:] == low[1:])
-            form = (_hash(low), CAPITAL if title and len(token) > 1 else PLAIN)
-        self[token] = form
-        return form
+            code, kind = _hash(low), CAPITAL if title and len(token) > 1 else PLAIN
+        self[token] = place = len(self.codes)
+        self.codes.append(code)
+        self.kinds.append(kind)
+        return place
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes and kinds of ``tokens``. What was kept before goes once it is beyond the bound."""
+        if len(self) >= CACHED_TOKENS:
+            self.clear()
+            self.codes, self.kinds = array("Q"), array("b")
+        places = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return np.array(self.codes, np.uint64)[places], np.array(self.kinds, np.int8)[places]
 
 
 class Canonical:
@@ -102,8 +115,7 @@ class Canonical:
             counts.append(len(found))
         n = len(raw)
         self.raw = raw
-        pairs = np.array([forms[t] for t in raw], np.uint64).reshape(n, 2)
-        code, kind = pairs[:, 0].copy(), pairs[:, 1].astype(np.int8)
+        code, kind = forms.of(raw)
         owner = np.repeat(np.arange(len(texts)), counts)
         before = np.full(n, STOP, np.int8)
         before[1:] = kind[:-1]
