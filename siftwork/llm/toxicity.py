@@ -3,9 +3,9 @@
 A text becomes its lower-case words with single spaces, cut at spaces into windows of at least
 ``WINDOW`` bytes. ``fit`` trains two dictionaries with zstandard's trainer. The ordinary one is
 trained on windows of ordinary texts. The toxic one is trained on the stretches of toxic texts
-that ordinary ones hardly have: runs of ``GRAM`` characters whose smoothed share of toxic texts is
-at least a contrast times their share of ordinary texts. Stretches may be parts of words, so forms
-that were never seen compress too. Stretches that the trainer leaves out are put behind its own.
+that ordinary ones hardly have: runs of at least ``GRAM`` bytes whose share of toxic texts is at
+least a contrast times their share of ordinary texts, by more than chance gives (a likelihood
+ratio). Stretches may be parts of words, so forms that were never seen compress too. Stretches that the trainer leaves out are put behind its own.
 
 The toxic compressor has both dictionaries, the ordinary one has the ordinary dictionary and a
 filler of the other's length, so lengths differ by what the toxic dictionary saves alone. A
@@ -37,7 +37,9 @@ from .common import per_row, sample_by_class
 DOCS_PER_CLASS, ORDINARY_WINDOWS, ORDINARY_BYTES = 6000, 60_000, 16_384
 WINDOW, GRAM = 64, 6
 #: A stretch is in so many toxic texts; counts of ordinary texts are raised by so much; contrasts tried.
-LEAST_DOCS, SMOOTH, CONTRASTS = 3, 2.0, (10.0, 20.0, 40.0, 80.0)
+LEAST_DOCS, SMOOTH, CONTRASTS = 3, 0.5, (4.0, 8.0, 16.0, 32.0)
+#: The least likelihood ratio (G squared, one degree of freedom): by chance about one run in two million has it.
+EVIDENCE = 25.0
 FLOORS = tuple(range(9))
 #: The rate is over all windows plus this number.
 SPARE_WINDOWS = 2
@@ -109,16 +111,39 @@ def calibrate(rows: list[tuple[list[float], int]]) -> tuple[float, int, float]:
     return best
 
 
+def runs(spaced: str) -> list[tuple[int, int]]:
+    """Start and end of the shortest run of at least GRAM bytes from each character on, or of all where it has fewer."""
+    size = [len(c.encode("utf-8", "replace")) for c in spaced]
+    out, end, held = [], 0, 0
+    for start in range(len(spaced)):
+        while end < len(spaced) and held < GRAM:
+            held += size[end]
+            end += 1
+        if held < GRAM and start:
+            break
+        out.append((start, end))
+        held -= size[start]
+    return out
+
+
 def stretches(word: str, telling: set[str]) -> list[str]:
     """The parts of a word, with a space at either end, that telling runs of characters cover."""
-    spaced, out, start, end = f" {word} ", [], None, 0
-    for i in range(max(1, len(spaced) - GRAM + 1)):
-        if spaced[i : i + GRAM] in telling:
-            start, end = (i if start is None else start), i + GRAM
-        elif start is not None and i >= end:
-            out.append(spaced[start:end])
-            start = None
-    return out if start is None else [*out, spaced[start:end]]
+    spaced = f" {word} "
+    spans: list[list[int]] = []
+    for start, end in runs(spaced):
+        if spaced[start:end] in telling:
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = end
+            else:
+                spans.append([start, end])
+    return [spaced[start:end] for start, end in spans]
+
+
+def evidence(a: Column, b: Column, toxic: int, ordinary: int) -> Column:
+    """G squared of a run in ``a`` toxic and ``b`` ordinary texts, 0 where toxic ones have no more than their share."""
+    share = toxic / max(1, toxic + ordinary)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((a + b) * F.lit(max(p, 1e-12))))).otherwise(0.0)
+    return F.when(a > (a + b) * F.lit(share), 2 * (part(a, share) + part(b, 1 - share))).otherwise(0.0)
 
 
 def trained(size: int, samples: list[bytes], segment: int = 0) -> bytes:
@@ -172,13 +197,13 @@ def fit(
             learn.select("y", F.explode(seen).alias("w")).groupBy("w")
             .agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b")).persist()
         )
-        spaced = words.select("w", "a", "b", F.concat(F.lit(" "), "w", F.lit(" ")).alias("s"))
-        runs = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(s) - {GRAM} + 1)), i -> substring(s, i, {GRAM})))")
-        each = spaced.select("w", "a", "b", F.explode(runs).alias("g"))
+        parts = F.pandas_udf(lambda ws: ws.map(lambda w: list({w[i:j] for i, j in runs(w)})), "array<string>")
+        each = words.select("w", "a", "b", F.explode(parts(F.concat(F.lit(" "), "w", F.lit(" ")))).alias("g"))
         contrast = F.col("a") / n.get(1, 1) / ((F.col("b") + SMOOTH) / max(1, n.get(0, 0)))
+        sure = evidence(F.col("a"), F.col("b"), n.get(1, 0), n.get(0, 0)) >= EVIDENCE
         telling = (
             each.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-            .filter(F.col("a") >= LEAST_DOCS).select("g", contrast.alias("c")).filter(F.col("c") >= min(CONTRASTS)).persist()
+            .filter(sure).select("g", contrast.alias("c")).filter(F.col("c") >= min(CONTRASTS)).persist()
         )
         # bounded by the sample: runs of characters in several toxic texts, and the words with any
         runs_of = {r["g"]: r["c"] for r in telling.collect()}

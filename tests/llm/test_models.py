@@ -7,6 +7,8 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwork.llm import langid, queries, toxicity
@@ -122,6 +124,25 @@ def test_stretches_are_what_telling_runs_cover():
     assert toxicity.stretches("pathetic", {" pathe", "thetic", "hetic "}) == [" pathetic "]
     assert toxicity.stretches("scum", {" scum "}) == [" scum "] and toxicity.stretches("scum", set()) == []
     assert toxicity.stretches("abcdefghijklmnop", {" abcde", "klmnop"}) == [" abcde", "klmnop"]
+    assert toxicity.stretches("abcdefghijk", {" abcde", "fghijk"}) == [" abcdefghijk"]
+
+
+@given(st.text("aßé語😀", min_size=1, max_size=12))
+def test_runs_are_the_shortest_of_enough_bytes(spaced):
+    size = lambda i, j: len(spaced[i:j].encode())
+    want = [
+        (i, j) for i in range(len(spaced)) for j in range(i + 1, len(spaced) + 1)
+        if size(i, j) >= toxicity.GRAM > size(i, j - 1)
+    ]
+    assert toxicity.runs(spaced) == (want or [(0, len(spaced))])
+
+
+def test_evidence_of_a_run(spark):
+    seen = [(6, 0), (3, 0), (16, 1), (1, 9), (0, 4)]
+    got = spark.createDataFrame(seen, "a long, b long").select(toxicity.evidence(F.col("a"), F.col("b"), 30, 270).alias("g"))
+    for (a, b), r in zip(seen, got.collect()):
+        want = 2 * sum(n * math.log(n / ((a + b) * p)) for n, p in ((a, 0.1), (b, 0.9)) if n) if a > (a + b) * 0.1 else 0
+        assert r["g"] == pytest.approx(want)
 
 
 def test_both_dictionaries_come_from_the_trainer(spark, insults):
