@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, mixing, pii, quality, simhash, sql, tokens, toxicity
+from . import codes, decontam, html, langid, licenses, mixing, pii, quality, simhash, sql, tokens, toxicity
 from .common import held_out
 
 
@@ -64,10 +64,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_licenses, op3_decontamination, op4_toxicity, op5_quality,
-        op6_pii, op7_simhash, op8_mixing, op9_tokens, op10_html,
+        op6_pii, op7_simhash, op8_mixing, op9_tokens, op10_html, op11_vector_codes,
     )
     return {f.__name__: f for f in every}
 

@@ -46,3 +46,38 @@ r{n} AS (SELECT * EXCLUDE (extra, gap, pick), extra + pick AS extra, gap - sum(s
 OP8 = OP8.replace("{rounds}", ",".join(ROUND.replace("{n}", str(n)).replace("{m}", str(n - 1)) for n in (1, 2, 3)))
 
 ORACLE = {"op8_mixing": OP8}
+
+OP11 = """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, v, list_dot_product(v, v) AS vv
+  FROM (SELECT vec_id, label, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS v FROM k, (SELECT unnest([0, 1, 2, 3]) AS part))),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c
+  FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{rounds}
+a4 AS MATERIALIZED ({assign4}),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a4 GROUP BY vec_id, label),
+book AS (SELECT string_agg(CAST(CAST(u AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i) AS t
+         FROM (SELECT part, entry, unnest(c) AS u, generate_subscripts(c, 1) AS i FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha256(t) AS codebooks_sha256 FROM coded, book
+"""
+ASSIGN = """
+  SELECT p.vec_id, p.label, p.part, any_value(p.v) AS v, min(d * 256 + entry) % 256 AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.label, p.part, p.v, b.entry, CAST(p.vv - 2 * list_dot_product(p.v, b.c) + list_dot_product(b.c, b.c) AS BIGINT) AS d
+        FROM p JOIN b{n} b ON p.part = b.part) p
+  GROUP BY p.vec_id, p.label, p.part"""
+MOVE = """
+a{m} AS MATERIALIZED ({assign}),
+s{m} AS (SELECT part, entry, i, floor(sum(u) / count(*)) AS mean
+         FROM (SELECT part, entry, unnest(v) AS u, generate_subscripts(v, 1) AS i FROM a{m}) GROUP BY part, entry, i),
+b{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(s.c, b.c) AS c
+  FROM b{m} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY i) AS c FROM s{m} GROUP BY part, entry) s ON b.part = s.part AND b.entry = s.entry),"""
+ROUNDS11 = "".join(MOVE.replace("{assign}", ASSIGN.replace("{n}", str(m))).replace("{n}", str(m + 1)).replace("{m}", str(m)) for m in range(4))
+OP11 = OP11.replace("{rounds}", ROUNDS11).replace("{assign4}", ASSIGN.replace("{n}", "4"))
+ORACLE["op11_vector_codes"] = OP11
