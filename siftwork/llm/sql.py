@@ -81,3 +81,26 @@ b{n} AS MATERIALIZED (
 ROUNDS11 = "".join(MOVE.replace("{assign}", ASSIGN.replace("{n}", str(m))).replace("{n}", str(m + 1)).replace("{m}", str(m)) for m in range(4))
 OP11 = OP11.replace("{rounds}", ROUNDS11).replace("{assign4}", ASSIGN.replace("{n}", "4"))
 ORACLE["op11_vector_codes"] = OP11
+
+OP13 = r"""
+WITH words AS (
+  SELECT doc_id, place AS d, w FROM (
+    SELECT doc_id, row_number() OVER () AS place,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents)),
+lengths AS (SELECT d, count(*) AS n FROM words GROUP BY d),
+total AS (SELECT count(*) AS every, CAST(sum(n) AS BIGINT) AS L FROM lengths),
+tfs AS (SELECT any_value(doc_id) AS doc_id, d, w, count(*) AS tf FROM words GROUP BY d, w),
+dfs AS (SELECT w, count(*) AS df FROM tfs GROUP BY w),
+asked AS (
+  SELECT DISTINCT k, item_id, w FROM (
+    SELECT item_id, row_number() OVER () AS k,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark)),
+weighed AS (SELECT a.k, a.item_id, a.w, CAST(floor(1000 * ln(CAST(2 * every + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM asked a JOIN dfs USING (w), total),
+scored AS (
+  SELECT k, any_value(item_id) AS item_id, d, any_value(doc_id) AS doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * every) // L)))) AS BIGINT) AS score
+  FROM weighed JOIN tfs USING (w) JOIN lengths USING (d), total GROUP BY k, d),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+ORACLE["op13_ranked_search"] = OP13
