@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, html, langid, licenses, mixing, pii, quality, search, simhash, sql, tokens, toxicity
+from . import codes, decontam, html, langid, licenses, mixing, pii, quality, search, simhash, sql, suffixes, tokens, toxicity
 from .common import held_out
 
 
@@ -68,6 +68,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +79,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_licenses, op3_decontamination, op4_toxicity, op5_quality,
-        op6_pii, op7_simhash, op8_mixing, op9_tokens, op10_html, op11_vector_codes, op13_ranked_search,
+        op6_pii, op7_simhash, op8_mixing, op9_tokens, op10_html, op11_vector_codes, op12_suffix_dedup, op13_ranked_search,
     )
     return {f.__name__: f for f in every}
 
