@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keys, labels
+from .functions import keys, labels, resample
 from .operators import checks, classify, dedup, detections, match, records, report, select
 from .operators.ordering import placed
 from .plans import builds
@@ -375,6 +375,95 @@ def f5(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", made.alias("f")).select("vec_id", "f.*")
 
 
+#: Documents as grey pictures: a byte is a pixel, and the last row is filled up but for each eleventh document.
+GREYS_SQL = """
+sized AS (SELECT doc_id, source, 3 + doc_id % 40 AS w, hex(encode(coalesce(text, ''))) AS h FROM documents),
+tall AS (SELECT *, CAST(ceil((length(h) // 2) / CAST(w AS DOUBLE)) AS BIGINT) AS t FROM sized),
+greys AS (SELECT doc_id, source, w, t, CASE WHEN doc_id % 11 <> 0 THEN rpad(h, CAST(2 * w * t AS INTEGER), '0') ELSE h END AS h FROM tall),
+readable AS (SELECT * FROM greys WHERE t > 0 AND length(h) = 2 * w * t),
+px AS (SELECT doc_id, w, t, i % w AS x, i // w AS y, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) AS v
+       FROM (SELECT doc_id, w, t, h, unnest(range(0, w * t)) AS i FROM readable)),
+sides AS (SELECT DISTINCT w AS size, 9 AS cells FROM readable UNION SELECT DISTINCT t, 8 FROM readable)"""
+WINDOWED_SQL = f"""WITH {GREYS_SQL},
+cells AS (SELECT size, cells, c, greatest(size / CAST(cells AS DOUBLE), 1) AS stretch, (c + 0.5) * (size / CAST(cells AS DOUBLE)) AS centre
+          FROM (SELECT size, cells, unnest(range(0, cells)) AS c FROM sides)),
+taps AS (SELECT *, unnest(range(CAST(greatest(0, trunc(centre - 3 * stretch + 0.5)) AS BIGINT), CAST(least(size, trunc(centre + 3 * stretch + 0.5)) AS BIGINT))) AS x FROM cells),
+raw AS (SELECT *, CASE WHEN p = 0 THEN 1 WHEN p >= -3 AND p < 3 THEN sin(pi() * p) / (pi() * p) * (sin(pi() * p / 3) / (pi() * p / 3)) ELSE 0 END AS f
+        FROM (SELECT *, (x - centre + 0.5) / stretch AS p FROM taps)),
+weights AS (SELECT size, cells, c, x, trunc(u + CASE WHEN u >= 0 THEN 0.5 ELSE -0.5 END) AS k FROM (SELECT *, f / sum(f) OVER (PARTITION BY size, cells, c) * 4194304 AS u FROM raw)),
+across AS (SELECT doc_id, t, y, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304))) AS v FROM px JOIN weights g ON g.size = w AND g.cells = 9 AND g.x = px.x GROUP BY doc_id, t, y, c),
+grid AS (SELECT doc_id, g.c AS r, a.c, CAST(greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304))) AS INTEGER) AS v FROM across a JOIN weights g ON g.size = t AND g.cells = 8 AND g.x = y GROUP BY doc_id, g.c, a.c)"""
+AREA_SQL = f"""WITH {GREYS_SQL},
+weights AS (SELECT size, cells, c, x, least((c + 1) * size, (x + 1) * cells) - greatest(c * size, x * cells) AS k
+            FROM (SELECT size, cells, c, unnest(range(c * size // cells, ((c + 1) * size + cells - 1) // cells)) AS x FROM (SELECT size, cells, unnest(range(0, cells)) AS c FROM sides))),
+across AS (SELECT doc_id, w, t, y, c, sum(v * k) AS v FROM px JOIN weights g ON g.size = w AND g.cells = 9 AND g.x = px.x GROUP BY doc_id, w, t, y, c),
+summed AS (SELECT doc_id, any_value(w * t) AS n, g.c AS r, a.c, CAST(sum(v * k) AS BIGINT) AS s FROM across a JOIN weights g ON g.size = t AND g.cells = 8 AND g.x = y GROUP BY doc_id, g.c, a.c),
+grid AS (SELECT doc_id, r, c, CAST(s // n + CASE WHEN 2 * (s % n) > n OR (2 * (s % n) = n AND (s // n) % 2 = 1) THEN 1 ELSE 0 END AS INTEGER) AS v FROM summed)"""
+HASHED_SQL = """,
+bits AS (SELECT doc_id, r, c, CASE WHEN v {op} lead(v) OVER (PARTITION BY doc_id, r ORDER BY c) THEN 1 ELSE 0 END AS bit FROM grid),
+hashes AS (SELECT doc_id, string_agg(printf('%02x', CAST(b AS INTEGER)), '' ORDER BY r) AS dhash FROM (SELECT doc_id, r, sum(bit << CAST(7 - c AS INTEGER)) AS b FROM bits WHERE c < 8 GROUP BY doc_id, r) GROUP BY doc_id)"""
+RESAMPLED_SQL = """
+SELECT g.doc_id, CAST(g.w AS INTEGER) AS width, CAST(g.t AS INTEGER) AS height, greys_text AS grid, dhash, dhash IS NULL AS unreadable
+FROM greys g LEFT JOIN hashes USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY r, c) AS greys_text FROM grid GROUP BY doc_id) USING (doc_id)"""
+
+
+def greys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("width", (3 + F.col("doc_id") % 40).cast("int"))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    d = d.withColumn("content", data).withColumn("height", F.ceil(F.octet_length("content") / F.col("width")).cast("int"))
+    filled = F.rpad("content", F.col("width") * F.col("height"), F.lit(b"\0"))
+    return d.withColumn("pixels", F.when(F.col("doc_id") % 11 != 0, filled).otherwise(F.col("content"))).select("doc_id", "source", "width", "height", "content", "pixels")
+
+
+def _resampled(spark, sf_dir, kind):
+    made = resample.grid(F.col("pixels"), F.col("width"), F.col("height"), kind)
+    hashed = keys.dhash(F.col("g"), rising=kind == "area")
+    return greys(spark, sf_dir).withColumn("g", made).select(
+        "doc_id", "width", "height", F.array_join(F.col("g").cast("array<string>"), " ").alias("grid"), hashed.alias("dhash"), F.col("g").isNull().alias("unreadable")
+    )
+
+
+@query("f3_resampled", WINDOWED_SQL + HASHED_SQL.replace("{op}", ">") + RESAMPLED_SQL)
+def f3_resampled(spark, sf_dir):
+    return _resampled(spark, sf_dir, "windowed")
+
+
+@query("f4_resampled", AREA_SQL + HASHED_SQL.replace("{op}", "<") + RESAMPLED_SQL)
+def f4_resampled(spark, sf_dir):
+    return _resampled(spark, sf_dir, "area")
+
+
+def grey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with keys made from pixels; unreadable ones have none."""
+    keyed = resample.with_key(greys(spark, sf_dir), "k", "content", "pixels", "width", "height", "area")
+    return keyed.select(F.col("doc_id").alias("id"), "source", "k.sha256", "k.dhash", "k.width", "k.height")
+
+
+GREY_RECORDS_SQL = AREA_SQL + HASHED_SQL.replace("{op}", "<") + """,
+records AS (SELECT g.doc_id AS id, g.source, CASE WHEN dhash IS NOT NULL THEN sha256(unhex(s.h)) END AS sha256, dhash,
+                   CASE WHEN dhash IS NOT NULL THEN g.w END AS width, CASE WHEN dhash IS NOT NULL THEN g.t END AS height
+            FROM greys g JOIN sized s USING (doc_id) LEFT JOIN hashes USING (doc_id))"""
+
+
+@query("j4_unreadable", GREY_RECORDS_SQL + """
+SELECT count(*) AS records, count(*) FILTER (dhash IS NULL) AS unreadable, count(DISTINCT CASE WHEN dhash IS NOT NULL THEN (dhash, width, height) END) AS keys FROM records""")
+def j4_unreadable(spark, sf_dir):
+    return match.protected_keys(grey_records(spark, sf_dir))[1]
+
+
+@query("d2_unreadable", GREY_RECORDS_SQL + """,
+held AS (SELECT * FROM records WHERE source IN ('src0', 'src1') AND dhash IS NOT NULL),
+m AS (SELECT *, CASE WHEN dhash IS NULL THEN 'unreadable' WHEN sha256 IN (SELECT sha256 FROM held) THEN 'benchmark_exact'
+                     WHEN (dhash, width, height) IN (SELECT (dhash, width, height) FROM held) THEN 'benchmark_perceptual' END AS early
+      FROM records WHERE source IS NULL OR source NOT IN ('src0', 'src1')),
+k AS (SELECT *, first_value(sha256) OVER w AS kept, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY dhash, width, height, early IS NULL ORDER BY source, id))
+SELECT id, CASE WHEN early IS NOT NULL THEN early WHEN r = 1 THEN NULL WHEN sha256 = kept THEN 'duplicate_exact' ELSE 'duplicate_perceptual' END AS drop_reason FROM k""")
+def d2_unreadable(spark, sf_dir):
+    every = grey_records(spark, sf_dir)
+    benchmark = F.coalesce(F.col("source").isin("src0", "src1"), F.lit(False))
+    return dedup.exclude_and_deduplicate(every.filter(~benchmark), every.filter(benchmark), ["source", "id"]).select("id", "drop_reason")
+
+
 NAMES_SQL = "SELECT p_partkey, 'src' || CAST(p_partkey % 3 AS VARCHAR) AS source, {key} AS family FROM (SELECT p_partkey, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN '_aug_' || CAST(p_partkey AS VARCHAR) ELSE '' END AS s, '.rf.' || CAST(p_partkey AS VARCHAR) AS m FROM part)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Family keys: which suffixes of a file's stem are cut off, and whether case counts.
 FAMILY_MODES = ("marker_and_augment", "marker_and_augment_lower", "last_marker", "name_lower")
+#: What copies of a picture carry in their names.
 MARKER, AUGMENT, LAST_MARKER = ".rf.", r"(?i)[_-]aug(?:mented)?[_-]?\d+$", r"(?i)\.rf\.[^.]+$"
 
 
@@ -53,10 +54,11 @@ def family(path: Column, source: Column | None = None, mode: str = "marker_and_a
 
 def grid_bits(grid: Column, width: int, height: int, rising: bool = False) -> Column:
     """Bits of a difference hash: for each pair of neighbours in a row, whether the left one is
-    larger (or, if ``rising``, the right one), row by row. ``grid`` is one array."""
+    larger (or, if ``rising``, the right one), row by row. ``grid`` is one array; null without one."""
     pairs = F.array(*[F.lit(r * width + c) for r in range(height) for c in range(width - 1)])
     bit = lambda i: F.get(grid, i) < F.get(grid, i + 1) if rising else F.get(grid, i) > F.get(grid, i + 1)
-    return F.array_join(F.transform(pairs, lambda i: F.when(bit(i), "1").otherwise("0")), "")
+    bits = F.array_join(F.transform(pairs, lambda i: F.when(bit(i), "1").otherwise("0")), "")
+    return F.when(grid.isNotNull(), bits)
 
 
 def dhash(grid: Column, width: int = 9, height: int = 8, rising: bool = False) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+#: Where a token of a line begins that is no plain decimal.
+NO_DECIMAL = r"(?:^| )(?![+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?(?: |$))"
 WHOLE = r"^[+-]?\d+$"
 #: How a class token is read: as an integral number, as digits only, or cut off after the point.
 CLASS_MODES = ("integral", "digits", "truncate")
@@ -87,16 +89,24 @@ def parsed(
     n = F.col("_n")
     could = (n != 5) & (n >= 1 + 2 * least_points) & (n % 2 == 1) & F.lit(polygons)
     judged = read_line(df, line, mode).withColumn("_id", cls)
-    # the polygon is a column of its own, so that taking fields of the result doesn't parse it again
-    judged = judged.withColumn("_polygon", F.when(could, parse_line(F.col(line), nc, mode, polygons, least_points)))
-    judged = judged.withColumn("_error", F.when(n == 5, error).when(could, F.col("_polygon.error")).otherwise("tokens"))
+    # a polygon's numbers are split by place and read as whole arrays: no function of a single element
+    judged = judged.withColumn("_rest", F.when(could, F.regexp_replace(F.regexp_replace(line, r"^\s*\S+\s+|\s+$", ""), r"\s+", " ")))
+    column = lambda k: F.split(F.regexp_replace("_rest", r"(\S+) (\S+)( |$)", f"${k}$3"), " ").try_cast("array<double>")
+    judged = judged.withColumns({"_xs": column(1), "_ys": column(2), "_plain": ~F.col("_rest").rlike(NO_DECIMAL)})
+    judged = judged.withColumns({"_x0": F.array_min("_xs"), "_x1": F.array_max("_xs"), "_y0": F.array_min("_ys"), "_y1": F.array_max("_ys")})
+    a, b, c, d = (F.col(k) for k in ("_x0", "_x1", "_y0", "_y1"))
+    inside = F.col("_plain") & in_unit(a) & in_unit(b) & in_unit(c) & in_unit(d)
+    outline = F.when(F.col("_id").isNull(), "class").when(~inside, "coordinate").when(~((b > a) & (d > c)), "extent")
+    judged = judged.withColumn("_error", F.when(n == 5, error).when(could, outline).otherwise("tokens"))
     sound, box = F.col("_error").isNull(), n == 5
-    field = lambda of_box, name: F.when(sound & box, of_box).when(sound, F.col(f"_polygon.{name}")).alias(name)
+    field = lambda of_box, of_polygon, name: F.when(sound, F.when(box, of_box).otherwise(of_polygon)).alias(name)
     whole = F.struct(
-        field(F.lit("bbox"), "kind"), field(F.col("_id"), "class_id"), *[field(c, k) for c, k in zip(v, "xywh")],
-        field(F.lit(0), "n_points"), F.col("_error").alias("error"),
+        field(F.lit("bbox"), F.lit("polygon"), "kind"), F.when(sound, F.col("_id")).alias("class_id"),
+        field(v[0], (a + b) / 2, "x"), field(v[1], (c + d) / 2, "y"), field(v[2], b - a, "w"), field(v[3], d - c, "h"),
+        field(F.lit(0), ((n - 1) / 2).cast("int"), "n_points"), F.col("_error").alias("error"),
     )
-    return judged.select(*df.columns, whole.alias(name))
+    # made into rows, so that what is asked of the result isn't pushed below and computed again there
+    return judged.select(*df.columns, F.explode(F.array(whole)).alias(name))
 
 
 def in_unit(value: Column) -> Column:

@@ -63,18 +63,21 @@ def one_pass(records: DataFrame, content: str, key: list[str], order: list[Colum
 
 
 def exclude_and_deduplicate(records: DataFrame, protected: DataFrame, order: list[Column | str]) -> DataFrame:
-    """``records`` with ``drop_reason``: benchmark_exact, benchmark_perceptual, duplicate_exact,
-    duplicate_perceptual or null for the rows that stay, in that order of checks."""
+    """``records`` with ``drop_reason``: unreadable, benchmark_exact, benchmark_perceptual,
+    duplicate_exact, duplicate_perceptual or null for the rows that stay, in that order of checks.
+
+    A record without a perceptual key is unreadable, whatever its content, and holds no key."""
     order = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
     matched = match_kind(records, protected).withColumn("_order", order)
     # a mergeable minimum for each key, so that a key that many rows share needn't be sorted
-    held = matched.filter("match is null").groupBy(*PERCEPTUAL).agg(F.min(F.struct(F.col("_order").alias("o"), F.col("sha256").alias("sha"))).alias("_held"))
+    held = matched.filter("match is null and dhash is not null").groupBy(*PERCEPTUAL).agg(F.min(F.struct(F.col("_order").alias("o"), F.col("sha256").alias("sha"))).alias("_held"))
     keys = held.withColumnsRenamed({c: f"_{c}" for c in PERCEPTUAL})
     same = F.col("match").isNull()
     for c in PERCEPTUAL:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     reason = (
-        F.when(F.col("match") == "exact", "benchmark_exact")
+        F.when(F.col("dhash").isNull(), "unreadable")
+        .when(F.col("match") == "exact", "benchmark_exact")
         .when(F.col("match") == "perceptual", "benchmark_perceptual")
         .when(F.col("_order").eqNullSafe(F.col("_held")["o"]), F.lit(None).cast("string"))
         .when(F.col("sha256").eqNullSafe(F.col("_held")["sha"]), "duplicate_exact")

@@ -22,11 +22,23 @@ def fingerprints(protected: DataFrame) -> tuple[DataFrame, DataFrame]:
     return protected.select("sha256").distinct(), protected.select(*PERCEPTUAL).distinct()
 
 
+def protected_keys(protected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct perceptual keys of protected records, and one row ``records, unreadable, keys``."""
+    read = F.col("dhash").isNotNull()
+    keys = protected.filter(read).select(*PERCEPTUAL).distinct()
+    counts = protected.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(~read).alias("unreadable"),
+        F.count_distinct(F.when(read, F.struct(*PERCEPTUAL))).alias("keys"),
+    )
+    return keys, counts
+
+
 def match_kind(records: DataFrame, protected: DataFrame) -> DataFrame:
     """``records`` with ``match``: exact, perceptual or null. Exact wins."""
     exact, like = fingerprints(protected)
-    exact = small(exact.filter("sha256 is not null").withColumn("hit_exact", F.lit(True)))
-    like = small(like.dropna().withColumn("hit_like", F.lit(True)))
+    # how many keys there are is known to Spark once they are made, and it broadcasts them if they are few
+    exact = exact.filter("sha256 is not null").withColumn("hit_exact", F.lit(True))
+    like = like.dropna().withColumn("hit_like", F.lit(True))
     joined = records.join(exact, "sha256", "left").join(like, PERCEPTUAL, "left")
     kind = F.when(F.col("hit_exact"), "exact").when(F.col("hit_like"), "perceptual")
     return joined.withColumn("match", kind).select(*records.columns, "match")

@@ -18,8 +18,9 @@ def line_counts(lines: DataFrame, parsed: str) -> DataFrame:
 
 def class_counts(lines: DataFrame, parsed: str) -> DataFrame:
     """``class_id, lines`` over the valid lines."""
-    valid = lines.filter(F.col(parsed)["error"].isNull())
-    return valid.groupBy(F.col(parsed)["class_id"].alias("class_id")).agg(F.count(F.lit(1)).alias("lines"))
+    # counted, not filtered: a filter would be pushed below the parsing and repeat it
+    valid = F.count_if(F.col(parsed)["error"].isNull()).alias("lines")
+    return lines.groupBy(F.col(parsed)["class_id"].alias("class_id")).agg(valid).filter("lines > 0")
 
 
 def zero_filled(counts: DataFrame, key: str, values: list, count: str) -> DataFrame:
