@@ -7,7 +7,6 @@ numbers are classes, documents are pictures.
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -122,7 +121,11 @@ def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one only on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="siftwork-tree-")
+    if shared:
+        return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix='siftwork-')}/tree"
 
 
 def tree(spark: SparkSession, sf_dir: str, missing: int | None = None) -> str:
@@ -658,10 +661,14 @@ def coco_file(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     cat = F.substring("o_orderpriority", 1, 1).cast("bigint")
     notes = o.select(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), cat.alias("category_id"), box.alias("bbox")).alias("x"))
     cats = o.select(F.struct(cat.alias("id"), F.substring("o_orderpriority", 3, 20).alias("name")).alias("x")).distinct()
-    data = {k: [r["x"].asDict() for r in df.collect()] for k, df in (("images", images), ("annotations", notes), ("categories", cats))}
-    root = scratch(spark)
-    one = spark.createDataFrame([("notes.json", json.dumps(data))], "name string, content string")
-    outputs.write_files(one, root, "name", "content")
+    root, rows = scratch(spark), None
+    for k, (section, df) in enumerate((("images", images), ("annotations", notes), ("categories", cats))):
+        keyed = df.select(F.col("x.id").alias("id"), F.to_json("x").alias("text"))
+        first = keyed.agg(F.min("id")).first()[0]
+        each = keyed.select(F.lit(k).alias("k"), "id", F.concat(F.when(F.col("id") == first, "\n").otherwise(",\n"), "text").alias("text"))
+        begin = spark.createDataFrame([(k, None, ("{" if k == 0 else "],\n") + f'"{section}": [')], "k int, id long, text string")
+        rows = begin.unionByName(each) if rows is None else rows.unionByName(begin).unionByName(each)
+    outputs.write_joined(rows, f"{root}/notes.json", ["k", "id"], "text", tail="]}\n")
     found = c.filter("c_mktsegment <> 'MACHINERY'").select(F.concat(F.lit("/data/"), name).alias("path"))
     return f"{root}/notes.json", found
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark import TaskContext
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.labels import fixed8
+from ..sources.files import contents
+from ..sources.storage import qualified, system_of
 
 #: The columns of a manifest, in order.
 MANIFEST = ["source", "source_split", "family_id", "is_negative", "source_image", "output_name", "final_split", "sha256", "dhash", "width", "height"]
@@ -21,52 +28,174 @@ def write_split(records: DataFrame, path: str, split: str = "final_split", polic
     records.write.mode(POLICIES[policy]).partitionBy(split).parquet(path)
 
 
-def _clear(spark: SparkSession, root: str, policy: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(path):
-        if policy != "replace":
-            raise ValueError(f"{root} exists")
-        system.delete(path, True)
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_files(rows: DataFrame, root: str, name: str, content: str) -> None:
-    """One file below ``root`` for each row, in a folder that all executors share. Tasks that run
-    again write the same bytes to the same names."""
-
-    def write(part: Iterator[Row]) -> None:
-        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-        made = set()
-        for r in part:
-            path = f"{base}/{r[name]}"
+class TreeWriter(DataSourceWriter):
+    """Writes one file a row below a staging folder; the tree changes places with it when all tasks are done.
+
+    A file is written under a name of its attempt and renamed, so a task that fails or runs twice leaves no
+    part of a file under its name, and attempts of a task write equal bytes.
+    """
+
+    def __init__(self, root: str, staging: str):
+        self.root, self.staging = root, staging
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        system, base, _ = system_of(self.staging)
+        made: set[str] = set()
+        for r in iterator:
+            path = f"{base}/{r[0]}"
             folder = path.rpartition("/")[0]
             if folder not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            data = r[content] or b""
-            with system.open_output_stream(path) as f:
-                f.write(data.encode("utf-8") if isinstance(data, str) else bytes(data))
+            partial = f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(partial) as f:
+                f.write(bytes(r[1]) if r[1] is not None else b"")
+            system.move(partial, path)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
+        system, root, _ = system_of(self.root)
+        new, old = system_of(self.staging)[1], f"{root}.old-{uuid.uuid4().hex}"
+        system.create_dir(new, recursive=True)  # a tree without files
+        if system.get_file_info(root).type != fs.FileType.NotFound:
+            system.move(root, old)
+        else:
+            system.create_dir(root.rpartition("/")[0], recursive=True)
+        system.move(new, root)
+        if system.get_file_info(old).type != fs.FileType.NotFound:
+            system.delete_dir(old)
+
+    def abort(self, messages: list) -> None:
+        system, new, _ = system_of(self.staging)
+        if system.get_file_info(new).type != fs.FileType.NotFound:
+            system.delete_dir(new)
+
+
+class TreeSink(DataSource):
+    """Rows ``name, content`` as a tree of files that replaces the one before as a whole or not at all."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "siftwork_tree"
+
+    def writer(self, schema, overwrite: bool) -> TreeWriter:
+        return TreeWriter(self.options["path"], self.options["staging"])
+
+
+def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str = "replace") -> None:
+    """One file below ``root`` for each row, in a folder that all executors share.
+
+    What was there stays until every file is written; then the new tree takes its place. If a task
+    fails for good, the old tree is left as it was. ``refuse`` raises if there is one.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {tuple(POLICIES)}")
+    spark = rows.sparkSession
+    spark.dataSource.register(TreeSink)
+    where = qualified(spark, root)
+    path, system = _hadoop(spark, where)
+    if policy == "refuse" and system.exists(path):
+        raise ValueError(f"{root} exists")
+    pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    pairs.write.format(TreeSink.name()).mode("append").option("staging", f"{where}.new-{uuid.uuid4().hex}").save(where)
 
-    rows.select(name, content).foreachPartition(write)
+
+def write_files(rows: DataFrame, root: str, name: str, content: str) -> None:
+    """The tree of ``write_tree`` at a place that may hold one already."""
+    write_tree(rows, root, name, content)
 
 
 def write_dataset(records: DataFrame, root: str, split: str = "final_split", policy: str = "replace") -> None:
-    """Images and label files of ``records`` by split, images copied from ``image_path``.
+    """Images and label files of ``records`` by split, images copied from ``image_path``, in one commit.
 
-    ``labels`` are the lines of a record's label file and ``output_name`` is its image's name.
+    ``labels`` are the lines of a record's label file and ``output_name`` is its image's name. An image
+    that can't be read fails the whole, and the tree before it stays.
     """
-    spark = records.sparkSession
-    _clear(spark, root, policy)
     base = F.regexp_replace("output_name", r"\.[^./]*$", "")
     text = F.when(F.size("labels") > 0, F.concat(F.array_join("labels", "\n"), F.lit("\n"))).otherwise("")
-    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.alias("content"))
-    write_files(named, root, "name", "content")
+    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.cast("binary").alias("content"))
     wanted = records.select(F.concat_ws("/", split, F.lit("images"), "output_name").alias("name"), "image_path")
-    folder = F.regexp_replace("image_path", r"/[^/]*$", "")
-    folders = [r[0] for r in wanted.select(folder).distinct().collect()]  # the folders of the sources
-    if folders:
-        content = spark.read.format("binaryFile").load(folders).select(F.col("path").alias("image_path"), "content")
-        write_files(wanted.join(content, "image_path"), root, "name", "content")
+    there = contents(wanted, "image_path")
+    lost = F.raise_error(F.concat(F.lit("cannot read "), F.coalesce("image_path", F.lit("an image without path"))))
+    copied = there.select("name", F.when(F.col("content").isNull(), lost).otherwise(F.col("content")).alias("content"))
+    write_tree(named.unionByName(copied), root, "name", "content", policy)
+
+
+def write_joined(rows: DataFrame, path: str, order: list[str], text: str, head: str = "", tail: str = "", bom: bool = False) -> int:
+    """One file with ``text`` of all rows in ``order``, between ``head`` and ``tail``; returns its bytes.
+
+    Rows are dealt by ranges of ``order``, each task sorts and encodes its own and writes a part, and the
+    parts are joined by the file system, or streamed one after another where it can't; no task and no
+    Python process holds the whole. Equal rows give equal bytes, whatever the number of tasks.
+    """
+    spark = rows.sparkSession
+    where = qualified(spark, path)
+    staging = f"{where}.parts-{uuid.uuid4().hex}"
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base, _ = system_of(staging)
+        system.create_dir(base, recursive=True)
+        name, number, size = f"{base}/{uuid.uuid4().hex}", TaskContext.get().partitionId(), 0
+        with system.open_output_stream(name) as f:
+            for pdf in batches:
+                data = "".join(pdf["text"].fillna("")).encode("utf-8")
+                size += len(data)
+                f.write(data)
+        yield pd.DataFrame({"part": [number], "name": [name.rpartition("/")[2]], "size": [size]})
+
+    keys = rows.select(F.col(text).alias("text"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    by = [*[F.col(f"o{i}").asc_nulls_first() for i in range(len(order))], F.col("text")]
+    dealt = keys.repartitionByRange(*by).sortWithinPartitions(*by).select("text")
+    # a row for each task
+    parts = sorted(dealt.mapInPandas(encoded, "part int, name string, size long").filter("size > 0").collect())
+    target, system = _hadoop(spark, f"{staging}/joined")
+    if not parts:
+        system.mkdirs(target.getParent())
+    out = system.create(target, True)
+    begin = (b"\xef\xbb\xbf" if bom else b"") + head.encode("utf-8")
+    out.write(begin)
+    out.close()
+    ending, _ = _hadoop(spark, f"{staging}/tail")
+    end = system.create(ending, True)
+    end.write(tail.encode("utf-8"))
+    end.close()
+    names = [_hadoop(spark, f"{staging}/{p['name']}")[0] for p in parts] + ([ending] if tail else [])
+    _join(spark, system, target, names)
+    final, _ = _hadoop(spark, where)
+    system.mkdirs(final.getParent())
+    if system.exists(final):
+        system.delete(final, False)
+    system.rename(target, final)
+    system.delete(target.getParent(), True)
+    return len(begin) + sum(p["size"] for p in parts) + len(tail.encode("utf-8"))
+
+
+def _join(spark: SparkSession, system, target, names: list) -> None:
+    """Appends files to ``target``: by the file system's own means where it has them, else as a stream."""
+    if not names:
+        return
+    listed = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(names))
+    for i, n in enumerate(names):
+        listed[i] = n
+    try:
+        system.concat(target, listed)
+        return
+    except UnsupportedOperationException:
+        pass
+    whole = spark._jvm.org.apache.hadoop.fs.Path(target.toString() + "-whole")
+    out = system.create(whole, True)
+    for n in [target, *names]:
+        part = system.open(n)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+        part.close()
+    out.close()
+    system.delete(target, False)
+    system.rename(whole, target)
 
 
 def manifest(records: DataFrame, base_names: bool = True, booleans: tuple[str, str] = ("true", "false")) -> DataFrame:
@@ -76,9 +205,26 @@ def manifest(records: DataFrame, base_names: bool = True, booleans: tuple[str, s
     return records.withColumn("source_image", image).withColumn("is_negative", flag).select(*MANIFEST)
 
 
-def write_manifest(records: DataFrame, path: str, line_break: str = "\n") -> None:
-    """CSV files in the order of the output names; one file a task."""
-    records.orderBy("output_name").write.mode("overwrite").csv(path, header=True, lineSep=line_break)
+#: How a manifest is written: line breaks, a byte order mark, whole paths of images, and words for flags.
+VARIANTS = {
+    "plain": {"line_break": "\n", "bom": False, "base_names": True, "booleans": ("true", "false")},
+    "windows": {"line_break": "\r\n", "bom": False, "base_names": False, "booleans": ("True", "False")},
+    "marked": {"line_break": "\r\n", "bom": True, "base_names": False, "booleans": ("True", "False")},
+}
+
+
+def csv_line(columns: list[str], line_break: str) -> Column:
+    """A row as a line of CSV: fields with a comma, a quote or a line break in quotes, null as nothing."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    field = lambda c: F.when(text(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text(c))
+    return F.concat(F.concat_ws(",", *[field(c) for c in columns]), F.lit(line_break))
+
+
+def write_manifest(records: DataFrame, path: str, variant: str = "plain") -> int:
+    """One CSV file of the manifest's columns in the order of the output names; returns its bytes."""
+    form = VARIANTS[variant]
+    rows = manifest(records, form["base_names"], form["booleans"]).withColumn("_line", csv_line(MANIFEST, form["line_break"]))
+    return write_joined(rows, path, ["output_name"], "_line", ",".join(MANIFEST) + form["line_break"], bom=form["bom"])
 
 
 def label_text(labels: DataFrame, record: list[str], order: str) -> DataFrame:

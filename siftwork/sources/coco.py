@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.labels import pixel_box
 from ..operators.classify import remap
 from ..operators.match import coco_labels
+from .json_ranges import RANGE, elements
 
-SCHEMA = (
-    "images array<struct<id:bigint,file_name:string,width:int,height:int>>, "
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>, "
-    "categories array<struct<id:bigint,name:string>>"
-)
+SECTIONS = {
+    "images": "id bigint, file_name string, width int, height int",
+    "annotations": "id bigint, image_id bigint, category_id bigint, bbox array<double>",
+    "categories": "id bigint, name string",
+}
 
 
 @dataclass
@@ -25,9 +26,10 @@ class Coco:
     categories: DataFrame
 
 
-def read(spark: SparkSession, path: str) -> Coco:
-    document = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    part = lambda name: document.select(F.explode(name).alias("x")).select("x.*")
+def read(spark: SparkSession, path: str, width: int = RANGE) -> Coco:
+    """The three relations of a document, its elements read by ranges of ``width`` bytes in many tasks."""
+    every = elements(spark, path, width)
+    part = lambda name: every.filter(F.col("section") == name).select(F.from_json("element", SECTIONS[name]).alias("x")).select("x.*")
     return Coco(part("images"), part("annotations"), part("categories"))
 
 

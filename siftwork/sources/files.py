@@ -7,20 +7,24 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import base_name, extension, stem
+from .storage import LISTING, listed, system_of
 
+#: Files that a task holds at once.
+READ_AT_ONCE = 64
 #: Extensions of images in order of preference, and split names by the folder names that stand for them.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 SPLIT_ALIASES = {"train": "train", "valid": "valid", "val": "valid", "validation": "valid", "test": "test"}
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``path, length, modified`` of the files below ``root``; contents aren't read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    """``path, length, modified`` of the files below ``root``, listed by executors; contents aren't read."""
+    return listed(spark, root, recursive)
 
 
 def is_image(path: Column) -> Column:
@@ -30,7 +34,7 @@ def is_image(path: Column) -> Column:
 def images(spark: SparkSession, root: str, recursive: bool = True, missing_ok: bool = True) -> DataFrame:
     """The image files below ``root``, by extension in any case. A missing root is empty."""
     if missing_ok and not exists(spark, root):
-        return spark.createDataFrame([], "path string, length long, modified timestamp")
+        return spark.createDataFrame([], LISTING)
     return listing(spark, root, recursive).filter(is_image(F.col("path")))
 
 
@@ -42,21 +46,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def label_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``path, line_no, line`` of the ``.txt`` files in a ``labels`` folder; an empty file has one
-    row with a null line."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]")
-    found = reader.option("recursiveFileLookup", str(recursive).lower()).load(root)
-    # readers have no row for an empty file, which says that an image has no object
-    every = _paths(found).filter(has_folder(F.col("path"), "labels"))
-    texts = every.join(found.select("path", F.col("content").cast("string").alias("value")), "path", "left")
-    return texts.select("path", F.posexplode_outer(lines_of(F.col("value"))).alias("line_no", "line"))
-
-
-def _paths(files: DataFrame) -> DataFrame:
-    """The paths that a reader of files has listed, those of empty files too. The reader's own list
-    is on the driver as well, so this is bounded by what that bears."""
-    named = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "value string")
-    plain = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))
-    return named.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    row with a null line. A file that can't be read has one with a null line and ``readable`` false."""
+    found = listing(spark, root, recursive).filter(extension(F.col("path")).eqNullSafe(".txt") & has_folder(F.col("path"), "labels"))
+    texts = contents(found.select("path")).withColumn("value", F.col("content").cast("string"))
+    return texts.select("path", F.posexplode_outer(lines_of(F.col("value"))).alias("line_no", "line"), F.col("content").isNotNull().alias("readable"))
+
+
+def contents(files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with the ``content`` of the small file that each row names, null where it can't be read.
+
+    The names, not the contents, are dealt out first: a listing has few tasks and reading needs many.
+    """
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, READ_AT_ONCE):
+                part = batch.slice(at, READ_AT_ONCE)
+                data = []
+                for uri in part.column(path).to_pylist():
+                    system, inside, _ = system_of(uri)
+                    try:
+                        with system.open_input_stream(inside) as f:
+                            data.append(f.read())
+                    except OSError:
+                        data.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], [*part.schema.names, "content"])
+
+    dealt = files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(opened, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def lines_of(text: Column) -> Column:

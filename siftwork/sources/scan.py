@@ -111,7 +111,8 @@ def audit(spark: SparkSession, root: str, classes: int) -> DataFrame:
 
     images = files.images(spark, root).groupBy(files.split_of(F.col("path")).alias("split")).agg(F.count(F.lit(1)).alias("images"))
     lines = parsed(files.label_lines(spark, root), "line", "p", classes)
-    bad = F.col("line").isNotNull() & F.col("p.error").isNotNull()
+    # a file that can't be read counts as an invalid line
+    bad = (F.col("line").isNotNull() & F.col("p.error").isNotNull()) | ~F.col("readable")
     labels = lines.groupBy(files.split_of(F.col("path")).alias("split")).agg(
         F.count_distinct("path").alias("label_files"), F.count("line").alias("lines"), F.count_if(bad).alias("invalid_lines")
     )
