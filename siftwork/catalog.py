@@ -7,10 +7,13 @@ numbers are classes, documents are pictures.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from .operators import checks, classify, dedup, detections, match, records, repo
 from .operators.ordering import placed
 from .plans import builds
 from .sinks import outputs
-from .sources import coco, config, files, scan
+from .sources import coco, config, files, runs, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1095,3 +1098,112 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# --- files written and read back -----------------------------------------------------------
+
+
+def archives(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the customers' label files into a ZIP archive for each nation; odd nations' are only stored."""
+    lines = image_lines(spark, sf_dir)
+    texts = lines.groupBy("id", "split").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, n = io.BytesIO(), int(pdf["nation"].iloc[0])
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED if n % 2 else zipfile.ZIP_DEFLATED) as z:
+            z.writestr("labels/", "")
+            for r in pdf.sort_values("id").itertuples(index=False):
+                z.writestr(f"{r.split}/labels/c{r.id}.txt", r.content)
+        return pd.DataFrame({"name": [f"nation{n}.ZIP" if n % 3 else f"deep/nation{n}.zip"], "content": [held.getvalue()]})
+
+    made = texts.join(nation, "id").groupBy("nation").applyInPandas(packed, "name string, content binary")
+    root = scratch(spark)
+    outputs.write_files(made, root, "name", "content")
+    return root
+
+
+@query("s8_archive_members", f"""WITH {IMAGES_SQL}, texts AS (SELECT id, coalesce(string_agg(cls || ' 0.5 ' || y || ' 0.25 0.125' || CASE WHEN odd THEN ' 9' ELSE '' END, chr(10) ORDER BY k), '') AS t FROM cust LEFT JOIN ln USING (id) GROUP BY id)
+SELECT 'nation' || c_nationkey AS archive, cust.split || '/labels/c' || id || '.txt' AS member, t AS content FROM cust JOIN customer ON c_custkey = id JOIN texts USING (id)""")
+def s8(spark, sf_dir):
+    members = files.archive_members(spark, archives(spark, sf_dir))
+    return members.select(stem_of("archive").alias("archive"), "member", files.decoded(F.col("content")).alias("content"))
+
+
+MANIFEST_SQL = """
+m AS (SELECT 'o' || o_orderkey || '.jpg' AS output_name, o_orderpriority AS source, o_orderstatus AS source_split, 'f' || o_custkey AS family_id, o_orderkey % 2 = 0 AS is_negative,
+             '/in/' || o_custkey || '/' || o_orderkey || ',a.jpg' AS source_image, CASE WHEN o_orderkey % 5 = 0 THEN 'valid' ELSE 'train' END AS final_split, o_orderkey, o_custkey FROM orders),
+v(variant, brk, bom, yes, no, whole) AS (VALUES ('plain', chr(10), '', 'true', 'false', false), ('windows', chr(13) || chr(10), '', 'True', 'False', true), ('marked', chr(13) || chr(10), chr(65279), 'True', 'False', true)),
+t AS (SELECT variant, any_value(bom) || 'source,source_split,family_id,is_negative,source_image,output_name,final_split,sha256,dhash,width,height' || any_value(brk)
+             || string_agg(source || ',' || source_split || ',' || family_id || ',' || CASE WHEN is_negative THEN yes ELSE no END || ',"' || CASE WHEN whole THEN source_image ELSE o_orderkey || ',a.jpg' END || '",' || output_name || ',' || final_split
+                 || ',' || sha256(CAST(o_orderkey AS VARCHAR)) || ',,' || o_custkey || ',1' || brk, '' ORDER BY output_name) AS t FROM m, v GROUP BY variant)"""
+
+
+@query("k2_manifests", f"WITH {MANIFEST_SQL} SELECT variant, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM t")
+def k2(spark, sf_dir):
+    o, text = table(spark, sf_dir, "orders"), lambda c: F.col(c).cast("string")
+    records = o.select(
+        F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("source_split"), F.concat(F.lit("f"), text("o_custkey")).alias("family_id"), (F.col("o_orderkey") % 2 == 0).alias("is_negative"),
+        F.concat(F.lit("/in/"), text("o_custkey"), F.lit("/"), text("o_orderkey"), F.lit(",a.jpg")).alias("source_image"), F.concat(F.lit("o"), text("o_orderkey"), F.lit(".jpg")).alias("output_name"),
+        F.when(F.col("o_orderkey") % 5 == 0, "valid").otherwise("train").alias("final_split"), keys.sha256(text("o_orderkey")).alias("sha256"), F.lit(None).cast("string").alias("dhash"),
+        F.col("o_custkey").alias("width"), F.lit(1).alias("height"),
+    )
+    root = scratch(spark)
+    for variant in outputs.VARIANTS:
+        outputs.write_manifest(records, f"{root}/{variant}.csv", variant)
+    found = files.contents(files.listing(spark, root).filter("path like '%.csv'"))
+    return found.select(stem_of("path").alias("variant"), F.col("length").alias("bytes"), keys.sha256(F.col("content")).alias("sha256"))
+
+
+def run_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Writes a run folder for each user of the events: a result table of their events in order, with
+    other headers for odd users and none for each fifth, and weights for some."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    odd, user = F.col("user_id") % 2 == 1, F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    line = F.when(odd, F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string"))).otherwise(F.concat_ws(" , ", F.lit("x"), F.col("value").cast("string"), F.col("event_id").cast("string")))
+    held = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("l"))
+    head = F.when(odd, F.lit("epoch,metrics/mAP50-95\n")).otherwise(F.lit("\ufeff other, metrics/mAP50-95(B) ,epoch\r\n"))
+    body = F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    tables = held.filter("user_id % 5 <> 0").select(F.concat(F.lit("runs/"), user, F.lit("/results.csv")).alias("name"), body.alias("content"))
+    weights = held.filter("user_id % 3 = 0").select(F.concat(F.lit("runs/"), user, F.when(odd, "/weights/best.pt").otherwise("/Weights/last.pt")).alias("name"), F.lit("w").alias("content"))
+    args = held.select(F.concat(F.lit("runs/"), user, F.lit("/args.yaml")).alias("name"), F.lit("epochs: 3").alias("content"))
+    root = scratch(spark)
+    outputs.write_files(tables.unionByName(weights).unionByName(args), root, "name", "content")
+    return root
+
+
+RUNS_SQL = """
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+g AS (SELECT user_id, count(*) AS n, arg_max(event_id, (value, -k)) AS epoch, max(value) AS best, arg_max(value, k) AS last_value FROM e GROUP BY user_id)"""
+METRIC = ["metrics/mAP50-95(B)", "metrics/mAP50-95"]
+
+
+@query("s14_run_rows", f"WITH {RUNS_SQL} SELECT 'u' || user_id AS run, CAST(k AS INTEGER) AS row_no, CAST(event_id AS VARCHAR) AS epoch, value FROM e WHERE user_id % 5 <> 0")
+def s14(spark, sf_dir):
+    tables = runs.run_files(files.listing(spark, run_tree(spark, sf_dir))).filter("mark = 'results'")
+    return runs.run_rows(tables).select(keys.base_name(F.col("run")).alias("run"), "row_no", F.col("values")["epoch"].alias("epoch"), runs.value_of(F.col("values"), METRIC).alias("value"))
+
+
+@query("s15_inventory", f"""WITH {RUNS_SQL} SELECT 'u' || user_id AS run, user_id % 5 <> 0 AS has_results, user_id % 3 = 0 AND user_id % 2 = 1 AS has_best, false AS has_last, CASE WHEN user_id % 5 <> 0 THEN n ELSE 0 END AS n_epochs,
+CASE WHEN user_id % 5 <> 0 THEN CAST(epoch AS VARCHAR) END AS epoch, CASE WHEN user_id % 5 <> 0 THEN best END AS best, CASE WHEN user_id % 5 <> 0 THEN last_value END AS last_value FROM g WHERE user_id % 5 <> 0 OR user_id % 3 = 0""")
+def s15(spark, sf_dir):
+    found = runs.inventory(spark, run_tree(spark, sf_dir), METRIC)
+    return found.select(keys.base_name(F.col("run")).alias("run"), "has_results", "has_best", "has_last", "n_epochs", "epoch", "best", "last_value")
+
+
+@query("k3_report_json", """WITH c AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT '{' || chr(10) || '  "lines": [' || chr(10) || string_agg('    {' || chr(10) || '      "flag": "' || f || '",' || chr(10) || '      "n": ' || n || ',' || chr(10) || '      "status": "' || s || '"' || chr(10) || '    }', ',' || chr(10) ORDER BY f, s) || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS text FROM c""")
+def k3(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("n")).orderBy("flag", "status")
+    path = f"{scratch(spark)}/report.json"
+    outputs.write_json(outputs.report(lines=c), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+
+
+@query("k5_comparison", """WITH a AS (SELECT l_returnflag AS k, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_returnflag AS k, avg(l_discount) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+SELECT '| flag | before | after | change |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || coalesce(a.k, b.k) || ' | ' || coalesce(printf('%.4f', a.v), 'N/A') || ' | ' || coalesce(printf('%.4f', b.v), 'N/A') || ' | ' || coalesce(printf('%+.4f', b.v - a.v), 'N/A') || ' |' || chr(10), '' ORDER BY coalesce(a.k, b.k)) AS text FROM a FULL JOIN b ON a.k = b.k""")
+def k5(spark, sf_dir):
+    mean = lambda s: table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == s).groupBy(F.col("l_returnflag").alias("flag")).agg(F.avg("l_discount").alias("v"))
+    rows, path = match.compare(mean("F"), mean("O"), "flag", "v"), f"{scratch(spark)}/comparison.md"
+    outputs.write_text(outputs.comparison_markdown(rows, "flag"), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))

@@ -241,7 +241,11 @@ def report(**parts: DataFrame) -> dict:
 
 def write_json(data: dict, path: str) -> str:
     """Keys sorted, no time and no absolute path, so equal data give equal bytes."""
-    text = json.dumps(data, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
+    return write_text(json.dumps(data, sort_keys=True, indent=2, ensure_ascii=False) + "\n", path)
+
+
+def write_text(text: str, path: str) -> str:
+    """A small text, such as a report, as one file."""
     where = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
     system, name = fs.FileSystem.from_uri(where)
     system.create_dir(name.rpartition("/")[0], recursive=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,22 +123,78 @@ def located(wanted: DataFrame, files: DataFrame, name: str = "file_name", path:
     return joined.select(*wanted.columns, F.coalesce("direct", "by_name").alias("path"))
 
 
+class Ranged(io.RawIOBase):
+    """A stored file as Python's libraries expect one: a place before its begin is an ``OSError``."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.at, self.end = file, 0, file.size()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        to = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.end}[whence]
+        if to < 0:
+            raise OSError("a place before the file")
+        self.at = to
+        return to
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read_at(max(0, min(len(buffer), self.end - self.at)), min(self.at, self.end))
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def archive_directory(spark: SparkSession, root: str) -> DataFrame:
+    """``archive, member, header, packed, size, method, flags, crc`` of the members of the ZIP archives
+    below ``root``, from the directory at each archive's end; no member is read."""
+
+    def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uri in pdf["path"]:
+                system, inside, _ = system_of(uri)
+                with system.open_input_file(inside) as f, zipfile.ZipFile(io.BufferedReader(Ranged(f))) as z:
+                    rows = [(uri, i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.flag_bits, i.CRC) for i in z.infolist() if not i.is_dir()]
+                yield pd.DataFrame(rows, columns=["archive", "member", "header", "packed", "size", "method", "flags", "crc"])
+
+    archives = listing(spark, root).filter(extension(F.col("path")) == ".zip").select("path")
+    dealt = archives.repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(directory, "archive string, member string, header long, packed long, size long, method int, flags int, crc long")
+
+
 def archive_members(spark: SparkSession, root: str) -> DataFrame:
     """``archive, member, content`` for each file in the ZIP archives below ``root``.
 
-    One task opens one archive and yields its members one by one.
+    Members are dealt out by the archives' directories, so that one archive is read by many tasks, each
+    its own members by their ranges of bytes. A member that is encrypted, packed by another method than
+    deflation, cut off or damaged has null content.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir():
-                            yield pd.DataFrame({"archive": [path], "member": [info.filename], "content": [z.read(info)]})
-
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(root)
-    return archives.select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
+            for r in pdf.itertuples(index=False):
+                system, inside, _ = system_of(r.archive)
+                with system.open_input_file(inside) as f:
+                    head = f.read_at(30, r.header)
+                    names = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                    data = f.read_at(r.packed, r.header + 30 + names)
+                try:
+                    plain = data if r.method == zipfile.ZIP_STORED else zlib.decompress(data, -15) if r.method == zipfile.ZIP_DEFLATED else None
+                except zlib.error:
+                    plain = None
+                if plain is not None and (r.flags & 1 or len(plain) != r.size or zlib.crc32(plain) != r.crc):
+                    plain = None
+                yield pd.DataFrame({"archive": [r.archive], "member": [r.member], "content": [plain]})
+
+    dealt = archive_directory(spark, root).repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(inflated, "archive string, member string, content binary")
 
 
 def decoded(content: Column) -> Column:

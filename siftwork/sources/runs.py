@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import first_present, number
-from .files import exists
+from .files import contents, exists
+from .storage import LISTING, listed
 
 MARKS = ("results.csv", "weights/best.pt", "weights/last.pt")
 
@@ -21,6 +26,9 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         warnings.warn(f"cannot read {path}", stacklevel=2)
         return spark.createDataFrame([], "none string").drop("none")
+    if spark.read.text(path).isEmpty():
+        warnings.warn(f"{path} is empty", stacklevel=2)
+        return spark.createDataFrame([], "none string").drop("none")
     df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
     return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
 
@@ -31,6 +39,88 @@ def metric(df: DataFrame, aliases: list[str]):
     return number(F.trim(F.col(f"`{found}`"))) if found else F.lit(None).cast("double")
 
 
+def run_rows(tables: DataFrame, run: str = "run", path: str = "path") -> DataFrame:
+    """``run, row_no, values`` of many result tables: a row's values by its own file's header, names and
+    values trimmed, a byte order mark dropped, blank lines left out, missing values null.
+
+    Each file is read by one task, line by line; a file that can't be read, or whose text isn't UTF-8,
+    has no row.
+    """
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            for name, content in zip(batch.column("run").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows = list(csv.DictReader(io.StringIO((content or b"").decode("utf-8-sig"), newline="")))
+                except (UnicodeError, csv.Error):
+                    continue
+                values = [{str(k).strip(): v.strip() if isinstance(v, str) else None for k, v in r.items() if k is not None} for r in rows]
+                arrays = [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([list(v.items()) for v in values], kind)]
+                yield pa.RecordBatch.from_arrays(arrays, ["run", "row_no", "values"])
+
+    named = tables.select(F.col(run).alias("run"), F.col(path).alias("path"))
+    return contents(named).select("run", "content").mapInArrow(parsed, "run string, row_no int, values map<string,string>")
+
+
+def value_of(values: Column, aliases: list[str]) -> Column:
+    """The finite number under the first name that a row's file has; null if it has none of them."""
+    out = F.lit(None).cast("double")
+    for a in reversed(aliases):
+        out = F.when(F.map_contains_key(values, a), number(F.try_element_at(values, F.lit(a)))).otherwise(out)
+    return out
+
+
+def run_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``run, mark`` and the columns of ``paths`` for the files that make or belong to a run's folder."""
+    part = F.split(path, "/")
+    name, parent = F.element_at(part, -1), F.coalesce(F.try_element_at(part, F.lit(-2)), F.lit(""))
+    up = lambda n: F.array_join(F.slice(part, 1, F.greatest(F.size(part) - n, F.lit(0))), "/")
+    weights = name.isin("best.pt", "last.pt") & (F.lower(parent) == "weights")
+    mark = (
+        F.when(name == "results.csv", "results").when(name == "args.yaml", "args")
+        .when(weights & (parent == "weights"), F.regexp_extract(name, "^[a-z]+", 0)).when(weights, "other")
+    )
+    return paths.withColumn("run", F.when(weights, up(2)).otherwise(up(1))).withColumn("mark", mark).filter("mark is not null")
+
+
+def inventory(spark: SparkSession, root: str, aliases: list[str], extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """The runs below ``root``, the newest first: ``run, updated, has_results, has_best, has_last,
+    n_epochs, epoch`` (of the best row by ``aliases``, the first of equals), ``best`` and ``last_value``,
+    and for each name of ``extra`` its value in the best row.
+
+    A run's folder holds a result table or weights. Files are listed by executors; rows keep their place
+    in their file, so the best and the last row of a run are aggregates and nothing is sorted for them.
+    """
+    if not exists(spark, root):
+        files = spark.createDataFrame([], LISTING)
+    else:
+        files = listed(spark, root)
+    marked = run_files(files)
+    has = lambda m: F.bool_or(F.col("mark") == m)
+    known = F.when(F.col("mark") != "other", F.col("modified"))
+    runs = marked.groupBy("run").agg(
+        F.max(known).alias("updated"), has("results").alias("has_results"), has("best").alias("has_best"), has("last").alias("has_last"),
+        F.bool_or(F.col("mark") != "args").alias("_is_run"),
+    ).filter("_is_run and updated is not null").drop("_is_run")
+    rows = run_rows(marked.filter("mark = 'results'").select("run", "path"))
+    extra = extra or {}
+    judged = rows.select(
+        "run", "row_no", value_of(F.col("values"), aliases).alias("m"), F.try_element_at("values", F.lit("epoch")).alias("epoch"),
+        *[value_of(F.col("values"), a).alias(f"x{i}") for i, a in enumerate(extra.values())],
+    )
+    own = F.struct("epoch", "m", *[f"x{i}" for i in range(len(extra))])
+    per = judged.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_epochs"), F.max_by(own, F.when(F.col("m").isNotNull(), F.struct("m", (-F.col("row_no")).alias("r")))).alias("b"),
+        F.max_by("m", "row_no").alias("last_value"),
+    )
+    done = runs.join(per, "run", "left").select(
+        "run", "updated", "has_results", "has_best", "has_last", F.coalesce("n_epochs", F.lit(0)).alias("n_epochs"),
+        F.col("b.epoch").alias("epoch"), F.col("b.m").alias("best"), "last_value", *[F.col(f"b.x{i}").alias(n) for i, n in enumerate(extra)],
+    )
+    return done.orderBy(F.desc("updated"), "run")
+
+
 def run_folders(paths: DataFrame, path: str = "path") -> DataFrame:
     """Folders that hold a result table or weights, with what they hold."""
     marks = "|".join(m.replace(".", r"\.") for m in MARKS)

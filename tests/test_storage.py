@@ -137,3 +137,62 @@ def test_class_counts_keep_their_parsing_in_one_place(spark):
     counts = report.zero_filled(report.class_counts(parsed, "p"), "class_id", [0, 1, 2], "lines")
     assert {r[0]: r[1] for r in counts.collect()} == {0: 1, 1: 1, 2: 0}
     assert len(counts._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_archive_members_by_their_ranges(spark, tmp_path):
+    import zipfile
+
+    big = bytes(random.Random(1).randbytes(300_000)) * 8
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("labels/", "")
+        z.writestr("labels/é.txt", b"\xff1")
+        z.writestr("big.bin", big)
+        z.writestr(zipfile.ZipInfo("stored.txt"), b"plain" * 9)
+        z.writestr("packed.txt", b"x" * 1000, zipfile.ZIP_BZIP2)
+    whole = (tmp_path / "a.zip").read_bytes()
+    at = whole.find(b"plainplain")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "B.ZIP").write_bytes(b"before" + whole[:at] + b"PLAIN" + whole[at + 5 :])  # behind other bytes, one member damaged
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    got = {(r["archive"].rpartition("/")[2], r["member"]): r["content"] for r in files.archive_members(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a.zip", "labels/é.txt"): b"\xff1", ("a.zip", "big.bin"): big, ("a.zip", "stored.txt"): b"plain" * 9, ("a.zip", "packed.txt"): None,
+        ("B.ZIP", "labels/é.txt"): b"\xff1", ("B.ZIP", "big.bin"): big, ("B.ZIP", "stored.txt"): None, ("B.ZIP", "packed.txt"): None,
+    }
+    sizes = files.archive_directory(spark, str(tmp_path)).filter("member = 'big.bin'").select("size").collect()
+    assert [r[0] for r in sizes] == [len(big)] * 2
+
+
+def test_inventory_of_runs(spark, tmp_path):
+    import os
+
+    from siftwork.sources import runs
+
+    put(tmp_path, {
+        "a/results.csv": b"\xef\xbb\xbf epoch , m(B)\r\n1, 0.5 \r\n\r\n2,nan\r\n3,0.5\r\n4,x,9,9\r\n5\r\n",
+        "a/args.yaml": b"k: 1",
+        "b/x/results.csv": b"m,epoch\n0.25,7\n",
+        "b/x/weights/best.pt": b"w",
+        "c/weights/last.pt": b"w",
+        "d/args.yaml": b"no run",
+        "e/results.csv": b"",
+        "f/results.csv": b"\xff\xfe\x00",
+        "g/Weights/best.pt": b"w",
+        "g/args.yaml": b"k: 1",
+        "h/results.csv": b"other,epoch\n1,2\n",
+    })
+    for k, name in enumerate(["a/results.csv", "b/x/results.csv", "c/weights/last.pt", "e/results.csv", "f/results.csv", "g/args.yaml", "h/results.csv", "b/x/weights/best.pt"]):
+        os.utime(tmp_path / name, (1000 + k, 1000 + k))
+    os.utime(tmp_path / "a/args.yaml", (999, 999))
+    got = runs.inventory(spark, str(tmp_path), ["m(B)", "m"], {"o": ["other"]}).collect()
+    rows = [(r["run"].partition(str(tmp_path) + "/")[2], r["has_results"], r["has_best"], r["has_last"], r["n_epochs"], r["epoch"], r["best"], r["last_value"], r["o"]) for r in got]
+    assert rows == [
+        ("b/x", True, True, False, 1, "7", 0.25, 0.25, None), ("h", True, False, False, 1, None, None, None, None), ("g", False, False, False, 0, None, None, None, None),
+        ("f", True, False, False, 0, None, None, None, None), ("e", True, False, False, 0, None, None, None, None), ("c", False, False, True, 0, None, None, None, None),
+        ("a", True, False, False, 5, "1", 0.5, None, None),
+    ]
+    assert runs.inventory(spark, str(tmp_path / "none"), ["m"]).count() == 0
+    empty = tmp_path / "e/results.csv"
+    with pytest.warns(UserWarning, match="is empty"):
+        assert runs.results(spark, str(empty)).count() == 0
