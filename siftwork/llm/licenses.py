@@ -8,6 +8,9 @@ in one, and no block is longer than half as much again. A block is compared with
 length only and matches if it contains at least ``threshold`` of the template's distinct words. A
 text whose words as a whole are too few for every template has no block that matches, and is left
 out.
+Words that name a licence tell it from its rivals, whose notices read alike but for them: a template
+with a name matches only blocks in which the name's words stand in a row.
+
 Words are ordered by their frequency over all blocks, rarest first. A block and a template that
 need ``o`` words in common must share one within their first ``size - o + 1`` words (prefix
 filter), blocks with fewer than ``o`` template words can't match (length filter), and a shared
@@ -17,7 +20,8 @@ part of an overlap, so positions and sizes count template words only.
 
 Cases: a null text is empty and has no word, place or label. Matching ignores the case of A-Z
 only. Repeated rows each get their result. Blocks and texts are used whole at any length. Equal
-frequencies are ordered by the word. Without a match ``labels`` is the base labels.
+frequencies are ordered by the word. An empty table gives an empty result, and other columns are
+ignored, whatever their names. Without a match ``labels`` is the base labels.
 """
 
 from __future__ import annotations
@@ -46,7 +50,35 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("bsd", "released under the bsd license"),
+    ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("mpl", "licensed under the mozilla public license version 2 0"),
+    ("epl", "licensed under the eclipse public license version 2 0"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: Words of a template that name its licence. They must stand in a block, in a row.
+NAMES = {
+    "released under the mit license": "mit license",
+    "licensed under the apache license version 2 0": "apache license",
+    "this work is licensed under the gnu general public license version 3": "gnu general public license",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gnu general public license",
+    "you should have received a copy of the gnu general public license along with this program if not see": "gnu general public license",
+    "licensed under cc by nc 4 0": "cc by nc",
+    "this work is licensed under a creative commons attribution 4 0 international license": "creative commons attribution 4 0",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mozilla public license",
+    "released under the bsd license": "bsd license",
+    "licensed under cc by 4 0": "cc by 4 0",
+    "licensed under cc by sa 4 0": "cc by sa",
+    "licensed under the mozilla public license version 2 0": "mozilla public license",
+    "licensed under the eclipse public license version 2 0": "eclipse public license",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lesser general public license",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license": "affero general public license",
+    "this is free and unencumbered software released into the public domain": "unencumbered software",
+}
 THRESHOLD = 0.8
 #: A word of the original text; its lower-case form is a word of the lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -93,9 +125,10 @@ def _phrase_at(words: Column, i: Column) -> Column:
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
-    """``doc_id, text_hash, width, words`` of the blocks that may match, each once a document.
+    """``doc_id, text_hash, width, words, names`` of the blocks that may match, each once a document.
 
-    ``width`` is the number of words of the templates that a window is for.
+    ``width`` is the number of words of the templates that a window is for, ``names`` are the names of
+    templates that stand in it.
     A document is known by its id and the hash of its text.
     """
     vocabulary = F.array(*map(F.lit, sorted({w for _, t in templates for w in t.split()})))
@@ -122,9 +155,14 @@ def blocks(docs: DataFrame, doc_id: str, text: str, templates: tuple[tuple[str,
         .select("doc_id", "text_hash", "width", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1, step)).alias("at"))
         .select("doc_id", "text_hash", "width", F.slice("all", F.col("at") + 1, F.col("width") + step).alias("run"))
     )
+    line = F.concat(F.lit(" "), F.array_join("run", " "), F.lit(" "))
+    names = sorted({NAMES[t] for _, t in templates if t in NAMES})
+    standing = F.array_compact(F.array(*[F.when(F.contains("line", F.lit(f" {n} ")), F.lit(n)) for n in names])) if names else F.array().cast("array<string>")
     return (
-        windows.select("doc_id", "text_hash", "width", F.array_intersect("run", vocabulary).alias("words"))
+        windows.select("doc_id", "text_hash", "width", "run", F.array_intersect("run", vocabulary).alias("words"))
         .filter(F.size("words") >= min(needs))
+        .withColumn("line", line)
+        .select("doc_id", "text_hash", "width", "words", standing.alias("names"))
         .distinct()
     )
 
@@ -141,21 +179,22 @@ def similarity_join(
     for k, (label, words) in enumerate(templates):
         ordered = sorted(set(words.split()), key=lambda w: (frequency.get(w, 0), w))
         need = _needed(len(ordered), threshold)
-        rows += [(k, label, len(words.split()), ordered, need, w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+        rows += [(k, label, len(words.split()), ordered, need, NAMES.get(words), w, i) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(
-        rows, "template int, label string, template_width int, template_words array<string>, need int, w string, template_at int"
+        rows, "template int, label string, template_width int, template_words array<string>, need int, name string, w string, template_at int"
     )
     least = min(r[4] for r in rows)
     order = F.create_map(*[F.lit(x) for w in sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w)) for x in (w, frequency.get(w, 0))])
     ranked = F.array_sort(F.transform("words", lambda w: F.struct(F.try_element_at(order, w).alias("n"), w.alias("w"))))
     prefixed = found.withColumn("words", F.transform(ranked, lambda x: x["w"])).select(
-        "doc_id", "text_hash", "width", "words",
+        "doc_id", "text_hash", "width", "words", "names",
         F.posexplode(F.slice("words", 1, F.size("words") - least + 1)).alias("block_at", "w"),
     )
     # the index has one row for each prefix word of the fixed templates
     candidates = (
         prefixed.join(F.broadcast(index), "w")
         .filter(F.col("width") == F.col("template_width"))
+        .filter(F.col("name").isNull() | F.array_contains("names", F.col("name")))
         .filter(F.size("words") >= F.col("need"))
         .filter(1 + F.least(F.size("words") - 1 - F.col("block_at"), F.size("template_words") - 1 - F.col("template_at")) >= F.col("need"))
     )

@@ -256,3 +256,26 @@ def test_masks_of_overlapping_and_many_spans(spark):
 
 def test_tokens_of_no_rows(none):
     assert tokens.section_tokens(none).collect() == []
+
+
+def test_rivals_of_a_license_give_no_false_label(spark):
+    """Notices that differ from a template by the word that tells licences apart."""
+    notices = {
+        "released under the Apache License": "apache",
+        "released under the BSD license": "bsd",
+        "The data is licensed under CC BY 4.0.": "cc-by",
+        "The data is licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "The data is licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under the Mozilla (or Eclipse) Public License version 2.0": "epl",
+        "Licensed under the Mozilla Public License, version 2.0": "mpl",
+        "Licensed under the Eclipse Public License, version 2.0": "epl",
+        "the file was released on the license under debate": "",
+        "released under the Foo license": "",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "Released under the MIT License.": "mit",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl,gpl",
+    }
+    docs = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(notices.values()))
