@@ -100,8 +100,19 @@ def per_row(kernel: Callable[[pd.Series], pd.DataFrame], schema: str, text: Colu
     return udf(text)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and it is computed once."""
-    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a Parquet table: lineage ends there and it is computed once."""
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

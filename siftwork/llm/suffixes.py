@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, new_folder, stored
 
 LENGTH = 200
 #: Bytes of a hash, and hashes of a window, whose minimum is taken.
@@ -291,29 +291,33 @@ def repeats(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFram
     bytes and ``runs`` the stretches ``a <= start < b`` of its repeated suffixes."""
     if crowd > CROWD:
         raise ValueError(f"crowd is at most {CROWD}")
-    texts = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= LENGTH)
+    spark, texts = docs.sparkSession, docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= LENGTH)
+    folder = new_folder(spark, "suffixes")
     mine = F.xxhash64("text").alias("doc")
-    found = stored(texts.select(mine, "text").mapInArrow(anchors, "doc long, hash long, n long"), "anchors")
+    found = stored(texts.select(mine, "text").mapInArrow(anchors, "doc long, hash long, n long"), f"{folder}/anchors")
     again = found.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
     # a text's own list is bounded by its length
     lists = found.select("doc", "hash").join(again, "hash").groupBy("doc").agg(F.collect_set("hash").alias("again"))
     wanted = texts.select(mine, _key(F.col("text")).alias("key"), "text").join(lists, "doc")
-    parts = stored(wanted.select("key", "text", "again").mapInArrow(cut, "key string, text binary, at long, least long, body binary"), "pieces")
+    parts = stored(wanted.select("key", "text", "again").mapInArrow(cut, "key string, text binary, at long, least long, body binary"), f"{folder}/pieces")
+    discard(spark, f"{folder}/anchors")
     sig, whole = F.unhex(F.sha2("body", 256)), (F.octet_length("body") - LENGTH + 1).cast("int")
-    bodies = stored(parts.groupBy("least", "body").agg(F.count(F.lit(1)).alias("n")).select("least", sig.alias("sig"), "body", "n"), "bodies")
-    crowds = stored(bodies.groupBy("least").agg(F.sum(F.octet_length("body")).alias("size")).filter(F.col("size") > crowd).select("least"), "crowds")
+    bodies = stored(parts.groupBy("least", "body").agg(F.count(F.lit(1)).alias("n")).select("least", sig.alias("sig"), "body", "n"), f"{folder}/bodies")
+    crowds = stored(bodies.groupBy("least").agg(F.sum(F.octet_length("body")).alias("size")).filter(F.col("size") > crowd).select("least"), f"{folder}/crowds")
     schema = "least long, sig binary, runs array<struct<a:int,b:int>>"
     few = bodies.select("least", "sig", "body").join(crowds, "least", "left_anti")
     marked = few.repartition("least").sortWithinPartitions("least").mapInArrow(compared, schema).filter(F.size("runs") > 0)
     if not crowds.isEmpty():
         many = bodies.join(crowds, "least").select("least", "sig", "body", F.explode(F.sequence(F.lit(0), whole - 1)).alias("a"))
         single = many.select("least", "sig", "a", F.substring("body", F.col("a") + 1, F.lit(LENGTH)).alias("string"))
-        twice = single.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
+        # written first, so that a string that many pieces have can be split in the join with it
+        twice = stored(single.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string"), f"{folder}/twice")
         one = single.join(twice, "string").select("least", "sig", F.struct("a", (F.col("a") + 1).alias("b")).alias("r"))
         marked = marked.unionByName(one.groupBy("least", "sig").agg(F.collect_list("r").alias("runs")))
     # a piece that is found more than once repeats whole
     more = bodies.filter("n > 1").select("least", "sig", F.array(F.struct(F.lit(0).alias("a"), whole.alias("b"))).alias("runs"))
-    marks = stored(marked.unionByName(more), "marks")
+    marks = stored(marked.unionByName(more), f"{folder}/marks")
+    discard(spark, f"{folder}/bodies", f"{folder}/crowds", f"{folder}/twice")
     placed = parts.select("key", "at", "least", sig.alias("sig")).distinct().join(marks, ["least", "sig"])
     shifted = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
     runs = placed.select("key", shifted.alias("runs")).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
