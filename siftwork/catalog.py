@@ -8,8 +8,6 @@ numbers are classes, documents are pictures.
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -22,7 +20,7 @@ from .operators import checks, classify, dedup, detections, match, records, repo
 from .operators.ordering import placed
 from .plans import builds
 from .sinks import outputs
-from .sources import coco, config, files, runs, scan
+from .sources import coco, config, files, runs, scan, storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,13 +120,7 @@ def image_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tree-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.mkdtemp(prefix='siftwork-')}/tree"
+    return storage.shared_folder(spark, "tree")
 
 
 def tree(spark: SparkSession, sf_dir: str, missing: int | None = None) -> str:
@@ -811,6 +803,26 @@ def x4(spark, sf_dir):
     return select.split_by_families(families(spark, sf_dir), "l_orderkey", "source", 0.12, SEED)
 
 
+PINNED_SQL = """
+f AS (SELECT doc_id, source, doc_id // 2 AS family, sha256(coalesce(text, '')) AS key, CASE doc_id % 10 WHEN 0 THEN 'valid' WHEN 1 THEN 'train' END AS pin FROM documents),
+e AS (SELECT DISTINCT a.family AS a, b.family AS b FROM f a JOIN f b USING (key) WHERE a.family <> b.family),
+reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+c AS (SELECT family, coalesce(least(family, min(r.b)), family) AS cluster FROM (SELECT DISTINCT family FROM f) LEFT JOIN reach r ON r.a = family GROUP BY family),
+g AS (SELECT cluster, count(*) AS size, bool_or(pin = 'valid') IS TRUE AS v, bool_or(pin = 'train') IS TRUE AS t FROM f JOIN c USING (family) GROUP BY cluster),
+o AS (SELECT *, sha256('26:' || CAST(cluster AS VARCHAR)) AS o FROM g),
+n AS (SELECT greatest(1, round_even(sum(size) * 0.3::DOUBLE, 0)) AS target, coalesce(sum(size) FILTER (v), 0) AS base, count(*) FILTER (NOT v AND NOT t) AS free, bool_or(t AND NOT v) IS TRUE AS kept FROM g),
+p AS (SELECT *, row_number() OVER w AS k, coalesce(sum(size) OVER (ORDER BY o, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE NOT v AND NOT t WINDOW w AS (ORDER BY o, cluster)),
+s AS (SELECT cluster, 'valid' AS split FROM o WHERE v UNION ALL SELECT cluster, 'train' FROM o WHERE t AND NOT v
+      UNION ALL SELECT cluster, CASE WHEN before + base < target AND k <= free - CASE WHEN kept THEN 0 ELSE 1 END THEN 'valid' ELSE 'train' END FROM p, n)"""
+
+
+@query("x3_pinned", f"WITH RECURSIVE {PINNED_SQL} SELECT family, cluster, split FROM c JOIN s USING (cluster)")
+def x3_pinned(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("family", F.floor(F.col("doc_id") / 2)).withColumn("key", keys.sha256(F.coalesce("text", F.lit(""))))
+    pin = F.when(F.col("doc_id") % 10 == 0, "valid").when(F.col("doc_id") % 10 == 1, "train")
+    return select.split_pinned(d.withColumn("pin", pin), "family", ["key"], "pin", 0.3, SEED)
+
+
 @query("x5_validation_plan", """SELECT 'train' AS side, l_orderkey FROM lineitem l WHERE l_shipdate < TIMESTAMP '2001-02-24' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_shipdate >= TIMESTAMP '2001-02-24' AND r.l_partkey = l.l_partkey)
 UNION ALL SELECT 'valid', min(l_orderkey) FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-24' GROUP BY l_partkey""")
 def x5(spark, sf_dir):
@@ -970,6 +982,22 @@ def i3(spark, sf_dir):
     return checks.absent_classes(a5(spark, sf_dir), "class_id", "lines")
 
 
+PREFLIGHT_SQL = """
+v AS (SELECT split, id, n, (n > 0) AS lined FROM cust WHERE split <> 'test'),
+l AS (SELECT v.split, v.id, k, cls, odd, y FROM v JOIN ln USING (id) WHERE id % 13 <> 0),
+z AS (SELECT split, count(*) AS images, count(*) FILTER (id % 13 <> 0) AS labels, count(*) FILTER (id % 13 = 0) AS lone, count(*) FILTER (id % 13 <> 0 AND n = 0) AS empty FROM v GROUP BY split),
+m AS (SELECT split, count(*) FILTER (NOT odd AND cls < 6) AS annotations, count(*) FILTER (odd) AS tokens, count(*) FILTER (NOT odd AND cls >= 6) AS classes FROM l GROUP BY split),
+c AS (SELECT split, k AS class_id, count(cls) AS n FROM (SELECT unnest(range(0, 7)) AS k), (SELECT DISTINCT split FROM v) LEFT JOIN (SELECT split AS s, cls FROM l WHERE NOT odd AND cls < 6) ON s = split AND cls = k GROUP BY 1, 2)"""
+
+
+@query("i3_preflight", f"""WITH {IMAGES_SQL}, {PREFLIGHT_SQL} SELECT split, unnest(['images', 'label_files', 'empty_labels', 'annotations', 'missing_label_file', 'non_five_token_label', 'invalid_class_id']) AS measure, unnest([images, labels, empty, annotations, lone, tokens, classes]) AS n FROM z JOIN m USING (split)
+UNION ALL SELECT split, 'class_' || class_id, n FROM c UNION ALL SELECT split, 'absent_class_' || class_id, 1 FROM c WHERE n = 0 UNION ALL SELECT '', 'missing_description', 1""")
+def i3_preflight(spark, sf_dir):
+    # no description is written, one label file in thirteen is missing, and class 6 is asked for but no line has it
+    found = scan.preflight(spark, tree(spark, sf_dir, missing=13), [f"class {k}" for k in range(7)], ("train", "valid"), known=range(6))
+    return found.filter("n > 0 or measure rlike '^(class_|images|label_files|annotations|empty)'")
+
+
 @query("i4_class_list", "SELECT count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation")
 def i4(spark, sf_dir):
     n = checks.require_classes(checks.require_rows(table(spark, sf_dir, "nation"), 25), "n_nationkey", "n_name", [f"NATION_{i}" for i in range(25)])

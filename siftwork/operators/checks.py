@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import in_unit, read_line, share
@@ -15,8 +15,8 @@ LINE_CODES = (
 )
 
 
-def label_violations(lines: DataFrame, line: str, classes: list[int]) -> DataFrame:
-    """``code, n`` over all label lines, in one pass that reads each line once."""
+def line_rules(classes: list[int]) -> dict[str, Column]:
+    """What breaks each rule, by code, over the columns of ``read_line``."""
     v = [F.col(f"_v{k}") for k in range(1, 5)]
     plain = F.col("_n") == 5
     unread = F.col("_class").isNull() | v[0].isNull() | v[1].isNull() | v[2].isNull() | v[3].isNull()
@@ -24,7 +24,12 @@ def label_violations(lines: DataFrame, line: str, classes: list[int]) -> DataFra
         ~plain, plain & unread, plain & ~unread & ~F.col("_class").isin(classes), plain & ~unread & ~in_unit(v[0]),
         plain & ~unread & ~in_unit(v[1]), plain & ~unread & ~share(v[2]), plain & ~unread & ~share(v[3]),
     )
-    counts = read_line(lines.select(line), line, mode="digits").agg(*[F.count_if(bad).alias(code) for code, bad in zip(LINE_CODES, rules)])
+    return dict(zip(LINE_CODES, rules))
+
+
+def label_violations(lines: DataFrame, line: str, classes: list[int]) -> DataFrame:
+    """``code, n`` over all label lines, in one pass that reads each line once."""
+    counts = read_line(lines.select(line), line, mode="digits").agg(*[F.count_if(bad).alias(code) for code, bad in line_rules(classes).items()])
     every = F.array(*[F.struct(F.lit(code).alias("code"), F.col(code).alias("n")) for code in LINE_CODES])
     return counts.select(F.explode(every).alias("x")).select("x.*").filter("n > 0")
 

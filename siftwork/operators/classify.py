@@ -19,9 +19,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def remap(labels: DataFrame, class_map: DataFrame, on: list[str]) -> DataFrame:
-    """``labels`` with ``target_class`` and ``role``, null where the map has nothing."""
-    return labels.join(small(class_map), on, "left")
+def remap(labels: DataFrame, class_map: DataFrame, on: list[str], source: str | None = None) -> DataFrame:
+    """``labels`` with ``target_class`` and ``role``, null where the map has nothing.
+
+    With ``source`` (one of ``on``), a label of a source that the map doesn't know at all is an error when run.
+    """
+    joined = labels.join(small(class_map), on, "left")
+    if source is None:
+        return joined
+    known = class_map.select(F.col(source).alias("_known")).distinct()
+    checked = joined.join(small(known), F.col(source) == F.col("_known"), "left")
+    lost = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce(F.col(source).cast("string"), F.lit("null"))))
+    return checked.withColumn("role", F.when(F.col("_known").isNull(), lost.cast("string")).otherwise(F.col("role"))).drop("_known")
 
 
 def decision(targets: Column, negatives: Column, others: Column, any_label: Column) -> Column:

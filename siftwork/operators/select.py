@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_order
+from ..sources.storage import discard, shared_folder, stored
 from .ordering import DIGITS, placed
 
 
@@ -63,6 +64,68 @@ def split_by_records(records: DataFrame, family: str, source: str, fraction: flo
     return every.select("family", "source", "size", F.when(F.col("valid"), "valid").otherwise("train").alias("split"))
 
 
+def split_pinned(
+    records: DataFrame, family: str, keys: list[str], pinned: str, fraction: float, seed: int, valid: str = "valid", train: str = "train"
+) -> DataFrame:
+    """``family, cluster, split``: families that share a value of a key, in any number of steps, stay on one side.
+
+    A cluster with a record pinned to ``valid`` is valid, any other with one pinned to ``train`` is
+    train; the rest fill valid in seeded order until it has ``fraction`` of all records, and one
+    cluster at least stays in train if none is pinned to it. A cluster is named by its smallest
+    family. Null families are one family, null keys link nothing.
+    """
+    named = records.select(F.col(family).alias("family"), F.col(pinned).alias("pin"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    links = None
+    for i in range(len(keys)):
+        own = named.filter(F.col("family").isNotNull()).select("family", F.struct(F.lit(i).alias("i"), F.col(f"k{i}").cast("string").alias("k")).alias("key")).filter(f"k{i} is not null").distinct()
+        links = own if links is None else links.unionByName(own)
+    every = named.select("family").distinct()
+    known = clusters(links, "family", "key").withColumnRenamed("family", "_f")
+    placed_in = every.join(known, F.col("family") == F.col("_f"), "left").select("family", F.coalesce("cluster", "family").alias("cluster"))
+    has = lambda side: F.coalesce(F.bool_or(F.col("pin") == side), F.lit(False))
+    sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("size"), has(valid).alias("v"), has(train).alias("t")).withColumnRenamed("family", "_f")
+    joined = placed_in.join(sizes, F.col("family").eqNullSafe(F.col("_f")))
+    groups = joined.groupBy("cluster").agg(F.sum("size").alias("size"), F.bool_or("v").alias("v"), F.bool_or("t").alias("t"))
+    groups = stored(groups.withColumn("o", seeded_order(seed, F.col("cluster"))), shared_folder(records.sparkSession, "clusters"))
+    free = ~F.col("v") & ~F.col("t")
+    n = groups.agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("r"), F.coalesce(F.sum(F.when(F.col("v"), F.col("size"))), F.lit(0)).alias("base"),
+        F.count_if(free).alias("free"), F.count_if(F.col("t") & ~F.col("v")).alias("kept"),
+    ).first()
+    target = max(1, round(n["r"] * _fraction(fraction)))
+    rest = placed(groups.filter(free), "o", size="size", tie=["cluster"])
+    chosen = (F.col("before") + n["base"] < target) & (F.col("position") <= n["free"] - (0 if n["kept"] else 1))
+    sides = rest.select("cluster", F.when(chosen, valid).otherwise(train).alias("split")).unionByName(
+        groups.filter(~free).select("cluster", F.when(F.col("v"), valid).otherwise(train).alias("split"))
+    )
+    back = sides.withColumnRenamed("cluster", "_c")
+    return placed_in.join(back, F.col("cluster").eqNullSafe(F.col("_c"))).select("family", "cluster", "split")
+
+
+def clusters(links: DataFrame, node: str, key: str) -> DataFrame:
+    """``node, cluster`` of the nodes of ``links`` (rows node, key): the smallest node that shared keys lead to.
+
+    In each round a node takes the smallest cluster of its keys' nodes, and then that node's own, so
+    that distances halve; rounds are written, and end when none changes. No key's nodes are gathered.
+    """
+    spark = links.sparkSession
+    folder = shared_folder(spark, "closure")
+    # keys of one node link nothing
+    many = links.groupBy(F.col(key).alias("k")).agg(F.min(node).alias("a"), F.max(node).alias("b")).filter("a <> b").select("k")
+    pairs = stored(links.select(F.col(node).alias("n"), F.col(key).alias("k")).join(many, "k"), f"{folder}/pairs")
+    now, step = stored(pairs.groupBy("n").agg(F.min("n").alias("c")), f"{folder}/0"), 0
+    while True:
+        step += 1
+        least = pairs.join(now, "n").groupBy("k").agg(F.min("c").alias("m"))
+        near = pairs.join(least, "k").groupBy("n").agg(F.min("m").alias("m"))
+        hop = now.select(F.col("n").alias("m"), F.col("c").alias("far"))
+        after = stored(near.join(now, "n").join(hop, "m").select("n", F.least("m", "far").alias("c"), (F.least("m", "far") < F.col("c")).alias("moved")), f"{folder}/{step}")
+        discard(spark, f"{folder}/{step - 1}")
+        if after.filter("moved").isEmpty():
+            return links.select(node).distinct().join(after.select(F.col("n").alias(node), F.col("c").alias("cluster")), node, "left").select(node, F.coalesce("cluster", node).alias("cluster"))
+        now = after.select("n", "c")
+
+
 def split_by_families(records: DataFrame, family: str, source: str, fraction: float, seed: int) -> DataFrame:
     """``family, source, size, split``: ``fraction`` of the families go to valid.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import stem
-from ..operators import records
+from ..functions.labels import read_line
+from ..operators import checks, records
 from ..operators.match import pair
 from . import files
 from .config import SourcePolicy
@@ -136,3 +138,59 @@ def audits(spark: SparkSession, specs: list[dict]) -> DataFrame:
         every = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("n")) for c in totals.columns])
         parts.append(totals.select(F.lit(spec["name"]).alias("source"), F.explode(every).alias("x")).select("source", "x.*"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def preflight(
+    spark: SparkSession, root: str, classes: list[str], splits: tuple[str, ...] = ("train", "valid"),
+    description: str = "data.yaml", known: Sequence[int] | None = None,
+) -> DataFrame:
+    """``split, measure, n``: what a dataset holds and what keeps it from being trained on.
+
+    For each split its images, label files, empty label files, valid annotations and those of each
+    class, and the violations: files without partner, lines by failure code, classes without an
+    annotation (``absent_class_k``). A missing description or folder is a row too. ``known`` are the
+    classes that lines may have, all of ``classes`` by default. Label files are read once, and all
+    counts come from one pass over them.
+    """
+    allowed = list(known) if known is not None else list(range(len(classes)))
+    found, images, lines = [], [], []
+    if not files.exists(spark, f"{root.rstrip('/')}/{description}"):
+        found.append(("", "missing_description", 1))
+    for split in splits:
+        there = {part: f"{root.rstrip('/')}/{split}/{part}" for part in ("images", "labels")}
+        missing = [part for part, path in there.items() if not files.exists(spark, path)]
+        found += [(split, f"missing_folder_{part}", 1) for part in missing]
+        if not missing:
+            images.append(files.images(spark, there["images"], recursive=False).select(F.lit(split).alias("split"), stem(F.col("path")).alias("stem")).distinct())
+            lines.append(_lines_of(spark, there["labels"]).select(F.lit(split).alias("split"), "stem", "line", "readable"))
+    rows = spark.createDataFrame(found, "split string, measure string, n long")
+    if not lines:
+        return rows
+    image, line = (reduce(DataFrame.unionByName, parts) for parts in (images, lines))
+    bad = checks.line_rules(allowed)
+    ok = F.col("line").isNotNull() & ~reduce(lambda a, b: a | b, bad.values())
+    read = read_line(line, "line", mode="digits")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    measures = {code: F.col("line").isNotNull() & rule for code, rule in bad.items()}
+    measures |= {"annotations": ok, "unreadable_label_file": ~F.col("readable")} | {f"class_{k}": ok & (F.col("_class") == k) for k in range(len(classes))}
+    per = read.groupBy("split", "stem").agg(count(F.col("line").isNotNull()).alias("lines"), *[count(c).alias(m) for m, c in measures.items()])
+    both = image.withColumn("i", F.lit(True)).join(per.withColumn("l", F.lit(True)), ["split", "stem"], "full_outer")
+    total = both.groupBy("split").agg(
+        F.count("i").alias("images"), F.count("l").alias("label_files"), F.count_if(F.col("l") & (F.col("lines") == 0)).alias("empty_labels"),
+        F.count_if(F.col("l").isNull()).alias("missing_label_file"), F.count_if(F.col("i").isNull()).alias("missing_image_file"),
+        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures],
+    )
+    names = [c for c in total.columns if c != "split"]
+    absent = [F.struct(F.lit(f"absent_class_{k}").alias("measure"), (F.col(f"class_{k}") == 0).cast("long").alias("n")) for k in range(len(classes))]
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("n")) for m in names], *absent)
+    counted = total.select("split", F.explode(each).alias("x")).select("split", "x.*")
+    return rows.unionByName(counted)
+
+
+def require_ready(found: DataFrame) -> DataFrame:
+    """``found`` of ``preflight``, or an error that names its violations, of which there are few kinds."""
+    held = ("images", "label_files", "empty_labels", "annotations")
+    wrong = found.filter(~F.col("measure").isin(*held) & ~F.col("measure").rlike("^class_[0-9]+$") & (F.col("n") > 0)).orderBy("split", "measure").collect()
+    if wrong:
+        raise ValueError("not ready: " + ", ".join(f"{r['split']}:{r['measure']}={r['n']}" for r in wrong))
+    return found

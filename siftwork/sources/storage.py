@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,30 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share, ``spark.checkpoint.dir``; a temporary
+    one only where that is unset and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix='siftwork-')}/{name}"
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a Parquet table, read again: its lineage ends there."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def system_of(uri: str) -> tuple[fs.FileSystem, str, str]:
     """The file system of a qualified path, the path in it, and what stands before that in the URI."""
     if uri.startswith("file:"):
