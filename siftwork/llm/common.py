@@ -116,3 +116,9 @@ def discard(spark: SparkSession, *folders: str) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run: its cleaner follows the driver's
+    garbage collection, which else comes when it likes."""
+    spark._jvm.System.gc()

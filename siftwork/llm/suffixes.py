@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, new_folder, stored
+from .common import discard, new_folder, released, stored
 
 LENGTH = 200
 #: Bytes of a hash, and hashes of a window, whose minimum is taken.
@@ -301,6 +301,7 @@ def repeats(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFram
     wanted = texts.select(mine, _key(F.col("text")).alias("key"), "text").join(lists, "doc")
     parts = stored(wanted.select("key", "text", "again").mapInArrow(cut, "key string, text binary, at long, least long, body binary"), f"{folder}/pieces")
     discard(spark, f"{folder}/anchors")
+    released(spark)
     sig, whole = F.unhex(F.sha2("body", 256)), (F.octet_length("body") - LENGTH + 1).cast("int")
     bodies = stored(parts.groupBy("least", "body").agg(F.count(F.lit(1)).alias("n")).select("least", sig.alias("sig"), "body", "n"), f"{folder}/bodies")
     crowds = stored(bodies.groupBy("least").agg(F.sum(F.octet_length("body")).alias("size")).filter(F.col("size") > crowd).select("least"), f"{folder}/crowds")
@@ -318,6 +319,7 @@ def repeats(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFram
     more = bodies.filter("n > 1").select("least", "sig", F.array(F.struct(F.lit(0).alias("a"), whole.alias("b"))).alias("runs"))
     marks = stored(marked.unionByName(more), f"{folder}/marks")
     discard(spark, f"{folder}/bodies", f"{folder}/crowds", f"{folder}/twice")
+    released(spark)
     placed = parts.select("key", "at", "least", sig.alias("sig")).distinct().join(marks, ["least", "sig"])
     shifted = F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
     runs = placed.select("key", shifted.alias("runs")).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
