@@ -718,6 +718,18 @@ def a7(spark, sf_dir):
     return report.leakage(*_dated(spark, sf_dir), "l_partkey")
 
 
+@query("a7_overlap_estimates", """WITH k AS (SELECT DISTINCT l_returnflag AS s, l_orderkey AS k FROM lineitem)
+SELECT a.s AS "left", b.s AS "right", count(*) AS shared_keys, true AS within FROM k a JOIN k b ON a.k = b.k AND a.s < b.s GROUP BY a.s, b.s""")
+def a7_estimates(spark, sf_dir):
+    # the estimates beside the exact overlaps of the same splits, from one pass each
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey")
+    said = report.overlap_estimates(report.key_sketches(li, "l_returnflag", "l_orderkey")).withColumnRenamed("shared_keys", "estimate")
+    sides = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("s"))
+    both = sides.select("s", F.explode("s").alias("left")).select("left", F.explode("s").alias("right")).filter("left < right")
+    exact = both.groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared_keys"))
+    return exact.join(said, ["left", "right"]).select("left", "right", "shared_keys", (F.abs(F.col("estimate") - F.col("shared_keys")) <= F.col("bound")).alias("within"))
+
+
 @query("a8_argmax", """SELECT user_id, count(*) AS rows_, arg_max(event_id, (value, -epoch_us(ts), -event_id)) AS best_event, max(value) AS best_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1""")
 def a8(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))

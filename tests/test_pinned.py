@@ -102,3 +102,22 @@ def test_unknown_source_is_an_error(spark):
         with pytest.raises(Exception, match="unknown source"):
             classify.remap(spark.createDataFrame([(lost, 1)], lines.schema), maps, ["source", "source_class"], source="source").collect()
     assert classify.remap(spark.createDataFrame([("t", 1)], lines.schema), maps, ["source", "source_class"]).select(F.col("role")).first()[0] is None
+
+
+def test_overlaps_from_sketches(spark):
+    from siftwork.operators import report
+
+    rows = spark.range(60000).select((F.col("id") % 20000).alias("k"), F.when(F.col("id") < 15000, "a").when(F.col("id") < 32000, "b").otherwise(None).alias("s"))
+    halves = [report.key_sketches(rows.filter(f"k % 2 = {h}"), "s", "k") for h in (0, 1)]
+    merged = halves[0].unionByName(halves[1]).groupBy("split").agg(F.theta_union_agg("sketch", 12).alias("sketch"))
+    sets = {}
+    for k, s in rows.collect():
+        sets.setdefault(s, set()).add(k)
+    for sketches in (report.key_sketches(rows, "s", "k"), merged):
+        got = {(r["left"], r["right"]): r for r in report.overlap_estimates(sketches).collect()}
+        assert set(got) == {(None, "a"), (None, "b"), ("a", "b")}
+        for (a, b), r in got.items():
+            assert abs(r["shared_keys"] - len(sets[a] & sets[b])) <= r["bound"] and r["bound"] < 0.06 * len(sets[a] | sets[b])
+    few = report.overlap_estimates(report.key_sketches(rows.filter("k < 500"), "s", "k")).collect()
+    assert {(r["left"], r["right"]): r["shared_keys"] for r in few} == {(a, b): len({k for k in sets[a] & sets[b] if k < 500}) for a, b in got}
+    assert all(r["bound"] == 0 for r in few) and report.overlap_estimates(report.key_sketches(rows.limit(0), "s", "k")).count() == 0
