@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyarrow import fs
@@ -33,11 +35,19 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task found while it wrote: codes of violations with their numbers."""
+
+    violations: dict[str, int]
+
+
 class TreeWriter(DataSourceWriter):
     """Writes one file a row below a staging folder; the tree changes places with it when all tasks are done.
 
     A file is written under a name of its attempt and renamed, so a task that fails or runs twice leaves no
-    part of a file under its name, and attempts of a task write equal bytes.
+    part of a file under its name, and attempts of a task write equal bytes. Violations that rows carry
+    are counted on the way; if there is one, the tree isn't changed.
     """
 
     def __init__(self, root: str, staging: str):
@@ -46,7 +56,9 @@ class TreeWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         system, base, _ = system_of(self.staging)
         made: set[str] = set()
+        wrong: Counter[str] = Counter()
         for r in iterator:
+            wrong.update(r[2] or ())
             path = f"{base}/{r[0]}"
             folder = path.rpartition("/")[0]
             if folder not in made:
@@ -56,9 +68,14 @@ class TreeWriter(DataSourceWriter):
             with system.open_output_stream(partial) as f:
                 f.write(bytes(r[1]) if r[1] is not None else b"")
             system.move(partial, path)
-        return WriterCommitMessage()
+        return Written(dict(wrong))
 
     def commit(self, messages: list) -> None:
+        wrong: Counter[str] = Counter()
+        for m in messages:
+            wrong.update(m.violations)
+        if wrong:
+            raise ValueError("violations: " + ", ".join(f"{code}={wrong[code]}" for code in sorted(wrong)))
         system, root, _ = system_of(self.root)
         new, old = system_of(self.staging)[1], f"{root}.old-{uuid.uuid4().hex}"
         system.create_dir(new, recursive=True)  # a tree without files
@@ -77,7 +94,7 @@ class TreeWriter(DataSourceWriter):
 
 
 class TreeSink(DataSource):
-    """Rows ``name, content`` as a tree of files that replaces the one before as a whole or not at all."""
+    """Rows ``name, content, violations`` as a tree of files that replaces the one before as a whole or not at all."""
 
     @classmethod
     def name(cls) -> str:
@@ -87,11 +104,13 @@ class TreeSink(DataSource):
         return TreeWriter(self.options["path"], self.options["staging"])
 
 
-def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str = "replace") -> None:
+def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str = "replace", violations: str | None = None) -> None:
     """One file below ``root`` for each row, in a folder that all executors share.
 
     What was there stays until every file is written; then the new tree takes its place. If a task
-    fails for good, the old tree is left as it was. ``refuse`` raises if there is one.
+    fails for good, the old tree is left as it was. ``refuse`` raises if there is one. ``violations`` is
+    a column with an array of codes: they are counted in the pass that writes, and any of them fails it
+    as a whole, with their numbers in the error.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {tuple(POLICIES)}")
@@ -101,7 +120,8 @@ def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str
     path, system = _hadoop(spark, where)
     if policy == "refuse" and system.exists(path):
         raise ValueError(f"{root} exists")
-    pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    codes = F.lit(None).cast("array<string>") if violations is None else F.col(violations)
+    pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), codes.alias("violations"))
     pairs.write.format(TreeSink.name()).mode("append").option("staging", f"{where}.new-{uuid.uuid4().hex}").save(where)
 
 
@@ -110,20 +130,20 @@ def write_files(rows: DataFrame, root: str, name: str, content: str) -> None:
     write_tree(rows, root, name, content)
 
 
-def write_dataset(records: DataFrame, root: str, split: str = "final_split", policy: str = "replace") -> None:
+def write_dataset(records: DataFrame, root: str, split: str = "final_split", policy: str = "replace", violations: str | None = None) -> None:
     """Images and label files of ``records`` by split, images copied from ``image_path``, in one commit.
 
     ``labels`` are the lines of a record's label file and ``output_name`` is its image's name. An image
-    that can't be read fails the whole, and the tree before it stays.
+    that can't be read fails the whole, and the tree before it stays; so do ``violations`` of a record.
     """
     base = F.regexp_replace("output_name", r"\.[^./]*$", "")
     text = F.when(F.size("labels") > 0, F.concat(F.array_join("labels", "\n"), F.lit("\n"))).otherwise("")
-    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.cast("binary").alias("content"))
+    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.cast("binary").alias("content"), (F.col(violations) if violations else F.lit(None).cast("array<string>")).alias("violations"))
     wanted = records.select(F.concat_ws("/", split, F.lit("images"), "output_name").alias("name"), "image_path")
     there = contents(wanted, "image_path")
     lost = F.raise_error(F.concat(F.lit("cannot read "), F.coalesce("image_path", F.lit("an image without path"))))
-    copied = there.select("name", F.when(F.col("content").isNull(), lost).otherwise(F.col("content")).alias("content"))
-    write_tree(named.unionByName(copied), root, "name", "content", policy)
+    copied = there.select("name", F.when(F.col("content").isNull(), lost).otherwise(F.col("content")).alias("content"), F.lit(None).cast("array<string>").alias("violations"))
+    write_tree(named.unionByName(copied), root, "name", "content", policy, "violations")
 
 
 def write_joined(rows: DataFrame, path: str, order: list[str], text: str, head: str = "", tail: str = "", bom: bool = False) -> int:

@@ -101,6 +101,11 @@ def test_tree_changes_as_a_whole(spark, tmp_path):
     with pytest.raises(Exception, match="cannot read"):
         outputs.write_dataset(lost, str(root))
     assert tree() == {"z": b""}
+    # so do violations that are found while writing
+    marked = spark.range(100).repartition(3).select(F.concat(F.lit("m/"), F.col("id").cast("string")).alias("name"), F.lit("v").alias("content"), F.when(F.col("id") % 40 == 1, F.array(F.lit("bad_class"), F.lit("bad_width"))).alias("codes"))
+    with pytest.raises(Exception, match="violations: bad_class=3, bad_width=3"):
+        outputs.write_tree(marked, str(root), "name", "content", violations="codes")
+    assert tree() == {"z": b""} and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
     outputs.write_tree(first.limit(0), str(root), "name", "content")
     assert root.is_dir() and tree() == {}
 
