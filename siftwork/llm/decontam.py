@@ -25,7 +25,8 @@ of its own length. One of fewer than ``LEAST_TOKENS`` is no passage that a text
 matches texts that have its tokens, with its own slots, and no others. Repeated items each match.
 A text is known by its id and its hash, so windows of different texts under one id, or without
 one, never add up; equal rows count once. An id is out if one of its texts holds an item; rows
-without an id are judged by their own text.
+without an id are judged by their own text. Without documents or items nothing is held. Columns of
+the documents stay as they are where rows are dropped; names of this module's own give way to them.
 """
 
 from __future__ import annotations

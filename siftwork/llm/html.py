@@ -23,7 +23,8 @@ wrapper depends neither on partitions nor on order, and no task takes all shapes
 
 Cases: null and empty html give an empty text. Null urls and urls without a host are one host.
 Unclosed and misnested tags are closed by what follows, as browsers do. Repeated pages each get
-their result. White space is what Python's ``str.split`` takes for it, so a no-break space is.
+their result, null ids too. An empty table gives an empty result; other columns are ignored,
+whatever their names. White space is what Python's ``str.split`` takes for it, so a no-break space is.
 """
 
 from __future__ import annotations

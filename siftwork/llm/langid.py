@@ -11,7 +11,9 @@ have a word or n-gram, so it grows with the sample, not with that times the lang
 Cases: a null text, an empty one and one without a letter give ``und`` with score 0. A text
 with letters of which the model knows none (another script) goes to the most frequent language.
 Without any labelled row every text gives ``und``. Ties go to the first language by code point.
-Repeated rows each get their result; texts are used whole at any length.
+Repeated rows each get their result; texts are used whole at any length. Only the key that the
+sample is drawn by is read of an id, so null ids are drawn alike. An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

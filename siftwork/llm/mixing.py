@@ -17,7 +17,8 @@ no propensity is given, so they fill evenly whatever p is, 0 included.
 Cases: null texts have size 0 and are never taken but where their rank comes before the cut,
 which adds nothing. The null source is one source, last. Ties in rank go by id, nulls first,
 then by size. Repeated rows tie and are taken in turn. An empty table gives an empty result;
-if all sizes are 0, so are the targets.
+if all sizes are 0, so are the targets. Other columns are kept by ``mixed`` and ignored by ``mix``,
+whatever their names. There is one row a source in the windows that set targets: fine to some 100,000.
 """
 
 from __future__ import annotations

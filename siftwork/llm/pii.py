@@ -14,7 +14,8 @@ is read for confirmed proposals only.
 
 Cases: a null text is empty and has no span. Repeated rows each get their result. Whole texts
 are scanned at any length. Spans of different kinds may overlap; ``redact`` masks their union
-under the kind of the first.
+under the kind of the first. Null ids keep their row, an empty table gives an empty result, and
+other columns pass ``redact`` unchanged and are ignored by ``detect``, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ base stays if its host does.
 Cases: null texts have no words and fail the base. Documents with a null source are one host.
 Repeated rows each count. With one host, or hosts all alike, the prior is as strong as it can be
 (``MOST_WEIGHT`` documents). An empty table gives an empty result. Texts are used whole.
+Null ids keep their row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

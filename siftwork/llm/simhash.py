@@ -20,7 +20,7 @@ of a component already names it, and no step gathers a component.
 Cases: null, empty and wordless texts have fingerprint zero and are linked like any other. Rows
 with a null id belong to their component but name it only if no row of it has an id (the
 component id is then null). Repeated rows and ids each keep their row. An empty table gives an
-empty result.
+empty result. Other columns are kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Sections may also be given by their starts, and ``field_tokens`` takes several c
 sections of one text, which is encoded whole: a separator between two belongs to the first of them.
 
 Cases: a null or empty text is one empty section without tokens. A character that several tokens
-share counts for each of them. Repeated rows each get their sections. Texts are encoded whole.
+share counts for each of them. Repeated rows each get their sections, null ids too. Texts are
+encoded whole. An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ the best F1 on labelled rows that trained neither dictionary.
 Cases: a null or empty text and one without words have rate 0 and score ``0.0``. If the labelled
 rows hold no toxic text, every score is 0. Repeated rows each get their result; whole texts of
 any length are used; ties in calibration go to the first contrast and floor and the larger rate.
+A null id has no label and its row is scored like any other. An empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
