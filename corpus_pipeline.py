@@ -1,4 +1,11 @@
-"""A training-data pipeline over ``documents``; each stage reads what the one before it wrote."""
+"""A training-data pipeline over ``documents``; each stage reads what the one before it wrote.
+
+Cases: a document with a null, empty or letterless text goes in the first stage, and so does one of an
+unlikely language. Without a labelled language all go. Of equal rows one stays in the second stage; ids
+may repeat or be null, and rows are told apart by id and text there. A benchmark without items drops
+nothing. Masks leave null texts null. Empty tables pass through all stages. Columns beyond those of
+``documents`` are kept to the end, where ``copy`` is added under a name that is free.
+"""
 
 from __future__ import annotations
 
