@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ GRAM, WINDOW = 32, 96
 #: Bytes of the different pieces of one minimum that are sorted together. As many may be held besides,
 #: and of both two thirds are sampled places, which 21 bits name.
 CROWD = 1_500_000
+#: Bytes of pieces of a group of minima, as expected.
+GROUP = 400_000
 #: Suffixes of a piece at most; longer ones are cut.
 PIECE = 4096
 #: Bytes of texts that are hashed at a time, and hashes of a block, which leave 16 bits for a place.
@@ -238,27 +242,35 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": a, "b": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``least, sig, runs``: stretches of repeated suffixes of pieces that come in order of ``least``."""
-    held: list[tuple[int, bytes, bytes]] = []
+def compared(pieces: pa.Table) -> pa.Table:
+    """``least, sig, runs``: stretches of repeated suffixes of pieces ``least, sig, body, n``, ``n`` the
+    places they are found at. Pieces of one minimum are compared with each other; they hold at most
+    ``CROWD`` bytes. Minima whose pieces are all found more than once have nothing left to tell."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    out: dict[str, list] = {"least": [], "sig": [], "runs": []}
+    held: list[tuple[int, bytes, bytes, int]] = []
     size = 0
 
-    def answers() -> pa.RecordBatch:
-        runs = [_runs(f) for f in repeated([h[2] for h in held])]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array(runs, kind)]
-        return pa.RecordBatch.from_arrays(columns, ["least", "sig", "runs"])
-
-    for batch in batches:
-        for least, sig, body in zip(*(batch.column(c).to_pylist() for c in ("least", "sig", "body"))):
-            # a minimum's pieces stay together; they hold at most CROWD bytes
-            if size >= CROWD and least != held[-1][0]:
-                yield answers()
-                held, size = [], 0
-            held.append((least, sig, body))
-            size += len(body)
+    def answer() -> None:
+        for (least, sig, _, _), flags in zip(held, repeated([h[2] for h in held])):
+            if flags.any():
+                out["least"].append(least)
+                out["sig"].append(sig)
+                out["runs"].append(_runs(flags))
+
+    columns = (pieces.sort_by("least").column(c).to_pylist() for c in ("least", "sig", "body", "n"))
+    for _, group in groupby(zip(*columns), key=itemgetter(0)):
+        own = list(group)
+        if all(g[3] > 1 for g in own):
+            continue
+        if size >= CROWD:
+            answer()
+            held, size = [], 0
+        held += own
+        size += sum(len(g[2]) for g in own)
     if held:
-        yield answers()
+        answer()
+    return pa.table([pa.array(out["least"], pa.int64()), pa.array(out["sig"], pa.binary()), pa.array(out["runs"], kind)], ["least", "sig", "runs"])
 
 
 def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +315,14 @@ def repeats(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> DataFram
     discard(spark, f"{folder}/anchors")
     released(spark)
     sig, whole = F.unhex(F.sha2("body", 256)), (F.octet_length("body") - LENGTH + 1).cast("int")
-    bodies = stored(parts.groupBy("least", "body").agg(F.count(F.lit(1)).alias("n")).select("least", sig.alias("sig"), "body", "n"), f"{folder}/bodies")
-    crowds = stored(bodies.groupBy("least").agg(F.sum(F.octet_length("body")).alias("size")).filter(F.col("size") > crowd).select("least"), f"{folder}/crowds")
+    size = F.octet_length("body").cast("long").alias("size")
+    bodies = stored(parts.groupBy("least", "body").agg(F.count(F.lit(1)).alias("n")).select("least", sig.alias("sig"), "body", "n", size), f"{folder}/bodies")
+    crowds = stored(bodies.groupBy("least").agg(F.sum("size").alias("size")).filter(F.col("size") > crowd).select("least"), f"{folder}/crowds")
     schema = "least long, sig binary, runs array<struct<a:int,b:int>>"
-    few = bodies.select("least", "sig", "body").join(crowds, "least", "left_anti")
-    marked = few.repartition("least").sortWithinPartitions("least").mapInArrow(compared, schema).filter(F.size("runs") > 0)
+    few = bodies.select("least", "sig", "body", "n").join(crowds, "least", "left_anti")
+    # minima are dealt to groups of equal expected size, which Spark keeps together
+    groups = max(1, (bodies.agg(F.sum("size")).first()[0] or 0) // GROUP)
+    marked = few.groupBy(F.pmod(F.xxhash64("least"), F.lit(groups)).alias("g")).applyInArrow(compared, schema)
     if not crowds.isEmpty():
         many = bodies.join(crowds, "least").select("least", "sig", "body", F.explode(F.sequence(F.lit(0), whole - 1)).alias("a"))
         single = many.select("least", "sig", "a", F.substring("body", F.col("a") + 1, F.lit(LENGTH)).alias("string"))
