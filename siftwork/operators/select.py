@@ -2,7 +2,7 @@
 
 The order is by ``sha256(seed:id)``. Running positions over all rows or families come from
 ``ordering.placed``, so no task has to see them all. Only single numbers come to the driver. The
-splits read their families, one row each, several times and keep them (``persist``).
+splits read their families, one row each, several times: they are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -41,6 +41,12 @@ def families_of(records: DataFrame, family: str, source: str) -> DataFrame:
     return records.groupBy(F.col(family).alias("family")).agg(F.min(source).alias("source"), F.count(F.lit(1)).alias("size"))
 
 
+def _ordered(records: DataFrame, family: str, source: str, seed: int) -> DataFrame:
+    """Families with their seeded order, written once as they are read several times."""
+    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family")))
+    return stored(fams, shared_folder(records.sparkSession, "families"))
+
+
 def split_by_records(records: DataFrame, family: str, source: str, fraction: float, seed: int) -> DataFrame:
     """``family, source, size, split``: families go to valid until it has ``fraction`` of records.
 
@@ -48,7 +54,7 @@ def split_by_records(records: DataFrame, family: str, source: str, fraction: flo
     outnumber them; then families in seeded order while the target isn't met, and at least one
     family stays in train. A single family is train.
     """
-    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family"))).persist()
+    fams = _ordered(records, family, source, seed)
     n = fams.agg(F.count(F.lit(1)).alias("f"), F.count_distinct("source").alias("s"), F.sum("size").alias("r")).first()
     target = max(1, round((n["r"] or 0) * _fraction(fraction)))
     if n["f"] <= 1:
@@ -132,7 +138,7 @@ def split_by_families(records: DataFrame, family: str, source: str, fraction: fl
     First one family of each source that has two or more, if there is room for all of these;
     then families in seeded order, those that leave their source a train family before others.
     """
-    fams = families_of(records, family, source).withColumn("o", seeded_order(seed, F.col("family"))).persist()
+    fams = _ordered(records, family, source, seed)
     per = fams.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "family")).alias("m"))
     n = per.agg(F.sum("n").alias("f"), F.sum((F.col("n") >= 2).cast("int")).alias("eligible")).first()
     count = n["f"] or 0

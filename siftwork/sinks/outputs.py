@@ -110,7 +110,7 @@ def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str
     What was there stays until every file is written; then the new tree takes its place. If a task
     fails for good, the old tree is left as it was. ``refuse`` raises if there is one. ``violations`` is
     a column with an array of codes: they are counted in the pass that writes, and any of them fails it
-    as a whole, with their numbers in the error.
+    as a whole, with their numbers in the error. The file system must be able to rename folders.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {tuple(POLICIES)}")
