@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -62,7 +64,7 @@ class TreeWriter(DataSourceWriter):
             path = f"{base}/{r[0]}"
             folder = path.rpartition("/")[0]
             if folder not in made:
-                system.create_dir(folder, recursive=True)
+                self._make(system, base, folder)
                 made.add(folder)
             partial = f"{folder}/.{uuid.uuid4().hex}"
             with system.open_output_stream(partial) as f:
@@ -70,6 +72,15 @@ class TreeWriter(DataSourceWriter):
             system.move(partial, path)
         return Written(dict(wrong))
 
+    @staticmethod
+    def _make(system: fs.FileSystem, base: str, folder: str) -> None:
+        """Folders below ``base``, which the driver made: a task that outlives a failed job can't bring it back."""
+        at = base
+        for part in folder[len(base) :].split("/"):
+            if part:
+                at = f"{at}/{part}"
+                system.create_dir(at, recursive=False)
+
     def commit(self, messages: list) -> None:
         wrong: Counter[str] = Counter()
         for m in messages:
@@ -78,7 +89,6 @@ class TreeWriter(DataSourceWriter):
             raise ValueError("violations: " + ", ".join(f"{code}={wrong[code]}" for code in sorted(wrong)))
         system, root, _ = system_of(self.root)
         new, old = system_of(self.staging)[1], f"{root}.old-{uuid.uuid4().hex}"
-        system.create_dir(new, recursive=True)  # a tree without files
         if system.get_file_info(root).type != fs.FileType.NotFound:
             system.move(root, old)
         else:
@@ -88,9 +98,7 @@ class TreeWriter(DataSourceWriter):
             system.delete_dir(old)
 
     def abort(self, messages: list) -> None:
-        system, new, _ = system_of(self.staging)
-        if system.get_file_info(new).type != fs.FileType.NotFound:
-            system.delete_dir(new)
+        """``write_tree`` deletes what was staged, when no task of the job can add to it any more."""
 
 
 class TreeSink(DataSource):
@@ -122,7 +130,18 @@ def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str
         raise ValueError(f"{root} exists")
     codes = F.lit(None).cast("array<string>") if violations is None else F.col(violations)
     pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), codes.alias("violations"))
-    pairs.write.format(TreeSink.name()).mode("append").option("staging", f"{where}.new-{uuid.uuid4().hex}").save(where)
+    staged, system = _hadoop(spark, f"{where}.new-{uuid.uuid4().hex}")
+    system.mkdirs(staged)
+    try:
+        pairs.write.format(TreeSink.name()).mode("append").option("staging", staged.toString()).save(where)
+    finally:
+        # tasks of a failed job may still be writing
+        for _ in range(100):
+            if not system.exists(staged):
+                break
+            with contextlib.suppress(Exception):
+                system.delete(staged, True)
+            time.sleep(0.1)
 
 
 def write_files(rows: DataFrame, root: str, name: str, content: str) -> None:
@@ -171,28 +190,26 @@ def write_joined(rows: DataFrame, path: str, order: list[str], text: str, head:
     keys = rows.select(F.col(text).alias("text"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     by = [*[F.col(f"o{i}").asc_nulls_first() for i in range(len(order))], F.col("text")]
     dealt = keys.repartitionByRange(*by).sortWithinPartitions(*by).select("text")
-    # a row for each task
-    parts = sorted(dealt.mapInPandas(encoded, "part int, name string, size long").filter("size > 0").collect())
     target, system = _hadoop(spark, f"{staging}/joined")
-    if not parts:
+    try:
+        # a row for each task
+        parts = sorted(dealt.mapInPandas(encoded, "part int, name string, size long").filter("size > 0").collect())
         system.mkdirs(target.getParent())
-    out = system.create(target, True)
-    begin = (b"\xef\xbb\xbf" if bom else b"") + head.encode("utf-8")
-    out.write(begin)
-    out.close()
-    ending, _ = _hadoop(spark, f"{staging}/tail")
-    end = system.create(ending, True)
-    end.write(tail.encode("utf-8"))
-    end.close()
-    names = [_hadoop(spark, f"{staging}/{p['name']}")[0] for p in parts] + ([ending] if tail else [])
-    _join(spark, system, target, names)
-    final, _ = _hadoop(spark, where)
-    system.mkdirs(final.getParent())
-    if system.exists(final):
-        system.delete(final, False)
-    system.rename(target, final)
-    system.delete(target.getParent(), True)
-    return len(begin) + sum(p["size"] for p in parts) + len(tail.encode("utf-8"))
+        begin, end = (b"\xef\xbb\xbf" if bom else b"") + head.encode("utf-8"), tail.encode("utf-8")
+        ending, _ = _hadoop(spark, f"{staging}/tail")
+        for where_to, data in ((target, begin), (ending, end)):
+            out = system.create(where_to, True)
+            out.write(data)
+            out.close()
+        _join(spark, system, target, [_hadoop(spark, f"{staging}/{p['name']}")[0] for p in parts] + ([ending] if tail else []))
+        final, _ = _hadoop(spark, where)
+        system.mkdirs(final.getParent())
+        if system.exists(final):
+            system.delete(final, False)
+        system.rename(target, final)
+    finally:
+        system.delete(target.getParent(), True)
+    return len(begin) + sum(p["size"] for p in parts) + len(end)
 
 
 def _join(spark: SparkSession, system, target, names: list) -> None:
