@@ -168,6 +168,11 @@ def toxic_dictionary(words: list[tuple[str, int]], telling: set[str]) -> bytes:
     return own + b"".join(s for _, s in often if s not in own)
 
 
+def texts_of(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``drawn`` with its texts. Its ids are few whatever the tables hold: they are sent to all tasks, so that no other text is shuffled."""
+    return docs.join(F.broadcast(drawn.select("id").distinct()), "id", "left_semi").join(drawn, "id")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -189,7 +194,7 @@ def fit(
     drawn, sizes = sample_by_class(rows, "id", "y", docs_per_class, "toxicity")
     if not sizes.get("1"):
         return None
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(drawn, "id")
+    sample = texts_of(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), drawn)
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3))).persist()
     try:
         learn = sample.filter("part > 0 and text is not null").dropDuplicates(["text"]).persist()

@@ -156,3 +156,18 @@ def test_both_dictionaries_come_from_the_trainer(spark, insults):
 def test_calibration_takes_the_rate_between_the_classes():
     rows = [([0.2] * len(toxicity.FLOORS), 1)] * 3 + [([0.1] * len(toxicity.FLOORS), 0)] * 5
     assert toxicity.calibrate(rows) == (1.0, toxicity.FLOORS[0], pytest.approx(0.15))
+
+
+def test_only_drawn_texts_are_shuffled(spark, tmp_path):
+    from siftwork.llm import toxicity
+
+    docs = spark.range(100).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    drawn = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (500, 1), (None, 1)], "id long, y int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.texts_of(docs, drawn)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["id"], r["text"], r["y"]) for r in found.collect()) == [(1, "t1", 0), (2, "t2", 0), (2, "t2", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
