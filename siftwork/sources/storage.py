@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import stat
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from zlib import crc32
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LISTING = "path string, length long, modified timestamp"
 #: Folders that a listing is dealt out by, at least, where there are so many.
 FOLDERS = 64
+#: Entries of a folder that are looked at before it counts as wide, tasks that list a wide one, and files in a batch of a listing.
+PEEK, SHARES, LISTED_AT_ONCE = 10_000, 8, 10_000
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -59,48 +66,94 @@ def system_of(uri: str) -> tuple[fs.FileSystem, str, str]:
 
 @dataclass
 class Folder(InputPartition):
-    path: str
-    recursive: bool
-
+    """Folders that a task lists; of a wide one it takes the names of its ``share``."""
 
-def _hidden(info: fs.FileInfo) -> bool:
-    return info.base_name.startswith(("_", "."))
+    paths: list[str]
+    recursive: bool
+    share: int = 0
+    shares: int = 1
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, os.DirEntry | fs.FileInfo]]:
+    """``name, is a folder, entry`` of what lies in a folder, less hidden names; one at a time where the file system is local."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                if not e.name.startswith(("_", ".")):
+                    yield e.name, e.is_dir(), e
+        return
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if not info.base_name.startswith(("_", ".")):
+            yield info.base_name, info.type == fs.FileType.Directory, info
+
+
+def _facts(entry: os.DirEntry | fs.FileInfo) -> tuple[int, int] | None:
+    """Bytes and microseconds of the last change of a file; None if there is none (any more)."""
+    if isinstance(entry, fs.FileInfo):
+        return (entry.size, (entry.mtime_ns or 0) // 1000) if entry.type == fs.FileType.File else None
+    try:
+        found = entry.stat()
+    except FileNotFoundError:
+        return None
+    return (found.st_size, found.st_mtime_ns // 1000) if stat.S_ISREG(found.st_mode) else None
 
 
 class FolderReader(DataSourceReader):
-    """Folders are found first, level by level and without their files, until there are enough to deal
-    out; a task then lists the files of its folder, and of all below where the last level isn't its own."""
+    """Folders are found first, level by level, until there are enough to deal out; a task then lists the
+    files of its folders, and of all below where the last level isn't its own. A folder that is wide, with more
+    than ``PEEK`` entries or more folders than are wanted, isn't read to its end for that: several tasks list it,
+    each by a share of its names. So neither tasks nor what the driver holds grow with the tree."""
 
     def __init__(self, options):
         self.root = options["path"]
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.folders = int(options.get("folders", FOLDERS))
 
+    def _below(self, system: fs.FileSystem, folder: str) -> list[str] | None:
+        """The folders in ``folder``, or None if it is wide."""
+        local, found = isinstance(system, fs.LocalFileSystem), []
+        for k, (name, is_folder, _) in enumerate(_entries(system, folder)):
+            if local and (k >= PEEK or len(found) > max(self.folders, SHARES)):
+                return None
+            if is_folder:
+                found.append(f"{folder.rstrip('/')}/{name}")
+        return found
+
     def partitions(self) -> list[Folder]:
         system, root, _ = system_of(self.root)
-        if not self.recursive:
-            return [Folder(root, False)]
-        level, done = [root], []
-        while level and len(level) + len(done) < self.folders:
-            below = [i.path for f in level for i in system.get_file_info(fs.FileSelector(f)) if i.type == fs.FileType.Directory and not _hidden(i)]
-            if not below:
-                break
-            done += level
-            level = below
-        return [Folder(f, False) for f in done] + [Folder(f, True) for f in level]
-
-    def read(self, partition: Folder) -> Iterator[tuple]:
+        level, own, out = [root], [], []
+        while level and len(level) + len(own) < (self.folders if self.recursive else 2):
+            below = []
+            for f in level:
+                if (found := self._below(system, f)) is None:
+                    out += [Folder([f], self.recursive, k, SHARES) for k in range(SHARES)]
+                else:
+                    own.append(f)
+                    below += found
+            level = below if self.recursive else []
+        # other file systems have no limit to what is found in a folder
+        most = 4 * self.folders
+        return out + [Folder(part, deep) for every, deep in ((own, False), (level, True)) for k in range(most) if (part := every[k::most])]
+
+    def _files(self, partition: Folder) -> Iterator[tuple[str, int, int]]:
         system, _, prefix = system_of(self.root)
-        folders = [partition.path]
+        folders = [(f, partition.shares) for f in partition.paths]
         while folders:
-            for info in system.get_file_info(fs.FileSelector(folders.pop())):
-                if _hidden(info):
+            folder, shares = folders.pop()
+            for name, is_folder, entry in _entries(system, folder):
+                if shares > 1 and crc32(os.fsencode(name)) % shares != partition.share:
                     continue
-                if info.type == fs.FileType.Directory:
-                    if partition.recursive:
-                        folders.append(info.path)
-                elif info.type == fs.FileType.File:
-                    yield (prefix + info.path, info.size, info.mtime)
+                path = f"{folder.rstrip('/')}/{name}"
+                if not is_folder and (facts := _facts(entry)) is not None:
+                    yield (prefix + path, *facts)
+                elif is_folder and partition.recursive:
+                    folders.append((path, 1))
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        files = self._files(partition)
+        while rows := list(islice(files, LISTED_AT_ONCE)):
+            columns = zip(zip(*rows), (pa.string(), pa.int64(), pa.timestamp("us", "UTC")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["path", "length", "modified"])
 
 
 class FolderSource(DataSource):
