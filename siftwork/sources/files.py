@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 import zlib
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 from ..functions.keys import base_name, extension, stem
 from .storage import LISTING, listed, system_of
 
-#: Files that a task holds at once.
-READ_AT_ONCE = 64
+#: Files that a task holds at once, and bytes of them beyond which it passes them on.
+READ_AT_ONCE, READ_BYTES = 64, 16 << 20
+#: Bytes of a file that are read at a time for its digest.
+PART_BYTES = 4 << 20
 #: Extensions of images in order of preference, and split names by the folder names that stand for them.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 SPLIT_ALIASES = {"train": "train", "valid": "valid", "val": "valid", "validation": "valid", "test": "test"}
@@ -60,23 +63,57 @@ def contents(files: DataFrame, path: str = "path") -> DataFrame:
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, READ_AT_ONCE):
-                part = batch.slice(at, READ_AT_ONCE)
-                data = []
-                for uri in part.column(path).to_pylist():
-                    system, inside, _ = system_of(uri)
-                    try:
-                        with system.open_input_stream(inside) as f:
-                            data.append(f.read())
-                    except OSError:
-                        data.append(None)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], [*part.schema.names, "content"])
+        for part, data in read_files(batches, path):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], [*part.schema.names, "content"])
 
     dealt = files.repartition(files.sparkSession.sparkContext.defaultParallelism)
     return dealt.mapInArrow(opened, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
+def read_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows with the bytes of the files that their column ``path`` names, None where one can't be read: up
+    to ``READ_AT_ONCE`` files, or about ``READ_BYTES``, at once."""
+    for batch in batches:
+        begin, size, data = 0, 0, []
+        for k, uri in enumerate(batch.column(path).to_pylist()):
+            system, inside, _ = system_of(uri)
+            try:
+                with system.open_input_stream(inside) as f:
+                    data.append(f.read())
+            except OSError:
+                data.append(None)
+            size += len(data[-1] or b"")
+            if len(data) == READ_AT_ONCE or size >= READ_BYTES or k + 1 == batch.num_rows:
+                yield batch.slice(begin, len(data)), data
+                begin, size, data = k + 1, 0, []
+
+
+def digests(files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with the ``sha256`` of the file that each row names, null where it can't be read.
+
+    A file of any size passes through a few MB: a task reads it part by part, as the digest needs its bytes
+    in their order.
+    """
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uri in batch.column(path).to_pylist():
+                system, inside, _ = system_of(uri)
+                seen = hashlib.sha256()
+                try:
+                    with system.open_input_stream(inside) as f:
+                        while part := f.read(PART_BYTES):
+                            seen.update(part)
+                    out.append(seen.hexdigest())
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "sha256"])
+
+    dealt = files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(digested, T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())]))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text without space around them, less the blank ones."""
     return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")

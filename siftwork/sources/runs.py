@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import first_present, number
-from .files import contents, exists
+from .files import exists, read_files
 from .storage import LISTING, listed
 
+#: Rows of result tables that a task passes on at once, at least.
+ROWS_AT_ONCE = 2000
 MARKS = ("results.csv", "weights/best.pt", "weights/last.pt")
 
 
@@ -49,18 +51,27 @@ def run_rows(tables: DataFrame, run: str = "run", path: str = "path") -> DataFra
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
-        for batch in batches:
-            for name, content in zip(batch.column("run").to_pylist(), batch.column("content").to_pylist()):
+        batch = lambda names, numbers, values: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(values, kind)], ["run", "row_no", "values"])
+        held: tuple[list, list, list] = ([], [], [])
+        for part, data in read_files(batches, "path"):
+            for name, content in zip(part.column("run").to_pylist(), data):
                 try:
                     rows = list(csv.DictReader(io.StringIO((content or b"").decode("utf-8-sig"), newline="")))
                 except (UnicodeError, csv.Error):
                     continue
-                values = [{str(k).strip(): v.strip() if isinstance(v, str) else None for k, v in r.items() if k is not None} for r in rows]
-                arrays = [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([list(v.items()) for v in values], kind)]
-                yield pa.RecordBatch.from_arrays(arrays, ["run", "row_no", "values"])
+                held[0].extend([name] * len(rows))
+                held[1].extend(range(len(rows)))
+                held[2].extend(list({str(k).strip(): v.strip() if isinstance(v, str) else None for k, v in r.items() if k is not None}.items()) for r in rows)
+                # small tables share a batch
+                if len(held[0]) >= ROWS_AT_ONCE:
+                    yield batch(*held)
+                    held = ([], [], [])
+        if held[0]:
+            yield batch(*held)
 
     named = tables.select(F.col(run).alias("run"), F.col(path).alias("path"))
-    return contents(named).select("run", "content").mapInArrow(parsed, "run string, row_no int, values map<string,string>")
+    dealt = named.repartition(named.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(parsed, "run string, row_no int, values map<string,string>")
 
 
 def value_of(values: Column, aliases: list[str]) -> Column:
