@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -17,10 +19,10 @@ from pyspark.sql import types as T
 from ..functions.keys import base_name, extension, stem
 from .storage import LISTING, listed, system_of
 
-#: Files that a task holds at once, and bytes of them beyond which it passes them on.
+#: Files that a task holds at once, and bytes of them and of members of archives beyond which it passes them on.
 READ_AT_ONCE, READ_BYTES = 64, 16 << 20
-#: Bytes of a file that are read at a time for its digest.
-PART_BYTES = 4 << 20
+#: Bytes of a file that are read at a time for its digest, and rows of archives' directories and members in a batch.
+PART_BYTES, MEMBERS_AT_ONCE = 4 << 20, 1000
 #: Extensions of images in order of preference, and split names by the folder names that stand for them.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 SPLIT_ALIASES = {"train": "train", "valid": "valid", "val": "valid", "validation": "valid", "test": "test"}
@@ -193,13 +195,16 @@ def archive_directory(spark: SparkSession, root: str) -> DataFrame:
     """``archive, member, header, packed, size, method, flags, crc`` of the members of the ZIP archives
     below ``root``, from the directory at each archive's end; no member is read."""
 
+    names = ["archive", "member", "header", "packed", "size", "method", "flags", "crc"]
+
     def directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for uri in pdf["path"]:
                 system, inside, _ = system_of(uri)
                 with system.open_input_file(inside) as f, zipfile.ZipFile(io.BufferedReader(Ranged(f))) as z:
-                    rows = [(uri, i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.flag_bits, i.CRC) for i in z.infolist() if not i.is_dir()]
-                yield pd.DataFrame(rows, columns=["archive", "member", "header", "packed", "size", "method", "flags", "crc"])
+                    rows = ((uri, i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.flag_bits, i.CRC) for i in z.infolist() if not i.is_dir())
+                    while part := list(islice(rows, MEMBERS_AT_ONCE)):
+                        yield pd.DataFrame(part, columns=names)
 
     archives = listing(spark, root).filter(extension(F.col("path")) == ".zip").select("path")
     dealt = archives.repartition(spark.sparkContext.defaultParallelism)
@@ -213,25 +218,40 @@ def archive_members(spark: SparkSession, root: str) -> DataFrame:
     its own members by their ranges of bytes. A member that is encrypted, packed by another method than
     deflation, cut off or damaged has null content.
     """
+    dealt = archive_directory(spark, root).repartition(spark.sparkContext.defaultParallelism).sortWithinPartitions("archive", "header")
+    return dealt.mapInArrow(inflated, "archive string, member string, content binary")
 
-    def inflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                system, inside, _ = system_of(r.archive)
-                with system.open_input_file(inside) as f:
-                    head = f.read_at(30, r.header)
-                    names = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
-                    data = f.read_at(r.packed, r.header + 30 + names)
-                try:
-                    plain = data if r.method == zipfile.ZIP_STORED else zlib.decompress(data, -15) if r.method == zipfile.ZIP_DEFLATED else None
-                except zlib.error:
-                    plain = None
-                if plain is not None and (r.flags & 1 or len(plain) != r.size or zlib.crc32(plain) != r.crc):
-                    plain = None
-                yield pd.DataFrame({"archive": [r.archive], "member": [r.member], "content": [plain]})
-
-    dealt = archive_directory(spark, root).repartition(spark.sparkContext.defaultParallelism)
-    return dealt.mapInPandas(inflated, "archive string, member string, content binary")
+
+def inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members that rows of archives' directories name, many of them in a batch."""
+    for batch in batches:
+        with contextlib.ExitStack() as opened:
+            at, f, begin, size, data = None, None, 0, 0, []
+            for k, r in enumerate(batch.to_pylist()):
+                if r["archive"] != at:
+                    opened.close()
+                    system, inside, _ = system_of(r["archive"])
+                    at, f = r["archive"], opened.enter_context(system.open_input_file(inside))
+                data.append(_member(f, r))
+                size += len(data[-1] or b"")
+                if len(data) == MEMBERS_AT_ONCE or size >= READ_BYTES or k + 1 == batch.num_rows:
+                    part = batch.slice(begin, len(data))
+                    yield pa.RecordBatch.from_arrays([part.column("archive"), part.column("member"), pa.array(data, pa.binary())], ["archive", "member", "content"])
+                    begin, size, data = k + 1, 0, []
+
+
+def _member(f: pa.NativeFile, r: dict) -> bytes | None:
+    """The content of the member that a row of an archive's directory names."""
+    head = f.read_at(30, r["header"])
+    names = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+    data = f.read_at(r["packed"], r["header"] + 30 + names)
+    try:
+        plain = data if r["method"] == zipfile.ZIP_STORED else zlib.decompress(data, -15) if r["method"] == zipfile.ZIP_DEFLATED else None
+    except zlib.error:
+        return None
+    if plain is not None and (r["flags"] & 1 or len(plain) != r["size"] or zlib.crc32(plain) != r["crc"]):
+        return None
+    return plain
 
 
 def decoded(content: Column) -> Column:
