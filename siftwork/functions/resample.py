@@ -15,8 +15,8 @@ pixels than its sides say; its grid is null. Hashes of the two kinds can't be co
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ COLUMNS, ROWS = 9, 8
 KINDS = ("windowed", "area")
 #: Fixed values of windowed resampling: lobes on a side, and bits that a weight is rounded to.
 LOBES, WEIGHT_BITS = 3, 22
+#: Bytes of the weights that a Python process keeps, at most.
+KEPT_BYTES = 48 << 20
 
 
 def windowed_weights(size: int, cells: int) -> list[tuple[int, int, int]]:
@@ -63,11 +65,31 @@ def area_weights(size: int, cells: int) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(4096)
+_kept: OrderedDict[tuple[str, int, int], np.ndarray] = OrderedDict()
+_held = [0]
+
+
 def _matrix(kind: str, size: int, cells: int) -> np.ndarray:
+    """The weights of a side as a matrix. The last ones are kept, up to ``KEPT_BYTES``: a long side's has megabytes."""
+    key = (kind, size, cells)
+    if key in _kept:
+        _kept.move_to_end(key)
+        return _kept[key]
     made = np.zeros((size, cells))
-    for cell, x, w in (windowed_weights if kind == "windowed" else area_weights)(size, cells):
-        made[x, cell] = w
+    if kind == "area":
+        # area_weights for all pixels of a cell at once
+        for cell in range(cells):
+            begin, end = cell * size, (cell + 1) * size
+            first, last = begin // cells, -(-end // cells)
+            x = np.arange(first, last, dtype=np.int64)
+            made[first:last, cell] = np.minimum(end, (x + 1) * cells) - np.maximum(begin, x * cells)
+    else:
+        for cell, x, w in windowed_weights(size, cells):
+            made[x, cell] = w
+    _kept[key] = made
+    _held[0] += made.nbytes
+    while _held[0] > KEPT_BYTES and len(_kept) > 1:
+        _held[0] -= _kept.popitem(last=False)[1].nbytes
     return made
 
 
