@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import output_name
 from ..operators import dedup, match, select
+from ..sources.storage import shared_folder, stored
 
 MODES = ("cap_first", "cap_last")
 
@@ -35,14 +36,17 @@ def build(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     order = [dedup.priority_of(F.col("source"), priority), "source", "image_path"]
+    # both are read many times, by counts, caps, splits and what is dropped: keys are made once
+    folder = shared_folder(records.sparkSession, "build")
+    records, protected = stored(records, f"{folder}/records"), stored(protected.select("sha256", *match.PERCEPTUAL), f"{folder}/protected")
     if mode == "cap_first":
         capped = select.cap_negatives(records, "is_negative", "id", negative_fraction, seed)
         over = records.join(capped.select("id"), "id", "left_anti").withColumn("drop_reason", F.lit("negative_cap"))
-        tagged = dedup.exclude_and_deduplicate(capped, protected, order)
+        tagged = stored(dedup.exclude_and_deduplicate(capped, protected, order), f"{folder}/tagged")
         final = tagged.filter("drop_reason is null").drop("drop_reason")
         split = select.split_by_records(final, "family_id", "source", valid_fraction, seed)
     else:
-        tagged = dedup.exclude_and_deduplicate(records, protected, order)
+        tagged = stored(dedup.exclude_and_deduplicate(records, protected, order), f"{folder}/tagged")
         unique = tagged.filter("drop_reason is null").drop("drop_reason")
         final = select.cap_negatives(unique, "is_negative", "id", negative_fraction, seed)
         over = unique.join(final.select("id"), "id", "left_anti").withColumn("drop_reason", F.lit("negative_cap"))
