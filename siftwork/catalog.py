@@ -128,10 +128,10 @@ def tree(spark: SparkSession, sf_dir: str, missing: int | None = None) -> str:
     root, lines = scratch(spark), image_lines(spark, sf_dir)
     base = F.concat(F.lit("c"), F.col("id").cast("string"))
     texts = lines.groupBy("id", "split").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\r\n").alias("content"))
-    kept = texts if missing is None else texts.filter(F.col("id") % missing != 0)
-    images = texts.select(F.concat("split", F.lit("/images/"), base, F.when(F.col("id") % 2 == 0, ".PNG").otherwise(".jpg")).alias("name"), base.alias("content"))
-    labels_ = kept.select(F.concat("split", F.lit("/labels/"), base, F.lit(".txt")).alias("name"), "content")
-    outputs.write_files(images.unionByName(labels_), root, "name", "content")
+    image = F.struct(F.concat("split", F.lit("/images/"), base, F.when(F.col("id") % 2 == 0, ".PNG").otherwise(".jpg")).alias("name"), base.alias("content"))
+    label = F.struct(F.concat("split", F.lit("/labels/"), base, F.lit(".txt")).alias("name"), F.col("content"))
+    both = F.array(image, label) if missing is None else F.when(F.col("id") % missing == 0, F.array(image)).otherwise(F.array(image, label))
+    outputs.write_files(texts.select(F.explode(both).alias("file")).select("file.*"), root, "name", "content")
     return root
 
 

@@ -12,15 +12,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.labels import fixed8
-from ..sources.files import contents
+from ..sources.files import PART_BYTES
 from ..sources.storage import qualified, system_of
 
 #: The columns of a manifest, in order.
@@ -44,34 +45,60 @@ class Written(WriterCommitMessage):
     violations: dict[str, int]
 
 
-class TreeWriter(DataSourceWriter):
+def _parts(content: bytes | None, source: str | None) -> Iterator[bytes]:
+    """A file's bytes: those of the file that ``source`` names, part by part, or else ``content``."""
+    if source is None:
+        yield content or b""
+        return
+    try:
+        system, inside, _ = system_of(source)
+        with system.open_input_stream(inside) as f:
+            while part := f.read(PART_BYTES):
+                yield part
+    except OSError as lost:
+        raise ValueError(f"cannot read {source}") from lost
+
+
+class TreeWriter(DataSourceArrowWriter):
     """Writes one file a row below a staging folder; the tree changes places with it when all tasks are done.
 
-    A file is written under a name of its attempt and renamed, so a task that fails or runs twice leaves no
-    part of a file under its name, and attempts of a task write equal bytes. Violations that rows carry
+    A local file is made under its name if nothing has that name; else, and on other file systems, it is written
+    under a name of its attempt and renamed. So no attempt writes into a file of another, one that follows a part
+    of a file puts the whole in its place, and attempts of a task write equal bytes. Violations that rows carry
     are counted on the way; if there is one, the tree isn't changed.
     """
 
     def __init__(self, root: str, staging: str):
         self.root, self.staging = root, staging
 
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, base, _ = system_of(self.staging)
         made: set[str] = set()
         wrong: Counter[str] = Counter()
-        for r in iterator:
-            wrong.update(r[2] or ())
-            path = f"{base}/{r[0]}"
-            folder = path.rpartition("/")[0]
-            if folder not in made:
-                self._make(system, base, folder)
-                made.add(folder)
-            partial = f"{folder}/.{uuid.uuid4().hex}"
-            with system.open_output_stream(partial) as f:
-                f.write(bytes(r[1]) if r[1] is not None else b"")
-            system.move(partial, path)
+        for batch in iterator:
+            for name, content, codes, source in zip(*(c.to_pylist() for c in batch.columns)):
+                wrong.update(codes or ())
+                path = f"{base}/{name}"
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    self._make(system, base, folder)
+                    made.add(folder)
+                self._file(system, path, _parts(content, source))
         return Written(dict(wrong))
 
+    @staticmethod
+    def _file(system: fs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
+        if isinstance(system, fs.LocalFileSystem):
+            # renaming would double what is done to a folder, which tasks that write into it wait for
+            with contextlib.suppress(FileExistsError), open(path, "xb") as f:
+                f.writelines(parts)
+                return
+        partial = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(partial) as f:
+            for part in parts:
+                f.write(part)
+        system.move(partial, path)
+
     @staticmethod
     def _make(system: fs.FileSystem, base: str, folder: str) -> None:
         """Folders below ``base``, which the driver made: a task that outlives a failed job can't bring it back."""
@@ -102,7 +129,7 @@ class TreeWriter(DataSourceWriter):
 
 
 class TreeSink(DataSource):
-    """Rows ``name, content, violations`` as a tree of files that replaces the one before as a whole or not at all."""
+    """Rows ``name, content, violations, source`` as a tree of files that replaces the one before as a whole or not at all."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,13 +139,15 @@ class TreeSink(DataSource):
         return TreeWriter(self.options["path"], self.options["staging"])
 
 
-def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str = "replace", violations: str | None = None) -> None:
+def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str = "replace", violations: str | None = None, source: str | None = None) -> None:
     """One file below ``root`` for each row, in a folder that all executors share.
 
     What was there stays until every file is written; then the new tree takes its place. If a task
     fails for good, the old tree is left as it was. ``refuse`` raises if there is one. ``violations`` is
     a column with an array of codes: they are counted in the pass that writes, and any of them fails it
-    as a whole, with their numbers in the error. The file system must be able to rename folders.
+    as a whole, with their numbers in the error. ``source`` is a column with the path of a file that is
+    copied instead of ``content``, where it isn't null; one that can't be read fails the whole too. The file
+    system must be able to rename folders.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {tuple(POLICIES)}")
@@ -129,7 +158,8 @@ def write_tree(rows: DataFrame, root: str, name: str, content: str, policy: str
     if policy == "refuse" and system.exists(path):
         raise ValueError(f"{root} exists")
     codes = F.lit(None).cast("array<string>") if violations is None else F.col(violations)
-    pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), codes.alias("violations"))
+    copied = F.lit(None).cast("string") if source is None else F.col(source)
+    pairs = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), codes.alias("violations"), copied.alias("source"))
     staged, system = _hadoop(spark, f"{where}.new-{uuid.uuid4().hex}")
     system.mkdirs(staged)
     try:
@@ -154,15 +184,19 @@ def write_dataset(records: DataFrame, root: str, split: str = "final_split", pol
 
     ``labels`` are the lines of a record's label file and ``output_name`` is its image's name. An image
     that can't be read fails the whole, and the tree before it stays; so do ``violations`` of a record.
+    ``records`` is gone through once: a record's two files are written by the task that has it.
     """
     base = F.regexp_replace("output_name", r"\.[^./]*$", "")
     text = F.when(F.size("labels") > 0, F.concat(F.array_join("labels", "\n"), F.lit("\n"))).otherwise("")
-    named = records.select(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))).alias("name"), text.cast("binary").alias("content"), (F.col(violations) if violations else F.lit(None).cast("array<string>")).alias("violations"))
-    wanted = records.select(F.concat_ws("/", split, F.lit("images"), "output_name").alias("name"), "image_path")
-    there = contents(wanted, "image_path")
-    lost = F.raise_error(F.concat(F.lit("cannot read "), F.coalesce("image_path", F.lit("an image without path"))))
-    copied = there.select("name", F.when(F.col("content").isNull(), lost).otherwise(F.col("content")).alias("content"), F.lit(None).cast("array<string>").alias("violations"))
-    write_tree(named.unionByName(copied), root, "name", "content", policy, "violations")
+    codes = F.lit(None).cast("array<string>") if violations is None else F.col(violations)
+    image = F.coalesce("image_path", F.raise_error(F.lit("cannot read an image without path")).cast("string"))
+    file = lambda name, content, codes, source: F.struct(name.alias("name"), content.cast("binary").alias("content"), codes.cast("array<string>").alias("violations"), source.cast("string").alias("source"))
+    label = file(F.concat_ws("/", split, F.lit("labels"), F.concat(base, F.lit(".txt"))), text, codes, F.lit(None))
+    copy = file(F.concat_ws("/", split, F.lit("images"), "output_name"), F.lit(None), F.lit(None), image)
+    # files take time by their number, not by their rows' bytes
+    dealt = records.repartition(records.sparkSession.sparkContext.defaultParallelism)
+    rows = dealt.select(F.explode(F.array(label, copy)).alias("file")).select("file.*")
+    write_tree(rows, root, "name", "content", policy, "violations", "source")
 
 
 def write_joined(rows: DataFrame, path: str, order: list[str], text: str, head: str = "", tail: str = "", bom: bool = False) -> int:

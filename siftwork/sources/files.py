@@ -50,12 +50,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def label_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """The ``.txt`` files in a ``labels`` folder below ``root``."""
+    return listing(spark, root, recursive).filter(extension(F.col("path")).eqNullSafe(".txt") & has_folder(F.col("path"), "labels"))
+
+
 def label_lines(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``path, line_no, line`` of the ``.txt`` files in a ``labels`` folder; an empty file has one
+    """``path, line_no, line`` of the ``.txt`` files in a ``labels`` folder; see ``file_lines``."""
+    return file_lines(label_files(spark, root, recursive).select("path"))
+
+
+def file_lines(found: DataFrame) -> DataFrame:
+    """``found`` with the ``line_no, line`` of the small text file that each ``path`` names; an empty file has one
     row with a null line. A file that can't be read has one with a null line and ``readable`` false."""
-    found = listing(spark, root, recursive).filter(extension(F.col("path")).eqNullSafe(".txt") & has_folder(F.col("path"), "labels"))
-    texts = contents(found.select("path")).withColumn("value", F.col("content").cast("string"))
-    return texts.select("path", F.posexplode_outer(lines_of(F.col("value"))).alias("line_no", "line"), F.col("content").isNotNull().alias("readable"))
+    texts = contents(found).withColumn("value", F.col("content").cast("string"))
+    return texts.select(*found.columns, F.posexplode_outer(lines_of(F.col("value"))).alias("line_no", "line"), F.col("content").isNotNull().alias("readable"))
 
 
 def contents(files: DataFrame, path: str = "path") -> DataFrame:

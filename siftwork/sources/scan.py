@@ -14,6 +14,7 @@ from ..operators import checks, records
 from ..operators.match import pair
 from . import files
 from .config import SourcePolicy
+from .storage import discard, shared_folder, stored
 
 SPLITS, BENCHMARK_SPLITS = ("train", "valid", "test"), ("test", "valid", "train")
 #: Unpaired names that an error lists.
@@ -47,21 +48,24 @@ def paired_records(spark: SparkSession, policy: SourcePolicy, splits: tuple[str,
     with neither is left out, one with either is an error, and so are files without a partner of
     the same stem (the last image by name stands for its stem). Kept records have no drop_reason.
     """
-    images, lines = [], []
+    record, images, label_files = ["source_split", "stem"], [], []
     for split in splits:
         if (found := _folders(spark, policy.root, split)) is None:
             continue
-        paths = files.images(spark, found[0], recursive=False).groupBy(stem(F.col("path")).alias("stem")).agg(F.max("path").alias("image_path"))
-        images.append(paths.withColumn("source_split", F.lit(split)))
-        lines.append(_lines_of(spark, found[1]).withColumn("source_split", F.lit(split)))
+        keyed = [F.lit(split).alias("source_split"), stem(F.col("path")).alias("stem"), "path"]
+        images.append(files.images(spark, found[0], recursive=False).select(*keyed))
+        label_files.append(files.label_files(spark, found[1], recursive=False).select(*keyed))
     if not images:
         raise ValueError(f"no split below {policy.root}")
-    image, line = (reduce(DataFrame.unionByName, parts) for parts in (images, lines))
-    record, labels = ["source_split", "stem"], line.groupBy("source_split", "stem").agg(F.min("path").alias("label_path"))
-    both = pair(image, labels, record)
+    image, label = (reduce(DataFrame.unionByName, parts).groupBy(*record) for parts in (images, label_files))
+    # a stem's label files are few; folders are listed once, and files are read by what was found then
+    folder = shared_folder(spark, "pairs")
+    both = stored(pair(image.agg(F.max("path").alias("image_path")), label.agg(F.min("path").alias("label_path"), F.collect_list("path").alias("paths")), record), folder)
     lone = both.filter("pairing <> 'paired'").orderBy("pairing", *record).limit(LISTED).collect()
     if lone:
+        discard(spark, folder)
         raise ValueError(f"images and labels that don't pair: {[(r['source_split'], r['stem'], r['pairing']) for r in lone]}")
+    line = files.file_lines(both.select(*record, F.explode("paths").alias("path")))
     done = records.remapped(
         line.select(*record, "line_no", "line"), record, _class_map(spark, policy), policy.preserve_empty,
         policy.reject_other_formats, policy.exclude_unsupported,

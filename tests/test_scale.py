@@ -5,11 +5,13 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from siftwork.functions import resample
 from siftwork.plans import builds
-from siftwork.sources import files, storage
+from siftwork.sinks import outputs
+from siftwork.sources import config, files, scan, storage
 
 
 def test_many_folders_are_listed_by_few_tasks(tmp_path):
@@ -79,3 +81,53 @@ def test_a_build_reads_its_records_once(spark, tmp_path, mode):
     for df in (done.kept, done.dropped):
         assert df.inputFiles() and not [f for f in df.inputFiles() if str(tmp_path) in f]
     assert done.kept.count() + done.dropped.count() == 40
+
+
+def test_a_dataset_is_written_in_one_pass(spark, tmp_path):
+    picture = bytes(range(256)) * (files.PART_BYTES // 100)
+    (tmp_path / "a.jpg").write_bytes(picture)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(20).select(F.lit("train").alias("final_split"), F.lit(f"file:{tmp_path}/a.jpg").alias("image_path"), F.concat(F.lit("s"), "id", F.lit(".jpg")).alias("output_name"), F.array(F.concat("id", F.lit(" 1 1 1 1"))).alias("labels"))
+    records, out = rows.mapInArrow(counted, rows.schema), tmp_path / "out"
+    outputs.write_dataset(records, str(out))
+    assert seen.value == 20
+    want = {f"train/images/s{k}.jpg": picture for k in range(20)} | {f"train/labels/s{k}.txt": b"%d 1 1 1 1\n" % k for k in range(20)}
+    assert {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file()} == want
+    lost = rows.limit(1).withColumn("image_path", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="cannot read an image without path"):
+        outputs.write_dataset(lost, str(out))
+    assert len(list(out.rglob("*.jpg"))) == 20
+
+
+def test_attempts_leave_whole_files(tmp_path):
+    local = fs.LocalFileSystem()
+    for system, base in ((local, f"{tmp_path}/"), (fs.SubTreeFileSystem(str(tmp_path), local), "")):
+        path = tmp_path / "a.txt"
+        # another attempt has begun the file and goes on when this one is done
+        with open(path, "wb", buffering=0) as other:
+            other.write(b"par")
+            outputs.TreeWriter._file(system, f"{base}a.txt", iter([b"par", b"t"]))
+            other.write(b"t and more")
+        assert path.read_bytes() == b"part"
+        outputs.TreeWriter._file(system, f"{base}a.txt", iter([b"part"]))
+        outputs.TreeWriter._file(system, f"{base}b.txt", iter([]))
+        assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"a.txt": b"part", "b.txt": b""}
+
+
+def test_paired_records_list_and_read_once(spark, tmp_path):
+    for name, text in {"images/a.jpg": "i", "labels/a.txt": "0 1 1 1 1", "labels/a.TXT": "0 0 0 1 1"}.items():
+        (tmp_path / "train" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "train" / name).write_text(text)
+    done = scan.paired_records(spark, config.SourcePolicy("s", str(tmp_path), {0: 2}))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and storage.FolderSource.name() not in plan
+    # what comes after the check that all files pair isn't in the records
+    (tmp_path / "train/labels/b.txt").write_text("0 1 1 1 1")
+    got = [(r["image_path"].rpartition("/")[2], r["label_path"].rpartition("/")[2], len(r["labels"])) for r in done.collect()]
+    assert got == [("a.jpg", "a.TXT", 2)]
